@@ -44,7 +44,13 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), capacity=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_source_mix, op4_language_id, op8_line_dedup, op9_best_fit_packing)}
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import linked
+
+    return linked(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_source_mix, op4_language_id, op8_line_dedup, op9_best_fit_packing, op10_ngram_jaccard)}
 
 SQL: dict[str, str] = {
     "op8_line_dedup": r"""
