@@ -99,7 +99,7 @@ def mix(docs: DataFrame, carry: list[str], id: str = "doc_id", source: str = "so
     end = F.col("start") + F.col("size")
     parts = placed.withColumn("b", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))))
     lo, hi = F.greatest(F.lit(0), F.col("b") * block - F.col("start")), F.least(F.col("size"), (F.col("b") + 1) * block - F.col("start"))
-    taken = parts.select("row", "s", "b", lo.alias("lo"), hi.alias("hi")).join(slots, ["s", "b"])
+    taken = parts.select("row", "s", "b", lo.alias("lo"), hi.alias("hi")).join(slots.hint("merge"), ["s", "b"])  # as many slots as blocks: never broadcast
     rows = rows.select("row", *carry, "size", "source_size", "target")
     return rows, taken.select("row", "lo", "hi", "times", "epochs")
 
