@@ -71,7 +71,7 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
     return capped.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(F.least("cap", level * F.col("w")))).select("_source", "s", "source_size", "target")
 
 
-def mix(docs: DataFrame, carry: list[str], id: str = "doc_id", source: str = "source", text: str = "text", block: int = 64, shard: int = 1024, seed: int = 7, **targets) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, carry: list[str], id: str = "doc_id", source: str = "source", text: str = "text", block: int = 64, shard: int = 8192, seed: int = 7, **targets) -> tuple[DataFrame, DataFrame]:
     """Two tables: rows (row, the columns of carry, size, source_size, target), and for their row numbers what the mix takes.
 
     The second has row, lo, hi, times, epochs for each part of a document that lies in one block of the mix: its words
@@ -130,13 +130,18 @@ def source_slots(of: DataFrame, block: int, shard: int, seed: int) -> DataFrame:
     numbered = counts.withColumn("first", first).where("n > 0").repartition(partitions(spark), "s", "shard").select("s", "blocks", "first", "n")
 
     def held(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[tuple[np.ndarray, ...]] = []
         for p in parts:
             for s, blocks, first, n in zip(*(p.column(c).to_pylist() for c in ("s", "blocks", "first", "n")), strict=True):
                 slot = np.arange(first, min(first + n, 2 * blocks))  # no source is passed more than twice
                 for e in (0, 1):
                     i = slot[slot // blocks == e] - e * blocks
-                    if len(i):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), s, np.int64)), pa.array(permuted(i, blocks, seed * 1_000_003 + s * 2 + e)), pa.array(np.full(len(i), e, np.int32))], ["s", "b", "epoch"])
+                    made.append((np.full(len(i), s), permuted(i, blocks, seed * 1_000_003 + s * 2 + e), np.full(len(i), e, np.int32)))
+                if sum(len(x[0]) for x in made) > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*made, strict=True)], ["s", "b", "epoch"])
+                    made = []
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*made, strict=True)], ["s", "b", "epoch"])
 
     return numbered.mapInArrow(held, "s long, b long, epoch int")
 

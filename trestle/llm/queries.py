@@ -20,7 +20,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixed_sizes
 
-    return mixed_sizes(table(spark, sf_dir, "documents"), block=64, shard=1024)
+    return mixed_sizes(table(spark, sf_dir, "documents"), block=64, shard=8192)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
