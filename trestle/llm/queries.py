@@ -56,13 +56,19 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), alpha=0.02, delta=0.05)
 
 
+def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"), least=0)
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import fingerprints
 
     return fingerprints(table(spark, sf_dir, "documents"), lambda id: F.col(id) % 50 == 0, radius=3)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_source_mix, op4_language_id, op8_line_dedup, op9_best_fit_packing, op10_ngram_jaccard, op2_quality_rules, op7_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_source_mix, op4_language_id, op8_line_dedup, op9_best_fit_packing, op10_ngram_jaccard, op2_quality_rules, op7_fingerprints, op6_warc_round_trip)}
 
 
 def _quality_sql() -> str:
@@ -105,6 +111,15 @@ def _quality_sql() -> str:
 
 
 SQL: dict[str, str] = {
+    "op6_warc_round_trip": r"""
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h FROM pages),
+        last AS (SELECT h, max(page_id) AS last FROM p GROUP BY h),
+        b32 AS (
+            SELECT h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4)))::INT % 32 + 1, 1), '' ORDER BY i) AS d
+            FROM last, unnest(range(0, 32)) AS r(i) GROUP BY h)
+        SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id < last THEN last END AS refers_to
+        FROM p JOIN last USING (h) JOIN b32 USING (h)""",
     "op2_quality_rules": _quality_sql(),
     "op8_line_dedup": r"""
         WITH lines AS (
