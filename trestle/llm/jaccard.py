@@ -10,6 +10,9 @@ largest size in their band. Each set is cut by hash into H + 1 + SLACK parts, so
 parts are equal; nodes with an equal part are in one group. Empty parts say nothing and give no key. Only where two
 sets have nothing but empty parts in common are at least SLACK + 1 parts of both empty: sets that have so
 many empty parts also get a key for each combination of SLACK + 1 of them.
+
+What only shares a passage has few equal parts, while a link leaves many: the groups are refined by the number of common
+keys before any text is fetched.
 """
 
 from __future__ import annotations
@@ -55,19 +58,25 @@ def set_hash(s: np.ndarray) -> int:
         return int(mixed(np.array([x.sum(dtype=np.uint64) + np.uint64(len(s))]))[0].astype(np.int64))
 
 
-def part_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """The keys of a set: two sets of a Jaccard similarity of at least percent / 100 share one, unless they are equal."""
-    n = len(s)
-    band = int(np.searchsorted(BANDS, n, "right")) - 1
+def band_parts(n: int, percent: int, b: int | None = None) -> tuple[int, int, int]:
+    """Of the band of size n (or band b): its number, the number of parts, and the largest size that is linked with one of its sizes."""
+    b = int(np.searchsorted(BANDS, n, "right")) - 1 if b is None else b
+    low = int(BANDS[b + 1]) - 1  # the largest size in the band
+    most = low * 100 // percent
+    differ = (low + most) * (100 - percent) // (100 + percent)
+    return b, differ + 1 + (SLACK if differ else 0), most
+
+
+def part_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The keys of a set, and how many of its own band's parts are empty: two sets of a Jaccard similarity of at least percent / 100 share a key, unless they are equal."""
+    n, hollow = len(s), 0
+    band = band_parts(n, percent)[0]
     found = []
     # A pair meets under the band of the smaller set; sets that can be the larger one of such a pair use that band, too.
     for b in range(band, -1, -1):
-        low = int(BANDS[b + 1]) - 1  # the largest size in the band
-        most = low * 100 // percent  # of what is linked with it
+        _, parts, most = band_parts(n, percent, b)
         if n > most:
             break
-        differ = (low + most) * (100 - percent) // (100 + percent)
-        parts = differ + 1 + (SLACK if differ else 0)
         part = (mixed(s + np.uint64(b)) % np.uint64(parts)).astype(np.int64)
         sums = np.zeros(parts, np.uint64)
         np.add.at(sums, part, mixed(s))
@@ -75,9 +84,11 @@ def part_keys(s: np.ndarray, percent: int) -> np.ndarray:
         where = np.uint64(b) * np.uint64(1 << 32) + np.arange(parts, dtype=np.uint64)
         found.append(mixed(sums[full] + mixed(where[full])))
         empty = np.flatnonzero(~full)
-        if differ and len(empty) > SLACK:
+        if b == band:
+            hollow = len(empty)
+        if len(empty) > SLACK:
             found.append(np.array([hash((b, *c)) & 0xFFFFFFFFFFFFFFFF for c in itertools.combinations(empty.tolist(), SLACK + 1)], np.uint64))
-    return np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+    return np.concatenate(found).view(np.int64), hollow
 
 
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -113,6 +124,41 @@ def tile_links(left: list[np.ndarray], right: list[np.ndarray], known: list, per
     return links
 
 
+def near_edges(left: list[tuple], right: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Edges that connect the nodes, by place, whose common keys allow a link, within left or between left and right. Each: size, empty parts, keys.
+
+    Of the parts of the smaller set's band at most as many differ as elements of a linked pair do, so that the others are equal: as keys, or empty.
+    """
+    both = left + right
+    size = np.array([x[0] for x in both])
+    known, at = np.unique(np.concatenate([x[2] for x in both]), return_inverse=True)
+    row = np.repeat(np.arange(len(both)), [len(x[2]) for x in both])
+    common = np.zeros((len(both), len(both)), np.float32)
+    order = np.argsort(at, kind="stable")
+    for k in range(0, len(known), 4096):
+        some = order[np.searchsorted(at[order], k) : np.searchsorted(at[order], k + 4096)]
+        m = np.zeros((len(both), min(4096, len(known) - k)), np.float32)
+        m[row[some], at[some] - k] = 1
+        common += m @ m.T
+    parts = np.array([band_parts(int(n), percent)[1] for n in size]) - np.array([x[1] for x in both])
+    i = np.minimum.outer(size, size) == size[:, None]  # whether the row's set is the smaller one
+    total = np.add.outer(size, size)
+    equal = np.where(i, parts[:, None], parts[None, :]) - total * (100 - percent) // (100 + percent)
+    near = (common >= np.maximum(1, equal)) & (np.minimum.outer(size, size) * (100 + percent) >= percent * total)
+    if right:
+        near[: len(left), : len(left)] = near[len(left) :, len(left) :] = False
+    edges, todo = [], np.ones(len(both), bool)
+    for first in range(len(both)):
+        if not todo[first]:
+            continue
+        todo[first], front = False, np.array([first])
+        while len(front):
+            front = np.flatnonzero(near[front].any(0) & todo)
+            todo[front] = False
+            edges += [(first, k) for k in front.tolist()]
+    return edges
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node that each node of an edge (a, b) is connected with.
 
@@ -136,25 +182,23 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def compared(tiles: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b: ids) that the tiles' pairs give. tiles: tile, side (whether right), node, known, rep; rows: _id, _text.
+def dealt(tiles: DataFrame) -> DataFrame:
+    """tiles with deal: groups of about a hundred members, so that small tiles share one."""
+    deals = max(partitions(tiles.sparkSession), tiles.count() // 100)
+    return tiles.withColumn("deal", F.pmod(F.xxhash64("tile"), F.lit(deals)))
 
-    Tiles are dealt to groups of about a hundred members, so that small ones share a group.
-    """
-    tiles = written(tiles.where(F.col("rep").isNotNull()))
-    deals = max(partitions(rows.sparkSession), tiles.count() // 100)
-    dealt = tiles.withColumn("deal", F.pmod(F.xxhash64("tile"), F.lit(deals)))
-    # An id's rows can have several texts; the one whose set is the node's is meant.
-    texts = dealt.join(rows, F.col("rep") == F.col("_id")).select("deal", "tile", "side", "node", "known", "rep", "_text")
-    kind = texts.schema["rep"].dataType.simpleString()
+
+def compared(tiles: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b: ids) that the tiles' pairs give. tiles: tile, side (whether right), node, known, rep; texts: node, _text."""
+    rows = dealt(written(tiles)).join(texts, "node").select("deal", "tile", "side", "node", "known", "rep", "_text")
+    kind = rows.schema["rep"].dataType.simpleString()
 
     def joined(table: pa.Table) -> pa.Table:
         columns = zip(*(table.column(c).to_pylist() for c in ("tile", "side", "node", "known", "rep")), strict=True)
         sets = (s for c in table.column("_text").chunks for b in slices(iter([pa.RecordBatch.from_arrays([c], ["t"])]), "t") for s in gram_sets(b.column("t"), words))
         by: dict[int, tuple[dict, dict]] = {}
         for (t, side, node, known, rep), s in zip(columns, sets, strict=True):
-            if set_hash(s) == node:
-                by.setdefault(t, ({}, {}))[side][node] = (s, known, rep)
+            by.setdefault(t, ({}, {}))[side][node] = (s, known, rep)
         found = []
         for sides in by.values():
             one, two = (sorted(x.values(), key=lambda y: len(y[0])) for x in sides)
@@ -164,7 +208,33 @@ def compared(tiles: DataFrame, rows: DataFrame, words: int, percent: int) -> Dat
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table({"a": pa.array(a, table.schema.field("rep").type), "b": pa.array(b, table.schema.field("rep").type)})
 
-    return texts.groupBy("deal").applyInArrow(joined, f"a {kind}, b {kind}")
+    return rows.groupBy("deal").applyInArrow(joined, f"a {kind}, b {kind}")
+
+
+def refined(shared: DataFrame, nodes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b: nodes) that connect all pairs in the groups whose common keys allow a link. shared: key, node, hollow."""
+    lists = shared.groupBy("node").agg(F.collect_set("key").alias("keys"), F.max("hollow").alias("hollow"))  # a set's keys: as many as it has parts
+    members = written(nodes.join(groups, "node").join(lists, "node").select("root", "node", "n", "hollow", "keys"))
+    most = max(400, min(4000, members.count() // (4 * partitions(shared.sparkSession))))
+    tiles = written(members.groupBy("root").agg(F.ceil(F.count("*") / most).cast("int").alias("tiles")))
+    placed = members.join(tiles, "root").withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    # A tile meets itself and, once, each other tile of its group.
+    meet = placed.withColumn("u", F.explode(F.expr("sequence(0, tiles - 1)"))).withColumn("side", F.when(F.col("u") < F.col("t"), 1).otherwise(0))
+    meet = meet.withColumn("tile", F.xxhash64("root", F.least("t", "u"), F.greatest("t", "u"))).select("tile", "side", "node", "n", "hollow", "keys")
+
+    def joined(table: pa.Table) -> pa.Table:
+        by: dict[int, tuple[list, list]] = {}
+        keys = [k for c in table.column("keys").chunks for k in np.split(c.flatten().to_numpy(), c.value_lengths().to_numpy().cumsum()[:-1])]
+        for t, side, *x in zip(*(table.column(c).to_pylist() for c in ("tile", "side", "node", "n", "hollow")), keys, strict=True):
+            by.setdefault(t, ([], []))[side].append(x)
+        found = []
+        for left, right in by.values():
+            both = left + right
+            found += [(both[i][0], both[k][0]) for i, k in near_edges([x[1:] for x in left], [x[1:] for x in right], percent)] if len(both) > 1 else []
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt(written(meet)).groupBy("deal").applyInArrow(joined, "a long, b long")
 
 
 def tiled(members: DataFrame, grams: int) -> DataFrame:
@@ -197,25 +267,36 @@ def linked(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int =
             new = [k for k in sets if k not in told]
             told = told | set(new) if len(told) < 1_000_000 else set(new)
             keys = [part_keys(sets[k], percent) for k in new]
-            at = np.repeat(np.array(new, np.int64), [len(k) for k in keys])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *keys])), pa.array(at)], ["key", "node"])
+            at = np.repeat(np.arange(len(new)), [len(k) for k, _ in keys])
+            of = [np.concatenate([np.zeros(0, np.int64), *(k for k, _ in keys)]), np.array(new, np.int64)[at], np.array([h for _, h in keys], np.int32)[at]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in of], ["key", "node", "hollow"])
+
+    def of_node(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """An id's rows can have several texts; the one whose set is the node's is meant."""
+        for b in slices(parts, "_text"):
+            right = [set_hash(s) == k for s, k in zip(gram_sets(b.column("_text"), words), b.column("node").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("_text")], ["node", "_text"]).filter(pa.array(right, pa.bool_()))
 
     of = written(rows.mapInArrow(sized, f"_id {kind}, n long, node long"))
     nodes = written(of.where("n > 0").groupBy("node").agg(F.min("_id").alias("rep"), F.first("n").alias("n")))
-    # Star edges: every node of a key with the smallest node of that key.
-    pairs = rows.mapInArrow(keyed, "key long, node long").withColumn("least", F.min("node").over(Window.partitionBy("key")))
-    groups = components(pairs.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
-    members = written(nodes.join(groups, "node"))
+    # What shares a key with another node; and, as star edges, each of them with the smallest node of the key.
+    by = Window.partitionBy("key")
+    keyed_rows = rows.mapInArrow(keyed, "key long, node long, hollow int").withColumns({"least": F.min("node").over(by), "most": F.max("node").over(by)})
+    shared = written(keyed_rows.where("least < most").select("key", "node", "least", "hollow"))
+    stars = shared.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    groups = components(refined(shared.select("key", "node", "hollow"), nodes, components(stars), percent))
+    members = written(nodes.join(groups, "node").where(F.col("rep").isNotNull()))
     count, total = members.agg(F.count("*"), F.sum("n")).first()
     if not count:
         return _labelled(of, nodes.select("node", F.col("rep").alias("component_id")), id)
+    texts = written(members.select("rep", "node").join(rows, F.col("rep") == F.col("_id")).mapInArrow(of_node, "node long, _text string"))
     # Several tiles for each partition, so that large groups spread.
     tiles = tiled(members, max(20_000, min(tile, total // (4 * partitions(spark)))))
     # First the pairs within each tile, to which each group's smallest node comes.
     leaders = tiles.select("root", "tile").distinct().join(nodes.withColumnRenamed("node", "root"), "root")
     first = tiles.select("tile", F.lit(0).alias("side"), "node", F.col("node").alias("known"), "rep")
     first = first.unionByName(leaders.select("tile", F.lit(0).alias("side"), F.col("root").alias("node"), F.col("root").alias("known"), "rep"))
-    links = written(compared(first, rows, words, percent))
+    links = written(compared(first, texts, words, percent))
     found = components(links)
     # Then, in groups of several tiles, all that isn't connected with the smallest node against all tiles of a fitting size.
     wide = written(tiles.groupBy("root").agg(F.count_distinct("tile").alias("tiles")).where("tiles > 1").select("root"))
@@ -230,7 +311,7 @@ def linked(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int =
     if meet.isEmpty():
         done = found
     else:
-        done = components(links.unionByName(compared(second, rows, words, percent)))
+        done = components(links.unionByName(compared(second, texts, words, percent)))
     labels = nodes.join(done.select(F.col("node").alias("rep"), F.col("root").alias("component_id")), "rep", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
     return _labelled(of, written(labels), id)
 
