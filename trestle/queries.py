@@ -1,4 +1,6 @@
 """The registered queries over the given tables, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from trestle.plans import check_queries  # noqa: F401
+from trestle.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
