@@ -28,7 +28,7 @@ def chain(edges: DataFrame, roots: DataFrame, depth: int = 10, types: tuple[str,
 
     step = edges.where(F.col("type").isin(*types)).select(F.col("src").alias("_a"), F.col("dst").alias("_b"), F.concat_ws(" -> ", "src", "dst").alias("_hop"), (weight(F.col("source")) if weighted else F.lit(1.0)).alias("_w"), F.col("ord").alias("_ord"))
     if backward:
-        step = step.withColumnsRenamed({"_a": "_b", "_b": "_a"})
+        step = step.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"), "_hop", "_w", "_ord")
     seen = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.array().cast("array<bigint>").alias("ords"), F.array().cast("array<string>").alias("path"), F.lit(1.0).alias("confidence"))
     front = seen
     for level in range(1, depth + 1):
