@@ -69,7 +69,8 @@ def semantic(wide: DataFrame, columns: set[str], constraints: list = SEMANTIC) -
         least = least_radius(F.col("spl").cast("double"))
         broken = F.when(~F.isnan(F.col("design_rad").cast("double")) & (F.col("design_rad") < least), "below")
         found.append(F.when(least.isNotNull() & F.col("design_rad").isNotNull(), F.struct(F.lit("SV-005").alias("rule"), F.lit("design_rad").alias("param"), broken.alias("broken"), F.lit("error").alias("severity"))))
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
+    kind = "array<struct<rule:string,param:string,broken:string,severity:string>>"
+    return F.filter(F.array(*found).cast(kind), lambda x: x.isNotNull())
 
 
 def coverage(checked: Column, supplied: Column) -> Column:

@@ -19,13 +19,21 @@ def grid(lo: Column, hi: Column, steps: int) -> Column:
     return F.when((hi > lo) & (F.lit(steps) >= 2), F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: lo + (hi - lo) * i / (steps - 1))).otherwise(F.array().cast("array<double>"))
 
 
+def _nearest(p: str, place: int, lo: float, hi: float, steps: int) -> Column:
+    """A lever's trial values as (lever, place, trial, rank), the nearest first."""
+    near = _others(p, lo, hi, steps)
+    ordered = F.array_sort(F.transform(near, lambda v: F.struct(F.abs(v - F.col(p)).alias("far"), v.alias("trial"))))
+    return F.transform(ordered, lambda x, i: F.struct(F.lit(p).alias("lever"), F.lit(place).alias("place"), x["trial"].alias("trial"), (i + 1).alias("rank")))
+
+
+def _others(p: str, lo: float, hi: float, steps: int) -> Column:
+    """The grid without the current value."""
+    return F.filter(grid(F.lit(float(lo)), F.lit(float(hi)), steps), lambda v: F.abs(v - F.col(p)) > NEAR)
+
+
 def trials(designs: DataFrame, levers: dict[str, tuple[float, float]], steps: int) -> DataFrame:
     """designs with lever, place (of the lever), trial, rank: all trial values of each lever, the nearest first, without the current one."""
-    options = []
-    for place, (p, (lo, hi)) in enumerate(levers.items()):
-        near = F.filter(grid(F.lit(float(lo)), F.lit(float(hi)), steps), lambda v, p=p: F.abs(v - F.col(p)) > NEAR)
-        ordered = F.array_sort(F.transform(near, lambda v, p=p: F.struct(F.abs(v - F.col(p)).alias("far"), v.alias("trial"))))
-        options.append(F.transform(ordered, lambda x, i, p=p, place=place: F.struct(F.lit(p).alias("lever"), F.lit(place).alias("place"), x["trial"].alias("trial"), (i + 1).alias("rank"))))
+    options = [_nearest(p, place, lo, hi, steps) for place, (p, (lo, hi)) in enumerate(levers.items())]
     return designs.withColumn("_", F.explode(F.flatten(F.array(*options)))).select(*designs.columns, "_.*")
 
 
@@ -65,9 +73,9 @@ def pair_repairs(designs: DataFrame, keys: list[str], levers: dict[str, tuple[fl
     singles = single_repairs(designs, keys, levers, executor, goal, steps).select(*keys).distinct()
     base = executor(designs).where(~F.coalesce(goal, F.lit(False))).select(*designs.columns).join(singles, keys, "left_anti")
     first = parameters[:most]
-    far = lambda p, v: F.struct(F.abs(v - F.col(p)).alias("far"), v.alias("v"))
-    lists = {p: F.filter(grid(F.lit(float(levers[p][0])), F.lit(float(levers[p][1])), coarse), lambda v, p=p: F.abs(v - F.col(p)) > NEAR) for p in first}
-    options = [F.transform(lists[a], lambda v, a=a, b=b: F.struct(F.lit(a).alias("lever_a"), F.lit(b).alias("lever_b"), v.alias("trial_a"))) for i, a in enumerate(first) for b in first[i + 1 :]]
+    lists = {p: _others(p, *levers[p], coarse) for p in first}
+    both_of = lambda a, b: F.transform(lists[a], lambda v: F.struct(F.lit(a).alias("lever_a"), F.lit(b).alias("lever_b"), v.alias("trial_a")))
+    options = [both_of(a, b) for i, a in enumerate(first) for b in first[i + 1 :]]
     half = base.withColumn("_a", F.explode(F.flatten(F.array(*options))))
     second = F.coalesce(*(F.when(F.col("_a.lever_b") == p, lists[p]) for p in first))
     both = half.withColumn("trial_b", F.explode(second)).select(*base.columns, "_a.*", "trial_b")
