@@ -56,6 +56,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), alpha=0.02, delta=0.05)
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import scored
+
+    return scored(table(spark, sf_dir, "documents"), order=2).withColumn("score", F.round("score", 6))
+
+
 def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
@@ -68,7 +74,7 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"), lambda id: F.col(id) % 50 == 0, radius=3)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_source_mix, op4_language_id, op8_line_dedup, op9_best_fit_packing, op10_ngram_jaccard, op2_quality_rules, op7_fingerprints, op6_warc_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_source_mix, op4_language_id, op8_line_dedup, op9_best_fit_packing, op10_ngram_jaccard, op2_quality_rules, op7_fingerprints, op6_warc_round_trip, op5_lm_scores)}
 
 
 def _quality_sql() -> str:
@@ -111,6 +117,13 @@ def _quality_sql() -> str:
 
 
 SQL: dict[str, str] = {
+    "op5_lm_scores": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        t AS (SELECT doc_id, i, w[i] AS b, CASE WHEN i > 1 THEN w[i - 1] END AS a FROM w, unnest(range(1, len(w) + 1)) AS r(i)),
+        one AS (SELECT b, count(*) AS n FROM t GROUP BY 1), two AS (SELECT a, b, count(*) AS n FROM t WHERE a IS NOT NULL GROUP BY 1, 2),
+        s AS (SELECT t.doc_id, CASE WHEN two.n >= 2 THEN log10(two.n / c.n) ELSE log10(o.n / (SELECT count(*) FROM t)) + CASE WHEN t.a IS NULL THEN 0 ELSE log10(0.4) END END AS s
+              FROM t JOIN one o ON t.b = o.b LEFT JOIN one c ON t.a = c.b LEFT JOIN two ON t.a = two.a AND t.b = two.b)
+        SELECT w.doc_id, count(s) AS n_words, round(avg(s), 6) AS score FROM w LEFT JOIN s USING (doc_id) GROUP BY 1""".replace("\\\\", "\\"),
     "op6_warc_round_trip": r"""
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h FROM pages),
         last AS (SELECT h, max(page_id) AS last FROM p GROUP BY h),
