@@ -30,8 +30,10 @@ from .shared import lower_ascii, mixed, partitions, slices, span_hashes, utf8, w
 SLACK = 2
 #: Sizes of one band reach from one of these to below the next.
 BANDS = np.unique(np.floor(1.4 ** np.arange(0, 120)).astype(np.int64))
-#: A tile holds so many n-grams, or one document.
-TILE = 400_000
+#: A tile holds so many n-grams, and at least so many in a small corpus, or one document.
+TILE, LEAST_TILE = 400_000, 20_000
+#: The most bits of the bitmap of wanted ids.
+FILTER = 1 << 26
 
 
 def gram_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
@@ -67,9 +69,12 @@ def band_parts(n: int, percent: int, b: int | None = None) -> tuple[int, int, in
     return b, differ + 1 + (SLACK if differ else 0), most
 
 
-def part_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The keys of a set, and how many of its own band's parts are empty: two sets of a Jaccard similarity of at least percent / 100 share a key, unless they are equal."""
-    n, hollow = len(s), 0
+def part_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, int, int]:
+    """The keys of a set, how many of its own band's parts are empty, and how many keys it must share to have a link at all.
+
+    Two sets of a Jaccard similarity of at least percent / 100 share a key, unless they are equal.
+    """
+    n, hollow, need = len(s), 0, None
     band = band_parts(n, percent)[0]
     found = []
     # A pair meets under the band of the smaller set; sets that can be the larger one of such a pair use that band, too.
@@ -84,11 +89,15 @@ def part_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
         where = np.uint64(b) * np.uint64(1 << 32) + np.arange(parts, dtype=np.uint64)
         found.append(mixed(sums[full] + mixed(where[full])))
         empty = np.flatnonzero(~full)
+        # Both sets' sizes at most: as the larger one under a lower band, or as the smaller one under its own.
+        both = int(BANDS[b + 1]) - 1 + n if b < band else n + n * 100 // percent
+        least = parts - len(empty) - both * (100 - percent) // (100 + percent)
+        need = least if need is None else min(need, least)
         if b == band:
             hollow = len(empty)
         if len(empty) > SLACK:
             found.append(np.array([hash((b, *c)) & 0xFFFFFFFFFFFFFFFF for c in itertools.combinations(empty.tolist(), SLACK + 1)], np.uint64))
-    return np.concatenate(found).view(np.int64), hollow
+    return np.concatenate(found).view(np.int64), hollow, max(1, need)
 
 
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -165,16 +174,15 @@ def components(edges: DataFrame) -> DataFrame:
     Large stars and small stars in turn: every node is tied to the smallest node around, until nothing changes; rounds grow as the
     logarithm of the longest path. The tables of a round are written, so that a hot node's join can be split.
     """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    now, before = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = written(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a")))
         # Large star: a node's larger neighbours are tied to the smallest of its neighbours and itself.
-        large = written(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        # Small star: a node and its smaller neighbours are tied to the smallest of them.
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # Small star: a node and its smaller neighbours, of which there are few now, are tied to the smallest of them.
+        low = large.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+        small = low.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("_")).select("_.*")
         now = written(small.where("a <> b").distinct())
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
@@ -212,8 +220,9 @@ def compared(tiles: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
 
 
 def refined(shared: DataFrame, nodes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b: nodes) that connect all pairs in the groups whose common keys allow a link. shared: key, node, hollow."""
-    lists = shared.groupBy("node").agg(F.collect_set("key").alias("keys"), F.max("hollow").alias("hollow"))  # a set's keys: as many as it has parts
+    """Edges (a, b: nodes) that connect all pairs in the groups whose common keys allow a link. shared: key, node, hollow, need."""
+    # A set's keys: as many as it has parts. One that shares too few of them with all others together has no link.
+    lists = shared.groupBy("node").agg(F.collect_set("key").alias("keys"), F.max("hollow").alias("hollow"), F.max("need").alias("need")).where("size(keys) >= need")
     members = written(nodes.join(groups, "node").join(lists, "node").select("root", "node", "n", "hollow", "keys"))
     most = max(400, min(4000, members.count() // (4 * partitions(shared.sparkSession))))
     tiles = written(members.groupBy("root").agg(F.ceil(F.count("*") / most).cast("int").alias("tiles")))
@@ -245,6 +254,29 @@ def tiled(members: DataFrame, grams: int) -> DataFrame:
     return written(banded.join(sums, ["root", "band"]).withColumn("t", F.pmod(F.xxhash64("node"), tiles).cast("int")).withColumn("tile", F.xxhash64("root", "band", "t")).drop("total"))
 
 
+def maybe(rows: DataFrame, id: str, wanted: DataFrame, count: int) -> DataFrame:
+    """The rows whose id may be among the wanted ones (one column, so many rows), so that a join needn't deal out the others.
+
+    A bitmap of at most FILTER bits, however many are wanted: beyond, it lets more rows through that the join drops.
+    """
+    bits = min(FILTER, max(1 << 16, 1 << (16 * count).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    at = wanted.select(place(wanted.columns[0]).alias("k")).select((F.col("k") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(k % 64 AS int))").alias("b"))
+    words = np.zeros(bits // 64, np.int64)
+    for w, b in at.groupBy("w").agg(F.bit_or("b").alias("b")).collect():  # at most FILTER / 64 rows
+        words[w] = b
+    told = rows.sparkSession.sparkContext.broadcast(words.view(np.uint64))
+    columns = rows.columns
+
+    def passed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            k = b.column("_k").to_numpy()
+            hit = told.value[k >> 6] >> (k & 63).astype(np.uint64) & np.uint64(1)
+            yield b.filter(pa.array(hit.astype(bool))).select(columns)
+
+    return rows.where(F.col(id).isNotNull()).withColumn("_k", place(id)).mapInArrow(passed, rows.schema)
+
+
 def linked(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 4, percent: int = 85, tile: int = TILE) -> DataFrame:
     """id, n_shingles, component_id of each row: the smallest id reachable by links of similarity >= percent / 100, its own included.
 
@@ -267,9 +299,9 @@ def linked(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int =
             new = [k for k in sets if k not in told]
             told = told | set(new) if len(told) < 1_000_000 else set(new)
             keys = [part_keys(sets[k], percent) for k in new]
-            at = np.repeat(np.arange(len(new)), [len(k) for k, _ in keys])
-            of = [np.concatenate([np.zeros(0, np.int64), *(k for k, _ in keys)]), np.array(new, np.int64)[at], np.array([h for _, h in keys], np.int32)[at]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in of], ["key", "node", "hollow"])
+            at = np.repeat(np.arange(len(new)), [len(k[0]) for k in keys])
+            of = [np.concatenate([np.zeros(0, np.int64), *(k[0] for k in keys)]), np.array(new, np.int64)[at], *(np.array([k[i] for k in keys], np.int32)[at] for i in (1, 2))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in of], ["key", "node", "hollow", "need"])
 
     def of_node(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """An id's rows can have several texts; the one whose set is the node's is meant."""
@@ -281,17 +313,18 @@ def linked(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int =
     nodes = written(of.where("n > 0").groupBy("node").agg(F.min("_id").alias("rep"), F.first("n").alias("n")))
     # What shares a key with another node; and, as star edges, each of them with the smallest node of the key.
     by = Window.partitionBy("key")
-    keyed_rows = rows.mapInArrow(keyed, "key long, node long, hollow int").withColumns({"least": F.min("node").over(by), "most": F.max("node").over(by)})
-    shared = written(keyed_rows.where("least < most").select("key", "node", "least", "hollow"))
+    keyed_rows = rows.mapInArrow(keyed, "key long, node long, hollow int, need int").withColumns({"least": F.min("node").over(by), "most": F.max("node").over(by)})
+    shared = written(keyed_rows.where("least < most").select("key", "node", "least", "hollow", "need"))
     stars = shared.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    groups = components(refined(shared.select("key", "node", "hollow"), nodes, components(stars), percent))
+    groups = components(refined(shared.select("key", "node", "hollow", "need"), nodes, components(written(stars.distinct())), percent))
     members = written(nodes.join(groups, "node").where(F.col("rep").isNotNull()))
     count, total = members.agg(F.count("*"), F.sum("n")).first()
     if not count:
         return _labelled(of, nodes.select("node", F.col("rep").alias("component_id")), id)
-    texts = written(members.select("rep", "node").join(rows, F.col("rep") == F.col("_id")).mapInArrow(of_node, "node long, _text string"))
+    some = maybe(rows, "_id", members.select("rep"), count)
+    texts = written(members.select("rep", "node").join(some, F.col("rep") == F.col("_id")).mapInArrow(of_node, "node long, _text string"))
     # Several tiles for each partition, so that large groups spread.
-    tiles = tiled(members, max(20_000, min(tile, total // (4 * partitions(spark)))))
+    tiles = tiled(members, max(LEAST_TILE, min(tile, total // (4 * partitions(spark)))))
     # First the pairs within each tile, to which each group's smallest node comes.
     leaders = tiles.select("root", "tile").distinct().join(nodes.withColumnRenamed("node", "root"), "root")
     first = tiles.select("tile", F.lit(0).alias("side"), "node", F.col("node").alias("known"), "rep")

@@ -72,7 +72,7 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
 
 
 def mix(docs: DataFrame, carry: list[str], id: str = "doc_id", source: str = "source", text: str = "text", block: int = 64, shard: int = 8192, seed: int = 7, **targets) -> tuple[DataFrame, DataFrame]:
-    """Two tables: rows (row, the columns of carry, size, source_size, target), and for their row numbers what the mix takes.
+    """Two tables: rows (row, carried: a struct of the columns of carry, size, source_size, target), and for their row numbers what the mix takes.
 
     The second has row, lo, hi, times, epochs for each part of a document that lies in one block of the mix: its words
     lo to hi, how often they are taken, and a bit for each pass over the source that takes them.
@@ -82,7 +82,7 @@ def mix(docs: DataFrame, carry: list[str], id: str = "doc_id", source: str = "so
     Draws depend on seed and on places only, so that reruns agree as long as documents do.
     """
     spark = docs.sparkSession
-    keep = [F.col(c) for c in carry] + [F.col(id).alias("_id"), F.col(source).alias("_source")]
+    keep = [F.struct(*(F.col(c) for c in carry)).alias("carried"), F.col(id).alias("_id"), F.col(source).alias("_source")]
     base = written(word_counts(docs, text, keep).withColumn("row", F.monotonically_increasing_id()))
     of = written(source_targets(base, **targets))
     chunks = max(1, math.isqrt(base.count()))
@@ -100,7 +100,7 @@ def mix(docs: DataFrame, carry: list[str], id: str = "doc_id", source: str = "so
     parts = placed.withColumn("b", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))))
     lo, hi = F.greatest(F.lit(0), F.col("b") * block - F.col("start")), F.least(F.col("size"), (F.col("b") + 1) * block - F.col("start"))
     taken = parts.select("row", "s", "b", lo.alias("lo"), hi.alias("hi")).join(slots.hint("merge"), ["s", "b"])  # as many slots as blocks: never broadcast
-    rows = rows.select("row", *carry, "size", "source_size", "target")
+    rows = rows.select("row", "carried", "size", "source_size", "target")
     return rows, taken.select("row", "lo", "hi", "times", "epochs")
 
 
@@ -150,7 +150,7 @@ def mixed_sizes(docs: DataFrame, id: str = "doc_id", **how) -> DataFrame:
     """id, size, source_size, target and taken (the words that the mix takes of it, repeats counted) of each row."""
     rows, parts = mix(docs, [id], id=id, **how)
     taken = parts.groupBy("row").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("taken"))
-    return rows.join(taken, "row", "left").select(id, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return rows.join(taken, "row", "left").select(F.col("carried")[id].alias(id), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 _WORD = re.compile(r"[^ \t-\r]+")
@@ -162,10 +162,10 @@ def mixed_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", **h
     A document that is taken whole has its own text; else its text is its taken runs of words, as they stand, joined by line feeds.
     A document that the mix leaves out has no row.
     """
-    carry = [c for c in docs.columns]
+    carry = docs.columns
     rows, parts = mix(docs, carry, id=id, text=text, **how)
     lists = parts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "epochs"))).alias("_parts"))
-    rows = rows.join(lists, "row").select(F.struct(*(F.col(c) for c in carry if c != text)).alias("row"), F.col(text).alias("_text"), "_parts")
+    rows = rows.join(lists, "row").select(F.struct(*(F.col("carried")[c].alias(c) for c in carry if c != text)).alias("row"), F.col("carried")[text].alias("_text"), "_parts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_text"):
@@ -187,4 +187,4 @@ def mixed_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", **h
 
     kind = rows.schema["row"].dataType.simpleString()
     made = rows.mapInArrow(cut, f"row {kind}, _text string")
-    return made.select(*(F.col("_text").alias(c) if c == text else F.col(f"row.{c}") for c in docs.columns))
+    return made.select(*(F.col("_text").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))

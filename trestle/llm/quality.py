@@ -63,7 +63,8 @@ def at_most(k: Column, n: Column, p: float) -> Column:
     """The probability that of n trials, each hitting with probability p, at most k hit; never below the exact value."""
     log_k = log_gamma(n + 1.0) - log_gamma(k + 1.0) - log_gamma(n - k + 1.0) + k * math.log(p) + (n - k) * math.log(1 - p)
     # Terms below k relative to that of k: each is the one before times a ratio that falls.
-    fold = f"aggregate(sequence(0L, least(_k, {TERMS}L)), struct(1D AS t, 0D AS s), (a, i) -> struct(a.t * (_k - i) * {1 - p}D / ((_n - _k + i + 1) * {p}D) AS t, a.s + a.t AS s), a -> struct(a.t, a.s))"
+    fold = f"aggregate(sequence(0L, least(cast(_k AS bigint), {TERMS}L)), struct(1D AS t, 0D AS s), (a, i) -> struct(a.t * (_k - i) * {1 - p}D / ((_n - _k + i + 1) * {p}D) AS t, a.s + a.t AS s), a -> struct(a.t, a.s))"
+    # k and n are looked up as the columns _k and _n within the fold.
     ratio = F.expr(f"greatest(_k - {TERMS}, 0) * {1 - p}D / ((_n - _k + {TERMS} + 1) * {p}D)")
     sums = F.expr(fold)
     rest = F.when(ratio < 1, sums["t"] / (1 - ratio)).otherwise(F.lit(float("inf")))
