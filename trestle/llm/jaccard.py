@@ -6,10 +6,10 @@ a pair reach the threshold. In a tile, hashed bitmaps bound the overlap of each
 pairs that the bound lets through and that are not yet connected are settled by intersecting the sorted arrays.
 
 Candidate groups lose no pair. Two sets over the threshold differ in at most H elements, H following from the
-largest size in their band. Each set is cut by hash into H + 1 + SLACK parts, so that at least SLACK + 1
+largest size in their band. Each set is cut by hash into H + 1 + S parts, S of them spare, so that at least S + 1
 parts are equal; nodes with an equal part are in one group. Empty parts say nothing and give no key. Only where two
-sets have nothing but empty parts in common are at least SLACK + 1 parts of both empty: sets that have so
-many empty parts also get a key for each combination of SLACK + 1 of them.
+sets have nothing but empty parts in common are at least S + 1 parts of both empty: sets that have so
+many empty parts also get a key for each combination of S + 1 of them.
 
 What only shares a passage has few equal parts, while a link leaves many: the groups are refined by the number of common
 keys before any text is fetched.
@@ -17,7 +17,9 @@ keys before any text is fetched.
 
 from __future__ import annotations
 
+import functools
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,6 @@ from pyspark.sql import functions as F
 
 from .shared import lower_ascii, mixed, partitions, slices, span_hashes, utf8, word_spans, written
 
-SLACK = 2
 #: Sizes of one band reach from one of these to below the next.
 BANDS = np.unique(np.floor(1.4 ** np.arange(0, 120)).astype(np.int64))
 #: A tile holds so many n-grams, and at least so many in a small corpus, or one document.
@@ -60,13 +61,27 @@ def set_hash(s: np.ndarray) -> int:
         return int(mixed(np.array([x.sum(dtype=np.uint64) + np.uint64(len(s))]))[0].astype(np.int64))
 
 
-def band_parts(n: int, percent: int, b: int | None = None) -> tuple[int, int, int]:
-    """Of the band of size n (or band b): its number, the number of parts, and the largest size that is linked with one of its sizes."""
-    b = int(np.searchsorted(BANDS, n, "right")) - 1 if b is None else b
-    low = int(BANDS[b + 1]) - 1  # the largest size in the band
-    most = low * 100 // percent
-    differ = (low + most) * (100 - percent) // (100 + percent)
-    return b, differ + 1 + (SLACK if differ else 0), most
+@functools.lru_cache(None)
+def band_parts(b: int, percent: int) -> tuple[int, int, int]:
+    """Of a band of sizes: the number of parts, how many of them are spare, and the largest size that is linked with one of its sizes.
+
+    Enough are spare that the smallest sets of the band are expected to have less than one combination of so many empty parts.
+    """
+    least, largest = int(BANDS[b]), int(BANDS[b + 1]) - 1
+    most = largest * 100 // percent
+    differ = (largest + most) * (100 - percent) // (100 + percent)
+    spare = 0
+    while differ:
+        spare += 1
+        parts = differ + 1 + spare
+        ways = math.lgamma(parts + 1) - math.lgamma(spare + 2) - math.lgamma(parts - spare)
+        if spare > 1 and ways + least * math.log(1 - (spare + 1) / parts) <= 0:
+            break
+    return differ + 1 + spare, spare, most
+
+
+def band_of(n: int) -> int:
+    return int(np.searchsorted(BANDS, n, "right")) - 1
 
 
 def part_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, int, int]:
@@ -75,11 +90,11 @@ def part_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, int, int]:
     Two sets of a Jaccard similarity of at least percent / 100 share a key, unless they are equal.
     """
     n, hollow, need = len(s), 0, None
-    band = band_parts(n, percent)[0]
+    band = band_of(n)
     found = []
     # A pair meets under the band of the smaller set; sets that can be the larger one of such a pair use that band, too.
     for b in range(band, -1, -1):
-        _, parts, most = band_parts(n, percent, b)
+        parts, spare, most = band_parts(b, percent)
         if n > most:
             break
         part = (mixed(s + np.uint64(b)) % np.uint64(parts)).astype(np.int64)
@@ -95,8 +110,8 @@ def part_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, int, int]:
         need = least if need is None else min(need, least)
         if b == band:
             hollow = len(empty)
-        if len(empty) > SLACK:
-            found.append(np.array([hash((b, *c)) & 0xFFFFFFFFFFFFFFFF for c in itertools.combinations(empty.tolist(), SLACK + 1)], np.uint64))
+        if parts > 1 and len(empty) > spare:
+            found.append(np.array([hash((b, *c)) & 0xFFFFFFFFFFFFFFFF for c in itertools.combinations(empty.tolist(), spare + 1)], np.uint64))
     return np.concatenate(found).view(np.int64), hollow, max(1, need)
 
 
@@ -149,7 +164,7 @@ def near_edges(left: list[tuple], right: list[tuple], percent: int) -> list[tupl
         m = np.zeros((len(both), min(4096, len(known) - k)), np.float32)
         m[row[some], at[some] - k] = 1
         common += m @ m.T
-    parts = np.array([band_parts(int(n), percent)[1] for n in size]) - np.array([x[1] for x in both])
+    parts = np.array([band_parts(band_of(int(n)), percent)[0] for n in size]) - np.array([x[1] for x in both])
     i = np.minimum.outer(size, size) == size[:, None]  # whether the row's set is the smaller one
     total = np.add.outer(size, size)
     equal = np.where(i, parts[:, None], parts[None, :]) - total * (100 - percent) // (100 + percent)
