@@ -79,7 +79,7 @@ def json_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def allowed_list(csv: str) -> Column:
     """A comma-separated text as a list of trimmed values; null or empty gives an empty list."""
-    return F.filter(F.transform(F.split(F.coalesce(F.col(csv), F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(F.col(csv), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def parameter_corpus(spark: SparkSession, path: str) -> DataFrame:
