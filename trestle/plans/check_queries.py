@@ -212,7 +212,7 @@ def unit_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where(clarify.unit_conflict(F.col("value"), F.col("unit"), F.lit(9.0), F.lit(12.0)))
 
 
-@query("""WITH b AS (SELECT * FROM (VALUES (8.9), (9.0), (9.1), (11.9), (12.0), (12.1)) AS b(v)) SELECT l_linenumber, v AS lane_width, v >= 9 AND v <= 12 AS expected_valid, count(*) AS n FROM lineitem, b GROUP BY ALL""")
+@query("""WITH b AS (SELECT * FROM (VALUES (8.9::DOUBLE), (9.0), (9.1), (11.9), (12.0), (12.1)) AS b(v)) SELECT l_linenumber, v AS lane_width, v >= 9 AND v <= 12 AS expected_valid, count(*) AS n FROM lineitem, b GROUP BY ALL""")
 def boundary_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test cases around the bounds of a rule, on every record; labelled by the check itself."""
     v = F.explode(F.array(*(F.lit(x) for x in (8.9, 9.0, 9.1, 11.9, 12.0, 12.1))))

@@ -240,7 +240,7 @@ def centered_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_chain_sql("SELECT DISTINCT dst AS root FROM flow WHERE dst % 5 = 1", "dst", "src", "'AFFECTS', 'DETERMINES', 'CONSTRAINS'").replace("SELECT root, node, depth, array_to_string(ords, '>') AS via, round(confidence, 6) AS confidence FROM best WHERE depth > 0", """
-    SELECT root, node, depth, row_number() OVER (PARTITION BY root ORDER BY depth, ords) AS place FROM best WHERE depth > 0 AND node IN (SELECT p_partkey FROM part WHERE p_size > 5) AND node NOT IN (SELECT p_partkey FROM part WHERE p_size > 45) AND node NOT IN (SELECT dst FROM flow)
+    SELECT root, node, depth, row_number() OVER (PARTITION BY root ORDER BY depth, ords)::INT AS place FROM best WHERE depth > 0 AND node IN (SELECT p_partkey FROM part WHERE p_size > 5) AND node NOT IN (SELECT p_partkey FROM part WHERE p_size > 45) AND node NOT IN (SELECT dst FROM flow)
     QUALIFY row_number() OVER (PARTITION BY root ORDER BY depth, ords) <= 3"""))
 def exogenous_levers(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, p = _flow(spark, sf_dir), table(spark, sf_dir, "part")

@@ -221,13 +221,13 @@ def _roads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roadxml.road_strings(o.select("o_orderkey", xml.alias("xml")), "xml", ["o_orderkey"])
 
 
-@query("""SELECT CASE WHEN o_custkey % 3 = 0 THEN 'line' ELSE 'arc' END AS kind, count(*) AS geometries, round(sum((o_orderkey % 500 + 1) * 3.28084), 2) AS length_ft, round(min(CASE WHEN o_custkey % 3 <> 0 THEN (o_custkey % 800 + 100)::DOUBLE END), 4) AS least_radius, count(*) FILTER (WHERE false) AS errors FROM orders GROUP BY 1""")
+@query("""SELECT CASE WHEN o_custkey % 3 = 0 THEN 'line' ELSE 'arc' END AS kind, count(*) AS geometries, round(sum((o_orderkey % 500 + 1) * 3.28084::DOUBLE), 2) AS length_ft, round(min(CASE WHEN o_custkey % 3 <> 0 THEN (o_custkey % 800 + 100)::DOUBLE END), 4) AS least_radius, count(*) FILTER (WHERE false) AS errors FROM orders GROUP BY 1""")
 def road_xml_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = roadxml.geometries(_roads(spark, sf_dir), ["o_orderkey"])
     return g.groupBy("kind").agg(F.count("*").alias("geometries"), F.round(F.sum("length_ft"), 2).alias("length_ft"), F.round(F.min("radius_ft"), 4).alias("least_radius"), F.count_if("error").alias("errors"))
 
 
-@query("""SELECT param, count(*) AS n, round(min(value), 4) AS least, round(max(value), 4) AS most FROM (SELECT 'lane_width' AS param, 9.0 + o_custkey % 6 AS value FROM orders UNION ALL SELECT 'lane_width', 12.0 FROM orders UNION ALL SELECT 'design_rad', o_custkey % 800 + 100 FROM orders WHERE o_custkey % 3 <> 0 UNION ALL SELECT 'grade', o_orderkey % 20 - 10 FROM orders) GROUP BY 1""")
+@query("""SELECT param, count(*) AS n, round(min(value), 4) AS least, round(max(value), 4) AS most FROM (SELECT 'lane_width' AS param, 9.0::DOUBLE + o_custkey % 6 AS value FROM orders UNION ALL SELECT 'lane_width', 12.0 FROM orders UNION ALL SELECT 'design_rad', o_custkey % 800 + 100 FROM orders WHERE o_custkey % 3 <> 0 UNION ALL SELECT 'grade', o_orderkey % 20 - 10 FROM orders) GROUP BY 1""")
 def road_param_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = roadxml.parameter_rows(_roads(spark, sf_dir), ["o_orderkey"])
     return rows.groupBy("param").agg(F.count("*").alias("n"), F.round(F.min("value"), 4).alias("least"), F.round(F.max("value"), 4).alias("most"))
