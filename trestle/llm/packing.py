@@ -23,14 +23,18 @@ from pyspark.sql import functions as F
 from .shared import slices, written
 
 
-def fills(gap: int, left: np.ndarray) -> Iterator[tuple[int, ...]]:
-    """Combinations of one, two and three available lengths with the sum gap, as long as there are any. left may change meanwhile."""
+def fills(gap: int, left: np.ndarray, most: int = 3) -> Iterator[tuple[int, ...]]:
+    """Combinations of one, two and three (up to most) available lengths with the sum gap, as long as there are any. left may change meanwhile."""
     if gap < len(left) and left[gap]:
         yield (gap,)
+    if most < 2:
+        return
     for a in range(gap - 1, (gap - 1) // 2, -1):
         b = gap - a
         while a < len(left) and left[a] > (a == b) and left[b]:
             yield (a, b)
+    if most < 3:
+        return
     for a in range(min(gap - 2, len(left) - 1), (gap - 1) // 3, -1):
         while left[a]:
             rest = gap - a
@@ -43,17 +47,26 @@ def fills(gap: int, left: np.ndarray) -> Iterator[tuple[int, ...]]:
 
 
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths in one sequence) and how many sequences have each. counts: of the lengths 0 to capacity."""
+    """Patterns (lengths in one sequence) and how many sequences have each. counts: of the lengths 0 to capacity.
+
+    Exact combinations may use up the short pieces that the rest would need. So the plan is made with combinations of up to three, two, one
+    and no lengths, and the one with the fewest sequences holds.
+    """
+    return min((planned(counts, capacity, most) for most in (3, 2, 1, 0)), key=lambda p: sum(n for _, n in p))
+
+
+def planned(counts: np.ndarray, capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """A plan with exact combinations of up to so many lengths beside the one they complete, and best-fit decreasing for the rest."""
     left, made = counts.astype(np.int64).copy(), []
     left[0] = 0
     if left[capacity]:
         made.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
     for long in range(capacity - 1, 0, -1):
-        if not left[long]:
+        if not left[long] or not most:
             continue
         left[long] -= 1  # so that no combination takes the last one of the length it completes
-        for combination in fills(capacity - long, left):
+        for combination in fills(capacity - long, left, most):
             left[long] += 1
             whole = (long, *combination)
             times = min(int(left[x]) // whole.count(x) for x in set(whole))
