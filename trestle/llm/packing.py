@@ -49,10 +49,10 @@ def fills(gap: int, left: np.ndarray, most: int = 3) -> Iterator[tuple[int, ...]
 def plan(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths in one sequence) and how many sequences have each. counts: of the lengths 0 to capacity.
 
-    Exact combinations may use up the short pieces that the rest would need. So the plan is made with combinations of up to three, two, one
-    and no lengths, and the one with the fewest sequences holds.
+    Exact combinations may use up the short pieces that the rest would need. So the plan is made with combinations of up to three, two and one
+    lengths, and the one with the fewest sequences holds.
     """
-    return min((planned(counts, capacity, most) for most in (3, 2, 1, 0)), key=lambda p: sum(n for _, n in p))
+    return min((planned(counts, capacity, most) for most in (3, 2, 1)), key=lambda p: sum(n for _, n in p))
 
 
 def planned(counts: np.ndarray, capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
@@ -63,7 +63,7 @@ def planned(counts: np.ndarray, capacity: int, most: int) -> list[tuple[tuple[in
         made.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
     for long in range(capacity - 1, 0, -1):
-        if not left[long] or not most:
+        if not left[long]:
             continue
         left[long] -= 1  # so that no combination takes the last one of the length it completes
         for combination in fills(capacity - long, left, most):
