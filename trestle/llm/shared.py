@@ -1,39 +1,17 @@
-"""What the operators share: the shared folder, written tables, and text as byte arrays."""
+"""What the operators share: written tables, and text as byte arrays."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-#: What separates words, as a character class of regular expressions.
-SPACE = r"\x20\x09-\x0D"
+from trestle.sources.tables import shared_dir, written
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, under spark.checkpoint.dir.
-
-    Where that is unset: under the warehouse on a cluster, else under a temporary folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        local = spark.sparkContext.master.startswith("local")
-        base = tempfile.mkdtemp(prefix="spark-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
-        if not local or "-cluster" not in spark.sparkContext.master:
-            spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: computed once, and its lineage cut."""
-    path = f"{shared_dir(df.sparkSession)}/table"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["lower_ascii", "mixed", "partitions", "shared_dir", "slices", "span_hashes", "utf8", "word_spans", "written"]
 
 
 def partitions(spark: SparkSession) -> int:
