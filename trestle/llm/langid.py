@@ -213,7 +213,7 @@ def predict(docs: DataFrame, model: Model, carry: list[str], text: str = "text",
     def of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = told.value
         v, known, scores = vocabulary(m.path), {}, np.zeros((0, len(m.langs)))
-        for b in slices(parts, "_text"):
+        for b in slices(parts, "_text", 4 << 20):
             texts = [text_words(t) for t in b.column("_text").to_pylist()]
             new = list({w for ws in texts for w in ws} - known.keys())
             if len(known) + len(new) > kept:
