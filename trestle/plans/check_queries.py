@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trestle.functions.formula import compiled, floor_mod, references
 from trestle.operators import checks, clarify
 from trestle.plans.registry import query
-from trestle.sources.designs import KEY, PARAMETERS, designs, designs_sql, long_format, table, values_of
+from trestle.sources.designs import KEY, designs, designs_sql, long_format, table, values_of
 from trestle.sources.rules import RADIUS, SEMANTIC, rules, rules_sql
 
 K = ", ".join(KEY)
@@ -220,6 +220,3 @@ def boundary_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok = F.get(checks.semantic(d, {"lane_width"}), 0)["broken"].isNull()
     return d.groupBy("l_linenumber", "lane_width", ok.alias("expected_valid")).agg(F.count("*").alias("n"))
 
-
-def parameters() -> list[str]:
-    return list(PARAMETERS)
