@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import lower_ascii, mixed, partitions, slices, span_hashes, utf8, word_spans, written
+from .shared import bounded, lower_ascii, mixed, partitions, slices, span_hashes, utf8, word_spans, written
 
 #: Sizes of one band reach from one of these to below the next.
 BANDS = np.unique(np.floor(1.4 ** np.arange(0, 120)).astype(np.int64))
@@ -299,7 +299,7 @@ def linked(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int =
     Null ids are never the smallest; rows that are only linked with null ids have a null component_id.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
+    rows = bounded(docs).select(F.col(id).alias("_id"), F.col(text).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
 
     def sized(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mixed, slices, written
+from .shared import bounded, mixed, slices, written
 
 START = "▁"
 #: The longest piece, and the longest word; what is longer is read as several words.
@@ -201,19 +201,21 @@ def _counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 
 
-def predict(docs: DataFrame, model: Model, carry: list[str], text: str = "text", kept: int = 300_000) -> DataFrame:
+def predict(docs: DataFrame, model: Model, carry: list[str], text: str = "text", kept: int = 150_000) -> DataFrame:
     """row (a struct of the columns in carry), lang_pred and score of each row's whole text.
 
     score: the language's share of the likelihood, all languages being as likely before. A text that is null or has
     no letter, or a model without languages, gives `und` and the score 0. kept: words whose scores a task remembers.
     """
-    rows = docs.select(F.struct(*(F.col(c) for c in carry)).alias("row"), F.col(text).alias("_text"))
+    rows = bounded(docs).select(F.struct(*(F.col(c) for c in carry)).alias("row"), *(F.col(c).alias("_text") for c in [text] if c not in carry))
     told = docs.sparkSession.sparkContext.broadcast(model)
 
     def of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = told.value
         v, known, scores = vocabulary(m.path), {}, np.zeros((0, len(m.langs)))
-        for b in slices(parts, "_text", 4 << 20):
+        # A text that is carried along comes once.
+        whole = parts if text not in carry else (pa.RecordBatch.from_arrays([r, r.field(carry.index(text))], ["row", "_text"]) for b in parts for r in [b.column("row")])
+        for b in slices(whole, "_text", 2 << 20):
             texts = [text_words(t) for t in b.column("_text").to_pylist()]
             new = list({w for ws in texts for w in ws} - known.keys())
             if len(known) + len(new) > kept:

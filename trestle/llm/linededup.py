@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import shared_dir, slices
+from .shared import bounded, shared_dir, slices
 
 #: So many frequent keys (16 bytes and an id each) go to the executors as one broadcast; beyond, they are joined.
 BROADCAST_KEYS = 200_000
@@ -83,7 +83,7 @@ class LineRuns:
 
 def document_lines(docs: DataFrame, id: str, text: str, batches: int) -> DataFrame:
     """batch, h1, h2, n, first: the distinct non-empty keys of each document, summed up over slices of a task."""
-    rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"), F.pmod(F.xxhash64(id), F.lit(batches)).cast("int").alias("batch"))
+    rows = bounded(docs).select(F.col(id).alias("_id"), F.col(text).alias("_text"), F.pmod(F.xxhash64(id), F.lit(batches)).cast("int").alias("batch"))
     id_type = rows.schema["_id"].dataType.simpleString()
 
     def hashed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +137,7 @@ def drop_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", carry: l
     spark = docs.sparkSession
     carry = [c for c in docs.columns if c != text] if carry is None else carry
     frequent = written(frequent_lines(docs, id, text, min_docs, batches))
-    rows = docs.select(F.struct(*(F.col(c) for c in carry)).alias("row"), F.col(id).alias("_id"), F.col(text).alias("_text"))
+    rows = bounded(docs).select(F.struct(*(F.col(c) for c in carry)).alias("row"), F.col(id).alias("_id"), F.col(text).alias("_text"))
     out = f"row {rows.schema['row'].dataType.simpleString()}, n_lines long, n_dropped long, kept string"
 
     def cut(b: pa.RecordBatch, stops) -> pa.RecordBatch:

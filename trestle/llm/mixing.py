@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import mixed, partitions, slices, utf8, word_spans, written
+from .shared import bounded, mixed, partitions, slices, utf8, word_spans, written
 
 _SUM = Window.unboundedPreceding, -1
 
@@ -40,7 +40,7 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 def word_counts(docs: DataFrame, text: str, keep: list[Column], out: str = "size") -> DataFrame:
     """The columns in keep, and the number of words of each row's text."""
-    rows = docs.select(F.struct(*keep).alias("row"), F.col(text).alias("_text"))
+    rows = bounded(docs).select(F.struct(*keep).alias("row"), F.col(text).alias("_text"))
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(parts, "_text"):

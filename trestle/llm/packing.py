@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import slices, written
+from .shared import bounded, slices, written
 
 
 def fills(gap: int, left: np.ndarray, most: int = 3) -> Iterator[tuple[int, ...]]:
@@ -182,7 +182,7 @@ def token_pieces(docs: DataFrame, path: str, id: str = "doc_id", text: str = "te
             j, *rest = np.array(rows, np.int64).reshape(-1, 5).T
             yield pa.RecordBatch.from_arrays([b.column("_id").take(pa.array(j)), pa.array(rest[0].astype(np.int32)), *map(pa.array, rest[1:])], ["_id", "piece", "start", "length", "ids_crc32"])
 
-    rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
+    rows = bounded(docs).select(F.col(id).alias("_id"), F.col(text).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
     return rows.mapInArrow(cut, f"_id {kind}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("_id", id)
 

@@ -7,17 +7,26 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from trestle.sources.tables import shared_dir, written
 
-__all__ = ["lower_ascii", "mixed", "partitions", "shared_dir", "slices", "span_hashes", "utf8", "word_spans", "written"]
+#: Bytes of the batches that Spark hands to Python; its own default of 64 MB takes as much again on either side, for each core.
+BATCH = 8 << 20
+
+__all__ = ["bounded", "lower_ascii", "mixed", "partitions", "shared_dir", "slices", "span_hashes", "utf8", "word_spans", "written"]
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df, with batches of at most BATCH bytes from now on in its session."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH}b")
+    return df
+
+
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The texts' bytes in one array, and n + 1 offsets. Null counts as empty."""
     a = pc.fill_null(texts, "").cast(pa.large_string())

@@ -129,7 +129,7 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", id: str = "doc_
     path: of a byte-level BPE file on every executor. A null text counts as empty: 0 bytes, 0 tokens.
     Rows are independent: repeated and null ids stay as they are, other columns are not read.
     """
-    from .shared import slices
+    from .shared import bounded, slices
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merger(path)
@@ -137,7 +137,7 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", id: str = "doc_
             n = m.text_counts(b.column("_text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("n_bytes"), pa.array(n, pa.int64())], ["_id", "n_bytes", "n_tokens"])
 
-    rows = docs.select(F.col(id).alias("_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.col(text).alias("_text"))
+    rows = bounded(docs).select(F.col(id).alias("_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.col(text).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
     over: Column = (F.col("n_tokens") > limit).alias("over_limit")
     return rows.mapInArrow(count, f"_id {kind}, n_bytes long, n_tokens long").select(F.col("_id").alias(id), "n_bytes", "n_tokens", over)

@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import partitions, shared_dir, slices, written
+from .shared import bounded, partitions, shared_dir, slices, written
 
 # The format's version line and the profile of a revisit of an identical payload.
 VERSION = "WARC/1.1"
@@ -115,7 +115,7 @@ def revisits(pages: DataFrame, id: str, payload: str, least: int) -> DataFrame:
             data = [(t or "").encode() for t in b.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(map(digest, data), pa.string()), pa.array(map(len, data), pa.int64())], ["_id", "digest", "size"])
 
-    rows = pages.select(F.col(id).alias("_id"), F.col(payload).alias("_text"))
+    rows = bounded(pages).select(F.col(id).alias("_id"), F.col(payload).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
     seen = written(rows.mapInArrow(hashed, f"_id {kind}, digest string, size long").where((F.col("size") >= least) & F.col("_id").isNotNull()))
     last = written(seen.groupBy("digest").agg(F.max("_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n"))
@@ -131,7 +131,7 @@ def write_archives(pages: DataFrame, to: str, id: str = "page_id", payload: str
     An archive's name has a part that no other attempt shares, and only finished ones are returned: a task that runs again leaves no
     record twice. to: any place that pyarrow's file systems reach from the executors.
     """
-    rows = pages.select(F.col(id).alias("_id"), F.col(payload).alias("_text"), F.col(uri).alias("_uri"))
+    rows = bounded(pages).select(F.col(id).alias("_id"), F.col(payload).alias("_text"), F.col(uri).alias("_uri"))
     refers = revisits(pages, id, payload, least)
     rows = rows.join(refers, "_id", "left").select(F.col("_id").cast("string").alias("_id"), "_text", "_uri", F.expr("transform(map_entries(_refers), x -> struct(x.key AS k, cast(x.value AS string) AS v))").alias("_refers"))
 
