@@ -189,7 +189,7 @@ def components(edges: DataFrame) -> DataFrame:
     Large stars and small stars in turn: every node is tied to the smallest node around, until nothing changes; rounds grow as the
     logarithm of the longest path. The tables of a round are written, so that a hot node's join can be split.
     """
-    now, before = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), None
+    now, before = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = written(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a")))
@@ -331,7 +331,7 @@ def linked(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int =
     keyed_rows = rows.mapInArrow(keyed, "key long, node long, hollow int, need int").withColumns({"least": F.min("node").over(by), "most": F.max("node").over(by)})
     shared = written(keyed_rows.where("least < most").select("key", "node", "least", "hollow", "need"))
     stars = shared.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    groups = components(refined(shared.select("key", "node", "hollow", "need"), nodes, components(written(stars.distinct())), percent))
+    groups = components(refined(shared.select("key", "node", "hollow", "need"), nodes, components(stars), percent))
     members = written(nodes.join(groups, "node").where(F.col("rep").isNotNull()))
     count, total = members.agg(F.count("*"), F.sum("n")).first()
     if not count:
