@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 import trestle.llm.jaccard as J
 from trestle.llm.jaccard import components, linked, near_edges, part_keys, tile_links
-from trestle.llm.simhash import fingerprints, near_counts, next_ids
+from trestle.llm.queries import op7_fingerprints
+from trestle.llm.simhash import block_plan, fingerprints, near_counts, next_ids
 
 WS = " \t\n\x0b\x0c\r"
 
@@ -166,3 +167,50 @@ def test_block_tables_find_all(spark, tmp_path):
     got = {(r.f0, r.f1): r.n_near for r in near_counts(spark.read.parquet(path), lambda c: F.col(c) >= 0).collect()}
     apart = lambda a, b: bin(a[1] ^ b[1]).count("1") + bin(a[2] ^ b[2]).count("1")
     assert got == {(a[1], a[2]): sum(apart(a, b) <= 3 for b in rows) - 1 for a in rows}
+
+
+@pytest.mark.parametrize("radius", range(33))
+def test_blocks_cover_the_radius(radius):
+    plan = block_plan(radius)
+    assert [at for at, _, _ in plan] == list(np.cumsum([0, *(w for _, w, _ in plan)]))[:-1] and sum(w for _, w, _ in plan) == 128
+    assert sum(most + 1 for _, _, most in plan) > radius and all(most >= 0 for _, _, most in plan)
+
+
+@pytest.mark.parametrize("radius", [1, 12, 16])
+def test_wide_radii_find_all(spark, tmp_path, radius):
+    """Against brute force, with bits changed anywhere or in one run, up to beyond the radius."""
+    rng = np.random.default_rng(radius)
+    rows = []
+    for i in range(400):
+        f = (i % 20 + 1) * 0x9E3779B97F4A7C15F39CC0605CEDC835 % 2**128
+        k = int(rng.integers(0, 15))
+        for b in rng.permutation(128)[:k] if i % 3 else (int(rng.integers(0, 128)) + np.arange(k)) % 128:
+            f ^= 1 << int(b)
+        rows.append((i, *(x - 2**64 if x >= 2**63 else x for x in (f % 2**64, f >> 64)), 1 + i % 2))
+    path = str(tmp_path / "f")
+    spark.createDataFrame(rows, "id long, f0 long, f1 long, n long").write.parquet(path)
+    got = {(r.f0, r.f1): r.n_near for r in near_counts(spark.read.parquet(path), lambda c: F.col(c) % 3 == 0, radius).collect()}
+    apart = lambda a, b: sum(((x ^ y) % 2**64).bit_count() for x, y in zip(a[1:3], b[1:3], strict=True))
+    assert got == {(a[1], a[2]): sum(b[3] for b in rows if apart(a, b) <= radius) - 1 for a in rows if a[0] % 3 == 0}
+
+
+def test_near_copies_are_near(spark, tmp_path):
+    """The query counts nearly all planted copies of at least 0.8 of all shingles of five words, and no other texts."""
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for family in range(4):
+        base = [f"word{k}" for k in rng.integers(0, 5000, 200)]
+        copies = [base]
+        for k in range(12):
+            w = base.copy()
+            for at in rng.permutation(200)[: k % 4 + 1]:
+                w[at] = f"other{family}{k}"
+            copies.append(w)
+        assert all(len(shingles(" ".join(base), 5) & (s := shingles(" ".join(w), 5))) >= 0.8 * len(shingles(" ".join(base), 5) | s) for w in copies)
+        rows += [(family * 50 + k, " ".join(w)) for k, w in enumerate(copies)]
+        want[family * 50] = len(copies) - 1
+    rows += [(1000 + 2 * i + 1, " ".join(f"word{k}" for k in rng.integers(0, 5000, 200))) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.n_near for r in op7_fingerprints(spark, str(tmp_path)).where("n_near IS NOT NULL").collect()}
+    assert got.keys() == want.keys() and all(got[i] <= want[i] for i in want)
+    assert sum(got.values()) >= 0.95 * sum(want.values())

@@ -71,7 +71,7 @@ def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import fingerprints
 
-    return fingerprints(table(spark, sf_dir, "documents"), lambda id: F.col(id) % 50 == 0, radius=3)
+    return fingerprints(table(spark, sf_dir, "documents"), lambda id: F.col(id) % 50 == 0, radius=16)
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op3_source_mix, op4_language_id, op8_line_dedup, op9_best_fit_packing, op10_ngram_jaccard, op2_quality_rules, op7_fingerprints, op6_warc_round_trip, op5_lm_scores)}

@@ -5,14 +5,16 @@ characters, up to a bound. Every bit of a term's 128-bit hash votes with the ter
 set if more than half of all weight votes for it. Two bits' votes share a 64-bit sum, 32 bits each, so 64 sums make a
 fingerprint; they are summed up within the task that reads a text before anything is shuffled.
 
-Near fingerprints are found by permuted block tables: a fingerprint within a radius below the number of blocks
-has a block in common, so each block in turn is put first and joined on.
+Near fingerprints are found by block tables: the 128 bits are cut into blocks that may each differ in a few bits, so many that
+fingerprints within the radius keep to it in one block at least. Fingerprints have a row for each block; those that ask have one
+for each value that the block may differ to, and both are joined on them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,23 +99,55 @@ def edited_texts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     return both.select("id", "next_id", "text", n.cast("long").alias("n_chars"), edited.alias("edited"))
 
 
+def block_plan(radius: int) -> list[tuple[int, int, int]]:
+    """(first bit, width, bits that may differ) of each block: any two fingerprints within the radius keep to one block's bound at least.
+
+    Fingerprints that exceed every bound differ in the sum of all bounds and one more bit a block, which is made to be more than the radius. Blocks that may
+    differ in more bits are wider, as more values are asked for.
+    """
+    if not 0 <= radius <= 32:
+        raise ValueError("block tables serve radii from 0 to 32")
+    m = max(4, -(-2 * (radius + 1) // 5))
+    least, extra = divmod(max(radius + 1, m), m)
+    width, rest = divmod(128 - 3 * extra, m)
+    out, at = [], 0
+    for i in range(m):
+        w = width + 3 * (i < extra) + (i >= m - rest)
+        out.append((at, w, least - 1 + (i < extra)))
+        at += w
+    return out
+
+
+def _block(at: int, width: int, lo: str, hi: str) -> str:
+    """SQL of a block of the bits of two halves."""
+    if at >= 64:
+        bits = f"shiftrightunsigned({hi}, {at - 64})"
+    else:
+        bits = f"shiftrightunsigned({lo}, {at})" + (f" | shiftleft({hi}, {64 - at})" if at + width > 64 else "")
+    return f"(({bits}) & {(1 << width) - 1}L)"
+
+
 def near_counts(prints: DataFrame, asks: Callable[[str], Column], radius: int = 3) -> DataFrame:
     """f0, f1 and n_near: how many other rows have a fingerprint within the radius, for each fingerprint of the rows that ask.
 
-    prints: id, f0, f1, n, a table. Equal fingerprints are one entry with a count. Four blocks of 32 bits serve radii up to 3.
+    prints: id, f0, f1, n, a table. Equal fingerprints are one entry with a count. A row of the tables is a block's value and place in one number.
     """
-    if radius > 3:
-        raise ValueError("four blocks find all neighbours up to a radius of 3")
-    blocks = F.array(*(F.expr(f"shiftrightunsigned(f{k}, {s}) & 4294967295L") for k in (0, 1) for s in (0, 32)))
+    plan = block_plan(radius)
+    m = len(plan)
+    keys = [f"{_block(at, w, 'f0', 'f1')} * {m} + {i}" for i, (at, w, _) in enumerate(plan)]
     entries = written(prints.groupBy("f0", "f1").agg(F.sum("n").alias("n")))
-    tables = entries.select("f0", "f1", "n", F.posexplode(blocks).alias("i", "block"))
-    asking = written(prints.where(asks("id")).select(F.col("f0").alias("q0"), F.col("f1").alias("q1"), *("f0", "f1")).distinct())
-    asking = asking.select("q0", "q1", F.posexplode(blocks).alias("i", "block"))
+    tables = entries.select("f0", "f1", "n", F.explode(F.expr(f"array({', '.join(keys)})")).alias("key"))
+    asking = written(prints.where(asks("id")).select(F.col("f0").alias("q0"), F.col("f1").alias("q1")).distinct())
+    around = []
+    for i, (at, w, most) in enumerate(plan):
+        masks = ", ".join(f"{sum(1 << b for b in bits)}L" for k in range(most + 1) for bits in combinations(range(w), k))
+        around.append(f"transform(array({masks}), x -> ({_block(at, w, 'q0', 'q1')} ^ x) * {m} + {i})")
+    asking = asking.select("q0", "q1", F.explode(F.expr(f"concat({', '.join(around)})")).alias("key"))
     apart = F.expr("bit_count(f0 ^ q0) + bit_count(f1 ^ q1)")
-    # A pair meets once for each block in common: the first of them counts.
-    same = [F.expr(f"(shiftrightunsigned(f{k} ^ q{k}, {s}) & 4294967295L) = 0") for k in (0, 1) for s in (0, 32)]
-    first = F.coalesce(*(F.when(x, F.lit(i)) for i, x in enumerate(same)))
-    hits = asking.join(tables, ["i", "block"]).where((apart <= radius) & (first == F.col("i")))
+    # A pair meets once in each block whose bound it keeps to: the first of them counts.
+    first = F.coalesce(*(F.expr(f"IF(bit_count({_block(at, w, '(f0 ^ q0)', '(f1 ^ q1)')}) <= {most}, {i}, NULL)") for i, (at, w, most) in enumerate(plan)))
+    # Those that ask are a small table before their values are listed: Spark would broadcast it.
+    hits = asking.join(tables.hint("merge"), "key").where((apart <= radius) & (first == F.col("key") % m))
     return hits.groupBy(F.col("q0").alias("f0"), F.col("q1").alias("f1")).agg((F.sum("n") - 1).alias("n_near"))
 
 
