@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trestle.operators import acquire, closure, extract, freeway, metrics, reconcile, search
-from trestle.plans.registry import query
+from trestle.plans.registry import SQL, query
 from trestle.sources import roadxml
 from trestle.sources.designs import KEY, designs, designs_sql, table
 from trestle.streaming.debounce import sessions
@@ -17,15 +17,20 @@ K = ", ".join(KEY)
 
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem").where("l_quantity > 10")
-    ordinal = F.xxhash64(*KEY)
+    return _as_claims(table(spark, sf_dir, "lineitem").where("l_quantity > 10"), _ORDINAL).dropDuplicates(["l_orderkey", "ord"])
+
+
+_ORDINAL = "l_partkey * 100000 + l_suppkey * 100 + l_linenumber"
+
+
+def _as_claims(l: DataFrame, ordinal: str) -> DataFrame:
     lo = F.when(F.col("l_linenumber") % 3 != 0, F.floor(F.col("l_quantity") / 10))
     hi = F.when(F.col("l_linenumber") % 2 == 0, F.floor(F.col("l_quantity") / 5) + 3)
     return l.select(
-        "l_orderkey", (F.col("l_partkey") * 100000 + F.col("l_suppkey") * 100 + F.col("l_linenumber")).alias("ord"), lo.cast("double").alias("lo"), hi.cast("double").alias("hi"), F.lit(None).cast("array<string>").alias("allowed"),
+        "l_orderkey", F.expr(ordinal).alias("ord"), lo.cast("double").alias("lo"), hi.cast("double").alias("hi"), F.lit(None).cast("array<string>").alias("allowed"),
         (F.lit(4.0) >= F.coalesce(lo, F.lit(0))).alias("ok"), F.element_at(F.array(*map(F.lit, ["federal", "state", "local"])), (F.col("l_suppkey") % 3 + 1).cast("int")).alias("jurisdiction"), F.when(F.col("l_suppkey") % 7 == 0, 30).alias("priority"),
-        (F.col("l_partkey") % 3).alias("specificity"), F.element_at(F.array(*map(F.lit, ["HCM", "AASHTO", "county"])), (F.col("l_partkey") % 3 + 1).cast("int")).alias("authority"), ordinal.alias("_u"),
-    ).dropDuplicates(["l_orderkey", "ord"]).drop("_u")
+        (F.col("l_partkey") % 3).alias("specificity"), F.element_at(F.array(*map(F.lit, ["HCM", "AASHTO", "county"])), (F.col("l_partkey") % 3 + 1).cast("int")).alias("authority"),
+    )
 
 
 _CLAIMS = """claims AS (SELECT l_orderkey, l_partkey * 100000 + l_suppkey * 100 + l_linenumber AS ord, CASE WHEN l_linenumber % 3 <> 0 THEN floor(l_quantity / 10) END AS lo, CASE WHEN l_linenumber % 2 = 0 THEN floor(l_quantity / 5) + 3 END AS hi,
@@ -51,11 +56,36 @@ def _unique(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {_CLAIMS}, s AS (SELECT l_orderkey, unnest(kept) AS k FROM fold WHERE i = n) SELECT a.l_orderkey, count(*) AS pairs FROM s a JOIN s b ON a.l_orderkey = b.l_orderkey AND a.k.ord < b.k.ord WHERE coalesce(a.k.lo <> b.k.lo, false) OR coalesce(a.k.hi <> b.k.hi, false) OR a.k.ok <> b.k.ok GROUP BY 1""")
 def reconcile_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders in which survivors still contradict each other, being equally strong."""
-    args = reconcile.arguments(_unique(spark, sf_dir)).groupBy("l_orderkey").agg(F.collect_list("arg").alias("args")).withColumn("kept", reconcile.surviving(F.col("args")))
+    return _unresolved(_unique(spark, sf_dir))
+
+
+def _unresolved(claims: DataFrame) -> DataFrame:
+    args = reconcile.arguments(claims).groupBy("l_orderkey").agg(F.collect_list("arg").alias("args")).withColumn("kept", reconcile.surviving(F.col("args")))
     ties = F.aggregate("kept", F.lit(0).cast("bigint"), lambda n, a: n + F.size(F.filter("kept", lambda b: (a["ord"] < b["ord"]) & reconcile.aspect(a, b).isNotNull())))
     return args.select("l_orderkey", ties.alias("pairs")).where("pairs > 0")
 
 
+#: Every item's place in its order: items that are equal in all of KEY make equal claims, and each has a place of its own.
+_PLACE = f"row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDINAL}, l_quantity, l_extendedprice)"
+_EVERY = _CLAIMS.replace(f"{_ORDINAL} AS ord", f"{_PLACE} AS ord").replace(" WHERE l_quantity > 10", "").replace(" QUALIFY count(*) OVER (PARTITION BY l_orderkey, ord) = 1", "")
+
+
+def _every_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _as_claims(table(spark, sf_dir, "lineitem"), f"CAST({_PLACE} AS BIGINT)")
+
+
+@query(SQL["reconcile_verdict"].replace(_CLAIMS, _EVERY))
+def reconcile_verdict_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """reconcile_verdict over all items, small and repeated ones too."""
+    return reconcile.reconciled(_every_claim(spark, sf_dir), ["l_orderkey"]).drop("unresolved")
+
+
+@query(SQL["reconcile_unresolved"].replace(_CLAIMS, _EVERY))
+def reconcile_unresolved_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """reconcile_unresolved over all items, small and repeated ones too."""
+    return _unresolved(_every_claim(spark, sf_dir))
+
+
 # --- Closure ------------------------------------------------------------------------------------------------------
 
 
