@@ -6,10 +6,10 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from trestle.llm.packing import fills, packed, packed_documents, plan
+from trestle.llm.packing import Ids, Sums, packed, packed_documents, plan
 from trestle.llm.tokens import Merger, token_counts
 
-PATH = public_tokenizers.path("byte_bpe_50k.json")
+PATH, TIKTOKEN = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 @pytest.fixture(scope="module")
@@ -39,11 +39,11 @@ def test_cache_overflow_changes_nothing(library):
 
 def test_no_rows(none):
     assert token_counts(none, PATH).count() == 0
-    assert packed_documents(none, public_tokenizers.path("byte_bpe_50k.tiktoken")).count() == 0
+    assert packed_documents(none, TIKTOKEN).count() == 0
 
 
 def test_packing(docs, rows, library):
-    got = packed_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), capacity=64).collect()
+    got = packed_documents(docs, TIKTOKEN, capacity=64).collect()
     want = Counter()
     for r in rows:
         ids = np.array([*library.encode(r[1] or "", add_special_tokens=False).ids, 2], "<u4")
@@ -76,14 +76,58 @@ def test_plan_places_every_piece():
             assert used == Counter({x: n for x, n in enumerate(counts.tolist()) if n})
 
 
-def test_complements_are_exact():
-    left = np.bincount([3, 3, 4, 2, 1, 1], minlength=11)
-    for gap in range(1, 10):
-        assert all(sum(c) == gap for c, _ in zip(fills(gap, left.copy()), range(3)))
-    # one long piece with each kind of complement leaves no gap
+def test_sums_are_exact():
+    left = np.bincount([3, 3, 4, 2, 1, 1, 9], minlength=11)
+    sums = Sums(left)
+    assert sums.pair(9, 6) == (3, 3) and sums.pair(9, 7) == (4, 3) and sums.pair(9, 8) is None
+    assert sums.triple(9, 8) == (3, 3, 2) and sums.triple(9, 10) == (4, 3, 3) and sums.triple(9, 20) is None
+    left[3] = 1  # the available pieces only become fewer
+    assert sums.pair(9, 6) == (4, 2) and sums.triple(9, 8) == (4, 3, 1)
+    # each long piece with its kind of complement leaves no gap
     assert sorted(sum(p) for p, _ in plan(np.bincount([7, 3, 6, 2, 2, 5, 2, 2, 1], minlength=11), 10)) == [10, 10, 10]
 
 
+def test_few_sequences_with_pairs_and_triples(library):
+    """On the documents of a table: at most 2 sequences above what all tokens need, many of them filled exactly by two and three pieces beside the longest."""
+    import pyarrow.parquet as pq
+
+    ids = Ids(TIKTOKEN)
+    counts = np.zeros(1025, np.int64)
+    for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist():
+        n = len(ids.of(t)) // 4 + 1
+        counts[1024] += n // 1024
+        counts[n % 1024] += n % 1024 > 0
+    made = plan(counts, 1024)
+    least = -(-int((counts * np.arange(1025)).sum()) // 1024)
+    assert sum(n for _, n in made) <= least + 2
+    filled = Counter()
+    for p, n in made:
+        filled[len(p)] += n * (sum(p) == 1024)
+    assert filled[2] > 100 and filled[3] > 20 and filled[4] > 5
+    # Larger tables have finer histograms: the same plan's share of waste doesn't grow.
+    assert sum(n for _, n in plan(counts * 5000, 1024)) <= 5000 * sum(n for _, n in made)
+
+
+def test_ids_are_the_librarys(library):
+    import random
+
+    r = random.Random(5)
+    some = [" ", "  ", "\n", "a", "é", "1", "½", "Ⅷ", "'s", "'", ".", "<|endoftext|>", "\x1c", "\x85", "\u3000", "日", "🙂", "_", "\r\n", "\xa0", " " * 6000, "\n " * 3000, "aab", "aba"]
+    texts = ["".join(r.choice(some) for _ in range(r.randint(0, 20))) for _ in range(500)] + [None, ""]
+    ids = Ids(TIKTOKEN)
+    for t in texts:
+        assert ids.of(t) == np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a" + "\n " * 1_000_000 + "b", "x" * 1_000_000])
+def test_very_long_runs(spark, library, text):
+    n = len(library.encode(text, add_special_tokens=False).ids)
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    got = packed_documents(docs, TIKTOKEN, capacity=1024).groupBy("doc_id").sum("length").collect()
+    assert {r[0]: r[1] for r in got} == {1: n + 1, 2: 2}
+    assert {r.doc_id: r.n_tokens for r in token_counts(docs, PATH).collect()} == {1: n, 2: 1}
+
+
 def test_hot_length(spark, tmp_path):
     path = str(tmp_path / "p")
     spark.range(5000).selectExpr("id", "IF(id % 3 = 0, 7L, id % 16 + 1) AS length").write.parquet(path)
