@@ -39,15 +39,40 @@ def test_no_lines(none):
 
 
 def test_runs_compact_and_tell_what_is_new(spark):
-    runs = LineRuns(spark, fan_in=2)
+    runs = LineRuns(spark)
     batch = lambda *ks: spark.createDataFrame([(k, -k, 1, k) for k in ks], runs.schema)
     assert runs.seen().count() == 0
-    for ks in ((1, 2, 2), (2, 3), (4,), (1, 5), (6,)):
+    for ks in ((1, 2), (2, 3), (4,), (1, 5), (6,)):
         new = {r.h1 for r in runs.unseen(batch(*ks)).collect()}
         assert new == set(ks) - {r.h1 for r in runs.seen().collect()}
         runs.add(batch(*ks))
-    assert [len(x) for x in runs.levels] == [1, 0, 1]
-    assert {(r.h1, r.n) for r in runs.seen().collect()} == {(1, 2), (2, 3), (3, 1), (4, 1), (5, 1), (6, 1)}
+    assert [x is not None for x in runs.runs] == [True, False, True]
+    # A key is in one run only; where it comes again it has a tally.
+    held = [(r.h1, r.n) for run in runs.runs if run is not None for r in run.collect()]
+    assert sorted(held) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 1)]
+    assert sorted((r.h1, r.n) for t in runs.tallies if t is not None for r in t.collect()) == [(1, 1), (2, 1)]
+    assert {(r.h1, r.n) for r in runs.seen().collect()} == {(1, 2), (2, 2), (3, 1), (4, 1), (5, 1), (6, 1)}
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_runs_")]
+
+
+def test_runs_are_never_shuffled(spark):
+    runs = LineRuns(spark)
+    batch = lambda a: spark.range(a, a + 500).selectExpr("id AS h1", "-id AS h2", "1L AS n", "id AS first")
+    for a in (0, 400, 100):
+        runs.add(batch(a))
+    plan = runs.unseen(batch(900))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("LeftAnti") == 2 and plan.count("Exchange") == 1  # the batch's own
+    assert "Exchange" not in runs.seen()._jdf.queryExecution().executedPlan().toString()
+    assert runs.seen().agg({"n": "sum"}).first()[0] == 1500
+    runs.close()
+
+
+def test_line_of_millions_and_many_lines(spark):
+    long, many = "x" * 3_000_000, "\n".join(f"line {i % 1000}" for i in range(300_000))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([long, long + "\nown", many, many, "\n" * 1_000_000])], "doc_id long, text string")
+    got = {r.row.doc_id: (r.n_lines, r.n_dropped, len(r.kept)) for r in drop_lines(docs, min_docs=2).collect()}
+    assert got == {0: (1, 1, 0), 1: (2, 1, 3), 2: (300_000, 300_000, 0), 3: (300_000, 300_000, 0), 4: (1_000_001, 0, 1_000_000)}
 
 
 def targets(sizes):

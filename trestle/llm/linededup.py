@@ -1,8 +1,10 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-Every batch of documents leaves a run: its line hashes, sorted, with the number of documents that hold
-each. When a level has `fan_in` runs they are merged into one run of the next level. What is asked of
-the runs (which lines are new, which are frequent) is a merge join against them.
+The documents' lines come in batches. A run holds keys that no earlier run has, sorted and in as many buckets as every other run; keys
+stand in the order and the bucket that their hash gives them. Each batch is merge-anti-joined with the runs: the keys that are new become a run of their
+own, and the others leave a tally, which has their number of documents. Two runs of a level are merged into one
+of the next level, and tallies likewise. Batches are dealt out as the runs are; the runs themselves are never shuffled again, neither for the
+joins nor for the merging.
 
 A line's key is the line without the bytes 0x20 and 0x09 to 0x0D at its ends, with A-Z in lower case.
 Keys stand as 128-bit hashes.
@@ -10,6 +12,8 @@ Keys stand as 128-bit hashes.
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -19,10 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bounded, shared_dir, slices
+from .shared import bounded, removed, shared_dir, slices, written
 
 #: So many frequent keys (16 bytes and an id each) go to the executors as one broadcast; beyond, they are joined.
 BROADCAST_KEYS = 200_000
+#: There are as many buckets as leave each of them about so many of all batches' keys.
+BUCKET = 4_000_000
 
 STRIP = b" \t\n\x0b\x0c\r"
 
@@ -37,48 +43,60 @@ def digests(keys: list[bytes]) -> np.ndarray:
 
 
 class LineRuns:
-    """Runs (h1, h2, n, first) in the shared folder, by level; n: documents, first: their smallest id."""
+    """Runs and tallies (h1, h2, n, first) as bucketed tables in the shared folder; n: documents, first: their smallest id. close() removes them."""
 
-    def __init__(self, spark: SparkSession, id_type: str = "bigint", fan_in: int = 4):
-        self.spark, self.fan_in, self.dir, self.made = spark, fan_in, shared_dir(spark), 0
+    def __init__(self, spark: SparkSession, id_type: str = "bigint", buckets: int = 8):
+        self.spark, self.buckets = spark, buckets
+        self.dir, self.name, self.made = shared_dir(spark), f"line_runs_{uuid.uuid4().hex}", []
         self.schema = f"h1 long, h2 long, n long, first {id_type}"
-        self.levels: list[list[str]] = [[]]
+        self.runs: list[DataFrame | None] = []  # by level: none, or one that is made of 2 ** level batches
+        self.tallies: list[DataFrame | None] = []
+        self.none = self._table(spark.createDataFrame([], self.schema))
 
-    def _merged(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(*paths).groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    def _table(self, rows: DataFrame) -> DataFrame:
+        """rows, which lie in their buckets' tasks already, as a table."""
+        name = f"{self.name}_{len(self.made)}"
+        self.made.append(name)
+        rows.select("h1", "h2", "n", "first").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.dir}/{name}").saveAsTable(name)
+        return self.spark.table(name)
 
-    def _write(self, run: DataFrame) -> str:
-        self.made += 1
-        run.sortWithinPartitions("h1", "h2").write.parquet(path := f"{self.dir}/run-{self.made}")
-        return path
+    def unseen(self, lines: DataFrame) -> DataFrame:
+        """The rows of lines whose key is in no run: one merge anti-join a run."""
+        runs = [r for r in self.runs if r is not None] or [self.none]
+        return reduce(lambda left, run: left.join(run.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti"), runs, lines)
 
     def add(self, lines: DataFrame) -> None:
-        """A batch's lines (h1, h2, n, first), in any order and with repeats, as a new run."""
-        run = lines.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
-        self._put(0, self._write(run))
-
-    def _put(self, level: int, path: str) -> None:
-        if level == len(self.levels):
-            self.levels.append([])
-        self.levels[level].append(path)
-        if len(self.levels[level]) == self.fan_in:
-            merged = self._write(self._merged(self.levels[level]))
-            self.levels[level] = []
-            self._put(level + 1, merged)
-
-    def paths(self) -> list[str]:
-        return [p for level in self.levels for p in level]
+        """A batch: one row (h1, h2, n, first) a key. Its new keys become a run; the others, which are not in that run, a tally."""
+        new = self._table(self.unseen(lines))
+        if any(r is not None for r in self.runs):
+            self._put(self.tallies, self._table(lines.join(new.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")))
+        self._put(self.runs, new)
+
+    def _put(self, levels: list[DataFrame | None], table: DataFrame) -> None:
+        for k in range(len(levels)):
+            if levels[k] is None:
+                levels[k] = table
+                return
+            table, levels[k] = self._table(_merged(levels[k], table)), None
+        levels.append(table)
 
     def seen(self) -> DataFrame:
         """All keys of all runs with their totals."""
-        if not self.paths():
-            return self.spark.createDataFrame([], self.schema)
-        return self._merged(self.paths())
+        tables = [t for t in (*self.tallies, *self.runs) if t is not None]
+        while len(tables) > 2:
+            tables = [self._table(_merged(*tables[:2])), *tables[2:]]
+        return _merged(*tables) if len(tables) == 2 else (tables or [self.none])[0]
 
-    def unseen(self, lines: DataFrame) -> DataFrame:
-        """The rows of lines whose key is in no run: one merge anti-join a run."""
-        runs = (self.spark.read.schema(self.schema).parquet(p).select("h1", "h2") for p in self.paths())
-        return reduce(lambda left, run: left.join(run.hint("merge"), ["h1", "h2"], "left_anti"), runs, lines)
+    def close(self) -> None:
+        for name in self.made:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        removed(self.spark, self.dir)
+
+
+def _merged(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The keys of both tables with their totals: bucket by bucket, in the order that both have."""
+    both = a.join(b.withColumnsRenamed({"n": "m", "first": "second"}).hint("merge"), ["h1", "h2"], "full_outer")
+    return both.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"), F.least("first", "second").alias("first"))
 
 
 def document_lines(docs: DataFrame, id: str, text: str, batches: int) -> DataFrame:
@@ -105,21 +123,25 @@ def document_lines(docs: DataFrame, id: str, text: str, batches: int) -> DataFra
     return rows.mapInArrow(hashed, f"batch int, h1 long, h2 long, n long, first {id_type}")
 
 
-def frequent_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_docs: int = 10, batches: int = 8, fan_in: int = 4) -> DataFrame:
-    """h1, h2, first of the keys that at least min_docs rows of docs hold.
+def frequent_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_docs: int = 10, batches: int = 8) -> DataFrame:
+    """h1, h2, first of the keys that at least min_docs rows of docs hold, as a table.
 
     All rows are hashed in one pass; the batches of that table are then added to the runs one by one.
     """
     spark = docs.sparkSession
     lines = document_lines(docs, id, text, batches)
     summed = lines.groupBy("batch", "h1", "h2").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
-    runs = LineRuns(spark, lines.schema["first"].dataType.simpleString(), fan_in)
-    path = f"{runs.dir}/batches"
-    summed.sortWithinPartitions("batch", "h1", "h2").write.partitionBy("batch").parquet(path)
+    path = shared_dir(spark)
+    summed.write.partitionBy("batch").parquet(path)
+    kind = lines.schema["first"].dataType.simpleString()
+    stored = spark.read.schema(f"h1 long, h2 long, n long, first {kind}, batch int").parquet(path)
+    runs = LineRuns(spark, kind, max(8, math.ceil(stored.count() / BUCKET)))
     for g in range(batches):
-        part = spark.read.schema(f"{runs.schema}, batch int").parquet(path).where(F.col("batch") == g)
-        runs._put(0, runs._write(part.select("h1", "h2", "n", "first")))
-    return runs.seen().where(F.col("n") >= min_docs).select("h1", "h2", "first")
+        runs.add(stored.where(F.col("batch") == g).drop("batch"))
+    found = written(runs.seen().where(F.col("n") >= min_docs).select("h1", "h2", "first"))
+    runs.close()
+    removed(spark, path)
+    return found
 
 
 def drop_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", carry: list[str] | None = None, min_docs: int = 10, keep_first: bool = False, broadcast_keys: int = BROADCAST_KEYS, batches: int = 8) -> DataFrame:
@@ -132,11 +154,9 @@ def drop_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", carry: l
     A null or empty text is one empty line; empty keys are never dropped. Documents are rows: repeated
     rows each count, rows with a null id too (they are never the first). No rows give no rows.
     """
-    from .shared import written
-
     spark = docs.sparkSession
     carry = [c for c in docs.columns if c != text] if carry is None else carry
-    frequent = written(frequent_lines(docs, id, text, min_docs, batches))
+    frequent = frequent_lines(docs, id, text, min_docs, batches)
     rows = bounded(docs).select(F.struct(*(F.col(c) for c in carry)).alias("row"), F.col(id).alias("_id"), F.col(text).alias("_text"))
     out = f"row {rows.schema['row'].dataType.simpleString()}, n_lines long, n_dropped long, kept string"
 
