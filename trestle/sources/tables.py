@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -10,17 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir. Where that is unset: under the warehouse on a cluster, else under a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        local = master.startswith("local") and "cluster" not in master
-        base = tempfile.mkdtemp(prefix="spark-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _unset(spark.sparkContext.master, spark.conf.get("spark.sql.warehouse.dir"))
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+@functools.lru_cache(None)
+def _unset(master: str, warehouse: str) -> str:
+    local = master.startswith("local") and "cluster" not in master
+    return tempfile.mkdtemp(prefix="spark-") if local else f"{warehouse.rstrip('/')}/_work"
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: computed once, and its lineage cut."""
     path = f"{shared_dir(df.sparkSession)}/table"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Removes folders that shared_dir() gave; nothing may read them any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(conf).delete(at, True)
