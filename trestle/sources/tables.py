@@ -21,11 +21,25 @@ def _unset(master: str, warehouse: str) -> str:
     return tempfile.mkdtemp(prefix="spark-") if local else f"{warehouse.rstrip('/')}/_work"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: computed once, and its lineage cut."""
-    path = f"{shared_dir(df.sparkSession)}/table"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Whether Spark removes the files of a query's shuffles when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, clean: bool = False) -> DataFrame:
+    """df as a table in the shared folder: computed once, and its lineage cut. clean: the files of its shuffles go at once."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table"
+    before = spark.conf.get(CLEANUP, None)
+    if clean:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if clean and before is not None:
+            spark.conf.set(CLEANUP, before)
+        elif clean:
+            spark.conf.unset(CLEANUP)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def removed(spark: SparkSession, *paths: str) -> None:
