@@ -81,5 +81,24 @@ def test_backoff_scores(docs, rows, order):
     assert got == want
 
 
+def test_hashes_are_sparks(spark):
+    from trestle.llm.lm import joined_hash
+
+    r = np.random.default_rng(2)
+    a, b = (r.integers(-(2**63), 2**63 - 1, 200, np.int64) for _ in range(2))
+    rows = spark.createDataFrame(list(zip(a.tolist(), b.tolist())), "a long, b long").selectExpr("a", "b", "xxhash64(a, b) AS h").collect()
+    want = {(x, y): h for x, y, h in zip(a.tolist(), b.tolist(), joined_hash(a.view(np.uint64), b.view(np.uint64)).view(np.int64).tolist())}
+    assert {(r.a, r.b): r.h for r in rows} == want
+
+
+def test_hot_and_long_texts(spark):
+    """A third of all rows are one text, one text has a million words, one word is in nearly every text."""
+    texts = ["the same text of the"] * 200 + [f"the w{i} the" for i in range(399)] + ["the long " * 500_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.score) for r in scored(docs).collect()}
+    assert len(got) == 600 and got[599][0] == 1_000_000 and len({got[i] for i in range(200)}) == 1
+    assert -0.1 < got[599][1] < 0
+
+
 def test_no_scores(none):
     assert scored(none).count() == 0
