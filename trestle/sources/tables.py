@@ -39,7 +39,9 @@ def written(df: DataFrame, clean: bool = False) -> DataFrame:
             spark.conf.set(CLEANUP, before)
         elif clean:
             spark.conf.unset(CLEANUP)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
 
 
 def removed(spark: SparkSession, *paths: str) -> None:
@@ -48,3 +50,8 @@ def removed(spark: SparkSession, *paths: str) -> None:
     for p in paths:
         at = jvm.org.apache.hadoop.fs.Path(p)
         at.getFileSystem(conf).delete(at, True)
+
+
+def dropped(spark: SparkSession, *tables: DataFrame) -> None:
+    """Removes tables that written() gave; nothing may read them any more."""
+    removed(spark, *(t.stored_at.removesuffix("/table") for t in tables))
