@@ -68,6 +68,33 @@ def test_wide_groups(spark, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows, 4, 85)
 
 
+def test_one_passage_in_very_many(spark):
+    """50,000 texts share a passage; the links are those of the few pairs that share nearly all. Null ids link others, too."""
+    rng = np.random.default_rng(8)
+    w = rng.integers(0, 10**9, (50_000, 40))
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, passage + " " + " ".join(map(str, x))) for i, x in enumerate(w.tolist())]
+    for k in range(20):
+        rows.append((60_000 + k, rows[k][1] + " more"))
+    rows += [(None, rows[30][1] + " one"), (70_000, rows[30][1] + " one two three four five six seven")]
+    got = {r.doc_id: r.component_id for r in linked(spark.createDataFrame(rows, "doc_id long, text string"), words=4, percent=85).collect()}
+    assert {d: c for d, c in got.items() if d != c} == {60_000 + k: k for k in range(20)} | {None: 30, 70_000: 30}
+
+
+def test_null_ids_link(spark):
+    w = [f"w{i}" for i in range(100)]
+    rows = [(5, " ".join(w)), (None, " ".join(w[8:] + ["a"] * 2)), (9, " ".join(w[14:] + ["a"] * 2 + [f"b{i}" for i in range(4)])), (None, "alone is this text"), (None, None), (8, None)]
+    got = linked(spark.createDataFrame(rows, "doc_id long, text string"), words=4, percent=85)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows, 4, 85)
+
+
+def test_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(300_000))
+    rows = [(1, long), (2, long + " end"), (3, "w " * 500_000), (4, "x" * 2_000_000), (5, long[: len(long) // 2])]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in linked(spark.createDataFrame(rows, "doc_id long, text string"), words=5, percent=80).collect()}
+    assert {k: v[1] for k, v in got.items()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5} and got[3][0] == got[4][0] == 1 and got[2][0] == 299_997
+
+
 def test_no_documents(none):
     assert linked(none).count() == 0
     assert fingerprints(none, lambda c: F.col(c) % 50 == 0).count() == 0
@@ -88,9 +115,15 @@ def test_no_link_without_a_key(percent):
             a, b = np.unique(a), np.unique(b)
             both = len(np.intersect1d(a, b))
             if both * 100 >= percent * (len(a) + len(b) - both) and len(b):
-                (ka, ha, na), (kb, hb, nb) = part_keys(a, percent), part_keys(b, percent)
-                common = np.intersect1d(ka, kb)
-                assert len(a) == len(b) == both or len(common) >= max(na, nb)
+                (xa, ha), (xb, hb) = part_keys(a, percent), part_keys(b, percent)
+                of_a, of_b = ({band: (set(k.tolist()), need) for band, k, need in x} for x in (xa, xb))
+                low = min(max(of_a), max(of_b))  # the band of the smaller one
+                common = of_a[low][0] & of_b[low][0]
+                assert len(a) == len(b) == both or len(common) >= max(of_a[low][1], of_b[low][1])
+                # In any order of all keys, what is left without the last ones has one in common.
+                first = [set(sorted(k, key=lambda v: v * 0x9E3779B97F4A7C15 % 2**64)[: len(k) - need + 1]) for k, need in (of_a[low], of_b[low])]
+                assert len(a) == len(b) == both or first[0] & first[1]
+                common = np.array(sorted(set().union(*(k for k, _ in of_a.values())) & set().union(*(k for k, _ in of_b.values()))), np.int64)
                 assert near_edges([(len(a), ha, common), (len(b), hb, common)], [], percent) == [(0, 1)]
 
 

@@ -7,12 +7,16 @@ pairs that the bound lets through and that are not yet connected are settled by
 
 Candidate groups lose no pair. Two sets over the threshold differ in at most H elements, H following from the
 largest size in their band. Each set is cut by hash into H + 1 + S parts, S of them spare, so that at least S + 1
-parts are equal; nodes with an equal part are in one group. Empty parts say nothing and give no key. Only where two
+parts are equal. Empty parts say nothing and give no key. Only where two
 sets have nothing but empty parts in common are at least S + 1 parts of both empty: sets that have so
 many empty parts also get a key for each combination of S + 1 of them.
 
-What only shares a passage has few equal parts, while a link leaves many: the groups are refined by the number of common
-keys before any text is fetched.
+Linked sets share not one key but several, so many at least as a set's size tells. Of its keys, the rarest first, a set may then leave out the most
+frequent ones, one less than it must share: what it is linked with has one of the others, too. So a passage that very many documents hold ties
+only those together that hold little else. The groups that the other keys make are refined by the number of common keys before any text is fetched.
+
+Groups are never compared pair by pair. Each tile has the smallest node of its group as a guest; what the tiles leave apart from
+it, and only that, then meets the group's other tiles.
 """
 
 from __future__ import annotations
@@ -20,19 +24,21 @@ from __future__ import annotations
 import functools
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded, lower_ascii, mixed, partitions, slices, span_hashes, utf8, word_spans, written
+from .shared import bounded, dropped, lower_ascii, mixed, partitions, slices, span_hashes, utf8, word_spans, written
 
 #: Sizes of one band reach from one of these to below the next.
 BANDS = np.unique(np.floor(1.4 ** np.arange(0, 120)).astype(np.int64))
 #: A tile holds so many n-grams, and at least so many in a small corpus, or one document.
 TILE, LEAST_TILE = 400_000, 20_000
+#: And so many documents at least.
+LEAST_ROOM = 50
 #: The most bits of the bitmap of wanted ids.
 FILTER = 1 << 26
 
@@ -84,12 +90,12 @@ def band_of(n: int) -> int:
     return int(np.searchsorted(BANDS, n, "right")) - 1
 
 
-def part_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, int, int]:
-    """The keys of a set, how many of its own band's parts are empty, and how many keys it must share to have a link at all.
+def part_keys(s: np.ndarray, percent: int) -> tuple[list[tuple[int, np.ndarray, int]], int]:
+    """A set's keys by band: the band, the keys, and how many of them it shares with each set that it is linked with under this band; and how many of its own band's parts are empty.
 
-    Two sets of a Jaccard similarity of at least percent / 100 share a key, unless they are equal.
+    Two sets of a Jaccard similarity of at least percent / 100 share so many keys under the band of the smaller one, unless they are equal.
     """
-    n, hollow, need = len(s), 0, None
+    n, hollow = len(s), 0
     band = band_of(n)
     found = []
     # A pair meets under the band of the smaller set; sets that can be the larger one of such a pair use that band, too.
@@ -102,17 +108,21 @@ def part_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, int, int]:
         np.add.at(sums, part, mixed(s))
         full = np.bincount(part, minlength=parts) > 0
         where = np.uint64(b) * np.uint64(1 << 32) + np.arange(parts, dtype=np.uint64)
-        found.append(mixed(sums[full] + mixed(where[full])))
+        keys = mixed(sums[full] + mixed(where[full]))
         empty = np.flatnonzero(~full)
         # Both sets' sizes at most: as the larger one under a lower band, or as the smaller one under its own.
         both = int(BANDS[b + 1]) - 1 + n if b < band else n + n * 100 // percent
-        least = parts - len(empty) - both * (100 - percent) // (100 + percent)
-        need = least if need is None else min(need, least)
+        need = parts - len(empty) - both * (100 - percent) // (100 + percent)
         if b == band:
             hollow = len(empty)
         if parts > 1 and len(empty) > spare:
-            found.append(np.array([hash((b, *c)) & 0xFFFFFFFFFFFFFFFF for c in itertools.combinations(empty.tolist(), spare + 1)], np.uint64))
-    return np.concatenate(found).view(np.int64), hollow, max(1, need)
+            some = np.array(list(itertools.combinations(empty.tolist(), spare + 1)), np.uint64)
+            code = np.full(len(some), np.uint64(b) * np.uint64(1 << 32) + np.uint64(1 << 31))
+            for column in some.T:
+                code = mixed(code * np.uint64(0x9E3779B97F4A7C15) + column + np.uint64(1))
+            keys = np.concatenate([keys, code])
+        found.append((b, keys.view(np.int64), max(1, need)))
+    return found, hollow
 
 
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -184,25 +194,34 @@ def near_edges(left: list[tuple], right: list[tuple], percent: int) -> list[tupl
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root: the smallest node that each node of an edge (a, b) is connected with.
+    """node, root: the smallest node that each node of an edge (a, b) is connected with; a table.
 
     Large stars and small stars in turn: every node is tied to the smallest node around, until nothing changes; rounds grow as the
-    logarithm of the longest path. The tables of a round are written, so that a hot node's join can be split.
+    logarithm of the longest path. Minima are summed up before they are dealt out, and joined back, so that a hot node's rows can be split.
     """
-    now, before = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
+    spark, done = edges.sparkSession, []
+
+    def table(df: DataFrame) -> DataFrame:
+        done.append(written(df, clean=True))
+        return done[-1]
+
+    now, before = table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = written(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a")))
+        least = table(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a")))
         # Large star: a node's larger neighbours are tied to the smallest of its neighbours and itself.
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # Small star: a node and its smaller neighbours, of which there are few now, are tied to the smallest of them.
-        low = large.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+        large = table(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        # Small star: a node and its smaller neighbours are tied to the smallest of them.
+        low = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
         small = low.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("_")).select("_.*")
-        now = written(small.where("a <> b").distinct())
+        now = table(small.where("a <> b").distinct())
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+            break
         before = state
+    found = written(now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
+    dropped(spark, *done)
+    return found
 
 
 def dealt(tiles: DataFrame) -> DataFrame:
@@ -212,39 +231,77 @@ def dealt(tiles: DataFrame) -> DataFrame:
 
 
 def compared(tiles: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b: ids) that the tiles' pairs give. tiles: tile, side (whether right), node, known, rep; texts: node, _text."""
-    rows = dealt(written(tiles)).join(texts, "node").select("deal", "tile", "side", "node", "known", "rep", "_text")
-    kind = rows.schema["rep"].dataType.simpleString()
+    """Links (a, b: nodes) that the tiles' pairs give. tiles: tile, side (whether right), node, known, a table; texts: node, _text."""
+    rows = dealt(tiles).join(texts, "node").select("deal", "tile", "side", "node", "known", "_text")
 
     def joined(table: pa.Table) -> pa.Table:
-        columns = zip(*(table.column(c).to_pylist() for c in ("tile", "side", "node", "known", "rep")), strict=True)
+        columns = zip(*(table.column(c).to_pylist() for c in ("tile", "side", "node", "known")), strict=True)
         sets = (s for c in table.column("_text").chunks for b in slices(iter([pa.RecordBatch.from_arrays([c], ["t"])]), "t") for s in gram_sets(b.column("t"), words))
         by: dict[int, tuple[dict, dict]] = {}
-        for (t, side, node, known, rep), s in zip(columns, sets, strict=True):
-            by.setdefault(t, ({}, {}))[side][node] = (s, known, rep)
+        for (t, side, node, known), s in zip(columns, sets, strict=True):
+            by.setdefault(t, ({}, {}))[side][node] = (s, known, node)
         found = []
         for sides in by.values():
             one, two = (sorted(x.values(), key=lambda y: len(y[0])) for x in sides)
             both = one + two
             for i, k in tile_links([x[0] for x in one], [x[0] for x in two], [x[1] for x in both], percent) if one and len(both) > 1 else ():
-                found.append(sorted((both[i][2], both[k][2]), reverse=True))
-        a, b = zip(*found, strict=True) if found else ((), ())
-        return pa.table({"a": pa.array(a, table.schema.field("rep").type), "b": pa.array(b, table.schema.field("rep").type)})
+                found.append((both[i][2], both[k][2]))
+        return _edges(found)
+
+    return rows.groupBy("deal").applyInArrow(joined, "a long, b long")
 
-    return rows.groupBy("deal").applyInArrow(joined, f"a {kind}, b {kind}")
 
+def _edges(found: list[tuple[int, int]]) -> pa.Table:
+    a, b = zip(*found, strict=True) if found else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-def refined(shared: DataFrame, nodes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b: nodes) that connect all pairs in the groups whose common keys allow a link. shared: key, node, hollow, need."""
-    # A set's keys: as many as it has parts. One that shares too few of them with all others together has no link.
-    lists = shared.groupBy("node").agg(F.collect_set("key").alias("keys"), F.max("hollow").alias("hollow"), F.max("need").alias("need")).where("size(keys) >= need")
-    members = written(nodes.join(groups, "node").join(lists, "node").select("root", "node", "n", "hollow", "keys"))
-    most = max(400, min(4000, members.count() // (4 * partitions(shared.sparkSession))))
-    tiles = written(members.groupBy("root").agg(F.ceil(F.count("*") / most).cast("int").alias("tiles")))
-    placed = members.join(tiles, "root").withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    # A tile meets itself and, once, each other tile of its group.
-    meet = placed.withColumn("u", F.explode(F.expr("sequence(0, tiles - 1)"))).withColumn("side", F.when(F.col("u") < F.col("t"), 1).otherwise(0))
-    meet = meet.withColumn("tile", F.xxhash64("root", F.least("t", "u"), F.greatest("t", "u"))).select("tile", "side", "node", "n", "hollow", "keys")
+
+def in_two_rounds(tiles: DataFrame, columns: list[str], compare: Callable[[DataFrame], DataFrame], fits: Column | None = None) -> DataFrame:
+    """node, root: what the groups' pairs connect. tiles: root (the group), tile, node, n, columns.
+
+    First each tile by itself, with its group's smallest node as a guest; then what isn't connected with that node, against the group's other tiles. compare: edges
+    (a, b) from a table of tile, side, node, known, columns. fits: whether tiles with sizes low to high and low1 to high1 can hold a pair.
+    """
+    spark = tiles.sparkSession
+
+    def edges_of(rows: DataFrame) -> DataFrame:
+        laid = written(rows, clean=True)
+        made = written(compare(laid), clean=True)
+        dropped(spark, laid)
+        return made
+
+    heads = tiles.where("node = root").select("root", *columns)
+    guests = tiles.where("node <> root").select("root", "tile").distinct().join(tiles.where("node = root").select("root", F.col("tile").alias("own")), "root").where("tile <> own").join(heads, "root")
+    first = tiles.select("tile", F.lit(0).alias("side"), "node", F.col("node").alias("known"), *columns)
+    first = first.unionByName(guests.select("tile", F.lit(0).alias("side"), F.col("root").alias("node"), F.col("root").alias("known"), *columns))
+    edges = edges_of(first)
+    found = components(edges)
+    wide = tiles.groupBy("root").agg(F.min("tile").alias("_a"), F.max("tile").alias("_b")).where("_a <> _b").select("root")
+    state = tiles.join(wide, "root", "left_semi").join(found.select("node", F.col("root").alias("known")), "node", "left").withColumn("known", F.coalesce("known", "node"))
+    state = written(state, clean=True)
+    head = state.where("node = root").select("root", F.col("known").alias("head"))
+    apart = written(state.join(head, "root").where("known <> head").drop("head"), clean=True)
+    one = apart.groupBy("root", F.col("tile").alias("tile1")).agg(F.min("n").alias("low1"), F.max("n").alias("high1"))
+    two = state.groupBy("root", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    meet = one.join(two, "root").where("tile1 <> tile")
+    meet = written((meet if fits is None else meet.where(fits)).select("root", "tile1", "tile", F.xxhash64("root", "tile1", "tile").alias("pair")), clean=True)
+    if not meet.isEmpty():
+        left = apart.withColumnRenamed("tile", "tile1").join(meet, ["root", "tile1"]).select(F.col("pair").alias("tile"), F.lit(0).alias("side"), "node", "known", *columns)
+        right = state.join(meet, ["root", "tile"]).select(F.col("pair").alias("tile"), F.lit(1).alias("side"), "node", "known", *columns)
+        more = edges_of(left.unionByName(right))
+        again = components(edges.unionByName(more))
+        dropped(spark, more, found)
+        found = again
+    dropped(spark, edges, state, apart, meet)
+    return found
+
+
+def refined(lists: DataFrame, nodes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """node, root: what is connected by pairs of a group whose common keys allow a link. lists: node, hollow, keys."""
+    members = written(nodes.select("node", "n").join(groups, "node").join(lists, "node").select("root", "node", "n", "hollow", "keys"), clean=True)
+    room = max(100, min(2000, members.count() // (8 * partitions(nodes.sparkSession))))
+    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / room).alias("tiles"))
+    tiles = written(members.join(sizes, "root").withColumn("tile", F.xxhash64("root", F.pmod(F.xxhash64("node"), "tiles"))).drop("tiles"), clean=True)
 
     def joined(table: pa.Table) -> pa.Table:
         by: dict[int, tuple[list, list]] = {}
@@ -255,18 +312,21 @@ def refined(shared: DataFrame, nodes: DataFrame, groups: DataFrame, percent: int
         for left, right in by.values():
             both = left + right
             found += [(both[i][0], both[k][0]) for i, k in near_edges([x[1:] for x in left], [x[1:] for x in right], percent)] if len(both) > 1 else []
-        a, b = zip(*found, strict=True) if found else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        return _edges(found)
+
+    def compare(rows: DataFrame) -> DataFrame:
+        return dealt(rows).groupBy("deal").applyInArrow(joined, "a long, b long")
 
-    return dealt(written(meet)).groupBy("deal").applyInArrow(joined, "a long, b long")
+    found = in_two_rounds(tiles, ["n", "hollow", "keys"], compare)
+    dropped(nodes.sparkSession, members, tiles)
+    return found
 
 
-def tiled(members: DataFrame, grams: int) -> DataFrame:
-    """members with band (of their size), and t: the number of the tile in its band. Tiles hold about so many n-grams."""
+def tiled(members: DataFrame, grams: int, room: int) -> DataFrame:
+    """members with tile: of a group and a band of sizes. Tiles hold about so many n-grams, and so many members, at most."""
     banded = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / np.log(1.2)).cast("int"))
-    sums = written(banded.groupBy("root", "band").agg(F.sum("n").alias("total")))
-    tiles = F.ceil(F.col("total") / grams).cast("int")
-    return written(banded.join(sums, ["root", "band"]).withColumn("t", F.pmod(F.xxhash64("node"), tiles).cast("int")).withColumn("tile", F.xxhash64("root", "band", "t")).drop("total"))
+    sums = banded.groupBy("root", "band").agg(F.ceil(F.greatest(F.sum("n") / grams, F.count("*") / room)).alias("tiles"))
+    return written(banded.join(sums, ["root", "band"]).withColumn("tile", F.xxhash64("root", "band", F.pmod(F.xxhash64("node"), "tiles"))).select("root", "tile", "node", "n"), clean=True)
 
 
 def maybe(rows: DataFrame, id: str, wanted: DataFrame, count: int) -> DataFrame:
@@ -296,16 +356,16 @@ def linked(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int =
     """id, n_shingles, component_id of each row: the smallest id reachable by links of similarity >= percent / 100, its own included.
 
     A null text, or one without words, has the empty set and is linked with nothing. Equal texts are linked; so are repeated rows.
-    Null ids are never the smallest; rows that are only linked with null ids have a null component_id.
+    Null ids are never the smallest, but their rows link others; rows that are only linked with null ids have a null component_id.
     """
     spark = docs.sparkSession
-    rows = bounded(docs).select(F.col(id).alias("_id"), F.col(text).alias("_text"))
+    rows = bounded(docs).select(F.col(id).alias("_id"), F.xxhash64(text).alias("_t"), F.col(text).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
 
     def sized(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(parts, "_text"):
             sets = gram_sets(b.column("_text"), words)
-            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64())], ["_id", "n", "node"])
+            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_t"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64())], ["_id", "_t", "n", "node"])
 
     def keyed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[int] = set()  # a task gives the keys of equal sets once
@@ -313,55 +373,52 @@ def linked(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int =
             sets = {set_hash(s): s for s in gram_sets(b.column("_text"), words) if len(s)}
             new = [k for k in sets if k not in told]
             told = told | set(new) if len(told) < 1_000_000 else set(new)
-            keys = [part_keys(sets[k], percent) for k in new]
-            at = np.repeat(np.arange(len(new)), [len(k[0]) for k in keys])
-            of = [np.concatenate([np.zeros(0, np.int64), *(k[0] for k in keys)]), np.array(new, np.int64)[at], *(np.array([k[i] for k in keys], np.int32)[at] for i in (1, 2))]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in of], ["key", "node", "hollow", "need"])
+            made = [(k, hollow, *x) for k in new for bands, hollow in [part_keys(sets[k], percent)] for x in bands]
+            at = np.repeat(np.arange(len(made)), [len(x[3]) for x in made])
+            of = [np.concatenate([np.zeros(0, np.int64), *(x[3] for x in made)]), *(np.array([x[i] for x in made], t)[at] for i, t in ((0, np.int64), (2, np.int32), (1, np.int32), (4, np.int32)))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in of], ["key", "node", "band", "hollow", "need"])
 
     def of_node(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """An id's rows can have several texts; the one whose set is the node's is meant."""
+        """A row can have the hash of another text; the one whose set is the node's is meant."""
         for b in slices(parts, "_text"):
             right = [set_hash(s) == k for s, k in zip(gram_sets(b.column("_text"), words), b.column("node").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("_text")], ["node", "_text"]).filter(pa.array(right, pa.bool_()))
 
-    of = written(rows.mapInArrow(sized, f"_id {kind}, n long, node long"))
-    nodes = written(of.where("n > 0").groupBy("node").agg(F.min("_id").alias("rep"), F.first("n").alias("n")))
-    # What shares a key with another node; and, as star edges, each of them with the smallest node of the key.
-    by = Window.partitionBy("key")
-    keyed_rows = rows.mapInArrow(keyed, "key long, node long, hollow int, need int").withColumns({"least": F.min("node").over(by), "most": F.max("node").over(by)})
-    shared = written(keyed_rows.where("least < most").select("key", "node", "least", "hollow", "need"))
-    stars = shared.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    groups = components(refined(shared.select("key", "node", "hollow", "need"), nodes, components(stars), percent))
-    members = written(nodes.join(groups, "node").where(F.col("rep").isNotNull()))
+    of = written(rows.mapInArrow(sized, f"_id {kind}, _t long, n long, node long"), clean=True)
+    rep = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_t")).alias("rep")
+    nodes = written(of.where("n > 0").groupBy("node").agg(rep, F.first("n").alias("n")), clean=True)
+    # Keys that several nodes have, with how often they are given.
+    keys = rows.mapInArrow(keyed, "key long, node long, band int, hollow int, need int")
+    often = keys.groupBy("key").agg(F.min("node").alias("_a"), F.max("node").alias("_b"), F.count("*").alias("times")).where("_a < _b")
+    often = written(often.select("key", "times"), clean=True)
+    # By node and band; what shares fewer keys with all others together than with one that it is linked with, has no link.
+    lists = keys.join(often, "key").groupBy("node", "band").agg(F.sort_array(F.collect_set(F.struct("times", "key"))).alias("keys"), F.max("hollow").alias("hollow"), F.max("need").alias("need"))
+    lists = written(lists.where("size(keys) >= need"), clean=True)
+    # As star edges: each node with the smallest node that keeps one of its rarer keys.
+    rare = written(lists.select("node", F.explode(F.expr("slice(keys.key, 1, size(keys) - need + 1)")).alias("key")), clean=True)
+    stars = rare.join(rare.groupBy("key").agg(F.min("node").alias("b")), "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    groups = components(stars)
+    whole = lists.groupBy("node").agg(F.flatten(F.collect_list("keys.key")).alias("keys"), F.max("hollow").alias("hollow"))
+    near = refined(whole, nodes, groups, percent)
+    members = written(nodes.join(near, "node"), clean=True)
+    dropped(spark, often, lists, rare, groups, near)
     count, total = members.agg(F.count("*"), F.sum("n")).first()
     if not count:
-        return _labelled(of, nodes.select("node", F.col("rep").alias("component_id")), id)
-    some = maybe(rows, "_id", members.select("rep"), count)
-    texts = written(members.select("rep", "node").join(some, F.col("rep") == F.col("_id")).mapInArrow(of_node, "node long, _text string"))
+        return _labelled(of, nodes.select("node", F.col("rep._id").alias("component_id")), id)
+    wanted = members.select(F.col("rep._id").alias("_rep"), F.col("rep._t").alias("_of"), "node")
+    some = maybe(rows, "_t", wanted.select("_of"), count)
+    texts = written(wanted.join(some, F.col("_rep").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_t"))).select("node", "_text").mapInArrow(of_node, "node long, _text string").dropDuplicates(["node"]), clean=True)
     # Several tiles for each partition, so that large groups spread.
-    tiles = tiled(members, max(LEAST_TILE, min(tile, total // (4 * partitions(spark)))))
-    # First the pairs within each tile, to which each group's smallest node comes.
-    leaders = tiles.select("root", "tile").distinct().join(nodes.withColumnRenamed("node", "root"), "root")
-    first = tiles.select("tile", F.lit(0).alias("side"), "node", F.col("node").alias("known"), "rep")
-    first = first.unionByName(leaders.select("tile", F.lit(0).alias("side"), F.col("root").alias("node"), F.col("root").alias("known"), "rep"))
-    links = written(compared(first, texts, words, percent))
-    found = components(links)
-    # Then, in groups of several tiles, all that isn't connected with the smallest node against all tiles of a fitting size.
-    wide = written(tiles.groupBy("root").agg(F.count_distinct("tile").alias("tiles")).where("tiles > 1").select("root"))
-    state = written(tiles.join(wide, "root").join(found.select(F.col("node").alias("rep"), F.col("root").alias("known")), "rep", "left").withColumn("known", F.coalesce("known", "rep")))
-    heads = written(state.where("node = root").select("root", F.col("known").alias("head")))
-    apart = state.join(heads, "root", "left").where(~F.col("known").eqNullSafe(F.col("head")))
-    lone = apart.select("root", "node", "rep", "known", "n", "band", F.col("tile").alias("tile1"))
-    spans = [written(x) for x in (lone.groupBy("root", "tile1").agg(F.min("n").alias("low1"), F.max("n").alias("high1")), state.groupBy("root", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high")))]
-    meet = written(spans[0].join(spans[1], "root").where(F.col("low") * percent <= F.col("high1") * 100).where(F.col("low1") * percent <= F.col("high") * 100).select("root", "tile1", "tile", F.xxhash64("root", "tile1", "tile").alias("pair")))
-    second = lone.join(meet, ["root", "tile1"]).select(F.col("pair").alias("tile"), F.lit(0).alias("side"), "node", "known", "rep")
-    second = second.unionByName(state.join(meet, ["root", "tile"]).select(F.col("pair").alias("tile"), F.lit(1).alias("side"), "node", "known", "rep"))
-    if meet.isEmpty():
-        done = found
-    else:
-        done = components(links.unionByName(compared(second, texts, words, percent)))
-    labels = nodes.join(done.select(F.col("node").alias("rep"), F.col("root").alias("component_id")), "rep", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    return _labelled(of, written(labels), id)
+    spread = 8 * partitions(spark)
+    tiles = tiled(members.select("root", "node", "n"), max(LEAST_TILE, min(tile, 2 * total // spread)), max(LEAST_ROOM, count // spread))
+    fits = (F.col("low") * percent <= F.col("high1") * 100) & (F.col("low1") * percent <= F.col("high") * 100)
+    done = in_two_rounds(tiles, [], lambda rows: compared(rows, texts, words, percent), fits)
+    # The smallest id of each component: what is in none is by itself.
+    labels = nodes.join(done, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.col("rep._id").alias("_rep"))
+    least = labels.groupBy("root").agg(F.min("_rep").alias("component_id"))
+    labels = written(labels.join(least, "root").select("node", "component_id"), clean=True)
+    dropped(spark, members, texts, tiles, done, nodes)
+    return _labelled(of, labels, id)
 
 
 def _labelled(of: DataFrame, labels: DataFrame, id: str) -> DataFrame:

@@ -9,12 +9,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from trestle.sources.tables import removed, shared_dir, written
+from trestle.sources.tables import dropped, removed, shared_dir, written
 
 #: Bytes of the batches that Spark hands to Python; its own default of 64 MB takes as much again on either side, for each core.
 BATCH = 8 << 20
 
-__all__ = ["bounded", "lower_ascii", "mixed", "partitions", "removed", "shared_dir", "slices", "span_hashes", "utf8", "word_spans", "written"]
+__all__ = ["bounded", "dropped", "lower_ascii", "mixed", "partitions", "removed", "shared_dir", "slices", "span_hashes", "utf8", "word_spans", "written"]
 
 
 def partitions(spark: SparkSession) -> int:
