@@ -55,8 +55,8 @@ def test_nothing_to_learn_from(none, docs):
     assert predict(none, empty, ["doc_id"]).count() == 0
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_backoff_scores(docs, rows, order):
+@pytest.mark.parametrize("order,hot", [(1, 5), (2, 5), (2, 1 << 18), (3, 20), (4, 0)])
+def test_backoff_scores(docs, rows, order, hot):
     lower = lambda w: "".join(c.lower() if "A" <= c <= "Z" else c for c in w)
     split = lambda t: [lower(w) for w in "".join(" " if c in " \t\n\x0b\x0c\r" else c for c in t or "").split(" ") if w]
     counts = defaultdict(int)
@@ -77,7 +77,7 @@ def test_backoff_scores(docs, rows, order):
         w = split(r[1])
         s = [math.log10(score(tuple(w[max(0, i - order + 1) : i + 1]))) for i in range(len(w))]
         want[r[0], len(w), round(sum(s) / len(s), 6) if s else None] += 1
-    got = Counter((r.doc_id, r.n_words, None if r.score is None else round(r.score, 6)) for r in scored(docs, order=order).collect())
+    got = Counter((r.doc_id, r.n_words, None if r.score is None else round(r.score, 6)) for r in scored(docs, order=order, hot=hot).collect())
     assert got == want
 
 
@@ -95,7 +95,7 @@ def test_hot_and_long_texts(spark):
     """A third of all rows are one text, one text has a million words, one word is in nearly every text."""
     texts = ["the same text of the"] * 200 + [f"the w{i} the" for i in range(399)] + ["the long " * 500_000]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: (r.n_words, r.score) for r in scored(docs).collect()}
+    got = {r.doc_id: (r.n_words, r.score) for r in scored(docs, hot=10).collect()}
     assert len(got) == 600 and got[599][0] == 1_000_000 and len({got[i] for i in range(200)}) == 1
     assert -0.1 < got[599][1] < 0
 
