@@ -54,13 +54,40 @@ def test_cutoffs_keep_their_promise(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, 0 if i % 10 == 0 else 1) for i in range(0, 4000)] + [(9000, 0), (None, 1), (5, None)], "doc_id long, quality int")
     f = features(docs, "doc_id", "text", "lang").cache()
-    cuts = {(r.stratum, r.rule): r.level for r in cutoffs(f, labels, "doc_id", "quality", 0.02, 0.05).collect()}
-    assert (None, "symbols") in cuts and not any(s == "few" for s, _ in cuts)
+    cuts = {r.stratum: r for r in cutoffs(f, labels, "doc_id", "quality", 0.02, 0.05).collect()}
+    assert cuts[None].cut and cuts[None].k == 0 and cuts[None].hits == 400 and cuts["few"].cut is None and cuts["few"].n == 0
     got = {r.doc_id: r.kept for r in judged(docs, labels).collect()}
     assert all(got[i] for i in range(4000) if i % 10)
     assert not any(got[i] for i in range(0, 4000, 20)) and all(got[9000 + i] for i in range(20))
 
 
+def test_few_labels_suffice_and_ties_are_settled(spark):
+    """Two hundred good documents are enough at alpha 0.02 where nothing good is rejected; of thresholds that reject alike the loosest is used."""
+    rows = [(i, "a" if i < 250 else "b", 100, 40 if i % 25 == 0 else 0, 0, 0, 0, 10, 100, False) for i in range(300)]
+    f = spark.createDataFrame(rows, "id long, stratum string, word_chars long, n_symbols long, n_capitals long, n_dup_lines long, n_repeat_words long, n_lines long, n_words long, base_failed boolean")
+    labels = spark.createDataFrame([(i, 0 if i % 25 == 0 else 1) for i in range(300)], "doc_id long, quality int")
+    got = {r.stratum: r for r in cutoffs(f, labels, "doc_id", "quality", 0.02, 0.05).collect()}
+    assert (got["a"].n, got["a"].k, got["a"].hits) == (240, 0, 10) and got["b"].cut is None
+    # 40 symbols of 100 characters are beyond all cutoffs but 40: level 11 of the first rule.
+    assert got["a"].cut == 4 * 11 and got["a"].p == pytest.approx(0.98**240)
+
+
+def test_simulated_risk(spark):
+    """Where thresholds in truth reject more good documents than alpha, they are certified in at most the promised share of trials."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    trials, n = 300, 400
+    bad = rng.random((trials, n)) < 0.055  # alpha is 0.05
+    rows = [(t * n + i, str(t), 100, 100 if b else 0, 0, 0, 0, 10, 100, False) for t in range(trials) for i, b in enumerate(bad[t].tolist())]
+    rows += [(10**6 + t * 100 + i, str(t), 100, 100, 0, 0, 0, 10, 100, False) for t in range(trials) for i in range(60)]
+    f = spark.createDataFrame(rows, "id long, stratum string, word_chars long, n_symbols long, n_capitals long, n_dup_lines long, n_repeat_words long, n_lines long, n_words long, base_failed boolean")
+    labels = f.selectExpr("id AS doc_id", "IF(id < 1000000, 1, 0) AS quality")
+    each = 0.1  # every trial's part of delta
+    certified = cutoffs(f, labels, "doc_id", "quality", 0.05, each * trials).where("cut IS NOT NULL").count()
+    assert certified <= each * trials
+
+
 def test_no_documents(none, spark):
     assert judged(none, spark.createDataFrame([], "doc_id long, quality int")).count() == 0
 

@@ -1,10 +1,14 @@
 """Quality rules with risk-controlled thresholds, with DataFrame functions only.
 
-A base of fixed rules fails short and repetitive texts. Beyond it, each rule compares a ratio of two counts with a cutoff that
-labelled documents choose, in each stratum by itself. A cutoff may be used if the share of good documents that it
-rejects is certified to be at most `alpha` / rules: the exact probability of seeing so few rejections among the stratum's good
-documents, were the share any larger, is at most `delta` / (rules * strata). Each rule's cutoffs are tested in a fixed sequence, from the loosest on,
-which needs no further correction. Of the certified cutoffs the one is used that rejects the most bad documents less good ones.
+A base of fixed rules fails short and repetitive texts. Beyond it, four ratios of two counts are compared with cutoffs, from loose to strict. All
+cutoffs of all rules stand in one fixed order, loosest first, rule by rule; a document's rank says how early in that order it is first rejected. So
+what a threshold on the rank rejects only grows along the order, and each stratum needs one threshold only, which labelled documents choose.
+
+A threshold may be used if the share of good documents that it rejects is certified to be at most `alpha`: the exact
+probability of seeing so few rejections among the stratum's good documents, were the share any larger, is at most the stratum's part of `delta`.
+The parts are in proportion to the strata's good documents (a weighted Bonferroni correction). Within a stratum the thresholds are tested in
+the fixed order, which needs no further correction. Of the certified thresholds the one is used that rejects the most bad documents less good ones.
+With no rejection seen, log(part) / log(1 - alpha) good documents suffice.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from .shared import written
 from .simhash import SPACES, words
 
 SYMBOLS = "#*$%&|<>"
-#: Rules: 100 * the first count > cutoff * the second. Cutoffs from the loosest to the strictest.
+#: Rules: 100 * the first count > cutoff * the second. As many cutoffs each, from the loosest to the strictest.
 RULES = {
     "symbols": ("n_symbols", "word_chars", (40, 30, 20, 15, 10, 8, 6, 5, 4, 3, 2, 1)),
     "capitals": ("n_capitals", "word_chars", (95, 90, 80, 70, 60, 50, 40, 30, 25, 20, 15, 10)),
@@ -77,27 +81,33 @@ def level(rule: str) -> Column:
     return reduce(Column.__add__, ((100 * F.col(a) > c * F.col(b)).cast("int") for c in cuts))
 
 
+def rank() -> Column:
+    """How early in the order of all cutoffs a row is first rejected: the loosest cutoff of the first rule has the largest number; 0 for none."""
+    ranks = (F.when(level(r) > 0, len(RULES) * level(r) - i).otherwise(0) for i, r in enumerate(RULES))
+    return F.greatest(*ranks)
+
+
 def cutoffs(rows: DataFrame, labels: DataFrame, id: str, quality: str, alpha: float, delta: float) -> DataFrame:
-    """stratum, rule, level: a row is rejected if its level is at least this. One row a stratum and rule that has a certified cutoff.
+    """stratum, n (good documents), k (of them rejected), hits (bad ones rejected), p, part (of delta) and cut, for each stratum.
 
+    A row is rejected if its rank is cut or more; cut is null where no threshold is certified and of use, and so are k, hits and p.
     rows: features(). labels: id and quality (1 good, 0 bad); of several labels of an id the lowest counts, nulls don't. All labelled rows that pass the base count.
     """
     said = labels.where(F.col(id).isNotNull() & F.col(quality).isNotNull()).groupBy(F.col(id).alias("id")).agg(F.min(quality).alias("good"))
-    levels = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), level(r).alias("level")) for r in RULES))).alias("_")
-    seen = rows.where("NOT base_failed").join(said, "id").select("stratum", "good", levels).groupBy("stratum", "_.rule", "_.level").agg(F.count_if(F.col("good") == 1).alias("good"), F.count_if(F.col("good") != 1).alias("bad"))
-    # All levels of all rules in each stratum, and what each cutoff rejects.
-    grid = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(i).alias("level")) for r in RULES for i in range(len(RULES[r][2]) + 1)))).alias("_")
-    strata = seen.select("stratum").distinct()
-    grid = strata.select("stratum", grid).select("stratum", "_.rule", "_.level").alias("g")
-    same = F.col("g.stratum").eqNullSafe(F.col("s.stratum")) & (F.col("g.rule") == F.col("s.rule")) & (F.col("g.level") == F.col("s.level"))
-    full = grid.join(seen.alias("s"), same, "left").select("g.stratum", "g.rule", "g.level", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("bad", F.lit(0)).alias("bad"))
-    by = Window.partitionBy("stratum", "rule")
-    up = by.orderBy("level").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    tested = full.select("stratum", "rule", "level", F.sum("good").over(up).alias("_k"), F.sum("bad").over(up).alias("hits"), F.sum("good").over(by).alias("_n")).where("level > 0")
-    limit = delta / (len(RULES) * max(1, strata.count()))
-    tested = tested.withColumn("p", at_most(F.col("_k").cast("double"), F.col("_n").cast("double"), alpha / len(RULES)))
-    best = F.row_number().over(by.orderBy((F.col("hits") - F.col("_k")).desc(), F.col("level").desc()))
-    return tested.where(F.col("p") <= limit).where("hits > _k").withColumn("_best", best).where("_best = 1").select("stratum", "rule", "level")
+    seen = rows.where("NOT base_failed").join(said, "id").select("stratum", "good", rank().alias("rank")).groupBy("stratum", "rank").agg(F.count_if(F.col("good") == 1).alias("good"), F.count_if(F.col("good") != 1).alias("bad"))
+    seen = written(seen)  # at most 49 rows a stratum
+    strata = seen.groupBy("stratum").agg(F.sum("good").alias("n"))
+    total = strata.agg(F.sum("n")).first()[0] or 1
+    top = len(RULES) * max(len(cuts) for _, _, cuts in RULES.values())
+    grid = strata.select(F.col("stratum").alias("_s"), "n", F.explode(F.sequence(F.lit(1), F.lit(top))).alias("cut"))
+    tested = grid.join(seen, F.col("_s").eqNullSafe(F.col("stratum")) & (F.col("rank") >= F.col("cut")), "left")
+    tested = tested.groupBy(F.col("_s").alias("stratum"), "n", "cut").agg(F.coalesce(F.sum("good"), F.lit(0)).alias("k"), F.coalesce(F.sum("bad"), F.lit(0)).alias("hits"))
+    tested = tested.withColumns({"_k": F.col("k").cast("double"), "_n": F.col("n").cast("double"), "part": delta * F.col("n") / total})
+    tested = tested.withColumn("p", at_most(F.col("_k"), F.col("_n"), alpha)).drop("_k", "_n")
+    best = F.row_number().over(Window.partitionBy("stratum").orderBy((F.col("hits") - F.col("k")).desc(), F.col("cut").desc()))
+    chosen = tested.where("n > 0 AND p <= part AND hits > k").withColumn("_best", best).where("_best = 1").select(F.col("stratum").alias("_s"), "cut", "k", "hits", "p")
+    found = strata.join(chosen, F.col("stratum").eqNullSafe(F.col("_s")), "left")
+    return written(found.select("stratum", "n", "k", "hits", "p", (delta * F.col("n") / total).alias("part"), "cut"))
 
 
 def judged(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", stratum: str = "lang", quality: str = "quality", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
@@ -107,8 +117,7 @@ def judged(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "
     Labels without a row, and rows without a label, are fine; repeated rows each count. No rows give no rows.
     """
     rows = written(features(docs, id, text, stratum))
-    cuts = cutoffs(rows, labels, id, quality, alpha, delta).groupBy("stratum").pivot("rule", list(RULES)).agg(F.min("level"))
-    cuts = cuts.select(F.col("stratum").alias("_stratum"), *(F.col(r).alias(f"_{r}") for r in RULES))
+    cuts = cutoffs(rows, labels, id, quality, alpha, delta).select(F.col("stratum").alias("_stratum"), "cut")
     judged = rows.join(cuts, F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
-    rejected = reduce(Column.__or__, (F.coalesce(level(r) >= F.col(f"_{r}"), F.lit(False)) for r in RULES))
+    rejected = F.coalesce(rank() >= F.col("cut"), F.lit(False))
     return judged.select(F.col("id").alias(id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~rejected).alias("kept"))

@@ -81,12 +81,10 @@ def _quality_sql() -> str:
     """The rules and the exact test in SQL: the same cutoffs, the binomial tail summed up term by term."""
     from .quality import RULES
 
-    rules = {r: (a, b, c) for r, (a, b, c) in RULES.items()}
-    level = lambda r: " + ".join(f"(100 * {rules[r][0]} > {c} * {rules[r][1]})::INT" for c in rules[r][2])
-    levels = " UNION ALL ".join(f"SELECT stratum, good, '{r}' AS rule, {level(r)} AS level FROM labelled" for r in rules)
-    grid = ", ".join(f"('{r}', {i})" for r in rules for i in range(1, len(rules[r][2]) + 1))
-    p = 0.02 / len(rules)
-    beyond = " OR ".join(f"coalesce(({level(r)}) >= (SELECT c.level FROM cuts c WHERE c.rule = '{r}' AND c.stratum IS NOT DISTINCT FROM f.stratum), false)" for r in rules)
+    level = lambda r: " + ".join(f"(100 * {RULES[r][0]} > {c} * {RULES[r][1]})::INT" for c in RULES[r][2])
+    rank = "greatest(" + ", ".join(f"CASE WHEN ({level(r)}) > 0 THEN {len(RULES)} * ({level(r)}) - {i} ELSE 0 END" for i, r in enumerate(RULES)) + ")"
+    top = len(RULES) * max(len(c) for _, _, c in RULES.values())
+    p = 0.02
     return rf"""
         WITH split AS (
             SELECT doc_id, lang AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
@@ -100,20 +98,19 @@ def _quality_sql() -> str:
                    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, length(regexp_replace(t, '[^A-Z]', '', 'g'))::BIGINT AS n_capitals,
                    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(string_split(t, chr(10)))::BIGINT AS n_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
             FROM split LEFT JOIN repeats USING (doc_id)),
-        f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
-        labelled AS (SELECT stratum, good, f.* EXCLUDE (stratum) FROM f JOIN (SELECT doc_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id) WHERE NOT base_failed),
-        levels AS ({levels}),
-        strata AS (SELECT DISTINCT stratum FROM labelled),
+        f AS (SELECT *, {rank} AS rank, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
+        labelled AS (SELECT stratum, good, rank FROM f JOIN (SELECT doc_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id) WHERE NOT base_failed),
         tested AS (
-            SELECT s.stratum, g.rule, g.level, count(*) FILTER (WHERE l.good = 1) AS n, count(*) FILTER (WHERE l.good = 1 AND l.level >= g.level) AS k, count(*) FILTER (WHERE l.good <> 1 AND l.level >= g.level) AS hits
-            FROM strata s CROSS JOIN (VALUES {grid}) AS g(rule, level) JOIN levels l ON l.stratum IS NOT DISTINCT FROM s.stratum AND l.rule = g.rule GROUP BY ALL),
+            SELECT s.stratum, c.cut, s.n, count(*) FILTER (WHERE good = 1 AND rank >= cut) AS k, count(*) FILTER (WHERE good <> 1 AND rank >= cut) AS hits
+            FROM (SELECT stratum, count(*) FILTER (WHERE good = 1) AS n FROM labelled GROUP BY 1) s JOIN labelled l ON l.stratum IS NOT DISTINCT FROM s.stratum, unnest(range(1, {top + 1})) AS c(cut) GROUP BY ALL),
         chances AS (
             SELECT t.*, (SELECT sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({p}) + (n - i) * ln(1 - {p}))) FROM unnest(range(0, least(k, (n * {p})::BIGINT + 1) + 1)) AS r(i)) AS p
             FROM tested t),
         cuts AS (
-            SELECT stratum, rule, level FROM chances WHERE n > 0 AND k < n * {p} AND p <= 0.05 / ({len(rules)} * (SELECT count(*) FROM strata)) AND hits > k
-            QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY hits - k DESC, level DESC) = 1)
-        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({beyond}) AS kept FROM f"""
+            SELECT stratum, cut FROM chances WHERE n > 0 AND k < n * {p} AND p <= 0.05 * n / (SELECT count(*) FROM labelled WHERE good = 1) AND hits > k
+            QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY hits - k DESC, cut DESC) = 1)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND NOT coalesce(rank >= (SELECT c.cut FROM cuts c WHERE c.stratum IS NOT DISTINCT FROM f.stratum), false) AS kept FROM f"""
 
 
 SQL: dict[str, str] = {
