@@ -13,7 +13,7 @@ many empty parts also get a key for each combination of S + 1 of them.
 
 Linked sets share not one key but several, so many at least as a set's size tells. Of its keys, the rarest first, a set may then leave out the most
 frequent ones, one less than it must share: what it is linked with has one of the others, too. So a passage that very many documents hold ties
-only those together that hold little else. The groups that the other keys make are refined by the number of common keys before any text is fetched.
+only those together that hold little else; the texts of the groups that the other keys make are fetched.
 
 Groups are never compared pair by pair. Each tile has the smallest node of its group as a guest; what the tiles leave apart from
 it, and only that, then meets the group's other tiles.
@@ -24,11 +24,11 @@ from __future__ import annotations
 import functools
 import itertools
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .shared import bounded, dropped, lower_ascii, mixed, partitions, slices, span_hashes, utf8, word_spans, written
@@ -90,12 +90,12 @@ def band_of(n: int) -> int:
     return int(np.searchsorted(BANDS, n, "right")) - 1
 
 
-def part_keys(s: np.ndarray, percent: int) -> tuple[list[tuple[int, np.ndarray, int]], int]:
-    """A set's keys by band: the band, the keys, and how many of them it shares with each set that it is linked with under this band; and how many of its own band's parts are empty.
+def part_keys(s: np.ndarray, percent: int) -> list[tuple[int, np.ndarray, int]]:
+    """A set's keys by band: the band, the keys, and how many of them it shares at least with each set that it is linked with under this band.
 
     Two sets of a Jaccard similarity of at least percent / 100 share so many keys under the band of the smaller one, unless they are equal.
     """
-    n, hollow = len(s), 0
+    n = len(s)
     band = band_of(n)
     found = []
     # A pair meets under the band of the smaller set; sets that can be the larger one of such a pair use that band, too.
@@ -113,8 +113,6 @@ def part_keys(s: np.ndarray, percent: int) -> tuple[list[tuple[int, np.ndarray,
         # Both sets' sizes at most: as the larger one under a lower band, or as the smaller one under its own.
         both = int(BANDS[b + 1]) - 1 + n if b < band else n + n * 100 // percent
         need = parts - len(empty) - both * (100 - percent) // (100 + percent)
-        if b == band:
-            hollow = len(empty)
         if parts > 1 and len(empty) > spare:
             some = np.array(list(itertools.combinations(empty.tolist(), spare + 1)), np.uint64)
             code = np.full(len(some), np.uint64(b) * np.uint64(1 << 32) + np.uint64(1 << 31))
@@ -122,7 +120,7 @@ def part_keys(s: np.ndarray, percent: int) -> tuple[list[tuple[int, np.ndarray,
                 code = mixed(code * np.uint64(0x9E3779B97F4A7C15) + column + np.uint64(1))
             keys = np.concatenate([keys, code])
         found.append((b, keys.view(np.int64), max(1, need)))
-    return found, hollow
+    return found
 
 
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -158,69 +156,31 @@ def tile_links(left: list[np.ndarray], right: list[np.ndarray], known: list, per
     return links
 
 
-def near_edges(left: list[tuple], right: list[tuple], percent: int) -> list[tuple[int, int]]:
-    """Edges that connect the nodes, by place, whose common keys allow a link, within left or between left and right. Each: size, empty parts, keys.
-
-    Of the parts of the smaller set's band at most as many differ as elements of a linked pair do, so that the others are equal: as keys, or empty.
-    """
-    both = left + right
-    size = np.array([x[0] for x in both])
-    known, at = np.unique(np.concatenate([x[2] for x in both]), return_inverse=True)
-    row = np.repeat(np.arange(len(both)), [len(x[2]) for x in both])
-    common = np.zeros((len(both), len(both)), np.float32)
-    order = np.argsort(at, kind="stable")
-    for k in range(0, len(known), 4096):
-        some = order[np.searchsorted(at[order], k) : np.searchsorted(at[order], k + 4096)]
-        m = np.zeros((len(both), min(4096, len(known) - k)), np.float32)
-        m[row[some], at[some] - k] = 1
-        common += m @ m.T
-    parts = np.array([band_parts(band_of(int(n)), percent)[0] for n in size]) - np.array([x[1] for x in both])
-    i = np.minimum.outer(size, size) == size[:, None]  # whether the row's set is the smaller one
-    total = np.add.outer(size, size)
-    equal = np.where(i, parts[:, None], parts[None, :]) - total * (100 - percent) // (100 + percent)
-    near = (common >= np.maximum(1, equal)) & (np.minimum.outer(size, size) * (100 + percent) >= percent * total)
-    if right:
-        near[: len(left), : len(left)] = near[len(left) :, len(left) :] = False
-    edges, todo = [], np.ones(len(both), bool)
-    for first in range(len(both)):
-        if not todo[first]:
-            continue
-        todo[first], front = False, np.array([first])
-        while len(front):
-            front = np.flatnonzero(near[front].any(0) & todo)
-            todo[front] = False
-            edges += [(first, k) for k in front.tolist()]
-    return edges
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node that each node of an edge (a, b) is connected with; a table.
 
     Large stars and small stars in turn: every node is tied to the smallest node around, until nothing changes; rounds grow as the
     logarithm of the longest path. Minima are summed up before they are dealt out, and joined back, so that a hot node's rows can be split.
     """
-    spark, done = edges.sparkSession, []
-
-    def table(df: DataFrame) -> DataFrame:
-        done.append(written(df, clean=True))
-        return done[-1]
-
-    now, before = table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
+    spark = edges.sparkSession
+    now, before = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), clean=True), None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = table(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
         # Large star: a node's larger neighbours are tied to the smallest of its neighbours and itself.
-        large = table(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        large = written(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), clean=True)
         # Small star: a node and its smaller neighbours are tied to the smallest of them.
         low = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
         small = low.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("_")).select("_.*")
-        now = table(small.where("a <> b").distinct())
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        seen = Observation()
+        then = written(small.where("a <> b").distinct().observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), clean=True)
+        dropped(spark, now, large)
+        now, state = then, seen.get
         if state == before:
             break
         before = state
-    found = written(now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
-    dropped(spark, *done)
+    found = written(now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), clean=True)
+    dropped(spark, now)
     return found
 
 
@@ -256,39 +216,52 @@ def _edges(found: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def in_two_rounds(tiles: DataFrame, columns: list[str], compare: Callable[[DataFrame], DataFrame], fits: Column | None = None) -> DataFrame:
-    """node, root: what the groups' pairs connect. tiles: root (the group), tile, node, n, columns.
+def with_group(rows: DataFrame, of: DataFrame, salts: int = 16) -> DataFrame:
+    """rows (root, node) joined with of (root: one row a group). A group's rows are dealt out to as many tasks as there are salts."""
+    salted = of.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int")).join(salted, ["root", "_salt"]).drop("_salt")
 
-    First each tile by itself, with its group's smallest node as a guest; then what isn't connected with that node, against the group's other tiles. compare: edges
-    (a, b) from a table of tile, side, node, known, columns. fits: whether tiles with sizes low to high and low1 to high1 can hold a pair.
+
+def tiled(members: DataFrame, grams: int, room: int) -> DataFrame:
+    """members (root, node, n) with tile: of a group and a band of sizes, and wide: whether the group has several. Tiles hold about so many n-grams, and so many members, at most."""
+    banded = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / np.log(1.2)).cast("int"))
+    sums = banded.groupBy("root", "band").agg(F.ceil(F.greatest(F.sum("n") / grams, F.count("*") / room)).cast("int").alias("tiles"))
+    sums = sums.groupBy("root").agg((F.sum("tiles") > 1).alias("wide"), F.map_from_entries(F.collect_list(F.struct("band", "tiles"))).alias("tiles"))  # a group has at most a few dozen bands
+    tile = F.xxhash64("root", "band", F.pmod(F.xxhash64("node"), F.element_at("tiles", F.col("band"))))
+    return written(with_group(banded, sums).select("root", "node", "n", "wide", tile.alias("tile")), clean=True)
+
+
+def connected(tiles: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """node, root: what the links of the groups connect; a table. tiles: tiled().
+
+    First each tile by itself, with its group's smallest node as a guest; then what isn't connected with that node, against the group's other tiles
+    of fitting sizes.
     """
     spark = tiles.sparkSession
 
-    def edges_of(rows: DataFrame) -> DataFrame:
+    def links(rows: DataFrame) -> DataFrame:
         laid = written(rows, clean=True)
-        made = written(compare(laid), clean=True)
+        made = written(compared(laid, texts, words, percent), clean=True)
         dropped(spark, laid)
         return made
 
-    heads = tiles.where("node = root").select("root", *columns)
-    guests = tiles.where("node <> root").select("root", "tile").distinct().join(tiles.where("node = root").select("root", F.col("tile").alias("own")), "root").where("tile <> own").join(heads, "root")
-    first = tiles.select("tile", F.lit(0).alias("side"), "node", F.col("node").alias("known"), *columns)
-    first = first.unionByName(guests.select("tile", F.lit(0).alias("side"), F.col("root").alias("node"), F.col("root").alias("known"), *columns))
-    edges = edges_of(first)
+    own = F.lit(0).alias("side"), "node", F.col("node").alias("known")
+    heads = tiles.where("wide AND node = root").select("root", F.col("tile").alias("own"))
+    guests = tiles.where("wide").select("root", "tile").distinct().join(heads, "root").where("tile <> own").withColumnRenamed("root", "node")
+    edges = links(tiles.select("tile", *own).unionByName(guests.select("tile", *own)))
     found = components(edges)
-    wide = tiles.groupBy("root").agg(F.min("tile").alias("_a"), F.max("tile").alias("_b")).where("_a <> _b").select("root")
-    state = tiles.join(wide, "root", "left_semi").join(found.select("node", F.col("root").alias("known")), "node", "left").withColumn("known", F.coalesce("known", "node"))
+    state = tiles.where("wide").join(found.select("node", F.col("root").alias("known")), "node", "left").withColumn("known", F.coalesce("known", "node"))
     state = written(state, clean=True)
     head = state.where("node = root").select("root", F.col("known").alias("head"))
-    apart = written(state.join(head, "root").where("known <> head").drop("head"), clean=True)
+    apart = written(with_group(state, head).where("known <> head"), clean=True)
     one = apart.groupBy("root", F.col("tile").alias("tile1")).agg(F.min("n").alias("low1"), F.max("n").alias("high1"))
     two = state.groupBy("root", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    meet = one.join(two, "root").where("tile1 <> tile")
-    meet = written((meet if fits is None else meet.where(fits)).select("root", "tile1", "tile", F.xxhash64("root", "tile1", "tile").alias("pair")), clean=True)
+    fits = (F.col("low") * percent <= F.col("high1") * 100) & (F.col("low1") * percent <= F.col("high") * 100)
+    meet = written(one.join(two, "root").where("tile1 <> tile").where(fits).select("tile1", "tile", F.xxhash64("root", "tile1", "tile").alias("pair")), clean=True)
     if not meet.isEmpty():
-        left = apart.withColumnRenamed("tile", "tile1").join(meet, ["root", "tile1"]).select(F.col("pair").alias("tile"), F.lit(0).alias("side"), "node", "known", *columns)
-        right = state.join(meet, ["root", "tile"]).select(F.col("pair").alias("tile"), F.lit(1).alias("side"), "node", "known", *columns)
-        more = edges_of(left.unionByName(right))
+        left = apart.withColumnRenamed("tile", "tile1").join(meet, "tile1").select(F.col("pair").alias("tile"), F.lit(0).alias("side"), "node", "known")
+        right = state.join(meet, "tile").select(F.col("pair").alias("tile"), F.lit(1).alias("side"), "node", "known")
+        more = links(left.unionByName(right))
         again = components(edges.unionByName(more))
         dropped(spark, more, found)
         found = again
@@ -296,39 +269,6 @@ def in_two_rounds(tiles: DataFrame, columns: list[str], compare: Callable[[DataF
     return found
 
 
-def refined(lists: DataFrame, nodes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """node, root: what is connected by pairs of a group whose common keys allow a link. lists: node, hollow, keys."""
-    members = written(nodes.select("node", "n").join(groups, "node").join(lists, "node").select("root", "node", "n", "hollow", "keys"), clean=True)
-    room = max(100, min(2000, members.count() // (8 * partitions(nodes.sparkSession))))
-    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / room).alias("tiles"))
-    tiles = written(members.join(sizes, "root").withColumn("tile", F.xxhash64("root", F.pmod(F.xxhash64("node"), "tiles"))).drop("tiles"), clean=True)
-
-    def joined(table: pa.Table) -> pa.Table:
-        by: dict[int, tuple[list, list]] = {}
-        keys = [k for c in table.column("keys").chunks for k in np.split(c.flatten().to_numpy(), c.value_lengths().to_numpy().cumsum()[:-1])]
-        for t, side, *x in zip(*(table.column(c).to_pylist() for c in ("tile", "side", "node", "n", "hollow")), keys, strict=True):
-            by.setdefault(t, ([], []))[side].append(x)
-        found = []
-        for left, right in by.values():
-            both = left + right
-            found += [(both[i][0], both[k][0]) for i, k in near_edges([x[1:] for x in left], [x[1:] for x in right], percent)] if len(both) > 1 else []
-        return _edges(found)
-
-    def compare(rows: DataFrame) -> DataFrame:
-        return dealt(rows).groupBy("deal").applyInArrow(joined, "a long, b long")
-
-    found = in_two_rounds(tiles, ["n", "hollow", "keys"], compare)
-    dropped(nodes.sparkSession, members, tiles)
-    return found
-
-
-def tiled(members: DataFrame, grams: int, room: int) -> DataFrame:
-    """members with tile: of a group and a band of sizes. Tiles hold about so many n-grams, and so many members, at most."""
-    banded = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / np.log(1.2)).cast("int"))
-    sums = banded.groupBy("root", "band").agg(F.ceil(F.greatest(F.sum("n") / grams, F.count("*") / room)).alias("tiles"))
-    return written(banded.join(sums, ["root", "band"]).withColumn("tile", F.xxhash64("root", "band", F.pmod(F.xxhash64("node"), "tiles"))).select("root", "tile", "node", "n"), clean=True)
-
-
 def maybe(rows: DataFrame, id: str, wanted: DataFrame, count: int) -> DataFrame:
     """The rows whose id may be among the wanted ones (one column, so many rows), so that a join needn't deal out the others.
 
@@ -373,10 +313,10 @@ def linked(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int =
             sets = {set_hash(s): s for s in gram_sets(b.column("_text"), words) if len(s)}
             new = [k for k in sets if k not in told]
             told = told | set(new) if len(told) < 1_000_000 else set(new)
-            made = [(k, hollow, *x) for k in new for bands, hollow in [part_keys(sets[k], percent)] for x in bands]
-            at = np.repeat(np.arange(len(made)), [len(x[3]) for x in made])
-            of = [np.concatenate([np.zeros(0, np.int64), *(x[3] for x in made)]), *(np.array([x[i] for x in made], t)[at] for i, t in ((0, np.int64), (2, np.int32), (1, np.int32), (4, np.int32)))]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in of], ["key", "node", "band", "hollow", "need"])
+            made = [(k, *x) for k in new for x in part_keys(sets[k], percent)]
+            at = np.repeat(np.arange(len(made)), [len(x[2]) for x in made])
+            of = [np.concatenate([np.zeros(0, np.int64), *(x[2] for x in made)]), *(np.array([x[i] for x in made], t)[at] for i, t in ((0, np.int64), (1, np.int32), (3, np.int32)))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in of], ["key", "node", "band", "need"])
 
     def of_node(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row can have the hash of another text; the one whose set is the node's is meant."""
@@ -388,20 +328,17 @@ def linked(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int =
     rep = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_t")).alias("rep")
     nodes = written(of.where("n > 0").groupBy("node").agg(rep, F.first("n").alias("n")), clean=True)
     # Keys that several nodes have, with how often they are given.
-    keys = rows.mapInArrow(keyed, "key long, node long, band int, hollow int, need int")
+    keys = rows.mapInArrow(keyed, "key long, node long, band int, need int")
     often = keys.groupBy("key").agg(F.min("node").alias("_a"), F.max("node").alias("_b"), F.count("*").alias("times")).where("_a < _b")
     often = written(often.select("key", "times"), clean=True)
     # By node and band; what shares fewer keys with all others together than with one that it is linked with, has no link.
-    lists = keys.join(often, "key").groupBy("node", "band").agg(F.sort_array(F.collect_set(F.struct("times", "key"))).alias("keys"), F.max("hollow").alias("hollow"), F.max("need").alias("need"))
-    lists = written(lists.where("size(keys) >= need"), clean=True)
-    # As star edges: each node with the smallest node that keeps one of its rarer keys.
+    lists = keys.join(often, "key").groupBy("node", "band").agg(F.sort_array(F.collect_set(F.struct("times", "key"))).alias("keys"), F.max("need").alias("need")).where("size(keys) >= need")
     rare = written(lists.select("node", F.explode(F.expr("slice(keys.key, 1, size(keys) - need + 1)")).alias("key")), clean=True)
+    # As star edges: each node with the smallest node that keeps one of its rarer keys.
     stars = rare.join(rare.groupBy("key").agg(F.min("node").alias("b")), "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
     groups = components(stars)
-    whole = lists.groupBy("node").agg(F.flatten(F.collect_list("keys.key")).alias("keys"), F.max("hollow").alias("hollow"))
-    near = refined(whole, nodes, groups, percent)
-    members = written(nodes.join(near, "node"), clean=True)
-    dropped(spark, often, lists, rare, groups, near)
+    members = written(nodes.join(groups, "node"), clean=True)
+    dropped(spark, often, rare, groups)
     count, total = members.agg(F.count("*"), F.sum("n")).first()
     if not count:
         return _labelled(of, nodes.select("node", F.col("rep._id").alias("component_id")), id)
@@ -411,8 +348,7 @@ def linked(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int =
     # Several tiles for each partition, so that large groups spread.
     spread = 8 * partitions(spark)
     tiles = tiled(members.select("root", "node", "n"), max(LEAST_TILE, min(tile, 2 * total // spread)), max(LEAST_ROOM, count // spread))
-    fits = (F.col("low") * percent <= F.col("high1") * 100) & (F.col("low1") * percent <= F.col("high") * 100)
-    done = in_two_rounds(tiles, [], lambda rows: compared(rows, texts, words, percent), fits)
+    done = connected(tiles, texts, words, percent)
     # The smallest id of each component: what is in none is by itself.
     labels = nodes.join(done, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.col("rep._id").alias("_rep"))
     least = labels.groupBy("root").agg(F.min("_rep").alias("component_id"))
