@@ -1,3 +1,5 @@
+import fractions
+import functools
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -6,33 +8,85 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from trestle.llm.langid import START, UNKNOWN, held_out, learn, predict, text_words, vocabulary, word_scores
+from trestle.llm.langid import START, UNKNOWN, expected, held_out, learn, predict, rolling, text_words, vocabulary, word_scores
 from trestle.llm.lm import scored
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-def test_forward_sums_all_segmentations():
+@pytest.fixture(scope="module")
+def model():
     v = vocabulary(PATH)
     p = np.vstack([np.random.default_rng(1).dirichlet(np.ones(v.size), 2).T, np.zeros(2)])
     at = dict(zip((int(c) for c in v.codes), range(v.size), strict=True))
-    from trestle.llm.langid import rolling
-
     code = lambda s: int(rolling(np.frombuffer(s.encode("utf-32-le"), "<u4")[None])[0, -1])
+    return v, p, lambda s: at.get(code(s))
 
-    def total(s, k):
-        if not s:
-            return 1.0
-        return sum((max(p[at[code(s[:n])], k] if code(s[:n]) in at else 0, UNKNOWN if n == 1 else 0)) * total(s[n:], k) for n in range(1, min(10, len(s)) + 1))
 
-    for w in ("the", "straße", "zq"):
-        assert word_scores(v, p, [w])[0].tolist() == pytest.approx([math.log(total(START + w, k)) for k in (0, 1)])
+#: Short words; pieces of more than ten letters; sixty letters; runs of a script without spaces.
+WORDS = ["the", "straße", "zq", "internationalization", "responsibilities", "the" * 20, "straßenbahn" * 6, "q" * 75, "日本語文字" * 20]
+
+
+def chance(model, p, s, k):
+    """By recursion over the first piece: all segmentations, unlimited pieces."""
+    piece = model[2]
+
+    @functools.lru_cache(None)
+    def total(s):
+        if not s:
+            return fractions.Fraction(1)
+        found = fractions.Fraction(0)
+        for n in range(1, len(s) + 1):
+            i = piece(s[:n])
+            q = max(p[i, k] if i is not None else 0, UNKNOWN if n == 1 else 0)
+            if q:
+                found += fractions.Fraction(float(q)) * total(s[n:])
+        return found
+
+    found = total(START + s)
+    return math.log(found.numerator) - math.log(found.denominator)
+
+
+def test_forward_sums_all_segmentations(model):
+    v, p, piece = model
+    assert v.longest > 15 and piece(max(v.pieces, key=len)) is not None
+    got = word_scores(v, p, WORDS)
+    for w, row in zip(WORDS, got.tolist(), strict=True):
+        assert row == pytest.approx([chance(model, p, w, k) for k in (0, 1)], rel=1e-9)
+    assert word_scores(v, p, ["a" * 400_000]).shape == (1, 2)
+
+
+@pytest.mark.parametrize("word", ["straße", "internationalization", "the" * 20])
+def test_expectations(model, word):
+    """The expected count of a piece is the derivative of the logarithm of the word's chance by the piece's, times the latter."""
+    v, p, piece = model
+    p = p[:, [0]].copy()
+    got = expected(v, p, [word], np.array([2.0]))
+    s = START + word
+    for n in (1, 2, 3, 5):
+        i = piece(s[1 : 1 + n])
+        if i is not None:
+            more = p.copy()
+            more[i] *= 1.0001
+            slope = (word_scores(v, more, [word]) - word_scores(v, p, [word]))[0, 0] / math.log(1.0001)
+            assert got[i] == pytest.approx(2 * slope, rel=1e-3, abs=1e-7)
+    # Every letter, and the mark, is in one piece of each segmentation, or unknown.
+    names = dict((piece(x), x) for x in v.pieces)
+    assert sum(got[i] * len(names[i]) for i in np.flatnonzero(got)) <= 2 * len(s) + 1e-6
+
+
+def test_a_long_run_of_letters(spark):
+    rows = [(i, "the road and the width of the lane " * 5, "en") for i in range(8)] + [(10 + i, "la route et la largeur de la voie " * 5, "fr") for i in range(8)]
+    rows += [(30, "theroadandthewidthofthelane" * 20_000, None), (31, "larouteetlalargeurdelavoie" * 3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.row.doc_id: r.lang_pred for r in predict(docs, learn(docs, PATH), ["doc_id"]).collect()}
+    assert got[30] == "en" and got[31] == "fr"
 
 
 def test_words():
     assert text_words("Éa b2c x²\n'd' 12") == ["éa", "b", "c", "x", "d"]
     assert text_words("12 ² --") == text_words(None) == text_words("") == []
-    assert sum(map(len, text_words("a" * 100))) == 100
+    assert text_words("a" * 100) == ["a" * 100]
 
 
 def test_predictions(spark, docs, rows):

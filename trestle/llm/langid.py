@@ -4,6 +4,9 @@ A word is a run of letters, in lower case, behind a mark of its start. Each lang
 public vocabulary a probability, and a word the sum over all its segmentations of the products of its pieces'
 probabilities: a forward pass over the word's positions. The pieces' probabilities are
 learned by expectation maximisation, from forward and backward passes over words of known language.
+
+All pieces and all words count, however long. Words of usual length are taken together by their length; longer ones in windows of
+positions, with the sums of as many positions before as the longest piece has characters, scaled as they go.
 """
 
 from __future__ import annotations
@@ -22,8 +25,12 @@ from pyspark.sql import functions as F
 from .shared import bounded, mixed, slices, written
 
 START = "▁"
-#: The longest piece, and the longest word; what is longer is read as several words.
-PIECE, WORD = 10, 24
+#: Letters of the words that are taken together by length: with so many, sums need no scaling.
+SHORT = 30
+#: Piece numbers that a window of longer words holds at once.
+WINDOW = 400_000
+#: A model has a column for each language, and each task holds it: so many at most.
+LANGUAGES = 1000
 #: The probability that every language gives a character that is no piece.
 UNKNOWN = 1e-8
 
@@ -37,22 +44,23 @@ def text_words(text: str | None) -> list[str]:
     for w in _LETTERS.findall((text or "").lower()):
         if not w.isalpha():  # letters only: numerals count as word characters, too
             w = "".join(filter(str.isalpha, w))
-        if len(w) > WORD:
-            found += [w[i : i + WORD] for i in range(0, len(w), WORD)]
-        elif w:
+        if w:
             found.append(w)
     return found
 
 
-def rolling(codes: np.ndarray) -> np.ndarray:
-    """Prefix hashes of rows of character codes."""
-    out = np.zeros((codes.shape[0], codes.shape[1] + 1), np.uint64)
-    for k in range(codes.shape[1]):
-        out[:, k + 1] = out[:, k] * np.uint64(_BASE) + mixed(codes[:, k].astype(np.uint64) + np.uint64(1))
-    return out
+def powers(n: int, base: int = _BASE) -> np.ndarray:
+    out = np.full(n + 1, np.uint64(base))
+    out[0] = 1
+    return np.cumprod(out)
 
 
-_POWER = np.array([pow(_BASE, k, 1 << 64) for k in range(WORD + 2)], np.uint64)
+def rolling(codes: np.ndarray) -> np.ndarray:
+    """Prefix hashes of rows of character codes: each the one before times the base, and the character's own."""
+    n = codes.shape[1]
+    out = np.zeros((codes.shape[0], n + 1), np.uint64)
+    np.cumsum(mixed(codes.astype(np.uint64) + np.uint64(1)) * powers(n, pow(_BASE, -1, 1 << 64))[1:], axis=1, out=out[:, 1:])
+    return out * powers(n)
 
 
 class Vocabulary:
@@ -67,9 +75,11 @@ class Vocabulary:
                 except UnicodeDecodeError:
                     continue
                 t = START + t[1:] if t[:1] == " " else t
-                if t and len(t) <= PIECE and (t == START or t.removeprefix(START).isalpha()):
+                if t and (t == START or t.removeprefix(START).isalpha()):
                     found.add(t)
         self.pieces = sorted(found | {START})
+        self.longest = max(map(len, self.pieces))
+        self.power = powers(self.longest)
         codes = np.array([int(rolling(np.frombuffer(p.encode("utf-32-le"), "<u4")[None])[0, -1]) for p in self.pieces], np.uint64)
         order = np.argsort(codes)
         self.codes, self.size = codes[order], len(codes)
@@ -96,15 +106,15 @@ def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def lattice(v: Vocabulary, codes: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
     """The piece numbers of all substrings, by their start and end."""
     h, n = rolling(codes), codes.shape[1]
-    return {(a, b): v.index(h[:, b] - h[:, a] * _POWER[b - a]) for b in range(1, n + 1) for a in range(max(0, b - PIECE), b)}
+    return {(a, b): v.index(h[:, b] - h[:, a] * v.power[b - a]) for b in range(1, n + 1) for a in range(max(0, b - v.longest), b)}
 
 
-def forward(p: np.ndarray, at: dict[tuple[int, int], np.ndarray], rows: int, n: int) -> list[np.ndarray]:
+def forward(p: np.ndarray, at: dict[tuple[int, int], np.ndarray], rows: int, n: int, longest: int) -> list[np.ndarray]:
     """For each position, the sum over all segmentations of what comes before it. p: of pieces by language."""
     f = [np.ones((rows, p.shape[1]))]
     for b in range(1, n + 1):
         total = np.zeros_like(f[0])
-        for a in range(max(0, b - PIECE), b):
+        for a in range(max(0, b - longest), b):
             q = p[at[a, b]]
             if a == b - 1:
                 q = np.maximum(q, UNKNOWN)
@@ -113,25 +123,76 @@ def forward(p: np.ndarray, at: dict[tuple[int, int], np.ndarray], rows: int, n:
     return f
 
 
+def ending(v: Vocabulary, h: np.ndarray, low: int, high: int) -> np.ndarray:
+    """The numbers of the pieces that end at positions low + 1 to high of each row, by position and length. h: prefix hashes."""
+    b = np.arange(low + 1, high + 1)[:, None]
+    a = b - np.arange(1, v.longest + 1)
+    codes = h[:, b] - h[:, np.maximum(a, 0)] * v.power[1:]
+    return np.where(a >= 0, v.index(codes), v.size)
+
+
+def long_scores(v: Vocabulary, p: np.ndarray, words: list[str]) -> np.ndarray:
+    """word_scores() of words of any length."""
+    out = np.zeros((len(words), p.shape[1]))
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    order = np.argsort(lengths)
+    for some in np.split(order, np.flatnonzero(np.diff(np.log2(lengths[order]).astype(int))) + 1):
+        for rows in np.array_split(some, -(-int(lengths[some].sum()) // 2_000_000)) if len(some) > 1 else [some]:
+            n = int(lengths[rows].max())
+            codes = np.frombuffer("".join((START + words[i]).ljust(n, "\0") for i in rows).encode("utf-32-le"), "<u4").reshape(len(rows), n)
+            h = rolling(codes)
+            before = np.zeros((len(rows), v.longest, p.shape[1]))  # the sums at the positions before, the nearest first, scaled
+            before[:, 0] = 1
+            scale = np.zeros((len(rows), p.shape[1]))
+            width = max(1, WINDOW // (len(rows) * v.longest))
+            for low in range(0, n, width):
+                pieces = ending(v, h, low, min(n, low + width))
+                for k in range(pieces.shape[1]):
+                    q = p[pieces[:, k]]
+                    np.maximum(q[:, 0], UNKNOWN, out=q[:, 0])
+                    new = np.einsum("rjl,rjl->rl", before, q)
+                    before[:, 1:] = before[:, :-1].copy()
+                    before[:, 0] = new
+                    b = low + k + 1
+                    if b % 8 == 0 or b == n or (lengths[rows] == b).any():
+                        scale += np.log(new)
+                        before /= new[:, None]
+                        done = np.flatnonzero(lengths[rows] == b)
+                        out[rows[done]] = scale[done]
+    return out
+
+
 def word_scores(v: Vocabulary, p: np.ndarray, words: list[str]) -> np.ndarray:
     """The logarithm of each word's probability in each language."""
     out = np.zeros((len(words), p.shape[1]))
+    long = [i for i, w in enumerate(words) if len(w) > SHORT]
+    if long:
+        out[long] = long_scores(v, p, [words[i] for i in long])
+        short = [i for i, w in enumerate(words) if len(w) <= SHORT]
+        out[short] = word_scores(v, p, [words[i] for i in short])
+        return out
     for rows, codes in by_length(words):
-        out[rows] = np.log(forward(p, lattice(v, codes), *codes.shape)[-1])
+        out[rows] = np.log(forward(p, lattice(v, codes), *codes.shape, v.longest)[-1])
     return out
 
 
 def expected(v: Vocabulary, p: np.ndarray, words: list[str], counts: np.ndarray) -> np.ndarray:
     """How often each piece is expected in the words, over all their segmentations. p: one language's column."""
     out = np.zeros(v.size + 1)
+    long = [i for i, w in enumerate(words) if len(w) > SHORT]
+    for i in long:
+        out += counts[i] * long_expected(v, p[:, 0], words[i])
+    if long:
+        short = np.array([i for i, w in enumerate(words) if len(w) <= SHORT], np.int64)
+        return out[:-1] + expected(v, p, [words[i] for i in short], counts[short])
     for rows, codes in by_length(words):
         n = codes.shape[1]
         at = lattice(v, codes)
-        f = forward(p, at, *codes.shape)
+        f = forward(p, at, *codes.shape, v.longest)
         back = [None] * n + [np.ones((len(rows), 1))]
         for a in range(n - 1, -1, -1):
             back[a] = np.zeros((len(rows), 1))
-            for b in range(a + 1, min(n, a + PIECE) + 1):
+            for b in range(a + 1, min(n, a + v.longest) + 1):
                 q = p[at[a, b]]
                 q = np.maximum(q, UNKNOWN) if b == a + 1 else q
                 np.add.at(out, at[a, b], (counts[rows, None] * f[a] * q * back[b] / f[n])[:, 0])
@@ -139,6 +200,46 @@ def expected(v: Vocabulary, p: np.ndarray, words: list[str], counts: np.ndarray)
     return out[:-1]
 
 
+def long_expected(v: Vocabulary, p: np.ndarray, word: str) -> np.ndarray:
+    """expected() of one word of any length: forward and backward sums as logarithms."""
+    codes = np.frombuffer((START + word).encode("utf-32-le"), "<u4")[None]
+    n, h, width = codes.shape[1], rolling(codes), max(1, WINDOW // v.longest)
+    spans = [(low, min(n, low + width)) for low in range(0, n, width)]
+
+    def chances(low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        pieces = ending(v, h, low, high)[0]
+        q = p[pieces]
+        q[:, 0] = np.maximum(q[:, 0], UNKNOWN)
+        return pieces, q
+
+    ahead, back = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    ahead[0] = back[n] = 0
+    for low, high in spans:
+        _, q = chances(low, high)
+        for k in range(high - low):
+            b = low + k + 1
+            m = min(b, v.longest)
+            terms = ahead[b - m : b][::-1]
+            top = terms.max()
+            ahead[b] = top + np.log(np.exp(terms - top) @ q[k, :m])
+    for low, high in reversed(spans):
+        _, q = chances(low, high)
+        for k in range(high - low - 1, -1, -1):
+            b = low + k + 1
+            m = min(b, v.longest)
+            with np.errstate(divide="ignore"):
+                terms = back[b] + np.log(q[k, :m])
+            back[b - m : b] = np.logaddexp(back[b - m : b], terms[::-1])
+    out = np.zeros(v.size + 1)
+    for low, high in spans:
+        pieces, q = chances(low, high)
+        b = np.arange(low + 1, high + 1)[:, None]
+        a = b - np.arange(1, v.longest + 1)
+        share = np.where(a >= 0, np.exp(ahead[np.maximum(a, 0)] + back[b] - ahead[n]), 0) * q
+        np.add.at(out, pieces, share)
+    return out
+
+
 class Model:
     """langs, and p: the pieces' probabilities by language, with a row of zeros at the end."""
 
@@ -161,6 +262,8 @@ def learn(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", la
     known = docs.where(F.col(id).isNotNull() & F.col(text).isNotNull() & F.col(lang).isNotNull() & ~held_out(id)).select(F.col(id).alias("_id"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
     there = {r["_lang"]: r["count"] for r in known.groupBy("_lang").count().collect()}
     langs = sorted(there)
+    if len(langs) > LANGUAGES:
+        raise ValueError(f"{len(langs)} languages; a model has at most {LANGUAGES}")
     v = vocabulary(path)
     if not langs:
         return Model(path, [], np.zeros((v.size + 1, 0)))
