@@ -74,14 +74,27 @@ _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _OF_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * _BASE)
 
 
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the base, and of its inverse, from 0 to n; kept from one batch to the next up to 8 million of them."""
+    found = _POWERS
+    if len(found[0]) <= n:
+        found = []
+        for base in (_BASE, _BACK):
+            out = np.full(max(n, 1 << 20) + 1, base)
+            out[0] = 1
+            found.append(np.cumprod(out))
+        if n <= 8 << 20:
+            _POWERS[:] = found
+    return found[0][: n + 1], found[1][: n + 1]
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span, from prefix sums of a polynomial in an odd base modulo 2**64."""
     n = len(data)
-    power = np.full(n + 1, _BASE)
-    back = np.full(n + 1, _BACK)
-    power[0] = back[0] = 1
-    np.cumprod(power, out=power)
-    np.cumprod(back, out=back)
+    power, back = _powers(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_OF_BYTE[data] * power[:n], out=sums[1:])
     return mixed((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
