@@ -3,9 +3,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trestle.llm.linededup import LineRuns, drop_lines
-from trestle.llm.mixing import mixed_documents, mixed_sizes, permuted
+from trestle.llm.mixing import mixed_documents, mixed_sizes, permuted, shard_draws, source_slots, source_targets, word_counts
+from trestle.llm.shared import written
 
 WS = " \t\n\x0b\x0c\r"
 
@@ -121,6 +123,54 @@ def test_mixed_texts_are_what_was_taken(docs):
     assert n == Counter({k: v for k, v in m.items() if v})
 
 
+def test_draws():
+    """Whole shards, drawn: each is as full as it should be, together they are the quotas, alone they spread as draws do."""
+    counts = np.array([30_000, 9_000, 1, 60_000])
+    made = list(shard_draws(counts, 512, 7, 0, 10**9))
+    assert [k for k, _, _ in made] == list(range(-(-int(counts.sum()) // 512)))
+    assert all(n.sum() == 512 for _, _, n in made[:-1]) and (sum(n for _, _, n in made) == counts).all()
+    before = np.zeros(4, np.int64)
+    for _, first, n in made:
+        assert (first == before).all()
+        before = before + n
+    # Any shard by itself is the same.
+    for low, high in ((0, 1), (17, 18), (100, 140)):
+        assert [(k, n.tolist()) for k, _, n in shard_draws(counts, 512, 7, low, high)] == [(k, n.tolist()) for k, _, n in made[low:high]]
+    share = counts / counts.sum()
+    spread = np.array([n for _, _, n in made[:-1]], float).std(0)
+    assert spread[[0, 1, 3]] == pytest.approx(np.sqrt(512 * share * (1 - share))[[0, 1, 3]], rel=0.2)
+    # More slots than one draw takes are halved in proportion.
+    many = np.array([7 * 10**11, 3 * 10**11 + 5, 11])
+    k, first, n = next(shard_draws(many, 8192, 7, 10**7, 10**7 + 1))
+    assert n.sum() == 8192 and (first <= many).all() and abs(n[0] / 8192 - 0.7) < 0.05
+
+
+def test_taken_is_what_the_slots_hold(spark, docs, rows):
+    """By brute force over the written slots: the blocks of each source are those of its stream of words, and each pass permutes them."""
+    base = word_counts(docs, "text", [F.col("source").alias("_source")])
+    got = Counter()
+    for r in mixed_sizes(docs, id="source", block=8, shard=64).collect():
+        got[r.source] += r.taken
+    of = written(source_targets(base))
+    slots = source_slots(of, 8, 64, 7).collect()
+    held = Counter((r.s, r.epoch, r.b) for r in slots)
+    assert max(held.values()) == 1  # a permutation never gives a block twice
+    for r in of.collect():
+        blocks = -(-r.source_size // 8)
+        mine = [(e, b) for s, e, b in held if s == r.s]
+        assert len(mine) == round(r.target * blocks / r.source_size) if r.source_size else not mine
+        assert {e for e, _ in mine} <= {0, 1} and sum(e == 0 for e, _ in mine) == min(len(mine), blocks)
+        taken = sum(min(8, r.source_size - 8 * b) for _, b in mine)
+        assert got[r._source] == taken
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "a b " * 1_000_000, "x"), (2, "c", "y"), (3, None, None)], "doc_id long, text string, source string")
+    got = {r.doc_id: (r.size, r.taken) for r in mixed_sizes(docs).collect()}
+    assert got[1][0] == 2_000_000 and got[2] == (1, 2) and got[3] == (0, 0)
+    assert abs(got[1][1] - (1.5 * 2_000_001 - 2)) <= 64
+
+
 def test_no_mix(none):
     assert mixed_sizes(none).count() == 0 and mixed_documents(none).count() == 0
 

@@ -1,9 +1,10 @@
 """Mixing sources to target weights.
 
 The words of each source, document after document, are packed into blocks of fixed length. The mix is made of
-shards of so many slots; each shard draws how many of its slots each source gets: the whole part of
-its share, and the rest of the slots by a multinomial over the fractions. The slots of a source are
-numbered through all shards, and a pseudorandom permutation of the source's block indices, another one each time
+shards of so many slots; each shard draws how many of its slots each source gets. The draws are multinomial and, taken together, conditioned on
+the sources' targets, which are met to the block: halves of the shards get their slots by a multivariate hypergeometric draw from what both
+halves get, down to the single shard. So a task can draw any shard by itself, and knows how many slots of each source come before it. The slots
+of a source are numbered through all shards, and a pseudorandom permutation of the source's block indices, another one each time
 the source starts anew, says which block each slot holds. Slots and blocks meet in a join on that index.
 """
 
@@ -21,6 +22,10 @@ from pyspark.sql import functions as F
 from .shared import bounded, mixed, partitions, slices, utf8, word_spans, written
 
 _SUM = Window.unboundedPreceding, -1
+#: Every task holds the list of sources: so many at most.
+SOURCES = 100_000
+#: Slots among which one hypergeometric draw is made; more are halved in proportion first.
+DRAW = 900_000_000
 
 
 def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -78,7 +83,7 @@ def mix(docs: DataFrame, carry: list[str], id: str = "doc_id", source: str = "so
     lo to hi, how often they are taken, and a bit for each pass over the source that takes them.
 
     A null text has no words; a null source is a source. Rows are told apart by a number that is fixed when the first table is
-    written, so repeated rows and null ids are documents of their own. Sources without words have the target 0.
+    written, so repeated rows and null ids are documents of their own. Sources without words have the target 0. There may be up to SOURCES sources.
     Draws depend on seed and on places only, so that reruns agree as long as documents do.
     """
     spark = docs.sparkSession
@@ -104,46 +109,66 @@ def mix(docs: DataFrame, carry: list[str], id: str = "doc_id", source: str = "so
     return rows, taken.select("row", "lo", "hi", "times", "epochs")
 
 
+def halved(counts: np.ndarray, most: int, chance: np.random.Generator) -> np.ndarray:
+    """How many of the slots of each source are among the first `most` of all, in a random order."""
+    total = int(counts.sum())
+    if total <= DRAW:
+        return chance.multivariate_hypergeometric(counts, most, method="marginals")
+    part = counts * (most / total)
+    left = np.floor(part).astype(np.int64)
+    rest = most - int(left.sum())  # what the whole parts leave goes to the largest fractions
+    left[np.argsort(left - part, kind="stable")[:rest]] += 1
+    return np.minimum(left, counts)
+
+
+def shard_draws(counts: np.ndarray, shard: int, seed: int, low: int, high: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of shards low to high - 1: its number, how many slots of each source come before it, and how many it has. counts: the slots of each source in all shards."""
+    total = int(counts.sum())
+
+    def draw(a: int, b: int, before: np.ndarray, own: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if a >= high or b <= low:
+            return
+        if b - a == 1:
+            yield a, before, own
+            return
+        m = (a + b) // 2
+        left = halved(own, m * shard - a * shard, np.random.default_rng([seed, a, b]))
+        yield from draw(a, m, before, left)
+        yield from draw(m, b, before + left, own - left)
+
+    if total:
+        yield from draw(0, -(-total // shard), np.zeros_like(counts), counts)
+
+
 def source_slots(of: DataFrame, block: int, shard: int, seed: int) -> DataFrame:
     """s, b, epoch: the blocks that the slots of all shards hold. of has one row a source, and goes to every task."""
     spark = of.sparkSession
-    quota = of.where("source_size > 0 AND target > 0").withColumn("blocks", F.ceil(F.col("source_size") / block)).withColumn("quota", F.col("target") * F.col("blocks") / F.col("source_size"))
-    total = quota.agg(F.sum("quota")).first()[0] or 0.0
-    shards = max(1, math.ceil(total / shard))
-    width = total / shards  # every shard's share of the slots
-    share = quota.select("s", "blocks", (F.col("quota") / (total or 1.0) * width).alias("mean"))
-    told = spark.sparkContext.broadcast(np.array(share.orderBy("s").collect(), np.float64).reshape(-1, 3).T)
-
-    def draw(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, blocks, mean = told.value
-        fraction = mean - np.floor(mean)
-        for p in parts:
-            for k in p.column("id").to_pylist():
-                chance = np.random.default_rng([seed, k])
-                trials = int(fraction.sum() + chance.random())  # as many slots as the whole parts leave
-                n = np.floor(mean) + (chance.multinomial(trials, fraction / fraction.sum()) if trials else 0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), k)), *(pa.array(x.astype(np.int64)) for x in (s, blocks, n))], ["shard", "s", "blocks", "n"])
-
-    counts = spark.range(shards if total else 0).mapInArrow(draw, "shard long, s long, blocks long, n long")
-    first = F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("shard").rowsBetween(*_SUM)), F.lit(0))
-    # A source with a third of all slots is dealt out again by shard, before its slots are made.
-    numbered = counts.withColumn("first", first).where("n > 0").repartition(partitions(spark), "s", "shard").select("s", "blocks", "first", "n")
+    blocks = F.ceil(F.col("source_size") / block)
+    quota = of.where("source_size > 0 AND target > 0").select("s", blocks.alias("blocks"), F.least(F.round(F.col("target") * blocks / F.col("source_size")), 2 * blocks).cast("long").alias("quota"))
+    if quota.count() > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources")
+    told = spark.sparkContext.broadcast(np.array(quota.orderBy("s").collect(), np.int64).reshape(-1, 3).T)
+    shards = -(-int(told.value[2].sum()) // shard)
 
     def held(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sources, blocks, counts = told.value
         made: list[tuple[np.ndarray, ...]] = []
         for p in parts:
-            for s, blocks, first, n in zip(*(p.column(c).to_pylist() for c in ("s", "blocks", "first", "n")), strict=True):
-                slot = np.arange(first, min(first + n, 2 * blocks))  # no source is passed more than twice
-                for e in (0, 1):
-                    i = slot[slot // blocks == e] - e * blocks
-                    made.append((np.full(len(i), s), permuted(i, blocks, seed * 1_000_003 + s * 2 + e), np.full(len(i), e, np.int32)))
+            ids = p.column("id").to_numpy()
+            for _, before, own in shard_draws(counts, shard, seed, int(ids[0]), int(ids[-1]) + 1):
+                for k in np.flatnonzero(own).tolist():
+                    slot = np.arange(before[k], before[k] + own[k])
+                    for e in (0, 1):  # no source is passed more than twice
+                        i = slot[slot // blocks[k] == e] - e * blocks[k]
+                        made.append((np.full(len(i), sources[k]), permuted(i, int(blocks[k]), seed * 1_000_003 + int(sources[k]) * 2 + e), np.full(len(i), e, np.int32)))
                 if sum(len(x[0]) for x in made) > 100_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*made, strict=True)], ["s", "b", "epoch"])
                     made = []
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*made, strict=True)], ["s", "b", "epoch"])
 
-    return numbered.mapInArrow(held, "s long, b long, epoch int")
+    # Each task has a run of neighbouring shards.
+    return spark.range(0, shards, 1, max(1, min(shards, 4 * partitions(spark)))).mapInArrow(held, "s long, b long, epoch int")
 
 
 def mixed_sizes(docs: DataFrame, id: str = "doc_id", **how) -> DataFrame:
