@@ -184,6 +184,40 @@ def test_fingerprints(docs, rows):
     assert np.mean([r.near_edited - r.near_next for r in long]) > 0.1
 
 
+def votes(text):
+    """A fingerprint by counting each bit's votes over the terms, with another implementation of the hash."""
+    import struct
+
+    import xxhash
+
+    w = [x for x in "".join(" " if c in WS else c for c in text).split(" ") if x]
+    up = [0] * 128
+    for a, b in zip(w, [*w[1:], None], strict=False):
+        h = xxhash.xxh64_intdigest(a.encode(), seed=42)
+        h = xxhash.xxh64_intdigest(b.encode(), seed=h) if b is not None else h
+        bits = h | xxhash.xxh64_intdigest(struct.pack("<i", 1), seed=h) << 64
+        weight = min(16, len(a) + len(b or ""))
+        for i in range(128):
+            up[i] += weight if bits >> i & 1 else -weight
+    halves = [sum((up[64 * k + i] > 0) << i for i in range(64)) for k in (0, 1)]
+    return "".join(f"{x:016x}" for x in halves)
+
+
+def test_votes(spark):
+    texts = ["", "one", "one two", "the same word the same word", "é 日本語 " + "x" * 40 + " A a", " ".join(f"w{i * i % 97}" for i in range(500))]
+    rows = list(enumerate(texts)) + [(3, texts[3])] * 5
+    got = fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), lambda c: F.col(c) >= 0).collect()
+    assert len(got) == 11 and {(r.doc_id, r.fingerprint) for r in got} == {(i, votes(t)) for i, t in enumerate(texts)}
+
+
+def test_many_equal_rows_and_long_texts(spark):
+    """Sums of one row are never added to another's; a text of millions of words doesn't run over."""
+    long = "aaaaaaaa bbbbbbbb " * 500_000
+    docs = spark.range(30_000).selectExpr("CAST(NULL AS bigint) AS doc_id", "'the same text' AS text").unionByName(spark.createDataFrame([(7, long)], "doc_id long, text string"))
+    got = fingerprints(docs, lambda c: F.col(c) >= 0).groupBy("doc_id", "fingerprint").count().collect()
+    assert {(r.doc_id, r.fingerprint, r["count"]) for r in got} == {(None, votes("the same text"), 30_000), (7, votes("aaaaaaaa bbbbbbbb " * 50), 1)}
+
+
 def test_block_tables_find_all(spark, tmp_path):
     rng = np.random.default_rng(1)
     base = [int(x) for x in rng.integers(0, 2**63, 60)]
@@ -219,7 +253,7 @@ def test_wide_radii_find_all(spark, tmp_path, radius):
             f ^= 1 << int(b)
         rows.append((i, *(x - 2**64 if x >= 2**63 else x for x in (f % 2**64, f >> 64)), 1 + i % 2))
     path = str(tmp_path / "f")
-    spark.createDataFrame(rows, "id long, f0 long, f1 long, n long").write.parquet(path)
+    spark.createDataFrame(rows, "id long, f0 long, f1 long, n long").withColumn("_", F.explode(F.expr("sequence(1, n)"))).write.parquet(path)
     got = {(r.f0, r.f1): r.n_near for r in near_counts(spark.read.parquet(path), lambda c: F.col(c) % 3 == 0, radius).collect()}
     apart = lambda a, b: sum(((x ^ y) % 2**64).bit_count() for x, y in zip(a[1:3], b[1:3], strict=True))
     assert got == {(a[1], a[2]): sum(b[3] for b in rows if apart(a, b) <= radius) - 1 for a in rows if a[0] % 3 == 0}

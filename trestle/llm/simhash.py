@@ -1,9 +1,10 @@
 """Document fingerprints by SimHash, with DataFrame functions only.
 
 The terms of a text are its pairs of neighbouring words (the last word with nothing), each weighing as many as its
-characters, up to a bound. Every bit of a term's 128-bit hash votes with the term's weight, and a bit of the fingerprint is
-set if more than half of all weight votes for it. Two bits' votes share a 64-bit sum, 32 bits each, so 64 sums make a
-fingerprint; they are summed up within the task that reads a text before anything is shuffled.
+characters, up to a bound, so that no single run of characters outvotes a text. Every bit of a term's 128-bit hash votes with the term's weight, and a bit of
+the fingerprint is set if more than half of all weight votes for it. Two bits' votes share a 64-bit sum, 32 bits each, so 64 sums make a
+fingerprint; they are summed up within the task that reads a text before anything is shuffled. A text weighs at most twice its
+characters, of which a row holds less than 2**31, so that no sum runs over; each row is summed up by itself.
 
 Near fingerprints are found by block tables: the 128 bits are cut into blocks that may each differ in a few bits, so many that
 fingerprints within the radius keep to it in one block at least. Fingerprints have a row for each block; those that ask have one
@@ -33,19 +34,15 @@ def words(text: Column) -> Column:
 
 
 def simhashes(texts: DataFrame, keys: list[str], text: str, out: list[str]) -> DataFrame:
-    """keys, n (rows with these keys), and two 64-bit halves of the fingerprint named in out, of each combination of keys.
-
-    Rows with equal keys must have equal texts: their votes are added up, which changes no sign. A text without words has the
-    fingerprint 0.
-    """
+    """keys, and two 64-bit halves of the fingerprint named in out, of each row. keys must tell the rows apart. A text without words has the fingerprint 0."""
     w = texts.select(*keys, words(F.coalesce(text, F.lit(""))).alias("_w"))
     pairs = F.arrays_zip(F.col("_w").alias("a"), F.expr("slice(_w, 2, greatest(size(_w) - 1, 0))").alias("b"))
     mark = F.array(F.struct(F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b")))
     t = w.select(*keys, F.explode(F.concat(mark, pairs)).alias("_t")).select(*keys, "_t.a", "_t.b")
     weight = F.when(F.col("a").isNull(), 0).otherwise(F.least(F.length("a") + F.coalesce(F.length("b"), F.lit(0)), F.lit(WEIGHT))).cast("long")
-    t = t.select(*keys, F.col("a").isNull().cast("long").alias("_n"), weight.alias("_v"), F.xxhash64("a", "b").alias("_h0"), F.xxhash64("a", "b", F.lit(1)).alias("_h1"))
+    t = t.select(*keys, weight.alias("_v"), F.xxhash64("a", "b").alias("_h0"), F.xxhash64("a", "b", F.lit(1)).alias("_h1"))
     votes = [F.sum(F.expr(f"(shiftrightunsigned(_h{k}, {i}) & 4294967297L) * _v")).alias(f"_s{k}_{i}") for k in (0, 1) for i in range(32)]
-    sums = t.groupBy(*keys).agg(F.sum("_n").alias("n"), F.sum("_v").alias("_all"), *votes)
+    sums = t.groupBy(*keys).agg(F.sum("_v").alias("_all"), *votes)
 
     def half(k: int) -> Column:
         bits = []
@@ -54,7 +51,7 @@ def simhashes(texts: DataFrame, keys: list[str], text: str, out: list[str]) -> D
                 bits.append(f"IF(2 * {votes} > _all, shiftleft(1L, {shift}), 0L)")
         return F.expr(" | ".join(bits))
 
-    return sums.select(*keys, "n", half(0).alias(out[0]), half(1).alias(out[1]))
+    return sums.select(*keys, half(0).alias(out[0]), half(1).alias(out[1]))
 
 
 def text_of(*halves: str) -> Column:
@@ -130,12 +127,12 @@ def _block(at: int, width: int, lo: str, hi: str) -> str:
 def near_counts(prints: DataFrame, asks: Callable[[str], Column], radius: int = 3) -> DataFrame:
     """f0, f1 and n_near: how many other rows have a fingerprint within the radius, for each fingerprint of the rows that ask.
 
-    prints: id, f0, f1, n, a table. Equal fingerprints are one entry with a count. A row of the tables is a block's value and place in one number.
+    prints: id, f0, f1, a table. Equal fingerprints are one entry with a count. A row of the tables is a block's value and place in one number.
     """
     plan = block_plan(radius)
     m = len(plan)
     keys = [f"{_block(at, w, 'f0', 'f1')} * {m} + {i}" for i, (at, w, _) in enumerate(plan)]
-    entries = written(prints.groupBy("f0", "f1").agg(F.sum("n").alias("n")))
+    entries = written(prints.groupBy("f0", "f1").agg(F.count("*").alias("n")))
     tables = entries.select("f0", "f1", "n", F.explode(F.expr(f"array({', '.join(keys)})")).alias("key"))
     asking = written(prints.where(asks("id")).select(F.col("f0").alias("q0"), F.col("f1").alias("q1")).distinct())
     around = []
@@ -158,15 +155,16 @@ def fingerprints(docs: DataFrame, asks: Callable[[str], Column], id: str = "doc_
     several rows with the next id the smallest fingerprint counts, and without a next document near_next is null. n_near, for rows that asks()
     picks: other rows within the radius, else null. Repeated rows each stay; no rows give no rows.
     """
-    whole = edited_texts(docs, id, text).withColumns({"edited_sha256": F.sha2(F.col("edited").cast("binary"), 256), "_x": F.xxhash64("text")})
-    keys = ["id", "next_id", "n_chars", "edited_sha256", "_x"]
+    # A number for each row: equal rows are rows of their own.
+    whole = edited_texts(docs, id, text).withColumns({"edited_sha256": F.sha2(F.col("edited").cast("binary"), 256), "_r": F.monotonically_increasing_id()})
+    keys = ["id", "next_id", "n_chars", "edited_sha256", "_r"]
     two = whole.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("e"), F.col("text").alias("t")), F.struct(F.lit(1).alias("e"), F.col("edited").alias("t")))).alias("_")).select(*keys, "_.e", "_.t")
     made = simhashes(two, [*keys, "e"], "t", ["g0", "g1"])
     pick = [F.max(F.when(F.col("e") == e, F.col(g))).alias(name) for e, f in ((0, "f"), (1, "e")) for g, name in (("g0", f"{f}0"), ("g1", f"{f}1"))]
-    prints = written(made.groupBy(*keys).agg(F.max("n").alias("n"), *pick))
+    prints = written(made.groupBy(*keys).agg(*pick))
     following = prints.groupBy(F.col("id").alias("next_id")).agg(F.min(F.struct("f0", "f1")).alias("_next"))
     near = near_counts(prints, asks, radius)
-    rows = prints.join(following, "next_id", "left").join(near, ["f0", "f1"], "left").withColumn("_", F.explode(F.expr("sequence(1L, n)")))
+    rows = prints.join(following, "next_id", "left").join(near, ["f0", "f1"], "left")
     f = [F.col("f0"), F.col("f1")]
     return rows.select(
         F.col("id").alias(id), "n_chars", "edited_sha256", text_of("f0", "f1").alias("fingerprint"), text_of("e0", "e1").alias("edited_fingerprint"),

@@ -26,6 +26,8 @@ VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes that are read, and inflated, at once; and those after which a writer begins another archive.
 PIECE, ARCHIVE = 1 << 16, 256 << 20
+#: The most bytes of a record's header, and of the head of an HTTP message.
+HEAD = 1 << 20
 
 
 def digest(data: bytes) -> str:
@@ -71,6 +73,8 @@ def records(read: Callable[[int], bytes], payload: Callable[[bytes], None] | Non
             if not (piece := more()):
                 raise BadRecord("a member without a header")
             have += piece
+            if len(have) > HEAD + PIECE:
+                raise BadRecord("a header that doesn't end")
         head, have = have.split(b"\r\n\r\n", 1)
         version, *lines = head.decode().split("\r\n")
         if not version.startswith("WARC/"):
@@ -87,6 +91,8 @@ def records(read: Callable[[int], bytes], payload: Callable[[bytes], None] | Non
             if http is not None:  # still in the head of the HTTP message
                 http += piece
                 if b"\r\n\r\n" not in http:
+                    if len(http) > HEAD:
+                        raise BadRecord("a head of a message that doesn't end")
                     continue
                 piece, http = http.split(b"\r\n\r\n", 1)[1], None
             body.update(piece)
