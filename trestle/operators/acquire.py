@@ -57,14 +57,20 @@ def tier_recall(found: DataFrame, gold: DataFrame) -> DataFrame:
     return hit.groupBy("tier").agg(F.count("*").alias("gold"), F.count("_f").alias("confirmed"))
 
 
+# What in a description tells a numeric relation.
+NUMERIC = r"\bEq\b|\bEqs\b|Equation|Exhibit|coefficient|threshold|=\s*\S"
+
+
 def tier(description: Column, audited: Column) -> Column:
-    """An audited tier, else definitional where the description says so."""
-    return F.coalesce(audited, F.when(description.rlike("(?i)definition|defined as|by definition|classification"), "definitional").otherwise("numeric"))
+    """An audited tier (of the two there are), else numeric where the description names an equation, an exhibit, a coefficient or a threshold, else definitional."""
+    told = F.when(F.coalesce(description, F.lit("")).rlike(f"(?i){NUMERIC}"), "numeric").otherwise("definitional")
+    return F.when(audited.isin("definitional", "numeric"), audited).otherwise(told)
 
 
 def functions_of(code: DataFrame, keys: list[str], source: str) -> DataFrame:
     """keys, name, body, line: the functions in source texts, by matching braces. Nesting is no regular language, so this runs in Python, a batch of texts at a time."""
     head = re.compile(r"\bfn\s+(\w+)\s*(?:<[^>]*>)?\s*\(")
+    brace = re.compile(r"[{}]")
 
     def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -73,10 +79,10 @@ def functions_of(code: DataFrame, keys: list[str], source: str) -> DataFrame:
                 text = rec[source] or ""
                 for m in head.finditer(text):
                     depth, start = 0, text.find("{", m.end())
-                    for i in range(start, len(text)) if start >= 0 else ():
-                        depth += (text[i] == "{") - (text[i] == "}")
+                    for b in brace.finditer(text, start) if start >= 0 else ():
+                        depth += 1 if b[0] == "{" else -1
                         if not depth:
-                            rows.append([*(rec[k] for k in keys), m[1], text[start + 1 : i], text.count("\n", 0, m.start()) + 1])
+                            rows.append([*(rec[k] for k in keys), m[1], text[start + 1 : b.start()], text.count("\n", 0, m.start()) + 1])
                             break
             yield pd.DataFrame(rows, columns=[*keys, "name", "body", "line"])
 
@@ -96,7 +102,11 @@ def dataflow(functions: DataFrame, keys: list[str], known: list[str]) -> DataFra
     return out.groupBy(*keys, "name").agg(merge("reads", "_r").alias("reads"), merge("writes", "_w").alias("writes"))
 
 
+def induced_pairs(flow: DataFrame) -> DataFrame:
+    """src, dst, name: each field that a function reads with each that it writes."""
+    return flow.select("name", F.explode("reads").alias("src"), "writes").select("name", "src", F.explode("writes").alias("dst")).where("src <> dst").distinct()
+
+
 def induced_edges(flow: DataFrame) -> DataFrame:
-    """src, dst, evidence: each field that a function reads with each that it writes."""
-    pairs = flow.select("name", F.explode("reads").alias("src"), "writes").select("name", "src", F.explode("writes").alias("dst")).where("src <> dst")
-    return pairs.groupBy("src", "dst").agg(F.array_sort(F.collect_set("name")).alias("evidence"))
+    """src, dst, evidence: the functions, by name, that tie two fields together; their list is as long as there are such functions."""
+    return induced_pairs(flow).groupBy("src", "dst").agg(F.array_sort(F.collect_set("name")).alias("evidence"))

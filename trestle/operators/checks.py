@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Collection
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,28 +53,124 @@ def least_radius(speed: Column) -> Column:
     return F.coalesce(F.when(speed == RADIUS[0][0], RADIUS[0][1]), *pieces).cast("double")
 
 
-def semantic(wide: DataFrame, columns: set[str], constraints: list = SEMANTIC) -> Column:
-    """An array of (rule, param, broken, severity) of all fixed checks that wide's columns allow; broken is null where one is kept.
+def whole_speed(speed: Column) -> Column:
+    """A speed cut to a whole number, towards zero; null for NaN."""
+    v = speed.cast("double")
+    return F.when(~F.isnan(v), F.when(v < 0, F.ceil(v)).otherwise(F.floor(v))).cast("double")
 
-    It is one expression over the row: no join, no shuffle. Rules whose parameter is null aren't in it.
-    """
+
+class Check(NamedTuple):
+    """A fixed check of a row: its rule, the parameter that it names, its severity, whether the row has what it needs, how it is broken (null if kept)."""
+
+    rule: str
+    param: str
+    severity: str
+    there: Column
+    broken: Column
+
+
+def fixed_checks(columns: Collection[str], constraints: list = SEMANTIC, at: Callable[[str], Column] = F.col) -> list[Check]:
+    """All fixed checks that the columns allow, as plain columns. at: where a parameter is."""
     found = []
     for rule, p, lo, hi, allowed, severity, _ in constraints:
         if p in columns:
-            v = F.col(p).cast("double")
+            v = at(p).cast("double")
             if allowed is None:
                 broken = F.when(below(v, F.lit(lo), F.lit(False)), "below").when(above(v, F.lit(hi), F.lit(False)), "above")
             else:
                 broken = F.when(~v.isin([float(a) for a in allowed]), "not allowed")
-            found.append(F.when(v.isNotNull(), F.struct(F.lit(rule).alias("rule"), F.lit(p).alias("param"), broken.alias("broken"), F.lit(severity).alias("severity"))))
-    if {"design_rad", "spl"} <= columns:
-        least = least_radius(F.col("spl").cast("double"))
-        broken = F.when(~F.isnan(F.col("design_rad").cast("double")) & (F.col("design_rad") < least), "below")
-        found.append(F.when(least.isNotNull() & F.col("design_rad").isNotNull(), F.struct(F.lit("SV-005").alias("rule"), F.lit("design_rad").alias("param"), broken.alias("broken"), F.lit("error").alias("severity"))))
+            found.append(Check(rule, p, severity, v.isNotNull(), broken))
+    if {"design_rad", "spl"} <= set(columns):
+        radius, least = at("design_rad").cast("double"), least_radius(whole_speed(at("spl")))
+        found.append(Check("SV-005", "design_rad", "error", least.isNotNull() & radius.isNotNull(), F.when(~F.isnan(radius) & (radius < least), "below")))
+    return found
+
+
+def semantic(columns: Collection[str], constraints: list = SEMANTIC, at: Callable[[str], Column] = F.col) -> Column:
+    """An array of (rule, param, broken, severity) of all fixed checks that the columns allow; broken is null where one is kept.
+
+    It is one expression over the row: no join, no shuffle. Rules whose parameter is null aren't in it.
+    """
+    one = lambda c: F.struct(F.lit(c.rule).alias("rule"), F.lit(c.param).alias("param"), c.broken.alias("broken"), F.lit(c.severity).alias("severity"))
+    found = [F.when(c.there, one(c)) for c in fixed_checks(columns, constraints, at)]
     kind = "array<struct<rule:string,param:string,broken:string,severity:string>>"
     return F.filter(F.array(*found).cast(kind), lambda x: x.isNotNull())
 
 
+def semantic_errors(columns: Collection[str]) -> Column:
+    """How many fixed checks of the level `error` a row breaks."""
+    broken = [F.when(c.there & c.broken.isNotNull(), 1).otherwise(0) for c in fixed_checks(columns) if c.severity == "error"]
+    return reduce(Column.__add__, broken, F.lit(0))
+
+
+def semantic_tally(wide: DataFrame, columns: Collection[str]) -> DataFrame:
+    """rule, param, broken (null: kept), severity, n: how often each fixed check ends how. Counted in one aggregate without keys, told apart after it."""
+    checks = fixed_checks(columns)
+    # The radius for a speed is worked out once a row.
+    rows = wide.select(*(F.when(c.there, F.coalesce(c.broken, F.lit("kept"))).alias(f"_{i}") for i, c in enumerate(checks)))
+    ends = ["kept", "below", "above", "not allowed"]
+    counts = rows.agg(*(F.count_if(F.col(f"_{i}") == e).alias(f"_{i}_{k}") for i in range(len(checks)) for k, e in enumerate(ends)))
+    one = lambda i, c, k, e: F.struct(F.lit(c.rule).alias("rule"), F.lit(c.param).alias("param"), F.lit(None if e == "kept" else e).cast("string").alias("broken"), F.lit(c.severity).alias("severity"), F.col(f"_{i}_{k}").alias("n"))
+    return counts.select(F.explode(F.array(*(one(i, c, k, e) for i, c in enumerate(checks) for k, e in enumerate(ends)))).alias("_")).select("_.*").where("n > 0")
+
+
+#: What nested highways are checked for: themselves, their segments, and the curves within these against the segment's speed.
+HIGHWAY, SEGMENT = ("lane_width", "shoulder_width"), ("passing_type", "hor_class", "vertical_class", "grade", "phf", "phv", "spl")
+
+
+def nested_violations(highways: DataFrame, keys: list[str], segments: str = "segments", subsegments: str = "subsegments") -> DataFrame:
+    """keys, rule, param (with its place: segments[i].subsegments[j].name), value, severity: the fixed checks that nested highways break.
+
+    Fields that the structs don't have aren't checked; null segments and values break nothing. Rows only get longer within themselves: no shuffle.
+    """
+    struct = highways.schema[segments].dataType.elementType
+    inner = struct[subsegments].dataType.elementType.names if subsegments in struct.names else []
+
+    def broken(rows: DataFrame, checks: list[Check], name: Callable[[str], Column], at: Callable[[str], Column]) -> DataFrame:
+        one = [F.when(c.there & c.broken.isNotNull(), F.struct(F.lit(c.rule).alias("rule"), name(c.param).alias("param"), at(c.param).cast("double").alias("value"), F.lit(c.severity).alias("severity"))) for c in checks]
+        if not one:
+            return rows.select(*keys, F.lit("").alias("rule"), F.lit("").alias("param"), F.lit(0.0).alias("value"), F.lit("").alias("severity")).where("false")
+        return rows.select(*keys, F.explode(F.array(*one)).alias("_")).where("_ IS NOT NULL").select(*keys, "_.*")
+
+    own = broken(highways, fixed_checks([c for c in HIGHWAY if c in highways.columns]), F.lit, F.col)
+    parts = highways.select(*keys, F.posexplode(segments).alias("_i", "_s")).where("_s IS NOT NULL")
+    of_segment = lambda p: F.col("_s")[p]
+    found = own.unionByName(broken(parts, fixed_checks([c for c in SEGMENT if c in struct.names], at=of_segment), lambda p: F.concat(F.lit("segments["), "_i", F.lit(f"].{p}")), of_segment))
+    if "design_rad" in inner and "spl" in struct.names:
+        curves = parts.select(*keys, "_i", F.col("_s")["spl"].alias("spl"), F.posexplode(F.col("_s")[subsegments]).alias("_j", "_u")).where("_u IS NOT NULL").withColumn("design_rad", F.col("_u")["design_rad"])
+        place = lambda p: F.concat(F.lit("segments["), "_i", F.lit("].subsegments["), "_j", F.lit(f"].{p}"))
+        found = found.unionByName(broken(curves, [c for c in fixed_checks(["design_rad", "spl"]) if c.rule == "SV-005"], place, F.col))
+    return found
+
+
+#: Rules that are compiled into columns: a corpus of so many at most, others are joined.
+COMPILED = 2000
+
+
+def row_verdicts(wide: DataFrame, keys: list[str], params: list[str], rules: DataFrame, strict: bool = False) -> DataFrame:
+    """verdicts() of wide records: the rules, if they are few enough, become columns, so that no record is taken apart and put together again.
+
+    Records that are equal in keys count as one.
+    """
+    told = rules.where(F.col("param").isin(params)).limit(COMPILED + 1).collect()
+    if len(told) > COMPILED:
+        pairs = F.array(*(F.struct(F.lit(p).alias("param"), F.col(p).cast("double").alias("value")) for p in params))
+        return verdicts(checked(wide.select(*keys, F.explode(pairs).alias("_")).select(*keys, "_.*").where("value IS NOT NULL"), rules), keys, strict)
+
+    def breaks(r) -> Column:
+        v = F.col(r["param"]).cast("double")
+        low = below(v, F.lit(r["lo"]), F.lit(bool(r["lo_open"]))) if r["rule_type"] in ("range", "min") and r["lo"] is not None else F.lit(False)
+        high = above(v, F.lit(r["hi"]), F.lit(bool(r["hi_open"]))) if r["rule_type"] in ("range", "max") and r["hi"] is not None else F.lit(False)
+        enum = ~v.cast("string").isin(list(r["allowed"])) if r["rule_type"] == "enum" and r["allowed"] else F.lit(False)
+        return F.coalesce(low | high | enum, F.lit(False)).cast("bigint")
+
+    count = lambda level: reduce(Column.__add__, (breaks(r) for r in told if (r["severity"] == "error") == level), F.lit(0).cast("bigint"))
+    some = reduce(Column.__or__, (F.col(p).isNotNull() for p in {r["param"] for r in told}), F.lit(False))
+    out = wide.where(some).select(*keys, count(True).alias("errors"), count(False).alias("warnings")).groupBy(*keys).agg(F.sum("errors").alias("errors"), F.sum("warnings").alias("warnings"))
+    valid = F.col("errors") == 0
+    return out.withColumn("is_valid", valid & (F.col("warnings") == 0) if strict else valid)
+
+
 def coverage(checked: Column, supplied: Column) -> Column:
     """none if nothing was checked, partial if less than was supplied, else covered."""
     return F.when(checked == 0, "none").when(checked < supplied, "partial").otherwise("covered")

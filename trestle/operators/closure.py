@@ -7,11 +7,12 @@ projection: each step's columns are built on those before.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trestle.operators.checks import semantic
+from trestle.operators.checks import fixed_checks
 
 Proposer = Callable[[], Column]
 
@@ -28,19 +29,20 @@ def table_proposers() -> dict[str, Proposer]:
     return {"speed_limit": lambda: speed, "bffs": lambda: F.col("speed_limit") + BASE_ABOVE_LIMIT, "lane_width": lambda: F.lit(BAD_WIDTH)}
 
 
-def accepted(param: str, value: str) -> Column:
-    """Whether no error-level check names the parameter."""
-    one = semantic(None, {param})
-    return ~F.exists(one, lambda x: (x["severity"] == "error") & x["broken"].isNotNull()) if value == param else F.lit(True)
+def accepted(param: str, known: list[str]) -> Column:
+    """Whether no error-level check of all that is known names the parameter: what breaks a check that names another one isn't its fault."""
+    own = [c.there & c.broken.isNotNull() for c in fixed_checks({*known, param}) if c.param == param and c.severity == "error"]
+    return ~reduce(Column.__or__, own, F.lit(False))
 
 
 def closed(roots: DataFrame, chain: list[str], proposers: dict[str, Proposer]) -> DataFrame:
     """roots with a column for each parameter of the chain (null if rejected or not proposed), and its `_state`: accepted, rejected or no_proposal."""
     out = roots
-    for p in chain:
+    for k, p in enumerate(chain):
+        known = [c for c in (*roots.columns, *chain[:k]) if c in out.columns]
         proposed = proposers[p]() if p in proposers else F.lit(None).cast("double")
         out = out.withColumn(p, proposed.cast("double"))
-        state = F.when(F.col(p).isNull(), "no_proposal").when(accepted(p, p), "accepted").otherwise("rejected")
+        state = F.when(F.col(p).isNull(), "no_proposal").when(accepted(p, known), "accepted").otherwise("rejected")
         out = out.withColumn(f"{p}_state", state).withColumn(p, F.when(F.col(f"{p}_state") == "accepted", F.col(p)))
     return out
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,14 +41,24 @@ def applicable(text: Column) -> Column:
     return F.coalesce((F.length(text) >= SHORTEST) & F.lower(text).rlike("|".join(KEYWORDS)), F.lit(False))
 
 
+#: What a text must hold, one of each list, for any of the parameter's patterns to match.
+HINTS = {
+    "lane_width": ["lane"], "shoulder_width": ["shoulder"], "grade": ["grade"], "speed_limit": ["speed"], "design_speed": ["design"], "volume": ["volume", "veh", "aadt"], "phf": ["phf", "peak"], "truck_percentage": ["truck", "heavy"],
+    "design_radius": ["radius"], "superelevation": ["super"], "length": ["length", "long", "segment"], "lateral_clearance": ["clearance"], "access_point_density": ["access"], "ramp_density": ["ramp"],
+}
+
+
 def first_match(text: Column, patterns: list[str]) -> Column:
-    return F.coalesce(*(F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns))
+    """The group of the first pattern that matches. Each text is searched once; the group is read off the short match."""
+    return F.coalesce(*(F.regexp_extract(F.regexp_substr(text, F.lit(p)), p, 1) for p in patterns))
 
 
 def text_parameters(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys, param, value: what applicable texts state. One pass over the texts, without a shuffle."""
     low = texts.where(applicable(F.col(text))).withColumn("_low", F.lower(text))
-    pairs = F.array(*(F.struct(F.lit(p).alias("param"), F.expr("CAST(NULL AS DOUBLE)").alias("value") if not ps else F.replace(first_match(F.col("_low"), ps), F.lit(","), F.lit("")).try_cast("double").alias("value")) for p, ps in TEXT.items()))
+    hinted = lambda p: reduce(Column.__or__, (F.contains("_low", F.lit(h)) for h in HINTS[p]))
+    value = lambda p, ps: F.when(hinted(p), F.replace(first_match(F.col("_low"), ps), F.lit(","), F.lit("")).try_cast("double"))
+    pairs = F.array(*(F.struct(F.lit(p).alias("param"), value(p, ps).alias("value")) for p, ps in TEXT.items()))
     return low.select(*keys, F.explode(F.filter(pairs, lambda x: x["value"].isNotNull())).alias("_")).select(*keys, "_.*")
 
 
@@ -86,7 +96,3 @@ def json_parameters(rows: DataFrame, keys: list[str], json: str, known: list[str
     unit = F.when(number.isNotNull(), F.element_at(F.create_map(*(F.lit(x) for kv in UNITS.items() for x in kv)), F.col("param")) if UNITS else None)
     return entries.select(*keys, "param", F.initcap(F.replace("param", F.lit("_"), F.lit(" "))).alias("name"), number.alias("value_num"), "value_str", unit.alias("unit"))
 
-
-def pattern_groups() -> int:
-    """How many patterns there are, each with the one group that is read."""
-    return sum(1 for ps in [*TEXT.values(), *CONTEXT.values()] for p in ps if re.compile(p).groups == 1)

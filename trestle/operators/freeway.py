@@ -9,9 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Published adjustments (lane width in ft; right clearance by lanes, mph for each ft below 6), passenger-car equivalents, and density limits.
-LANE_WIDTH = [(10.0, 6.6), (11.0, 1.9), (12.0, 0.0)]
-CLEARANCE = {2: 0.6, 3: 0.4, 4: 0.2, 5: 0.1}
+# Passenger-car equivalents, and density limits; the numbers of the adjustments below are published ones, too.
 EQUIVALENT = {"level": 2.0, "rolling": 3.0}
 DENSITY = [(11, "A"), (18, "B"), (26, "C"), (35, "D"), (45, "E")]
 

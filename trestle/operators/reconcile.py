@@ -38,9 +38,9 @@ def stronger(a: Column, b: Column) -> Column:
 
 
 def arguments(claims: DataFrame) -> DataFrame:
-    """claims with arg: the struct that the fold works on. claims: ord, lo, hi, allowed, ok, jurisdiction, priority, specificity, authority."""
+    """claims with arg: the struct that the fold works on; allowed values are sets. claims: ord, lo, hi, allowed, ok, jurisdiction, priority, specificity, authority."""
     arg = F.struct(priority(F.col("jurisdiction"), F.col("priority")).alias("prio"), (-F.col("specificity")).alias("_s"), (-weight(F.col("authority"))).alias("_t"), F.col("ord").alias("ord"),
-                   "lo", "hi", "allowed", "ok", "specificity", weight(F.col("authority")).alias("trust"))
+                   "lo", "hi", F.array_sort(F.array_distinct("allowed")).alias("allowed"), "ok", "specificity", weight(F.col("authority")).alias("trust"))
     return claims.withColumn("arg", arg)
 
 

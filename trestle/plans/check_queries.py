@@ -71,12 +71,12 @@ def _verdict_sql(strict: bool) -> str:
 
 @query(_verdict_sql(False))
 def engine_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.verdicts(_checked(spark, sf_dir), KEY)
+    return checks.row_verdicts(designs(spark, sf_dir, *RULED), KEY, RULED, rules(spark))
 
 
 @query(_verdict_sql(True))
 def strict_mode_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.verdicts(_checked(spark, sf_dir), KEY, strict=True)
+    return checks.row_verdicts(designs(spark, sf_dir, *RULED), KEY, RULED, rules(spark), strict=True)
 
 
 @query(f"{CHECKED} SELECT rule_id, count(*) AS n FROM checked WHERE broken IS NOT NULL AND severity = 'error' GROUP BY 1")
@@ -149,12 +149,16 @@ def _semantic_sql() -> str:
 
 
 RAD = f"""rad AS (SELECT d.*, CASE WHEN spl = 15 THEN 50 ELSE trunc(r0 + (spl - s0) * ((r1 - r0)::DOUBLE / (s1 - s0))) END AS least FROM d LEFT JOIN ({_radius_sql()}) ON spl > s0 AND spl <= s1)"""
+#: The same for the speed cut to a whole number.
+WHOLE = RAD.replace("spl", "trunc(spl)")
+_FRACTIONS = designs_sql().replace(" FROM lineitem", "").replace("cast(25 + 5 * (l_partkey % 12) AS double) AS spl", "cast(25 + 5 * (l_partkey % 12) + (l_suppkey % 5) / 4.0 AS double) AS spl") + " FROM lineitem"
 
 
-@query(f"WITH d AS ({designs_sql()}), {RAD}, c AS ({_semantic_sql()}) SELECT rule, param, broken, severity, count(*) AS n FROM c GROUP BY ALL")
+@query(f"WITH d AS ({_FRACTIONS}), {WHOLE}, c AS ({_semantic_sql()}) SELECT rule, param, broken, severity, count(*) AS n FROM c GROUP BY ALL")
 def semantic_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = designs(spark, sf_dir)
-    return d.select(F.explode(checks.semantic(d, set(d.columns))).alias("_")).select("_.*").groupBy("rule", "param", "broken", "severity").agg(F.count("*").alias("n"))
+    """All fixed checks of all designs, whose speeds have fractions."""
+    d = designs(spark, sf_dir).withColumn("spl", F.col("spl") + (F.col("l_suppkey") % 5) / F.lit(4.0))
+    return checks.semantic_tally(d, d.columns)
 
 
 @query("WITH d AS (SELECT l_orderkey, l_linenumber, l_extendedprice, (l_partkey % 1000) / 12.0 AS spl FROM lineitem), " + RAD + " SELECT spl, least, count(*) AS n FROM rad GROUP BY ALL")
@@ -163,23 +167,27 @@ def speed_radius_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("least", checks.least_radius(F.col("spl"))).groupBy("spl", "least").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH d AS ({designs_sql("design_rad", "grade", "passing_type")}), s AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(KEY[1:])}) - 1 AS i, * EXCLUDE (l_orderkey) FROM d)
-    SELECT l_orderkey, 'segments[' || i || '].grade' AS name, grade AS value FROM s WHERE abs(grade) > 10 UNION ALL SELECT l_orderkey, 'segments[' || i || '].passing_type', passing_type FROM s WHERE passing_type NOT IN (0, 1, 2)
-    UNION ALL SELECT l_orderkey, 'segments[' || i || '].subsegments[0].design_rad', design_rad FROM s WHERE design_rad < 100""")
+_NESTED = ["design_rad", "grade", "passing_type", "hor_class", "vertical_class", "phf", "phv", "spl"]
+
+
+def _nested_sql() -> str:
+    own = [f"SELECT o_orderkey AS l_orderkey, '{r}' AS rule, '{p}' AS param, {p} AS value, '{s}' AS severity FROM w WHERE {p} < {lo} OR {p} > {hi}" for r, p, lo, hi, _, s, _ in SEMANTIC if p in checks.HIGHWAY]
+    for r, p, lo, hi, allowed, s, _ in SEMANTIC:
+        if p in checks.SEGMENT:
+            own.append(f"SELECT l_orderkey, '{r}', 'segments[' || i || '].{p}', {p}, '{s}' FROM s WHERE " + (f"{p} NOT IN {allowed}" if allowed else f"{p} < {lo} OR {p} > {hi}"))
+    own.append("SELECT l_orderkey, 'SV-005', 'segments[' || i || '].subsegments[0].design_rad', design_rad, 'error' FROM rad WHERE design_rad < least")
+    return f"""WITH w AS (SELECT o_orderkey, (8 + o_custkey % 6)::DOUBLE AS lane_width, (o_custkey % 11)::DOUBLE AS shoulder_width FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
+        s AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(KEY[1:])}) - 1 AS i, * EXCLUDE (l_orderkey) FROM ({designs_sql(*_NESTED)})), {RAD.replace("FROM d ", "FROM s AS d ")} {" UNION ALL ".join(own)}"""
+
+
+@query(_nested_sql())
 def nested_highway_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as highways: each item is a segment with one subsegment, nested, and taken apart again by place."""
-    d = designs(spark, sf_dir, "design_rad", "grade", "passing_type")
-    segment = F.struct(*KEY[1:], "grade", "passing_type", F.array(F.struct("design_rad")).alias("subsegments"))
+    """Orders as highways: each item is a segment with one curve, held against the segment's speed."""
+    d = designs(spark, sf_dir, *_NESTED)
+    segment = F.struct(*KEY[1:], *_NESTED[1:], F.array(F.struct("design_rad")).alias("subsegments"))
     nested = d.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(segment)).alias("segments"))
-    s = nested.select("l_orderkey", F.posexplode("segments").alias("i", "s"))
-    at = F.concat(F.lit("segments["), "i", F.lit("]."))
-    tests = F.array(
-        F.when(F.abs("s.grade") > 10, F.struct(F.concat(at, F.lit("grade")).alias("name"), F.col("s.grade").alias("value"))),
-        F.when(~F.col("s.passing_type").isin(0.0, 1.0, 2.0), F.struct(F.concat(at, F.lit("passing_type")).alias("name"), F.col("s.passing_type").alias("value"))),
-    )
-    own = s.select("l_orderkey", F.explode(F.filter(tests, lambda x: x.isNotNull())).alias("_")).select("l_orderkey", "_.*")
-    sub = s.select("l_orderkey", at.alias("at"), F.posexplode("s.subsegments").alias("j", "u")).where("u.design_rad < 100")
-    return own.unionByName(sub.select("l_orderkey", F.concat("at", F.lit("subsegments["), "j", F.lit("].design_rad")).alias("name"), F.col("u.design_rad").alias("value")))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (8 + F.col("o_custkey") % 6).cast("double").alias("lane_width"), (F.col("o_custkey") % 11).cast("double").alias("shoulder_width"))
+    return checks.nested_violations(o.join(nested, "l_orderkey"), ["l_orderkey"])
 
 
 @query(f"""WITH d AS (SELECT {K}, nullif(8.0 + (l_linenumber % 6), 9.0) AS lane_width, nullif(l_linenumber % 4, 0) AS passing_type, CASE WHEN l_quantity > 5 THEN l_quantity END AS apd FROM lineitem),
@@ -187,7 +195,7 @@ def nested_highway_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT checked, supplied, CASE WHEN checked = 0 THEN 'none' WHEN checked < supplied THEN 'partial' ELSE 'covered' END AS coverage, checked = 0 AS abstained, count(*) AS n FROM n GROUP BY ALL""")
 def coverage_abstention(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "lineitem").select(F.expr("nullif(cast(8.0 + (l_linenumber % 6) AS double), 9.0D) AS lane_width"), F.expr("nullif(l_linenumber % 4, 0) AS passing_type"), F.expr("CASE WHEN l_quantity > 5 THEN l_quantity END AS apd"))
-    n = d.select(F.size(checks.semantic(d, {"lane_width", "passing_type"})).alias("checked"), checks.supplied(d.columns).alias("supplied"))
+    n = d.select(F.size(checks.semantic({"lane_width", "passing_type"})).alias("checked"), checks.supplied(d.columns).alias("supplied"))
     return n.withColumn("coverage", checks.coverage(F.col("checked"), F.col("supplied"))).withColumn("abstained", F.col("checked") == 0).groupBy("checked", "supplied", "coverage", "abstained").agg(F.count("*").alias("n"))
 
 
@@ -200,7 +208,7 @@ _GATE = "lane_width IS NULL AND design_rad IS NULL AND spl IS NULL"
 def firewall_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests that are empty, break a rule, give half of a pair, or pass; warnings don't count."""
     d = table(spark, sf_dir, "lineitem").select(F.expr("nullif(cast(8.0 + (l_linenumber % 6) AS double), 9.0D) AS lane_width"), F.expr("CASE WHEN l_quantity > 10 THEN l_extendedprice / 40.0 END AS design_rad"), F.expr("cast(CASE WHEN l_quantity < 40 THEN 25 + 5 * (l_partkey % 12) END AS double) AS spl"))
-    broken = F.size(F.filter(checks.semantic(d, set(d.columns)), lambda x: (x["severity"] == "error") & x["broken"].isNotNull()))
+    broken = checks.semantic_errors(d.columns)
     outcome = F.when(F.expr(_GATE), "empty").when(F.col("errors") > 0, "rejected").when(F.col("design_rad").isNull() != F.col("spl").isNull(), "incomplete").otherwise("accepted")
     return d.withColumn("errors", broken).withColumn("outcome", outcome).groupBy("outcome", "errors").agg(F.count("*").alias("n"))
 
@@ -217,6 +225,6 @@ def boundary_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test cases around the bounds of a rule, on every record; labelled by the check itself."""
     v = F.explode(F.array(*(F.lit(x) for x in (8.9, 9.0, 9.1, 11.9, 12.0, 12.1))))
     d = table(spark, sf_dir, "lineitem").select("l_linenumber", v.alias("lane_width"))
-    ok = F.get(checks.semantic(d, {"lane_width"}), 0)["broken"].isNull()
+    ok = F.get(checks.semantic({"lane_width"}), 0)["broken"].isNull()
     return d.groupBy("l_linenumber", "lane_width", ok.alias("expected_valid")).agg(F.count("*").alias("n"))
 

@@ -196,56 +196,56 @@ _FLOW = """flow AS (SELECT a AS src, b AS dst, CASE WHEN l_linenumber % 3 = 0 TH
 def _chain_sql(start: str, a: str, b: str, types: str) -> str:
     return f"""WITH RECURSIVE {_FLOW}, roots AS ({start}), walk AS (
         SELECT root, root AS node, 0 AS depth, []::BIGINT[] AS ords, 1.0::DOUBLE AS confidence FROM roots UNION ALL
-        SELECT root, {b}, depth + 1, list_append(ords, ord), confidence * weight FROM walk JOIN w ON node = {a} WHERE depth < 4 AND type IN ({types})),
+        SELECT root, {b}, depth + 1, list_append(ords, ord), confidence * weight FROM walk JOIN w ON node = {a} WHERE depth < 10 AND type IN ({types})),
         best AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY root, node ORDER BY depth, ords) = 1)
         SELECT root, node, depth, array_to_string(ords, '>') AS via, round(confidence, 6) AS confidence FROM best WHERE depth > 0"""
 
 
-_ROOTS = "SELECT DISTINCT src AS root FROM flow WHERE src % 5 = 0"
+_ROOTS = "SELECT DISTINCT src AS root FROM flow"
 
 
 @query(_chain_sql(_ROOTS, "src", "dst", "'AFFECTS'"))
 def forward_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _flow(spark, sf_dir)
-    roots = e.where("src % 5 = 0").select(F.col("src").alias("root")).distinct()
-    return graph.chain(e, roots, 4).select("root", "node", "depth", F.array_join(F.col("ords").cast("array<string>"), ">").alias("via"), F.round("confidence", 6).alias("confidence"))
+    roots = e.select(F.col("src").alias("root")).distinct()
+    return graph.chain(e, roots).select("root", "node", "depth", F.array_join(F.col("ords").cast("array<string>"), ">").alias("via"), F.round("confidence", 6).alias("confidence"))
 
 
-@query(_chain_sql("SELECT DISTINCT dst AS root FROM flow WHERE dst % 5 = 1", "dst", "src", "'AFFECTS', 'DETERMINES', 'CONSTRAINS'"))
+@query(_chain_sql("SELECT DISTINCT dst AS root FROM flow", "dst", "src", "'AFFECTS', 'DETERMINES', 'CONSTRAINS'"))
 def backward_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _flow(spark, sf_dir)
-    roots = e.where("dst % 5 = 1").select(F.col("dst").alias("root")).distinct()
-    return graph.chain(e, roots, 4, graph.CAUSAL, backward=True).select("root", "node", "depth", F.array_join(F.col("ords").cast("array<string>"), ">").alias("via"), F.round("confidence", 6).alias("confidence"))
+    roots = e.select(F.col("dst").alias("root")).distinct()
+    return graph.chain(e, roots, types=graph.CAUSAL, backward=True).select("root", "node", "depth", F.array_join(F.col("ords").cast("array<string>"), ">").alias("via"), F.round("confidence", 6).alias("confidence"))
 
 
-@query(f"""WITH {_FLOW}, u AS (SELECT src AS a, dst AS b, ord, type FROM flow UNION ALL SELECT dst, src, ord, type FROM flow), one AS (SELECT a AS root, b AS node, [ord] AS used FROM u WHERE a % 97 = 0),
+@query(f"""WITH {_FLOW}, u AS (SELECT src AS a, dst AS b, ord, type FROM flow UNION ALL SELECT dst, src, ord, type FROM flow), one AS (SELECT a AS root, b AS node, [ord] AS used FROM u),
     two AS (SELECT root, b AS node, list_append(used, ord) AS used FROM one JOIN u ON node = a WHERE NOT list_contains(used, ord)), hit AS (SELECT DISTINCT root, node, unnest(used) AS ord FROM (SELECT * FROM one UNION ALL SELECT * FROM two))
     SELECT DISTINCT root, node, type FROM hit JOIN flow USING (ord)""")
 def related_k_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two hops in any direction around some parts (those asked about: every 97th)."""
+    """Two hops in any direction around every part."""
     e = _flow(spark, sf_dir)
-    roots = e.select(F.explode(F.array("src", "dst")).alias("root")).where("root % 97 = 0").distinct()
+    roots = e.select(F.explode(F.array("src", "dst")).alias("root")).distinct()
     return graph.within_hops(e, roots, 2).select("root", "node", "type").distinct()
 
 
-@query(f"""WITH {_FLOW}, u AS (SELECT src AS a, dst AS b FROM flow UNION SELECT dst, src FROM flow), one AS (SELECT DISTINCT a AS root, b AS node FROM u WHERE a % 97 = 0), two AS (SELECT * FROM one UNION SELECT root, b FROM one JOIN u ON node = a), three AS (SELECT * FROM two UNION SELECT root, b FROM two JOIN u ON node = a),
+@query(f"""WITH {_FLOW}, u AS (SELECT src AS a, dst AS b FROM flow UNION SELECT dst, src FROM flow), one AS (SELECT DISTINCT a AS root, b AS node FROM u), two AS (SELECT * FROM one UNION SELECT root, b FROM one JOIN u ON node = a), three AS (SELECT * FROM two UNION SELECT root, b FROM two JOIN u ON node = a),
     seen AS (SELECT root, node FROM three UNION SELECT root, root FROM one) SELECT root, count(DISTINCT node) AS nodes, count(DISTINCT ord) AS edges FROM seen s LEFT JOIN (SELECT s1.root AS r, f.ord FROM flow f JOIN seen s1 ON f.src = s1.node JOIN seen s2 ON f.dst = s2.node AND s1.root = s2.root) x ON s.root = x.r GROUP BY 1""")
 def centered_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How large the graph within three hops of each centre is, with the edges among its nodes."""
     e = _flow(spark, sf_dir)
-    roots = e.select(F.explode(F.array("src", "dst")).alias("root")).where("root % 97 = 0").distinct()
+    roots = e.select(F.explode(F.array("src", "dst")).alias("root")).distinct()
     seen = graph.neighbours(e, roots, 3).unionByName(roots.select("root", F.col("root").alias("node")))
     inner = e.join(seen.select("root", F.col("node").alias("src")), "src").join(seen.select("root", F.col("node").alias("dst")), ["root", "dst"]).groupBy("root").agg(F.count_distinct("ord").alias("edges"))
     return seen.groupBy("root").agg(F.count("*").alias("nodes")).join(inner, "root", "left").select("root", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"))
 
 
-@query(_chain_sql("SELECT DISTINCT dst AS root FROM flow WHERE dst % 5 = 1", "dst", "src", "'AFFECTS', 'DETERMINES', 'CONSTRAINS'").replace("SELECT root, node, depth, array_to_string(ords, '>') AS via, round(confidence, 6) AS confidence FROM best WHERE depth > 0", """
+@query(_chain_sql("SELECT DISTINCT dst AS root FROM flow", "dst", "src", "'AFFECTS', 'DETERMINES', 'CONSTRAINS'").replace("SELECT root, node, depth, array_to_string(ords, '>') AS via, round(confidence, 6) AS confidence FROM best WHERE depth > 0", """
     SELECT root, node, depth, row_number() OVER (PARTITION BY root ORDER BY depth, ords)::INT AS place FROM best WHERE depth > 0 AND node IN (SELECT p_partkey FROM part WHERE p_size > 5) AND node NOT IN (SELECT p_partkey FROM part WHERE p_size > 45) AND node NOT IN (SELECT dst FROM flow)
     QUALIFY row_number() OVER (PARTITION BY root ORDER BY depth, ords) <= 3"""))
 def exogenous_levers(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, p = _flow(spark, sf_dir), table(spark, sf_dir, "part")
-    roots = e.where("dst % 5 = 1").select(F.col("dst").alias("root")).distinct()
-    chained = graph.chain(e, roots, 4, graph.CAUSAL, backward=True)
+    roots = e.select(F.col("dst").alias("root")).distinct()
+    chained = graph.chain(e, roots, types=graph.CAUSAL, backward=True)
     return graph.exogenous(chained, e, p.where("p_size > 5").select(F.col("p_partkey").alias("param")), p.where("p_size > 45").select(F.col("p_partkey").alias("node")))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trestle.operators import acquire, closure, extract, freeway, metrics, reconcile, search
+from trestle.plans.check_queries import WHOLE
 from trestle.plans.registry import SQL, query
 from trestle.sources import roadxml
 from trestle.sources.designs import KEY, designs, designs_sql, table
@@ -16,74 +17,61 @@ K = ", ".join(KEY)
 # --- Reconciliation: an order's items as claims on one value -------------------------------------------------------
 
 
-def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _as_claims(table(spark, sf_dir, "lineitem").where("l_quantity > 10"), _ORDINAL).dropDuplicates(["l_orderkey", "ord"])
+_ORDINAL = "l_partkey * 100000 + l_suppkey * 100 + l_linenumber"
 
 
-_ORDINAL = "l_partkey * 100000 + l_suppkey * 100 + l_linenumber"
+#: Allowed values: sets, so that order and repeats say nothing.
+_ALLOWED = "CASE l_suppkey % 4 WHEN 0 THEN array('a', 'b') WHEN 1 THEN array('b', 'a', 'b') WHEN 2 THEN array('c') END"
 
 
 def _as_claims(l: DataFrame, ordinal: str) -> DataFrame:
     lo = F.when(F.col("l_linenumber") % 3 != 0, F.floor(F.col("l_quantity") / 10))
     hi = F.when(F.col("l_linenumber") % 2 == 0, F.floor(F.col("l_quantity") / 5) + 3)
     return l.select(
-        "l_orderkey", F.expr(ordinal).alias("ord"), lo.cast("double").alias("lo"), hi.cast("double").alias("hi"), F.lit(None).cast("array<string>").alias("allowed"),
+        "l_orderkey", F.expr(ordinal).alias("ord"), lo.cast("double").alias("lo"), hi.cast("double").alias("hi"), F.expr(_ALLOWED).alias("allowed"),
         (F.lit(4.0) >= F.coalesce(lo, F.lit(0))).alias("ok"), F.element_at(F.array(*map(F.lit, ["federal", "state", "local"])), (F.col("l_suppkey") % 3 + 1).cast("int")).alias("jurisdiction"), F.when(F.col("l_suppkey") % 7 == 0, 30).alias("priority"),
         (F.col("l_partkey") % 3).alias("specificity"), F.element_at(F.array(*map(F.lit, ["HCM", "AASHTO", "county"])), (F.col("l_partkey") % 3 + 1).cast("int")).alias("authority"),
     )
 
 
-_CLAIMS = """claims AS (SELECT l_orderkey, l_partkey * 100000 + l_suppkey * 100 + l_linenumber AS ord, CASE WHEN l_linenumber % 3 <> 0 THEN floor(l_quantity / 10) END AS lo, CASE WHEN l_linenumber % 2 = 0 THEN floor(l_quantity / 5) + 3 END AS hi,
-    4.0 >= coalesce(CASE WHEN l_linenumber % 3 <> 0 THEN floor(l_quantity / 10) END, 0) AS ok, CASE WHEN l_suppkey % 7 = 0 THEN 30 ELSE [100, 50, 25][l_suppkey % 3 + 1] END AS prio, l_partkey % 3 AS spec, [1.0, 0.95, 0.5][l_partkey % 3 + 1] AS trust FROM lineitem WHERE l_quantity > 10),
-    once AS (SELECT * FROM claims QUALIFY count(*) OVER (PARTITION BY l_orderkey, ord) = 1), ranked AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY prio, spec DESC, trust DESC, ord) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM once),
-    fold AS (SELECT l_orderkey, 0::BIGINT AS i, n, []::STRUCT(ord BIGINT, lo DOUBLE, hi DOUBLE, ok BOOLEAN, prio INTEGER, spec BIGINT, trust DOUBLE)[] AS kept FROM (SELECT DISTINCT l_orderkey, n FROM ranked) UNION ALL
-        SELECT f.l_orderkey, f.i + 1, f.n, CASE WHEN len(list_filter(kept, lambda k: (coalesce(k.lo <> r.lo, false) OR coalesce(k.hi <> r.hi, false) OR k.ok <> r.ok) AND (k.prio < r.prio OR (k.prio = r.prio AND (k.spec > r.spec OR (k.spec = r.spec AND k.trust > r.trust)))))) > 0 THEN kept
-            ELSE list_append(kept, {'ord': r.ord, 'lo': r.lo, 'hi': r.hi, 'ok': r.ok, 'prio': r.prio::INTEGER, 'spec': r.spec, 'trust': r.trust::DOUBLE}) END
+#: Every item's place in its order: items that are equal in all of KEY make equal claims, and each has a place of its own.
+_PLACE = f"row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDINAL}, l_quantity, l_extendedprice)"
+_CLAIMS = f"""claims AS (SELECT l_orderkey, {_PLACE} AS ord, CASE WHEN l_linenumber % 3 <> 0 THEN floor(l_quantity / 10) END AS lo, CASE WHEN l_linenumber % 2 = 0 THEN floor(l_quantity / 5) + 3 END AS hi,
+    CASE l_suppkey % 4 WHEN 0 THEN 'ab' WHEN 1 THEN 'ab' WHEN 2 THEN 'c' END AS allowed, 4.0 >= coalesce(CASE WHEN l_linenumber % 3 <> 0 THEN floor(l_quantity / 10) END, 0) AS ok, CASE WHEN l_suppkey % 7 = 0 THEN 30 ELSE [100, 50, 25][l_suppkey % 3 + 1] END AS prio, l_partkey % 3 AS spec, [1.0, 0.95, 0.5][l_partkey % 3 + 1] AS trust FROM lineitem),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY prio, spec DESC, trust DESC, ord) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM claims),
+    fold AS (SELECT l_orderkey, 0::BIGINT AS i, n, []::STRUCT(ord BIGINT, lo DOUBLE, hi DOUBLE, allowed VARCHAR, ok BOOLEAN, prio INTEGER, spec BIGINT, trust DOUBLE)[] AS kept FROM (SELECT DISTINCT l_orderkey, n FROM ranked) UNION ALL
+        SELECT f.l_orderkey, f.i + 1, f.n, CASE WHEN len(list_filter(kept, lambda k: (coalesce(k.lo <> r.lo, false) OR coalesce(k.hi <> r.hi, false) OR coalesce(k.allowed <> r.allowed, false) OR k.ok <> r.ok) AND (k.prio < r.prio OR (k.prio = r.prio AND (k.spec > r.spec OR (k.spec = r.spec AND k.trust > r.trust)))))) > 0 THEN kept
+            ELSE list_append(kept, {{'ord': r.ord, 'lo': r.lo, 'hi': r.hi, 'allowed': r.allowed, 'ok': r.ok, 'prio': r.prio::INTEGER, 'spec': r.spec, 'trust': r.trust::DOUBLE}}) END
         FROM fold f JOIN ranked r ON f.l_orderkey = r.l_orderkey AND r.i = f.i + 1)"""
 
 
-@query(f"WITH RECURSIVE {_CLAIMS} SELECT l_orderkey, n::INT AS claims, len(kept)::INT AS survivors, list_max([k.lo FOR k IN kept]) AS lo, list_min([k.hi FOR k IN kept]) AS hi, coalesce(list_bool_and([k.ok FOR k IN kept]), true) AS verdict FROM fold WHERE i = n")
-def reconcile_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.reconciled(_unique(spark, sf_dir), ["l_orderkey"]).drop("unresolved")
+def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _as_claims(table(spark, sf_dir, "lineitem"), f"CAST({_PLACE} AS BIGINT)")
 
 
-def _unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims whose ordinal is theirs alone in the order."""
-    c = table(spark, sf_dir, "lineitem").where("l_quantity > 10").groupBy("l_orderkey", (F.col("l_partkey") * 100000 + F.col("l_suppkey") * 100 + F.col("l_linenumber")).alias("ord")).agg(F.count("*").alias("_n"))
-    return _claims(spark, sf_dir).join(c.where("_n = 1").drop("_n"), ["l_orderkey", "ord"])
+@query(f"WITH RECURSIVE {_CLAIMS} SELECT l_orderkey, n::INT AS claims, len(kept)::INT AS survivors, list_max([k.lo FOR k IN kept]) AS lo, list_min([k.hi FOR k IN kept]) AS hi, coalesce(list_bool_and([k.ok FOR k IN kept]), true) AS verdict FROM fold WHERE i = n")
+def reconcile_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.reconciled(_claims(spark, sf_dir), ["l_orderkey"]).drop("unresolved")
 
 
-@query(f"""WITH RECURSIVE {_CLAIMS}, s AS (SELECT l_orderkey, unnest(kept) AS k FROM fold WHERE i = n) SELECT a.l_orderkey, count(*) AS pairs FROM s a JOIN s b ON a.l_orderkey = b.l_orderkey AND a.k.ord < b.k.ord WHERE coalesce(a.k.lo <> b.k.lo, false) OR coalesce(a.k.hi <> b.k.hi, false) OR a.k.ok <> b.k.ok GROUP BY 1""")
+@query(f"""WITH RECURSIVE {_CLAIMS}, s AS (SELECT l_orderkey, unnest(kept) AS k FROM fold WHERE i = n) SELECT a.l_orderkey, count(*) AS pairs FROM s a JOIN s b ON a.l_orderkey = b.l_orderkey AND a.k.ord < b.k.ord WHERE coalesce(a.k.lo <> b.k.lo, false) OR coalesce(a.k.hi <> b.k.hi, false) OR coalesce(a.k.allowed <> b.k.allowed, false) OR a.k.ok <> b.k.ok GROUP BY 1""")
 def reconcile_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders in which survivors still contradict each other, being equally strong."""
-    return _unresolved(_unique(spark, sf_dir))
-
-
-def _unresolved(claims: DataFrame) -> DataFrame:
-    args = reconcile.arguments(claims).groupBy("l_orderkey").agg(F.collect_list("arg").alias("args")).withColumn("kept", reconcile.surviving(F.col("args")))
+    args = reconcile.arguments(_claims(spark, sf_dir)).groupBy("l_orderkey").agg(F.collect_list("arg").alias("args")).withColumn("kept", reconcile.surviving(F.col("args")))
     ties = F.aggregate("kept", F.lit(0).cast("bigint"), lambda n, a: n + F.size(F.filter("kept", lambda b: (a["ord"] < b["ord"]) & reconcile.aspect(a, b).isNotNull())))
     return args.select("l_orderkey", ties.alias("pairs")).where("pairs > 0")
 
 
-#: Every item's place in its order: items that are equal in all of KEY make equal claims, and each has a place of its own.
-_PLACE = f"row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDINAL}, l_quantity, l_extendedprice)"
-_EVERY = _CLAIMS.replace(f"{_ORDINAL} AS ord", f"{_PLACE} AS ord").replace(" WHERE l_quantity > 10", "").replace(" QUALIFY count(*) OVER (PARTITION BY l_orderkey, ord) = 1", "")
-
-
-def _every_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _as_claims(table(spark, sf_dir, "lineitem"), f"CAST({_PLACE} AS BIGINT)")
-
-
-@query(SQL["reconcile_verdict"].replace(_CLAIMS, _EVERY))
+@query(SQL["reconcile_verdict"])
 def reconcile_verdict_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """reconcile_verdict over all items, small and repeated ones too."""
-    return reconcile.reconciled(_every_claim(spark, sf_dir), ["l_orderkey"]).drop("unresolved")
+    """The name that reconcile_verdict over all items had while it left some out."""
+    return reconcile_verdict(spark, sf_dir)
 
 
-@query(SQL["reconcile_unresolved"].replace(_CLAIMS, _EVERY))
+@query(SQL["reconcile_unresolved"])
 def reconcile_unresolved_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """reconcile_unresolved over all items, small and repeated ones too."""
-    return _unresolved(_every_claim(spark, sf_dir))
+    """The name that reconcile_unresolved over all items had while it left some out."""
+    return reconcile_unresolved(spark, sf_dir)
 
 
 # --- Closure ------------------------------------------------------------------------------------------------------
@@ -98,6 +86,15 @@ def derivation_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closure.counters(closure.closed(roots, chain, closure.table_proposers()), chain)
 
 
+@query(f"""WITH d AS (SELECT l_extendedprice / 40.0 AS design_rad, (25 + 5 * (l_partkey % 12) + (l_suppkey % 5) / 4.0)::DOUBLE AS spl FROM lineitem), {WHOLE}, s AS (SELECT 'spl' AS param, 'accepted' AS state FROM d UNION ALL SELECT 'design_rad', CASE WHEN design_rad < least THEN 'rejected' ELSE 'accepted' END FROM rad)
+    SELECT param, count(*) FILTER (WHERE state = 'accepted') AS accepted, count(*) FILTER (WHERE state = 'rejected') AS rejected, count(*) FILTER (WHERE state = 'no_proposal') AS no_proposal FROM s GROUP BY 1""")
+def closure_of_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A radius is proposed after a speed, and held against it."""
+    roots = table(spark, sf_dir, "lineitem").select((F.col("l_extendedprice") / 40.0).alias("radius"), (25 + 5 * (F.col("l_partkey") % 12) + (F.col("l_suppkey") % 5) / F.lit(4.0)).alias("speed"))
+    chain = ["spl", "design_rad"]
+    return closure.counters(closure.closed(roots, chain, {"spl": lambda: F.col("speed"), "design_rad": lambda: F.col("radius")}), chain)
+
+
 # --- Repair and inverse design with a linear executor ---------------------------------------------------------------
 
 LEVERS = {"a": (0.0, 30.0), "b": (0.0, 12.0), "c": (1.0, 5.0)}
@@ -142,23 +139,23 @@ def repair_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FREE = {"lane_width": (9.0, 12.0), "shoulder_width": (0.0, 8.0), "apd": (0.0, 20.0)}
-_SITES = """s AS (SELECT n_nationkey, n_nationkey * 4.0 AS volume FROM nation), g AS (SELECT *, 9 + 3 * i / 4.0 AS lane_width, 8 * j / 4.0 AS shoulder_width, 20 * k / 4.0 AS apd, (i * 5 + j) * 5 + k AS ordinal FROM s, unnest(range(0, 5)) AS a(i), unnest(range(0, 5)) AS b(j), unnest(range(0, 5)) AS c(k)),
-    f AS (SELECT *, round((lane_width - 9) / 3 + shoulder_width / 8 + (1 - apd / 20), 6) AS cost FROM g WHERE ordinal < 100 AND 10 * lane_width + 4 * shoulder_width - apd - volume >= 40)"""
+_SITES = """s AS (SELECT c_custkey, c_nationkey * 4.0 AS volume FROM customer), g AS (SELECT *, 9 + 3 * i / 4.0 AS lane_width, 8 * j / 4.0 AS shoulder_width, 20 * k / 4.0 AS apd, (i * 5 + j) * 5 + k AS ordinal FROM s, unnest(range(0, 5)) AS a(i), unnest(range(0, 5)) AS b(j), unnest(range(0, 5)) AS c(k)),
+    f AS (SELECT *, round((lane_width - 9) / 3 + shoulder_width / 8 + (1 - apd / 20), 6) AS cost FROM g WHERE 10 * lane_width + 4 * shoulder_width - apd - volume >= 40)"""
 
 
 def _inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sites = table(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_nationkey") * 4.0).alias("volume"))
-    return search.inverse_designs(sites, ["n_nationkey"], FREE, search.linear({"lane_width": 10.0, "shoulder_width": 4.0, "apd": -1.0, "volume": -1.0}), F.col("y") >= 40, most=100)
+    sites = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_nationkey") * 4.0).alias("volume"))
+    return search.inverse_designs(sites, ["c_custkey"], FREE, search.linear({"lane_width": 10.0, "shoulder_width": 4.0, "apd": -1.0, "volume": -1.0}), F.col("y") >= 40)
 
 
-@query(f"WITH {_SITES} SELECT n_nationkey, lane_width::DOUBLE AS lane_width, shoulder_width::DOUBLE AS shoulder_width, apd::DOUBLE AS apd, cost::DOUBLE AS cost, row_number() OVER (PARTITION BY n_nationkey ORDER BY cost, apd, lane_width, shoulder_width)::INT AS place, true AS truncated FROM f")
+@query(f"WITH {_SITES} SELECT c_custkey, lane_width::DOUBLE AS lane_width, shoulder_width::DOUBLE AS shoulder_width, apd::DOUBLE AS apd, cost::DOUBLE AS cost, row_number() OVER (PARTITION BY c_custkey ORDER BY cost, apd, lane_width, shoulder_width)::INT AS place, false AS truncated FROM f")
 def inverse_design(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _inverse(spark, sf_dir)
 
 
-@query(f"WITH {_SITES} SELECT n_nationkey, count(*) AS feasible, min(lane_width)::DOUBLE AS min_lane_width, max(lane_width)::DOUBLE AS max_lane_width, min(shoulder_width)::DOUBLE AS min_shoulder_width, max(shoulder_width)::DOUBLE AS max_shoulder_width, min(apd)::DOUBLE AS min_apd, max(apd)::DOUBLE AS max_apd, min(cost)::DOUBLE AS least_cost FROM f GROUP BY 1")
+@query(f"WITH {_SITES} SELECT c_custkey, count(*) AS feasible, min(lane_width)::DOUBLE AS min_lane_width, max(lane_width)::DOUBLE AS max_lane_width, min(shoulder_width)::DOUBLE AS min_shoulder_width, max(shoulder_width)::DOUBLE AS max_shoulder_width, min(apd)::DOUBLE AS min_apd, max(apd)::DOUBLE AS max_apd, min(cost)::DOUBLE AS least_cost FROM f GROUP BY 1")
 def inverse_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.envelope(_inverse(spark, sf_dir), ["n_nationkey"], list(FREE))
+    return search.envelope(_inverse(spark, sf_dir), ["c_custkey"], list(FREE))
 
 
 _FREEWAY = """d AS (SELECT 65.0 + l_linenumber AS bffs, 10.0 + (l_linenumber % 5) * 0.5 AS lw, (l_linenumber % 7)::DOUBLE AS lc_r, (l_suppkey % 4)::DOUBLE AS trd, 2 + l_linenumber % 3 AS lanes, l_extendedprice / 12 AS demand, 0.9 + l_discount AS phf, l_tax AS p_t, l_linestatus = 'O' AS level FROM lineitem),
@@ -317,11 +314,14 @@ def text_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     l = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), "l_linenumber", "l_quantity")
     found = l.where("l_linenumber < 4").select("src", "dst").distinct()
-    gold = l.where("l_quantity > 25").groupBy("src", "dst").agg(F.when(F.min("l_linenumber") < 3, "definitional").otherwise("numeric").alias("tier"))
+    told = F.element_at(F.array(*map(F.lit, ["see Equation 12-3", "the sum of both", "f = a + b", "by definition", "an eq. of old", "EXHIBIT 3", "threshold"])), F.col("l_linenumber").cast("int"))
+    gold = l.where("l_quantity > 25").groupBy("src", "dst").agg(F.min_by(told, "l_linenumber").alias("description"), F.min("l_linenumber").alias("first"))
+    audited = F.when(F.col("dst") % 5 == 0, "definitional").when(F.col("dst") % 5 == 1, "unknown")
+    gold = gold.select("src", "dst", acquire.tier(F.when(F.col("dst") % 7 != 0, F.col("description")), audited).alias("tier"))
     return found, gold
 
 
-_EDGES = """found AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_linenumber < 4), gold AS (SELECT l_partkey AS src, l_suppkey AS dst, CASE WHEN min(l_linenumber) < 3 THEN 'definitional' ELSE 'numeric' END AS tier FROM lineitem WHERE l_quantity > 25 GROUP BY ALL)"""
+_EDGES = """found AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_linenumber < 4), gold AS (SELECT l_partkey AS src, l_suppkey AS dst, CASE WHEN l_suppkey % 5 = 0 THEN 'definitional' WHEN l_suppkey % 7 <> 0 AND min(l_linenumber) IN (1, 3, 5, 6, 7) THEN 'numeric' ELSE 'definitional' END AS tier FROM lineitem WHERE l_quantity > 25 GROUP BY l_partkey, l_suppkey)"""
 
 
 @query(f"""WITH {_EDGES}, n AS (SELECT (SELECT count(*) FROM found) AS found, (SELECT count(*) FROM gold) AS gold, (SELECT count(*) FROM found JOIN gold USING (src, dst)) AS confirmed) SELECT found, gold, confirmed, round(confirmed / found, 6) AS precision, round(confirmed / gold, 6) AS recall, round(2 * (confirmed / found) * (confirmed / gold) / (confirmed / found + confirmed / gold), 6) AS f1 FROM n""")
@@ -339,11 +339,11 @@ def agreement_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return acquire.agreement(*_edges(spark, sf_dir)).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT src, dst, 'f' || s AS evidence FROM (SELECT DISTINCT p_size AS s, 'in_' || p_size AS src, 'out_' || (p_size % 7) AS dst FROM part UNION SELECT DISTINCT p_size, 'in_' || ((p_size % 50) + 1), 'out_' || (p_size % 7) FROM part) WHERE src <> dst""")
+@query("""SELECT src, dst, 'f' || k AS evidence FROM (SELECT p_partkey AS k, 'in_' || p_size AS src, 'out_' || (p_size % 7) AS dst FROM part UNION SELECT p_partkey, 'in_' || ((p_size % 50) + 1), 'out_' || (p_size % 7) FROM part) WHERE src <> dst""")
 def dataflow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges induced from code made of the parts' sizes: what a function reads against what it writes."""
-    sizes = table(spark, sf_dir, "part").select("p_size").distinct()
-    code = sizes.select("p_size", F.format_string("impl S { fn f%d(&self) { if true { self.out_%d = self.in_%d + self.in_%d; } } }", "p_size", F.col("p_size") % 7, "p_size", F.col("p_size") % 50 + 1).alias("code"))
+    """Edges induced from code, a function for each part: what it reads against what it writes."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    code = parts.select("p_partkey", F.format_string("impl S { fn f%d(&self) { if true { self.out_%d = self.in_%d + self.in_%d; } } }", "p_partkey", F.col("p_size") % 7, "p_size", F.col("p_size") % 50 + 1).alias("code"))
     known = [f"in_{i}" for i in range(1, 52)] + [f"out_{i}" for i in range(7)]
-    flow = acquire.dataflow(acquire.functions_of(code, ["p_size"], "code"), ["p_size"], known)
-    return acquire.induced_edges(flow).select("src", "dst", F.explode("evidence").alias("evidence"))
+    flow = acquire.dataflow(acquire.functions_of(code, ["p_partkey"], "code"), ["p_partkey"], known)
+    return acquire.induced_pairs(flow).select("src", "dst", F.col("name").alias("evidence"))
