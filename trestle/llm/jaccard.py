@@ -307,16 +307,34 @@ def linked(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int =
             sets = gram_sets(b.column("_text"), words)
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_t"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64())], ["_id", "_t", "n", "node"])
 
-    def keyed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keyed(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+        """For each slice: its sets' node, band, keys and need; all their keys; and which set each is of."""
         told: set[int] = set()  # a task gives the keys of equal sets once
         for b in slices(parts, "_text"):
             sets = {set_hash(s): s for s in gram_sets(b.column("_text"), words) if len(s)}
             new = [k for k in sets if k not in told]
-            told = told | set(new) if len(told) < 1_000_000 else set(new)
+            if len(told) > 200_000:
+                told.clear()
+            told.update(new)
             made = [(k, *x) for k in new for x in part_keys(sets[k], percent)]
-            at = np.repeat(np.arange(len(made)), [len(x[2]) for x in made])
-            of = [np.concatenate([np.zeros(0, np.int64), *(x[2] for x in made)]), *(np.array([x[i] for x in made], t)[at] for i, t in ((0, np.int64), (1, np.int32), (3, np.int32)))]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in of], ["key", "node", "band", "need"])
+            yield made, np.concatenate([np.zeros(0, np.int64), *(x[2] for x in made)]), np.repeat(np.arange(len(made)), [len(x[2]) for x in made])
+
+    def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each slice's distinct keys, with their smallest and largest node and how often they are there."""
+        for made, key, at in keyed(parts):
+            if not len(key):
+                continue
+            node = np.array([x[0] for x in made], np.int64)[at]
+            order = np.lexsort((node, key))
+            key, node = key[order], node[order]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+            last = np.r_[first[1:], len(key)] - 1
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[first], node[first], node[last], last - first + 1)], ["key", "least", "most", "times"])
+
+    def listed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for made, key, at in keyed(parts):
+            of = (np.array([x[i] for x in made], t)[at] for i, t in ((0, np.int64), (1, np.int32), (3, np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, *of)], ["key", "node", "band", "need"])
 
     def of_node(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row can have the hash of another text; the one whose set is the node's is meant."""
@@ -328,9 +346,10 @@ def linked(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int =
     rep = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_t")).alias("rep")
     nodes = written(of.where("n > 0").groupBy("node").agg(rep, F.first("n").alias("n")), clean=True)
     # Keys that several nodes have, with how often they are given.
-    keys = rows.mapInArrow(keyed, "key long, node long, band int, need int")
-    often = keys.groupBy("key").agg(F.min("node").alias("_a"), F.max("node").alias("_b"), F.count("*").alias("times")).where("_a < _b")
-    often = written(often.select("key", "times"), clean=True)
+    # Most are in one slice only, so that summing up slices before the shuffle would cost more than it saves.
+    often = rows.mapInArrow(counted, "key long, least long, most long, times long").repartition("key").groupBy("key").agg(F.min("least").alias("_a"), F.max("most").alias("_b"), F.sum("times").alias("times"))
+    often = written(often.where("_a < _b").select("key", "times"), clean=True)
+    keys = rows.mapInArrow(listed, "key long, node long, band int, need int")
     # By node and band; what shares fewer keys with all others together than with one that it is linked with, has no link.
     lists = keys.join(often, "key").groupBy("node", "band").agg(F.sort_array(F.collect_set(F.struct("times", "key"))).alias("keys"), F.max("need").alias("need")).where("size(keys) >= need")
     rare = written(lists.select("node", F.explode(F.expr("slice(keys.key, 1, size(keys) - need + 1)")).alias("key")), clean=True)
