@@ -156,30 +156,37 @@ def tile_links(left: list[np.ndarray], right: list[np.ndarray], known: list, per
     return links
 
 
+def few(rows: DataFrame, n: int) -> DataFrame:
+    """rows in no more partitions than n of them need, however many partitions there are for the large tables."""
+    return rows.coalesce(max(8, n // 100_000))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node that each node of an edge (a, b) is connected with; a table.
 
     Large stars and small stars in turn: every node is tied to the smallest node around, until nothing changes; rounds grow as the
     logarithm of the longest path. Minima are summed up before they are dealt out, and joined back, so that a hot node's rows can be split.
     """
-    spark = edges.sparkSession
-    now, before = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), clean=True), None
+    spark, seen = edges.sparkSession, Observation()
+    # Rounds have at most as many rows as there are edges: they need no more files.
+    now, before = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().observe(seen, F.count("*").alias("n")), clean=True), None
+    most = seen.get["n"]
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
         # Large star: a node's larger neighbours are tied to the smallest of its neighbours and itself.
-        large = written(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), clean=True)
+        large = written(few(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), most), clean=True)
         # Small star: a node and its smaller neighbours are tied to the smallest of them.
         low = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
         small = low.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("_")).select("_.*")
         seen = Observation()
-        then = written(small.where("a <> b").distinct().observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), clean=True)
+        then = written(few(small.where("a <> b").distinct(), most).observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), clean=True)
         dropped(spark, now, large)
         now, state = then, seen.get
         if state == before:
             break
         before = state
-    found = written(now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), clean=True)
+    found = written(few(now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), most), clean=True)
     dropped(spark, now)
     return found
 
@@ -222,17 +229,17 @@ def with_group(rows: DataFrame, of: DataFrame, salts: int = 16) -> DataFrame:
     return rows.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int")).join(salted, ["root", "_salt"]).drop("_salt")
 
 
-def tiled(members: DataFrame, grams: int, room: int) -> DataFrame:
+def tiled(members: DataFrame, grams: int, room: int, count: int) -> DataFrame:
     """members (root, node, n) with tile: of a group and a band of sizes, and wide: whether the group has several. Tiles hold about so many n-grams, and so many members, at most."""
     banded = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / np.log(1.2)).cast("int"))
     sums = banded.groupBy("root", "band").agg(F.ceil(F.greatest(F.sum("n") / grams, F.count("*") / room)).cast("int").alias("tiles"))
     sums = sums.groupBy("root").agg((F.sum("tiles") > 1).alias("wide"), F.map_from_entries(F.collect_list(F.struct("band", "tiles"))).alias("tiles"))  # a group has at most a few dozen bands
     tile = F.xxhash64("root", "band", F.pmod(F.xxhash64("node"), F.element_at("tiles", F.col("band"))))
-    return written(with_group(banded, sums).select("root", "node", "n", "wide", tile.alias("tile")), clean=True)
+    return written(few(with_group(banded, sums).select("root", "node", "n", "wide", tile.alias("tile")), count), clean=True)
 
 
-def connected(tiles: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """node, root: what the links of the groups connect; a table. tiles: tiled().
+def connected(tiles: DataFrame, texts: DataFrame, words: int, percent: int, count: int) -> DataFrame:
+    """node, root: what the links of the groups connect; a table. tiles: tiled(), of so many members.
 
     First each tile by itself, with its group's smallest node as a guest; then what isn't connected with that node, against the group's other tiles
     of fitting sizes.
@@ -240,7 +247,7 @@ def connected(tiles: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     spark = tiles.sparkSession
 
     def links(rows: DataFrame) -> DataFrame:
-        laid = written(rows, clean=True)
+        laid = written(few(rows, 4 * count), clean=True)
         made = written(compared(laid, texts, words, percent), clean=True)
         dropped(spark, laid)
         return made
@@ -251,13 +258,13 @@ def connected(tiles: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     edges = links(tiles.select("tile", *own).unionByName(guests.select("tile", *own)))
     found = components(edges)
     state = tiles.where("wide").join(found.select("node", F.col("root").alias("known")), "node", "left").withColumn("known", F.coalesce("known", "node"))
-    state = written(state, clean=True)
+    state = written(few(state, count), clean=True)
     head = state.where("node = root").select("root", F.col("known").alias("head"))
-    apart = written(with_group(state, head).where("known <> head"), clean=True)
+    apart = written(few(with_group(state, head).where("known <> head"), count), clean=True)
     one = apart.groupBy("root", F.col("tile").alias("tile1")).agg(F.min("n").alias("low1"), F.max("n").alias("high1"))
     two = state.groupBy("root", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     fits = (F.col("low") * percent <= F.col("high1") * 100) & (F.col("low1") * percent <= F.col("high") * 100)
-    meet = written(one.join(two, "root").where("tile1 <> tile").where(fits).select("tile1", "tile", F.xxhash64("root", "tile1", "tile").alias("pair")), clean=True)
+    meet = written(few(one.join(two, "root").where("tile1 <> tile").where(fits).select("tile1", "tile", F.xxhash64("root", "tile1", "tile").alias("pair")), count), clean=True)
     if not meet.isEmpty():
         left = apart.withColumnRenamed("tile", "tile1").join(meet, "tile1").select(F.col("pair").alias("tile"), F.lit(0).alias("side"), "node", "known")
         right = state.join(meet, "tile").select(F.col("pair").alias("tile"), F.lit(1).alias("side"), "node", "known")
@@ -366,8 +373,8 @@ def linked(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int =
     texts = written(wanted.join(some, F.col("_rep").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_t"))).select("node", "_text").mapInArrow(of_node, "node long, _text string").dropDuplicates(["node"]), clean=True)
     # Several tiles for each partition, so that large groups spread.
     spread = 8 * partitions(spark)
-    tiles = tiled(members.select("root", "node", "n"), max(LEAST_TILE, min(tile, 2 * total // spread)), max(LEAST_ROOM, count // spread))
-    done = connected(tiles, texts, words, percent)
+    tiles = tiled(members.select("root", "node", "n"), max(LEAST_TILE, min(tile, 2 * total // spread)), max(LEAST_ROOM, count // spread), count)
+    done = connected(tiles, texts, words, percent, count)
     # The smallest id of each component: what is in none is by itself.
     labels = nodes.join(done, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.col("rep._id").alias("_rep"))
     least = labels.groupBy("root").agg(F.min("_rep").alias("component_id"))
