@@ -27,6 +27,17 @@ def test_validation(spark):
     assert {r.record: r.is_valid for r in strict.collect()} == {1: False, 2: True, 3: True}
 
 
+def test_formula_rules(spark):
+    params = spark.createDataFrame([(1, "radius", 500.0), (1, "Speed", 60.0), (2, "radius", 2000.0), (2, "Speed", 60.0), (3, "radius", 100.0), (4, "radius", -1.0), (4, "Speed", 50.0)], "record int, param string, value_num double").selectExpr("*", "CAST(NULL AS STRING) AS value_str")
+    keys = spark.createDataFrame([("radius", "design_rad"), ("speed", "spl")], "key string, field string")
+    rows = [("design_rad", 1, "design_rad >= spl ** 2 / 3", None), ("design_rad", 2, "sqrt(design_rad) > 0", None), ("design_rad", 3, "this is (no formula", None), ("design_rad", 4, "design_rad < 0 implies spl < 10", [("terrain", "level")])]
+    rules = spark.createDataFrame([(f, i, "formula", "error", None, None, None, None, None, None, c, t) for f, i, t, c in rows], RULES + ", formula string")
+    contexts = spark.createDataFrame([(i, {"terrain": "level"}) for i in (1, 3, 4)], "record int, context map<string,string>")
+    verdicts, asks = engine.validate(params, contexts, keys, rules)
+    assert {r.record: [v.rule_id for v in r.violations] for r in verdicts.collect()} == {1: [1], 2: [], 3: [], 4: [1, 4]}
+    assert {(r.record, r.kind, r.parameter) for r in asks.collect()} == {(2, "ambiguous_context", "terrain"), (3, "missing_parameter", "spl")}
+
+
 def test_priorities(spark):
     rules = spark.createDataFrame([(1, [("federal", 100)]), (2, [("state", 50), ("federal", 100)]), (3, [("Local", 60)]), (4, [])], "rule_id int, sources array<struct<jurisdiction:string,priority:int>>")
     assert [(r.rule_id, r.prio) for r in engine.prioritized(rules).collect()] == [(2, 50), (3, 60), (1, 100), (4, 100)]

@@ -6,6 +6,7 @@ An executor is a function from a table of designs to the same table with what it
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,6 +88,18 @@ def pair_repairs(designs: DataFrame, keys: list[str], levers: dict[str, tuple[fl
     return best.select(*keys, "lever_a", "lever_b", "_.*")
 
 
+def ranked(singles: DataFrame, pairs: DataFrame, keys: list[str], confidence: dict[str, float] | None = None) -> DataFrame:
+    """keys, levers, cardinality, delta, confidence, place: all repairs of a design in order: the fewest changes, the smallest change in all, the most trusted levers.
+
+    singles, pairs: of single_repairs() and pair_repairs(); all of them meet the goal. confidence: of each lever's path, 1 where it isn't given; a pair has the lower one. Ties go by the levers' names.
+    """
+    trust = lambda c: reduce(lambda out, kv: F.when(F.col(c) == kv[0], kv[1]).otherwise(out), (confidence or {}).items(), F.lit(1.0))
+    one = singles.select(*keys, F.array("lever").alias("levers"), F.lit(1).alias("cardinality"), "delta", trust("lever").alias("confidence"))
+    two = pairs.select(*keys, F.array("lever_a", "lever_b").alias("levers"), F.lit(2).alias("cardinality"), "delta", F.least(trust("lever_a"), trust("lever_b")).alias("confidence"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("cardinality", F.round("delta", 9), F.col("confidence").desc(), "levers"))
+    return one.unionByName(two).withColumn("place", place)
+
+
 def inverse_designs(sites: DataFrame, keys: list[str], free: dict[str, tuple[float, float]], executor: Executor, goal: Column, steps: int = 5, most: int = 500, cheap_high: tuple[str, ...] = ("apd",)) -> DataFrame:
     """keys, the free parameters, cost, place, truncated: the designs of the grid that meet the goal at each site, of its first `most` points in row-major order.
 

@@ -1,16 +1,20 @@
 """A whole validation: records' parameters to verdicts and questions, for all records at once.
 
 Names are resolved against the corpus, rules joined, contexts gate them, values are checked, and each record's results are put
-together. Two joins with the corpus, one with the contexts, and one grouping by record.
+together. Two joins with the corpus, one with the contexts, and one grouping by record; where there are formula rules, one more, which gives each record's
+values together.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trestle.functions import formula
 from trestle.operators import clarify, context
-from trestle.operators.checks import violation
+from trestle.operators.checks import COMPILED, violation
 
 Results = tuple[DataFrame, DataFrame]
 
@@ -25,7 +29,8 @@ def validate(params: DataFrame, contexts: DataFrame, keys: DataFrame, rules: Dat
 
     params: record, param, value_num, value_str. contexts: record, context (a map). rules: field, rule_id, rule_type, severity, lo, hi, lo_open, hi_open, allowed,
     citation, conditions. units: field, unit, typical_min, typical_max. Parameters of segments are taken along but never checked; unknown ones are valid.
-    A rule whose conditions can't be decided isn't applied and asks for what is missing.
+    A rule whose conditions can't be decided isn't applied and asks for what is missing. A formula rule (rules have a column `formula` then) reads the record's other
+    values, by field or by name, and asks for those that aren't there; what can't be worked out, or isn't a formula, breaks nothing.
     """
     named = resolved(params.where(~F.col("param").startswith("segment_")), keys)
     ruled = named.join(rules, "field", "left").join(contexts, "record", "left")
@@ -34,6 +39,12 @@ def validate(params: DataFrame, contexts: DataFrame, keys: DataFrame, rules: Dat
     state = context.tri_state(ctx, conditions)
     broken = F.when(state == "applicable", violation(F.col("value_num"), F.coalesce("value_str", F.col("value_num").cast("string"))))
     results = ruled.withColumns({"state": state, "broken": broken, "open": context.pending(ctx, conditions)})
+    formulas = _formulas(rules)
+    if formulas:
+        kept, missing = (reduce(lambda out, r: F.when(F.col("rule_id") == r, formulas[r][i]).otherwise(out), formulas, F.lit(None).cast(kind)) for i, kind in ((0, "boolean"), (1, "array<string>")))
+        asked = (F.col("rule_type") == "formula") & (F.col("state") == "applicable")
+        results = results.join(_values(named), "record", "left").withColumn("_missing", F.when(asked, missing))
+        results = results.withColumn("broken", F.when(asked & (F.size("_missing") == 0) & ~kept, "formula").otherwise(F.col("broken")))
     bad = F.col("broken").isNotNull()
     found = F.struct("rule_id", "severity", "param", "broken", "citation")
     verdicts = results.groupBy("record").agg(
@@ -44,12 +55,38 @@ def validate(params: DataFrame, contexts: DataFrame, keys: DataFrame, rules: Dat
     verdicts = verdicts.withColumn("is_valid", valid & (F.col("warnings") == 0) if strict else valid)
     asks = results.where("state = 'undecidable'").select("record", F.lit("ambiguous_context").alias("kind"), F.explode("open").alias("c"), "rule_id", F.col("param").alias("_p"))
     asks = asks.select("record", "kind", F.col("c.type").alias("parameter"), F.concat(F.lit("Which "), F.col("c.type"), F.lit("?")).alias("message"), F.array("_p").alias("related"), F.col("rule_id").cast("long").alias("ord"))
+    if formulas:
+        inputs = results.where(F.size("_missing") > 0).select("record", F.lit("missing_parameter").alias("kind"), F.explode("_missing").alias("parameter"), F.col("param").alias("_p"), "rule_id")
+        asks = asks.unionByName(inputs.select("record", "kind", "parameter", F.concat(F.lit("What is "), F.col("parameter"), F.lit("?")).alias("message"), F.array("_p").alias("related"), F.col("rule_id").cast("long").alias("ord")))
     if units is not None:
         odd = named.join(units, "field").where(clarify.unit_conflict(F.col("value_num"), F.col("unit"), F.col("typical_min"), F.col("typical_max")))
         asks = asks.unionByName(odd.select("record", F.lit("unit_conflict").alias("kind"), F.col("param").alias("parameter"), F.concat(F.lit("Is "), F.col("param"), F.lit(" in "), F.col("unit"), F.lit("?")).alias("message"), F.array("param").alias("related"), F.lit(0).cast("long").alias("ord")))
     return verdicts, clarify.deduplicated(asks, ["record"])
 
 
+def _formulas(rules: DataFrame) -> dict[int, tuple[Column, Column]]:
+    """By rule: whether its formula holds, and which of its parameters aren't there, over the map `_values`. Rules are a corpus: so many as can be compiled."""
+    found: dict[int, tuple[Column, Column]] = {}
+    told = rules.where("rule_type = 'formula' AND formula IS NOT NULL").select("rule_id", "formula").distinct().limit(COMPILED + 1).collect() if "formula" in rules.columns else []
+    if len(told) > COMPILED:
+        raise ValueError(f"more than {COMPILED} formula rules")
+    for r in told:
+        try:
+            names = formula.references(r["formula"])
+            needed = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
+            found[r["rule_id"]] = formula.compiled(r["formula"], lambda p: F.try_element_at("_values", F.lit(p))), clarify.missing_inputs(needed, F.coalesce(F.map_keys("_values"), F.array().cast("array<string>")))
+        except formula.FormulaError:
+            continue
+    return found
+
+
+def _values(named: DataFrame) -> DataFrame:
+    """record and _values: the numbers that it gives, by field and by name; of several the first by name."""
+    both = named.where("value_num IS NOT NULL").select("record", F.explode(F.array_distinct(F.array("field", F.replace("param", F.lit("-"), F.lit("_"))))).alias("_k"), "param", "value_num").where("_k IS NOT NULL")
+    one = both.groupBy("record", "_k").agg(F.min_by("value_num", "param").alias("_v"))
+    return one.groupBy("record").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias("_values"))
+
+
 def prioritized(rules: DataFrame, jurisdiction: Column | None = None) -> DataFrame:
     """rules with prio, ordered: the best priority of a rule's sources (the smaller first), 50 better, but at least 1, for sources of the jurisdiction asked for."""
     asked = F.lit(None).cast("string") if jurisdiction is None else F.lower(jurisdiction)

@@ -138,6 +138,26 @@ def repair_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.pair_repairs(_parts(spark, sf_dir), ["p_partkey"], LEVERS, _LINEAR, F.col("y") <= 16).withColumn("delta", F.round("delta", 6))
 
 
+_PAIR = SQL["repair_pair"]
+
+
+def _ranked_sql() -> str:
+    pair = _PAIR.replace("<= 16", "<= 20")
+    at = pair.index("SELECT p_partkey, lever_a, lever_b, round(delta, 6)")
+    trust = "CASE {} WHEN 'a' THEN 0.9 WHEN 'b' THEN 0.95 ELSE 1.0 END"
+    return f"""{pair[:at].rstrip()}, pairs AS ({pair[at:]}), every AS (SELECT p_partkey, lever AS levers, 1 AS cardinality, CASE WHEN old = 0 THEN abs(trial - old) ELSE abs((trial - old) / old) END AS delta, {trust.format("lever")} AS confidence FROM h WHERE first IS NOT NULL
+        UNION ALL SELECT p_partkey, lever_a || ',' || lever_b, 2, delta, least({trust.format("lever_a")}, {trust.format("lever_b")}) FROM pairs)
+        SELECT p_partkey, levers, cardinality, round(delta, 6) AS delta, confidence::DOUBLE AS confidence, row_number() OVER (PARTITION BY p_partkey ORDER BY cardinality, round(delta, 9), confidence DESC, levers)::INT AS place FROM every"""
+
+
+@query(_ranked_sql())
+def repair_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single repairs, and where there are none pairs, in the order in which they are proposed."""
+    how = (_parts(spark, sf_dir), ["p_partkey"], LEVERS, _LINEAR, F.col("y") <= 20)
+    found = search.ranked(search.single_repairs(*how), search.pair_repairs(*how), ["p_partkey"], {"a": 0.9, "b": 0.95})
+    return found.select("p_partkey", F.array_join("levers", ",").alias("levers"), "cardinality", F.round("delta", 6).alias("delta"), "confidence", "place")
+
+
 FREE = {"lane_width": (9.0, 12.0), "shoulder_width": (0.0, 8.0), "apd": (0.0, 20.0)}
 _SITES = """s AS (SELECT c_custkey, c_nationkey * 4.0 AS volume FROM customer), g AS (SELECT *, 9 + 3 * i / 4.0 AS lane_width, 8 * j / 4.0 AS shoulder_width, 20 * k / 4.0 AS apd, (i * 5 + j) * 5 + k AS ordinal FROM s, unnest(range(0, 5)) AS a(i), unnest(range(0, 5)) AS b(j), unnest(range(0, 5)) AS c(k)),
     f AS (SELECT *, round((lane_width - 9) / 3 + shoulder_width / 8 + (1 - apd / 20), 6) AS cost FROM g WHERE 10 * lane_width + 4 * shoulder_width - apd - volume >= 40)"""
