@@ -1,4 +1,9 @@
-"""A corpus pipeline of five of the operators: each stage reads what the one before it wrote."""
+"""A corpus pipeline of five of the operators: each stage reads what the one before it wrote.
+
+No stage fails on nulls in any column, on empty or very long texts, repeated rows or other columns, which go; a table without rows gives one without rows.
+Language ID drops null texts, empty ones and those without a letter, so that the stages after it have none; by themselves line dedup gives
+a null text back as an empty one, the Jaccard join keeps it, the mix has no row for it, and packing gives it a sequence's end only.
+"""
 
 from __future__ import annotations
 
@@ -33,7 +38,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents that links of a similarity of 0.8 connect, the one with the smallest id stays. Rows with a null id stay."""
+    """Of the documents that links of a similarity of 0.8 in words of five connect, the one with the smallest id stays, with all rows of that id. Rows with a null id stay."""
     kept = linked(docs, words=5, percent=80).where("component_id = doc_id").select(F.col("doc_id").alias("kept")).distinct()
     stay = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("kept"), "left_semi")
     return stay.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
@@ -45,7 +50,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 1024 tokens."""
+    """The pieces of all documents in sequences of at most 1024 tokens. A document of more tokens is cut; each row of the mix is a document of its own."""
     return packed_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), capacity=1024)
 
 
