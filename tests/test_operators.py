@@ -147,6 +147,14 @@ def test_windows_of_text(spark):
     assert [(r.id, r.place, len(r.piece)) for r in acquire.windows(d, ["id"], "t", 10, 2).collect()] == [(1, 0, 10), (1, 1, 10), (1, 2, 9), (1, 3, 1), (2, 0, 2)]
 
 
+def test_order_statistics_with_extremes_and_ties(spark):
+    values = [1e18, -1e18, *[7.0] * 500, *(i / 7 for i in range(1000)), 0.0]
+    got = metrics.order_statistics(spark.createDataFrame([("a", v) for v in values] + [("a", None), ("none", None)], "k string, v double"), ["k"], "v").collect()
+    v = sorted(values)
+    n = len(v)
+    assert [(r.k, r.n, r.median, r.p95) for r in got] == [("a", n, round((v[(n - 1) // 2] + v[n // 2]) / 2, 6), round(v[min(n - 1, int(n * 0.95))], 6))]
+
+
 def test_order_statistics(spark):
     d = spark.createDataFrame([("a", float(i)) for i in range(100)] + [("b", 5.0), ("c", None)], "k string, v double")
     assert {r.k: (r.n, r.mean, r.median, r.p95) for r in metrics.order_statistics(d, ["k"], "v").collect()} == {"a": (100, 49.5, 49.5, 95.0), "b": (1, 5.0, 5.0, 5.0)}

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Ranges of values into which each key is cut.
+RANGES = 256
+
+
 def ratio(a: Column, b: Column, none: float = 0.0) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(none))
 
@@ -21,21 +25,23 @@ def confusion(rows: DataFrame, expected: Column, found: Column, keys: tuple[str,
 def order_statistics(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, n, mean, median, p95: the value at place int(0.95 n) of the sorted ones.
 
-    Values are ranked in ranges of each key, so that a key with most rows is not gathered: a coarse pass counts by range, and the one range
-    that holds a place is looked into.
+    Distinct values are counted first, so that a frequent one is one row; then they are ranked in ranges of each key, cut at approximate quantiles, so that neither
+    a key with most rows nor one with extreme values is gathered: a coarse pass counts by range, and the ranges that hold a place are looked into.
     """
     from pyspark.sql import Window
 
-    n = rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    bins = 4096
-    at = F.least(F.floor(F.coalesce(F.try_divide((F.col(value) - F.col("_lo")) * bins, F.col("_hi") - F.col("_lo")), F.lit(0.0))), F.lit(bins - 1)).cast("int")
-    binned = rows.where(F.col(value).isNotNull()).join(n, keys).select(*keys, value, "n", at.alias("_bin"))
-    counts = binned.groupBy(*keys, "_bin", "n").agg(F.count("*").alias("_c"))
-    counts = counts.withColumn("_before", F.sum("_c").over(Window.partitionBy(*keys).orderBy("_bin")) - F.col("_c"))
+    rows = rows.where(F.col(value).isNotNull())
+    cuts = F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 10_000)
+    n = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.array_distinct(cuts).alias("_cuts"))
+    at = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
+    binned = rows.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c")).withColumnRenamed("_v", value).join(n, keys).select(*keys, value, "_c", "n", at.alias("_bin"))
+    counts = binned.groupBy(*keys, "_bin", "n").agg(F.sum("_c").alias("_in"))
+    counts = counts.withColumn("_before", F.sum("_in").over(Window.partitionBy(*keys).orderBy("_bin")) - F.col("_in"))
     places = F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2), F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95)))
-    wanted = counts.select(*keys, "_bin", "_before", "_c", F.posexplode(places).alias("_k", "_place")).where("_place >= _before AND _place < _before + _c")
+    wanted = counts.select(*keys, "_bin", "_before", "_in", F.posexplode(places).alias("_k", "_place")).where("_place >= _before AND _place < _before + _in")
     inside = binned.join(wanted.select(*keys, "_bin", "_k", "_before", "_place"), [*keys, "_bin"])
-    ranked = inside.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_k").orderBy(value)) - 1 + F.col("_before")).where("_r = _place")
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "_k").orderBy(value)) + F.col("_before")
+    ranked = inside.withColumn("_upto", upto).where("_place < _upto AND _place >= _upto - _c")
     found = ranked.groupBy(*keys).agg(*(F.max(F.when(F.col("_k") == k, F.col(value))).alias(f"_v{k}") for k in range(3)))
     return n.join(found, keys).select(*keys, "n", F.round("mean", 6).alias("mean"), F.round((F.col("_v0") + F.col("_v1")) / 2, 6).alias("median"), F.round("_v2", 6).alias("p95"))
 
