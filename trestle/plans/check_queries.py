@@ -228,3 +228,40 @@ def boundary_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok = F.get(checks.semantic({"lane_width"}), 0)["broken"].isNull()
     return d.groupBy("l_linenumber", "lane_width", ok.alias("expected_valid")).agg(F.count("*").alias("n"))
 
+
+# --- The whole validation: orders as records of three parameters ---------------------------------------------------
+
+_WHOLE = """o AS (SELECT o_orderkey AS record, (8 + o_custkey % 6)::DOUBLE AS lw, CASE WHEN o_orderkey % 3 <> 0 THEN (25 + 5 * (o_custkey % 12))::DOUBLE END AS spl, o_totalprice / 100 AS design_rad, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey % 2 = 0 END AS level FROM orders),
+    v AS (SELECT *, CASE WHEN lw < 9 OR lw > 12 THEN 1 END AS one, CASE WHEN level AND design_rad < spl ** 2 / 3 THEN 2 END AS two, CASE WHEN spl > 70 THEN 3 END AS three FROM o)"""
+
+
+def _whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    from trestle.plans import engine
+
+    o = table(spark, sf_dir, "orders")
+    given = F.array(
+        F.struct(F.lit("Lane-Width").alias("param"), (8 + F.col("o_custkey") % 6).cast("double").alias("value_num")),
+        F.struct(F.lit("speed").alias("param"), F.when(F.col("o_orderkey") % 3 != 0, 25 + 5 * (F.col("o_custkey") % 12)).cast("double").alias("value_num")),
+        F.struct(F.lit("Radius").alias("param"), (F.col("o_totalprice") / 100).alias("value_num")), F.struct(F.lit("odd").alias("param"), F.lit(1.0).alias("value_num")),
+    )
+    params = o.select(F.col("o_orderkey").alias("record"), F.explode(given).alias("_")).select("record", "_.*", F.lit(None).cast("string").alias("value_str")).where("value_num IS NOT NULL")
+    terrain = F.when(F.col("o_custkey") % 2 == 0, "level").otherwise("rolling")
+    contexts = o.where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("record"), F.create_map(F.lit("terrain"), terrain).alias("context"))
+    keys = spark.createDataFrame([("lane-width", "lw"), ("speed", "spl"), ("radius", "design_rad")], "key string, field string")
+    columns = "field string, rule_id int, rule_type string, severity string, lo double, hi double, lo_open boolean, hi_open boolean, allowed array<string>, citation string, conditions array<struct<type:string,value:string>>, formula string"
+    corpus = [("lw", 1, "range", "error", 9.0, 12.0, False, False, None, "M", [], None), ("design_rad", 2, "formula", "error", None, None, None, None, None, "M", [("terrain", "level")], "design_rad >= spl ** 2 / 3"), ("spl", 3, "max", "warning", None, 70.0, False, False, None, "M", None, None)]
+    return engine.validate(params, contexts, keys, spark.createDataFrame(corpus, columns))
+
+
+@query(f"""WITH {_WHOLE} SELECT record, (one IS NOT NULL)::BIGINT + (two IS NOT NULL)::BIGINT AS errors, (three IS NOT NULL)::BIGINT AS warnings, 1::BIGINT AS unknown, one IS NULL AND two IS NULL AS is_valid, concat_ws(',', one, two, three) AS violated FROM v""")
+def whole_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names resolved, contexts gated, values and formulas checked, for all records at once."""
+    verdicts, _ = _whole(spark, sf_dir)
+    return verdicts.select("record", "errors", "warnings", "unknown", "is_valid", F.array_join(F.transform("violations", lambda x: x["rule_id"].cast("string")), ",").alias("violated"))
+
+
+@query(f"""WITH {_WHOLE} SELECT record, 'ambiguous_context' AS kind, 'terrain' AS parameter, 'Radius' AS related FROM o WHERE level IS NULL UNION ALL SELECT record, 'missing_parameter', 'spl', 'Radius' FROM o WHERE level AND spl IS NULL""")
+def whole_validation_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the validation has to ask: contexts that decide a rule, inputs that a formula needs."""
+    _, asks = _whole(spark, sf_dir)
+    return asks.select("record", "kind", "parameter", F.array_join("related", ",").alias("related"))
