@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from trestle.sources.tables import dropped, removed, shared_dir, written
 
 #: Bytes of the batches that Spark hands to Python; its own default of 64 MB takes as much again on either side, for each core.
-BATCH = 8 << 20
+BATCH = 4 << 20
 
 __all__ = ["bounded", "dropped", "lower_ascii", "mixed", "partitions", "removed", "shared_dir", "slices", "span_hashes", "utf8", "word_spans", "written"]
 
@@ -44,6 +45,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
             j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
             yield b.slice(i, j - i)
             i = j
+    given_back()
+
+
+def given_back() -> None:
+    """What this worker has freed goes back to the system: it may wait for its next task for long, beside others that work."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
