@@ -39,6 +39,8 @@ BANDS = np.unique(np.floor(1.4 ** np.arange(0, 120)).astype(np.int64))
 TILE, LEAST_TILE = 400_000, 20_000
 #: And so many documents at least.
 LEAST_ROOM = 50
+#: Bytes of texts whose sets are made at once: arrays over them take some fifty times as much.
+SLICE = 1 << 18
 #: The most bits of the bitmap of wanted ids.
 FILTER = 1 << 26
 
@@ -310,14 +312,14 @@ def linked(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int =
     kind = rows.schema["_id"].dataType.simpleString()
 
     def sized(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(parts, "_text"):
+        for b in slices(parts, "_text", SLICE):
             sets = gram_sets(b.column("_text"), words)
             yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_t"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64())], ["_id", "_t", "n", "node"])
 
     def keyed(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
         """For each slice: its sets' node, band, keys and need; all their keys; and which set each is of."""
         told: set[int] = set()  # a task gives the keys of equal sets once
-        for b in slices(parts, "_text"):
+        for b in slices(parts, "_text", SLICE):
             sets = {set_hash(s): s for s in gram_sets(b.column("_text"), words) if len(s)}
             new = [k for k in sets if k not in told]
             if len(told) > 200_000:
@@ -345,7 +347,7 @@ def linked(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int =
 
     def of_node(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row can have the hash of another text; the one whose set is the node's is meant."""
-        for b in slices(parts, "_text"):
+        for b in slices(parts, "_text", SLICE):
             right = [set_hash(s) == k for s, k in zip(gram_sets(b.column("_text"), words), b.column("node").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("_text")], ["node", "_text"]).filter(pa.array(right, pa.bool_()))
 

@@ -89,15 +89,15 @@ _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of the base, and of its inverse, from 0 to n; kept from one batch to the next up to 8 million of them."""
+    """The powers of the base, and of its inverse, from 0 to n; kept from one batch to the next up to 4 million of them."""
     found = _POWERS
     if len(found[0]) <= n:
         found = []
         for base in (_BASE, _BACK):
-            out = np.full(max(n, 1 << 20) + 1, base)
+            out = np.full(max(n, 1 << 18) + 1, base)
             out[0] = 1
             found.append(np.cumprod(out))
-        if n <= 8 << 20:
+        if n <= 4 << 20:
             _POWERS[:] = found
     return found[0][: n + 1], found[1][: n + 1]
 
