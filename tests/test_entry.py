@@ -26,7 +26,7 @@ def tables():
 def test_every_query_has_a_name_of_its_own():
     q, sql = entry.queries(), entry.oracle_sql()
     assert len(q) > 60 and set(sql) <= set(q)
-    assert not entry.llm or sum(n.startswith("op") for n in q) == 10
+    assert not entry.llm or sum(n.startswith("op") for n in q) == 13
 
 
 @needs_data
