@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import bounded, dropped, lower_ascii, mixed, slices, span_hashes, utf8, written
+from .shared import bounded, dropped, given_back, lower_ascii, mixed, slices, span_hashes, utf8, written
 
 #: Bits of a bitmap of frequent groups.
 BITS = 1 << 26
@@ -193,6 +193,7 @@ def extended(relation: DataFrame, frequent: np.ndarray, k: int) -> DataFrame:
                 flags = np.zeros(len(codes), bool)
                 flags[at] = True
                 yield _batch([[items, b.column("codes")[i].as_py(), b.column("firsts")[i].as_py(), tail, np.packbits(flags).tobytes()]], names)
+        given_back()
 
     columns = [c for c in ("items", "codes", "firsts", "tail", "held") if c in relation.columns]
     return bounded(relation.select(*columns)).mapInArrow(made, RELATION)
@@ -208,6 +209,7 @@ def counted(relation: DataFrame, k: int, least: int) -> DataFrame:
                 items, codes, _, _, held = _relation(b, i)
                 one, n, _ = _groups(codes, np.flatnonzero(held), k, len(items))
                 yield pa.RecordBatch.from_arrays([*(pa.array(items[codes[one + t]]) for t in range(k)), pa.array(n.astype(np.int64))], names=[*names, "n"])
+        given_back()
 
     found = bounded(relation).mapInArrow(made, ", ".join(f"{n} bigint" for n in [*names, "n"]))
     return found.groupBy(*names).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
