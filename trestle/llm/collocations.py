@@ -27,6 +27,8 @@ from .shared import bounded, dropped, given_back, lower_ascii, mixed, slices, sp
 BITS = 1 << 26
 #: Bytes of text that a block is made of at most, if no word is longer.
 BLOCK = 1 << 20
+#: Parts in which a language's phrases are ranked before its last ranking.
+DEALS = 64
 #: What ends a piece, and what ends a word within a piece.
 PIECE_ENDS, WORD_ENDS = b".,;:!?\x0a\x0b\x0c\x0d", b" \t"
 _KIND = np.zeros(256, np.uint8)
@@ -285,7 +287,10 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longes
     rows = found[0]
     for x in found[1:]:
         rows = rows.unionByName(x)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase"))
-    best = rows.withColumn("rank", rank).where(F.col("rank") <= top)
+    # A language's phrases are ranked in DEALS parts first, so that the last ranking has that many times `top` rows at most.
+    order = (F.col("score").desc(), F.col("a").desc(), "phrase")
+    parts = rows.withColumn("_deal", F.pmod(F.xxhash64("phrase"), F.lit(DEALS)))
+    parts = parts.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "_deal").orderBy(*order))).where(F.col("rank") <= top)
+    best = parts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     total = words.groupBy(F.col("lang").alias("_lang")).agg(F.sum("n").alias("n"))  # a row a language
     return best.join(total, F.col("lang") == F.col("_lang")).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
