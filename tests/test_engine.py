@@ -22,7 +22,7 @@ def test_validation(spark):
     verdicts, asks = engine.validate(params, contexts, keys, rules, units)
     got = {r.record: (r.errors, r.warnings, r.unknown, r.is_valid, [v.rule_id for v in r.violations]) for r in verdicts.collect()}
     assert got == {1: (2, 1, 0, False, [1, 2, 3]), 2: (0, 0, 1, True, []), 3: (0, 0, 0, True, []), 4: (1, 0, 0, False, [1]), 5: (1, 0, 0, False, [4])}
-    assert {(r.record, r.kind, r.parameter, *r.related) for r in asks.collect()} == {(3, "ambiguous_context", "terrain", "grade"), (3, "ambiguous_context", "city", "grade"), (4, "unit_conflict", "lane", "lane")}
+    assert {(r.record, r.kind, r.parameter, ",".join(r.options), *r.related) for r in asks.collect()} == {(3, "ambiguous_context", "terrain", "level", "grade"), (3, "ambiguous_context", "city", "urban", "grade"), (4, "unit_conflict", "lw", "")}
     strict, _ = engine.validate(params.where("param = 'grade'"), contexts, keys, rules.where("rule_id = 2"), strict=True)
     assert {r.record: r.is_valid for r in strict.collect()} == {1: False, 2: True, 3: True}
 

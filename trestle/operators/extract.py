@@ -1,4 +1,4 @@
-"""Parameters out of structs, JSON and text, in the long format."""
+"""Parameters out of texts in the long format, and what tells records apart."""
 
 from __future__ import annotations
 
@@ -31,8 +31,6 @@ CONTEXT = {
     "city_type": [r"(urban|rural)\s*(?:area|setting|context)?"],
 }
 SHORTEST = 20
-#: The units of JSON parameters.
-UNITS = {"lane_width": "ft", "shoulder_width": "ft", "design_rad": "ft", "spl": "mph", "bffs": "mph", "ffs": "mph", "grade": "%", "length": "mi"}
 FREEWAY, TWO_LANE = ["bffs", "lc_r", "lc_l", "trd", "apd"], ["lane_width", "shoulder_width", "passing_type", "design_rad"]
 
 
@@ -86,13 +84,3 @@ def struct_like(names: Column) -> Column:
 def source_type(explicit: Column, names: Column, text: Column) -> Column:
     """Which extractor reads a record: the one asked for, else a struct's, JSON's (any names), or text's."""
     return F.coalesce(explicit, F.when(struct_like(names), "struct").when(F.size(names) > 0, "json").when(applicable(text), "text"))
-
-
-def json_parameters(rows: DataFrame, keys: list[str], json: str, known: list[str] | None = None) -> DataFrame:
-    """keys, param, name, value_num, value_str, unit: the known (else all) entries of a flat JSON object; numbers get their unit."""
-    entries = rows.select(*keys, F.explode(F.from_json(json, "MAP<STRING,STRING>")).alias("param", "value_str")).where("value_str IS NOT NULL")
-    entries = entries if known is None else entries.where(F.col("param").isin(known))
-    number = F.col("value_str").try_cast("double")
-    unit = F.when(number.isNotNull(), F.element_at(F.create_map(*(F.lit(x) for kv in UNITS.items() for x in kv)), F.col("param")) if UNITS else None)
-    return entries.select(*keys, "param", F.initcap(F.replace("param", F.lit("_"), F.lit(" "))).alias("name"), number.alias("value_num"), "value_str", unit.alias("unit"))
-

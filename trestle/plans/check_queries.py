@@ -235,7 +235,8 @@ _WHOLE = """o AS (SELECT o_orderkey AS record, (8 + o_custkey % 6)::DOUBLE AS lw
     v AS (SELECT *, CASE WHEN lw < 9 OR lw > 12 THEN 1 END AS one, CASE WHEN level AND design_rad < spl ** 2 / 3 THEN 2 END AS two, CASE WHEN spl > 70 THEN 3 END AS three FROM o)"""
 
 
-def _whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _whole(spark: SparkSession, sf_dir: str, asking: bool = False) -> tuple[DataFrame, DataFrame]:
+    """asking: with rules that depend on contexts or lack inputs in several ways, none of which is ever broken, and a parameter that may be metric."""
     from trestle.plans import engine
 
     o = table(spark, sf_dir, "orders")
@@ -243,14 +244,22 @@ def _whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.struct(F.lit("Lane-Width").alias("param"), (8 + F.col("o_custkey") % 6).cast("double").alias("value_num")),
         F.struct(F.lit("speed").alias("param"), F.when(F.col("o_orderkey") % 3 != 0, 25 + 5 * (F.col("o_custkey") % 12)).cast("double").alias("value_num")),
         F.struct(F.lit("Radius").alias("param"), (F.col("o_totalprice") / 100).alias("value_num")), F.struct(F.lit("odd").alias("param"), F.lit(1.0).alias("value_num")),
+        *([F.struct(F.lit("shoulder").alias("param"), F.when(F.col("o_orderkey") % 7 == 0, 1.8).otherwise(6.0).alias("value_num"))] if asking else []),
     )
-    params = o.select(F.col("o_orderkey").alias("record"), F.explode(given).alias("_")).select("record", "_.*", F.lit(None).cast("string").alias("value_str")).where("value_num IS NOT NULL")
+    params = o.select(F.col("o_orderkey").alias("record"), F.posexplode(given).alias("ord", "_")).select("record", "ord", "_.*", F.lit(None).cast("string").alias("value_str")).where("value_num IS NOT NULL")
     terrain = F.when(F.col("o_custkey") % 2 == 0, "level").otherwise("rolling")
     contexts = o.where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("record"), F.create_map(F.lit("terrain"), terrain).alias("context"))
-    keys = spark.createDataFrame([("lane-width", "lw"), ("speed", "spl"), ("radius", "design_rad")], "key string, field string")
+    keys = spark.createDataFrame([("lane-width", "lw"), ("speed", "spl"), ("radius", "design_rad"), ("shoulder", "sw")], "key string, field string")
     columns = "field string, rule_id int, rule_type string, severity string, lo double, hi double, lo_open boolean, hi_open boolean, allowed array<string>, citation string, conditions array<struct<type:string,value:string>>, formula string"
     corpus = [("lw", 1, "range", "error", 9.0, 12.0, False, False, None, "M", [], None), ("design_rad", 2, "formula", "error", None, None, None, None, None, "M", [("terrain", "level")], "design_rad >= spl ** 2 / 3"), ("spl", 3, "max", "warning", None, 70.0, False, False, None, "M", None, None)]
-    return engine.validate(params, contexts, keys, spark.createDataFrame(corpus, columns))
+    if asking:
+        corpus += [
+            ("design_rad", 4, "formula", "error", None, None, None, None, None, "M", [], "design_rad > 100 * superelevation + grade"), ("design_rad", 5, "min", "error", -1.0, None, False, False, None, "M", [("terrain", "rolling")], None),
+            ("lw", 6, "min", "error", -1.0, None, False, False, None, "M", [("terrain", "mountainous"), ("city", "urban")], None), ("lw", 7, "min", "error", -1.0, None, False, False, None, "M", [("terrain", "level")], None),
+            ("design_rad", 8, "formula", "error", None, None, None, None, None, "M", [], "phf * design_rad > superelevation"),
+        ]
+    units = spark.createDataFrame([("sw", "ft", 4.0, 8.0)], "field string, unit string, typical_min double, typical_max double") if asking else None
+    return engine.validate(params, contexts, keys, spark.createDataFrame(corpus, columns), units)
 
 
 @query(f"""WITH {_WHOLE} SELECT record, (one IS NOT NULL)::BIGINT + (two IS NOT NULL)::BIGINT AS errors, (three IS NOT NULL)::BIGINT AS warnings, 1::BIGINT AS unknown, one IS NULL AND two IS NULL AS is_valid, concat_ws(',', one, two, three) AS violated FROM v""")
@@ -260,8 +269,13 @@ def whole_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.select("record", "errors", "warnings", "unknown", "is_valid", F.array_join(F.transform("violations", lambda x: x["rule_id"].cast("string")), ",").alias("violated"))
 
 
-@query(f"""WITH {_WHOLE} SELECT record, 'ambiguous_context' AS kind, 'terrain' AS parameter, 'Radius' AS related FROM o WHERE level IS NULL UNION ALL SELECT record, 'missing_parameter', 'spl', 'Radius' FROM o WHERE level AND spl IS NULL""")
+@query(f"""WITH {_WHOLE}
+    SELECT record, 'ambiguous_context' AS kind, 'terrain' AS parameter, 'level,mountainous' AS options, 'design_rad,lw' AS related, 'Which terrain (level, mountainous)? lw has rules that depend on it: rule 6, rule 7' AS message FROM o WHERE level IS NULL
+    UNION ALL SELECT record, 'ambiguous_context', 'city', 'urban', 'lw', 'Which city (urban)? lw has rules that depend on it: rule 6' FROM o WHERE level IS NULL
+    UNION ALL SELECT record, 'missing_parameter', 'spl', '', 'spl', 'What is spl? rule 2 on design_rad can''t be checked without' FROM o WHERE level AND spl IS NULL
+    UNION ALL SELECT record, 'missing_parameter', NULL, '', 'grade,phf,superelevation', 'What is grade, superelevation? rule 4 on design_rad can''t be checked without' FROM o
+    UNION ALL SELECT record, 'unit_conflict', 'sw', '', '', 'sw = 1.8 ft is outside of 4 to 8; are these meters (5.91 ft)?' FROM o WHERE record % 7 = 0""")
 def whole_validation_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the validation has to ask: contexts that decide a rule, inputs that a formula needs."""
-    _, asks = _whole(spark, sf_dir)
-    return asks.select("record", "kind", "parameter", F.array_join("related", ",").alias("related"))
+    """What the validation has to ask: contexts that decide rules, with what they may be; inputs that formulas need, once a rule; values that look metric."""
+    _, asks = _whole(spark, sf_dir, asking=True)
+    return asks.select("record", "kind", "parameter", F.array_join("options", ",").alias("options"), F.array_join("related", ",").alias("related"), "message")

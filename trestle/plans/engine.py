@@ -25,14 +25,16 @@ def resolved(params: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def validate(params: DataFrame, contexts: DataFrame, keys: DataFrame, rules: DataFrame, units: DataFrame | None = None, strict: bool = False) -> Results:
-    """Verdicts (record, errors, warnings, unknown, is_valid, violations) and questions (record, kind, parameter, message, related).
+    """Verdicts (record, errors, warnings, unknown, is_valid, violations) and questions (record, kind, parameter, message, options, related).
 
-    params: record, param, value_num, value_str. contexts: record, context (a map). rules: field, rule_id, rule_type, severity, lo, hi, lo_open, hi_open, allowed,
+    params: record, param, value_num, value_str, and ord, their place in the record, if they have one (else they come by name): the earliest of like questions counts. contexts: record, context (a map). rules: field, rule_id, name (optional), rule_type, severity, lo, hi, lo_open, hi_open, allowed,
     citation, conditions. units: field, unit, typical_min, typical_max. Parameters of segments are taken along but never checked; unknown ones are valid.
-    A rule whose conditions can't be decided isn't applied and asks for what is missing. A formula rule (rules have a column `formula` then) reads the record's other
-    values, by field or by name, and asks for those that aren't there; what can't be worked out, or isn't a formula, breaks nothing.
+    A rule whose conditions can't be decided isn't applied, and its parameter asks for the context, with all values that such rules want. A formula rule (rules have a column `formula` then) reads the record's other
+    values, by field or by name, and asks once for all that aren't there; what can't be worked out, or isn't a formula, breaks nothing.
     """
-    named = resolved(params.where(~F.col("param").startswith("segment_")), keys)
+    place = F.col("ord") if "ord" in params.columns else F.col("param")
+    named = resolved(params.where(~F.col("param").startswith("segment_")).withColumn("place", place), keys)
+    rules = rules.withColumn("rule", F.coalesce(F.col("name") if "name" in rules.columns else F.lit(None), F.concat(F.lit("rule "), F.col("rule_id").cast("string"))))
     ruled = named.join(rules, "field", "left").join(contexts, "record", "left")
     none = F.create_map().cast("map<string,string>")
     ctx, conditions = F.coalesce("context", none), F.coalesce("conditions", F.array().cast("array<struct<type:string,value:string>>"))
@@ -53,15 +55,13 @@ def validate(params: DataFrame, contexts: DataFrame, keys: DataFrame, rules: Dat
     )
     valid = F.col("errors") == 0
     verdicts = verdicts.withColumn("is_valid", valid & (F.col("warnings") == 0) if strict else valid)
-    asks = results.where("state = 'undecidable'").select("record", F.lit("ambiguous_context").alias("kind"), F.explode("open").alias("c"), "rule_id", F.col("param").alias("_p"))
-    asks = asks.select("record", "kind", F.col("c.type").alias("parameter"), F.concat(F.lit("Which "), F.col("c.type"), F.lit("?")).alias("message"), F.array("_p").alias("related"), F.col("rule_id").cast("long").alias("ord"))
+    told = ["record", "field", "place", "rule_id", "rule"]
+    asks = clarify.context_asks(results.where("state = 'undecidable'").select(*told, "open"), ["record"])
     if formulas:
-        inputs = results.where(F.size("_missing") > 0).select("record", F.lit("missing_parameter").alias("kind"), F.explode("_missing").alias("parameter"), F.col("param").alias("_p"), "rule_id")
-        asks = asks.unionByName(inputs.select("record", "kind", "parameter", F.concat(F.lit("What is "), F.col("parameter"), F.lit("?")).alias("message"), F.array("_p").alias("related"), F.col("rule_id").cast("long").alias("ord")))
+        asks = asks.unionByName(clarify.input_asks(results.where(F.size("_missing") > 0).select(*told, F.col("_missing").alias("missing")), ["record"]))
     if units is not None:
-        odd = named.join(units, "field").where(clarify.unit_conflict(F.col("value_num"), F.col("unit"), F.col("typical_min"), F.col("typical_max")))
-        asks = asks.unionByName(odd.select("record", F.lit("unit_conflict").alias("kind"), F.col("param").alias("parameter"), F.concat(F.lit("Is "), F.col("param"), F.lit(" in "), F.col("unit"), F.lit("?")).alias("message"), F.array("param").alias("related"), F.lit(0).cast("long").alias("ord")))
-    return verdicts, clarify.deduplicated(asks, ["record"])
+        asks = asks.unionByName(clarify.unit_asks(named.join(units, "field"), ["record"]))
+    return verdicts, clarify.questions(asks, ["record"])
 
 
 def _formulas(rules: DataFrame) -> dict[int, tuple[Column, Column]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trestle.operators import acquire, closure, extract, freeway, metrics, reconcile, search
+from trestle.operators import acquire, closure, extract, freeway, metrics, reconcile, records, search
 from trestle.plans.check_queries import WHOLE
 from trestle.plans.registry import SQL, query
 from trestle.sources import roadxml
@@ -229,7 +229,7 @@ def text_context_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT key AS param, upper(key[1]) || lower(key[2:]) AS name, try_cast(value AS DOUBLE) AS value_num, count(*) AS n FROM (SELECT unnest(json_keys(props)) AS key, json_extract_string(props, '$.' || unnest(json_keys(props))) AS value FROM events) GROUP BY ALL""")
 def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.json_parameters(table(spark, sf_dir, "events"), ["event_id"], "props").groupBy("param", "name", "value_num").agg(F.count("*").alias("n"))
+    return records.json_parameters(table(spark, sf_dir, "events"), ["event_id"], "props", known=None).groupBy("param", "name", "value_num").agg(F.count("*").alias("n"))
 
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
