@@ -43,7 +43,7 @@ def plain(x: Column) -> Column:
     for e in range(5, -5, -1):
         digits = F.format_string(f"%.{5 - e}f", x)
         shown = F.when(F.abs(x) < 10.0 ** (e + 1), F.regexp_replace(digits, r"\.?0+$", "") if e < 5 else digits).otherwise(shown)
-    return F.when(x == 0, "0").when(F.abs(x) < 1e-4, short).otherwise(shown)
+    return F.when(x == 0, "0").when(F.abs(x) < 1e-4, short).when(x.isNotNull(), shown)
 
 
 def _texts(*found: Column) -> Column:

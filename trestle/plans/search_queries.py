@@ -74,6 +74,72 @@ def reconcile_unresolved_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile_unresolved(spark, sf_dir)
 
 
+#: Items as claims as they are stated: with defaults, lists as texts, conditions, some on another parameter. Their orders are the cases.
+_STATED = {
+    "parameter": "CASE WHEN l_linenumber = 5 THEN 'other' WHEN l_linenumber <> 6 THEN 'lane_width' END",
+    "rule_type": "CASE WHEN l_linenumber % 4 = 0 THEN 'enum' ELSE 'range' END",
+    "lo": "CASE WHEN l_linenumber % 3 <> 0 THEN floor(l_quantity / 10) END",
+    "hi": "CASE WHEN l_linenumber % 2 = 0 THEN floor(l_quantity / 5) + 3 END",
+    "allowed": "CASE l_suppkey % 4 WHEN 0 THEN '4.0, 5.0' WHEN 1 THEN ' 5.0,4.0,,' WHEN 2 THEN '6.0' END",
+    "jurisdiction": "CASE l_suppkey % 4 WHEN 0 THEN 'Federal' WHEN 1 THEN 'state' WHEN 2 THEN 'local' END",
+    "priority": "CASE WHEN l_suppkey % 7 = 0 THEN 30 END",
+    "authority": "CASE l_partkey % 4 WHEN 0 THEN 'HCM' WHEN 1 THEN 'AASHTO' WHEN 2 THEN 'county' END",
+    "citation": "CASE WHEN l_partkey % 2 = 0 THEN 'M' END",
+}
+
+
+def _stated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    l = table(spark, sf_dir, "lineitem")
+    conditions = "CASE l_partkey % 3 WHEN 1 THEN array(named_struct('type', 'terrain', 'value', 'level')) WHEN 2 THEN array(named_struct('type', 'terrain', 'value', 'level'), named_struct('type', 'city', 'value', 'Urban')) END AS conditions"
+    claims = l.selectExpr("l_orderkey", f"{_PLACE} - 1 AS ord", *(f"{x} AS {name}" for name, x in _STATED.items()), conditions)
+    context = "CASE l_orderkey % 3 WHEN 0 THEN map('terrain', 'Level', 'city', 'urban') WHEN 1 THEN map('terrain', 'rolling') END AS context"
+    cases = l.select("l_orderkey").distinct().where("l_orderkey % 11 <> 0").selectExpr("l_orderkey", "CASE WHEN l_orderkey % 2 = 0 THEN 'lane_width' END AS parameter", context, "CASE WHEN l_orderkey % 4 <> 0 THEN 4.0D END AS value")
+    return claims, cases
+
+
+_TRACE = f"""raw AS (SELECT l_orderkey, {_PLACE} - 1 AS ord, {", ".join(f"{x} AS {name}" for name, x in _STATED.items())}, l_partkey % 3 AS conds FROM lineitem),
+    cases AS (SELECT DISTINCT l_orderkey, CASE WHEN l_orderkey % 11 <> 0 AND l_orderkey % 3 < 2 THEN l_orderkey % 3 ELSE 2 END AS c, CASE WHEN l_orderkey % 4 <> 0 AND l_orderkey % 11 <> 0 THEN 4.0 END AS value, CASE WHEN l_orderkey % 11 <> 0 AND l_orderkey % 2 = 0 THEN 'lane_width' END AS asked FROM lineitem),
+    firsts AS (SELECT l_orderkey, coalesce(asked, parameter, '') AS p, c, value FROM cases JOIN raw USING (l_orderkey) WHERE ord = 0),
+    args AS (SELECT r.* EXCLUDE (allowed, parameter, jurisdiction, authority), p, c, value, lower(coalesce(jurisdiction, 'federal')) AS tier, coalesce(priority, CASE lower(coalesce(jurisdiction, 'federal')) WHEN 'state' THEN 50 WHEN 'local' THEN 25 ELSE 100 END) AS prio,
+            coalesce(authority, 'unknown') AS authority, CASE authority WHEN 'HCM' THEN 1.0 WHEN 'AASHTO' THEN 0.95 ELSE 0.5 END AS trust, list_filter([trim(x) FOR x IN string_split(coalesce(allowed, ''), ',')], lambda x: x <> '') AS vals,
+            conds = 0 OR c = 0 AS applicable, CASE WHEN conds = 0 OR c = 0 THEN conds ELSE 0 END AS spec,
+            CASE WHEN conds = 0 THEN 'unconditional' WHEN c = 0 THEN CASE WHEN conds = 1 THEN 'terrain=level' ELSE 'terrain=level, city=Urban' END WHEN c = 1 THEN 'terrain=level isn''t met: rolling' ELSE 'terrain=level isn''t established' END AS reason
+        FROM raw r JOIN firsts USING (l_orderkey) WHERE p = '' OR coalesce(parameter, p) = p),
+    told AS (SELECT *, CASE WHEN rule_type = 'enum' THEN list_sort(list_distinct(vals))::VARCHAR END AS allowed, CASE WHEN applicable AND value IS NOT NULL THEN CASE WHEN rule_type = 'enum' AND len(vals) > 0 THEN list_contains(vals, '4.0') ELSE coalesce(value >= lo, true) AND coalesce(value <= hi, true) END END AS ok,
+            'A' || (ord + 1) AS id, p || CASE WHEN rule_type = 'enum' AND len(vals) > 0 THEN ' in {{' || array_to_string(vals, ', ') || '}}' WHEN lo IS NOT NULL AND hi IS NOT NULL THEN ' in [' || lo::BIGINT || ', ' || hi::BIGINT || ']' WHEN lo IS NOT NULL THEN ' >= ' || lo::BIGINT WHEN hi IS NOT NULL THEN ' <= ' || hi::BIGINT ELSE ': no bound' END AS claim FROM args),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY prio, spec DESC, trust DESC, ord) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM told WHERE applicable),
+    fold AS (SELECT l_orderkey, 0::BIGINT AS i, n, []::STRUCT(ord BIGINT, lo DOUBLE, hi DOUBLE, allowed VARCHAR, ok BOOLEAN, prio INTEGER, spec BIGINT, trust DOUBLE)[] AS kept FROM (SELECT DISTINCT l_orderkey, n FROM ranked) UNION ALL
+        SELECT f.l_orderkey, f.i + 1, f.n, CASE WHEN len(list_filter(kept, lambda k: (coalesce(k.lo <> r.lo, false) OR coalesce(k.hi <> r.hi, false) OR coalesce(k.allowed <> r.allowed, false) OR coalesce(k.ok <> r.ok, false)) AND (k.prio < r.prio OR (k.prio = r.prio AND (k.spec > r.spec OR (k.spec = r.spec AND k.trust > r.trust)))))) > 0 THEN kept
+            ELSE list_append(kept, {{'ord': r.ord, 'lo': r.lo, 'hi': r.hi, 'allowed': r.allowed, 'ok': r.ok, 'prio': r.prio::INTEGER, 'spec': r.spec, 'trust': r.trust::DOUBLE}}) END
+        FROM fold f JOIN ranked r ON f.l_orderkey = r.l_orderkey AND r.i = f.i + 1),
+    kept AS (SELECT l_orderkey, unnest(kept).ord AS ord FROM fold WHERE i = n), governing AS (SELECT told.* FROM told JOIN kept USING (l_orderkey, ord)),
+    pairs AS (SELECT a.l_orderkey, a.ord AS ao, b.ord AS bo, a.id AS a, b.id AS b, CASE WHEN a.lo <> b.lo THEN 'lower bound' WHEN a.hi <> b.hi THEN 'upper bound' WHEN a.allowed <> b.allowed THEN 'allowed values' WHEN a.ok <> b.ok THEN 'verdict' END AS aspect,
+            CASE WHEN a.prio <> b.prio THEN 'jurisdiction' WHEN a.spec <> b.spec THEN 'specificity' WHEN a.trust <> b.trust THEN 'provenance' END AS principle, (a.prio, -a.spec, -a.trust) <= (b.prio, -b.spec, -b.trust) AS first, a.i AS ai, b.i AS bi, (least(a.prio, b.prio)) AS x,
+            CASE WHEN (a.prio, -a.spec, -a.trust) <= (b.prio, -b.spec, -b.trust) THEN (a.prio, -a.spec, -a.trust) ELSE (b.prio, -b.spec, -b.trust) END AS strength
+        FROM ranked a JOIN ranked b ON a.l_orderkey = b.l_orderkey AND a.ord < b.ord),
+    conflicts AS (SELECT * FROM pairs WHERE aspect IS NOT NULL),
+    won AS (SELECT c.*, CASE WHEN first THEN a ELSE b END AS winner, CASE WHEN first THEN b ELSE a END AS loser FROM conflicts c JOIN kept k ON k.l_orderkey = c.l_orderkey AND k.ord = CASE WHEN first THEN ao ELSE bo END WHERE principle IS NOT NULL),
+    effective AS (SELECT l_orderkey, any_value(p) AS p, any_value(value) AS value, max(lo) AS lo, min(hi) AS hi, bool_and(ok) AS verdict, string_agg(id || ' (' || claim || ')', ', ' ORDER BY ord) AS text FROM governing GROUP BY 1),
+    over AS (SELECT t.l_orderkey, string_agg(t.id, ', ' ORDER BY ord) AS ids FROM told t JOIN effective e ON e.l_orderkey = t.l_orderkey WHERE t.applicable AND t.ok <> e.verdict AND (t.l_orderkey, t.ord) NOT IN (SELECT (l_orderkey, ord) FROM kept) GROUP BY 1),
+    lines AS (
+        SELECT l_orderkey, 0 AS s, NULL AS strength, 0 AS o, 0 AS o2, 'context' AS kind, ['city=urban, terrain=Level', 'terrain=rolling', 'none'][c + 1] AS text FROM firsts
+        UNION ALL SELECT l_orderkey, 1, NULL, ord, 0, 'argument', id || ' (' || tier || ' ' || prio || ', ' || authority || ' ' || CASE trust WHEN 1 THEN '1' ELSE trust::DOUBLE::VARCHAR END || '): ' || claim || CASE WHEN citation IS NOT NULL THEN ' [' || citation || ']' ELSE '' END || CASE WHEN NOT applicable THEN '; doesn''t apply: ' || reason WHEN conds > 0 THEN '; applies: ' || reason ELSE '' END FROM told
+        UNION ALL SELECT l_orderkey, 2, NULL, 0, 0, 'agreement', 'nothing conflicts' FROM firsts WHERE l_orderkey NOT IN (SELECT l_orderkey FROM conflicts)
+        UNION ALL SELECT l_orderkey, 3, NULL, ao, bo, 'conflict', a || ' and ' || b || ' differ in their ' || aspect FROM conflicts
+        UNION ALL SELECT l_orderkey, 4, strength, ao, bo, 'defeat', winner || ' defeats ' || loser || ' by ' || principle FROM won
+        UNION ALL SELECT l_orderkey, 5, NULL, ao, bo, 'unresolved', a || ' and ' || b || ' can''t be told apart; both hold' FROM conflicts WHERE principle IS NULL
+        UNION ALL SELECT l_orderkey, 6, NULL, 0, 0, 'governing', coalesce(text, 'none') FROM firsts LEFT JOIN effective USING (l_orderkey)
+        UNION ALL SELECT l_orderkey, 7, NULL, 0, 0, 'effective', p || ' in [' || coalesce(lo::BIGINT::VARCHAR, '-inf') || ', ' || coalesce(hi::BIGINT::VARCHAR, '+inf') || ']' FROM effective
+        UNION ALL SELECT l_orderkey, 8, NULL, 0, 0, 'verdict', p || ' = 4' || CASE WHEN verdict THEN ' complies' ELSE ' doesn''t comply' END || coalesce('; overridden: ' || ids, '') FROM effective LEFT JOIN over USING (l_orderkey) WHERE value IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {_TRACE} SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY s, strength, o, o2) - 1)::INT AS place, kind, text FROM lines")
+def reconcile_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the claims of every order come to a result: who applies, who conflicts with whom, who defeats whom by what, and what is left."""
+    claims, cases = _stated(spark, sf_dir)
+    return reconcile.trace(reconcile.adjudicated(claims, cases, ["l_orderkey"]), ["l_orderkey"])
+
+
 # --- Closure ------------------------------------------------------------------------------------------------------
 
 
