@@ -58,7 +58,7 @@ def rules_sql() -> str:
 PARAMETER_FILE = """facility_type STRING, parameters ARRAY<STRUCT<name STRING, rust_field STRING, unit STRING, data_type STRING, facility_type STRING,
     typical_min DOUBLE, typical_max DOUBLE, allowed_values STRING, description STRING, aliases ARRAY<STRING>>>"""
 RULE_FILE = """source_doc STRUCT<title STRING, abbreviation STRING, edition STRING, publisher STRING, publication_year INT, jurisdiction STRING, priority INT>,
-    parameters ARRAY<STRUCT<name STRING, rust_field STRING, facility_type STRING, unit STRING>>,
+    parameters ARRAY<STRUCT<name STRING, rust_field STRING, facility_type STRING, unit STRING, data_type STRING, typical_min DOUBLE, typical_max DOUBLE>>,
     rules ARRAY<STRUCT<parameter_rust_field STRING, facility_type STRING, name STRING, rule_type STRING, severity STRING, min_value DOUBLE, max_value DOUBLE,
     min_inclusive BOOLEAN, max_inclusive BOOLEAN, allowed_values STRING, formula STRING, conditions ARRAY<STRUCT<type STRING, value STRING, is_required BOOLEAN>>,
     description STRING, error_message STRING, source_ref STRUCT<chapter STRING, section STRING, exhibit STRING, equation STRING>>>"""
