@@ -116,3 +116,32 @@ def test_plain_numbers(spark):
     x = [0.0, 1.0, -2.5, 123456.0, 0.1, 1 / 3, 99999.96, 1e7, 2e-7, 100.0, 0.00125, None]
     got = spark.createDataFrame([(v,) for v in x], "v double").select(clarify.plain(F.col("v"))).collect()
     assert [r[0] for r in got] == ["0", "1", "-2.5", "123456", "0.1", "0.333333", "100000", "1e+07", "2e-07", "100", "0.00125", None]
+
+
+def test_fixed_checks_by_number(spark):
+    """The numbers of checks say what their texts say, on bounds, nulls and NaN; the code that counts them stays small enough to be compiled."""
+    import re
+
+    from trestle.operators import checks
+    from trestle.sources.rules import RADIUS
+
+    nan, inf = float("nan"), float("inf")
+    values = [None, nan, inf, -inf, -0.5, 0.0, 0.5, 0.51, 1.0, 1.01, 3.0, 5.0, 8.0, 9.0, 12.0, 12.1, 15.0, 15.9, 47.3, 80.0, 80.9, 81.0, 100.0, 712.0, 2e9]
+    names = ["lane_width", "shoulder_width", "hor_class", "passing_type", "grade", "phf", "phv", "spl", "vertical_class", "design_rad"]
+    rows = [tuple(values[(7 * i + 3 * k * (i // 5 + 1)) % len(values)] for k in range(len(names))) for i in range(500)]
+    d = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names))
+    found = checks.fixed_checks(names)
+    wrong = [F.count_if(c.end != F.when(~c.there, 0).when(c.broken.isNull(), 1).when(c.broken == "above", 3).otherwise(2)) for c in found]
+    assert len(found) == 10 and sum(d.agg(*(w.alias(f"w{i}") for i, w in enumerate(wrong))).first()) == 0
+    whole = spark.range(0, 100).select(F.col("id").cast("double").alias("s"))
+    assert whole.where(~checks.least_radius_whole(F.col("s")).eqNullSafe(checks.least_radius(F.col("s")))).count() == 0 and RADIUS[0][0] == 15
+    tally = {(r.rule, r.broken): r.n for r in checks.semantic_tally(d, names).collect()}
+    by_row = d.select(F.explode(checks.semantic(names)).alias("c")).groupBy("c.rule", "c.broken").count().collect()
+    assert tally == {(r.rule, r.broken): r["count"] for r in by_row}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the code is made as the query runs
+    try:
+        text = checks.semantic_tally(d, names)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert sizes and max(sizes) < 8000

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Collection
 from functools import reduce
 from typing import NamedTuple
@@ -59,14 +60,32 @@ def whole_speed(speed: Column) -> Column:
     return F.when(~F.isnan(v), F.when(v < 0, F.ceil(v)).otherwise(F.floor(v))).cast("double")
 
 
+def _radii() -> list[float]:
+    """The least radius of every whole speed of the table, from its first on."""
+    out = [float(RADIUS[0][1])]
+    for (s0, r0), (s1, r1) in zip(RADIUS, RADIUS[1:], strict=False):
+        out += [float(math.floor(r0 + (s - s0) * ((r1 - r0) / (s1 - s0)))) for s in range(s0 + 1, s1 + 1)]
+    return out
+
+
+def least_radius_whole(speed: Column) -> Column:
+    """least_radius() of whole speeds, looked up: a tenth of the code."""
+    place = F.when(speed.between(RADIUS[0][0], RADIUS[-1][0]), speed - RADIUS[0][0]).cast("int")
+    return F.get(F.array(*map(F.lit, _radii())), place)
+
+
 class Check(NamedTuple):
-    """A fixed check of a row: its rule, the parameter that it names, its severity, whether the row has what it needs, how it is broken (null if kept)."""
+    """A fixed check of a row: its rule, the parameter that it names, its severity, whether the row has what it needs, how it is broken (null if kept), and all that as a number.
+
+    end: 0 if the row hasn't what it needs, 1 if the check is kept, 2 if it is broken (of two ways the first, below), 3 if it is broken above.
+    """
 
     rule: str
     param: str
     severity: str
     there: Column
     broken: Column
+    end: Column
 
 
 def fixed_checks(columns: Collection[str], constraints: list = SEMANTIC, at: Callable[[str], Column] = F.col) -> list[Check]:
@@ -76,13 +95,16 @@ def fixed_checks(columns: Collection[str], constraints: list = SEMANTIC, at: Cal
         if p in columns:
             v = at(p).cast("double")
             if allowed is None:
-                broken = F.when(below(v, F.lit(lo), F.lit(False)), "below").when(above(v, F.lit(hi), F.lit(False)), "above")
+                low, high = below(v, F.lit(lo), F.lit(False)), above(v, F.lit(hi), F.lit(False))
+                broken, end = F.when(low, "below").when(high, "above"), F.when(v < lo, 2).when((v > hi) & ~F.isnan(v), 3)
             else:
-                broken = F.when(~v.isin([float(a) for a in allowed]), "not allowed")
-            found.append(Check(rule, p, severity, v.isNotNull(), broken))
+                other = ~v.isin([float(a) for a in allowed])
+                broken, end = F.when(other, "not allowed"), F.when(other, 2)
+            found.append(Check(rule, p, severity, v.isNotNull(), broken, F.when(v.isNull(), 0).otherwise(end.otherwise(1))))
     if {"design_rad", "spl"} <= set(columns):
-        radius, least = at("design_rad").cast("double"), least_radius(whole_speed(at("spl")))
-        found.append(Check("SV-005", "design_rad", "error", least.isNotNull() & radius.isNotNull(), F.when(~F.isnan(radius) & (radius < least), "below")))
+        radius, least = at("design_rad").cast("double"), least_radius_whole(whole_speed(at("spl")))
+        there = least.isNotNull() & radius.isNotNull()
+        found.append(Check("SV-005", "design_rad", "error", there, F.when(~F.isnan(radius) & (radius < least), "below"), F.when(radius < least, 2).when(there, 1).otherwise(0)))
     return found
 
 
@@ -99,19 +121,26 @@ def semantic(columns: Collection[str], constraints: list = SEMANTIC, at: Callabl
 
 def semantic_errors(columns: Collection[str]) -> Column:
     """How many fixed checks of the level `error` a row breaks."""
-    broken = [F.when(c.there & c.broken.isNotNull(), 1).otherwise(0) for c in fixed_checks(columns) if c.severity == "error"]
+    broken = [F.when(c.end > 1, 1).otherwise(0) for c in fixed_checks(columns) if c.severity == "error"]
     return reduce(Column.__add__, broken, F.lit(0))
 
 
 def semantic_tally(wide: DataFrame, columns: Collection[str]) -> DataFrame:
-    """rule, param, broken (null: kept), severity, n: how often each fixed check ends how. Counted in one aggregate without keys, told apart after it."""
+    """rule, param, broken (null: kept), severity, n: how often each fixed check ends how.
+
+    How all checks of a row end is one number, two bits a check; rows are counted by it, and the numbers, of which there are few, are taken apart afterwards.
+    """
     checks = fixed_checks(columns)
-    # The radius for a speed is worked out once a row.
-    rows = wide.select(*(F.when(c.there, F.coalesce(c.broken, F.lit("kept"))).alias(f"_{i}") for i, c in enumerate(checks)))
-    ends = ["kept", "below", "above", "not allowed"]
-    counts = rows.agg(*(F.count_if(F.col(f"_{i}") == e).alias(f"_{i}_{k}") for i in range(len(checks)) for k, e in enumerate(ends)))
-    one = lambda i, c, k, e: F.struct(F.lit(c.rule).alias("rule"), F.lit(c.param).alias("param"), F.lit(None if e == "kept" else e).cast("string").alias("broken"), F.lit(c.severity).alias("severity"), F.col(f"_{i}_{k}").alias("n"))
-    return counts.select(F.explode(F.array(*(one(i, c, k, e) for i, c in enumerate(checks) for k, e in enumerate(ends)))).alias("_")).select("_.*").where("n > 0")
+    ends = [("kept", 1), ("below", 2), ("not allowed", 2), ("above", 3)]
+    packed = reduce(Column.__add__, (F.shiftleft(c.end.cast("long"), 2 * i) for i, c in enumerate(checks)), F.lit(0).cast("long"))
+    counts = wide.select(packed.alias("_code")).groupBy("_code").agg(F.count("*").alias("_n"))
+    one = lambda i, c: F.struct(F.lit(i).alias("i"), F.shiftright("_code", 2 * i).bitwiseAND(3).cast("int").alias("end"))
+    found = counts.select(F.explode(F.array(*(one(i, c) for i, c in enumerate(checks)))).alias("_"), "_n").where("_.end > 0").groupBy("_.i", "_.end").agg(F.sum("_n").alias("n"))
+    kinds = {p: "not allowed" if allowed is not None else "below" for _, p, _, _, allowed, _, _ in SEMANTIC}
+    shown = [(i, end, c.rule, c.param, None if name == "kept" else name, c.severity) for i, c in enumerate(checks) for name, end in ends if end != 2 or name == ("below" if c.rule == "SV-005" else kinds[c.param])]
+    known = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(e).alias("end"), F.lit(r).alias("rule"), F.lit(p).alias("param"), F.lit(b).cast("string").alias("broken"), F.lit(v).alias("severity")) for i, e, r, p, b, v in shown))
+    told = found.withColumn("_", F.get(F.filter(known, lambda x: (x["i"] == F.col("i")) & (x["end"] == F.col("end"))), F.lit(0)))
+    return told.select("_.rule", "_.param", "_.broken", "_.severity", "n")
 
 
 #: What nested highways are checked for: themselves, their segments, and the curves within these against the segment's speed.
