@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trestle.operators import acquire, closure, extract, freeway, metrics, reconcile, records, search
+from trestle.operators import acquire, closure, executors, extract, freeway, metrics, reconcile, records, search
 from trestle.plans.check_queries import WHOLE
 from trestle.plans.registry import SQL, query
 from trestle.sources import roadxml
@@ -189,6 +190,24 @@ def repair_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.single_repairs(_parts(spark, sf_dir), ["p_partkey"], LEVERS, _LINEAR, _goal()).withColumn("delta", F.round("delta", 6)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+#: The linear executor as a model that evaluates batches and has no result where a is above 27.
+_MODEL = executors.Model(lambda x: {"y": np.where(x["a"] <= 27, 2 * x["a"] + x["b"] + 3 * x["c"], np.nan)}, ("a", "b", "c"), ("y",))
+_SINGLE_WITHIN = _SINGLE.replace("NOT (2 * a + b + 3 * c <= 40)", "NOT (a <= 27 AND 2 * a + b + 3 * c <= 40)").replace("<= 40 AS ok", "<= 40 AND CASE lever WHEN 'a' THEN trial ELSE a END <= 27 AS ok")
+
+
+@query(f"WITH {_SINGLE_WITHIN} SELECT p_partkey, lever, old, trial, first AS rank, {_DELTA} AS delta FROM h WHERE first IS NOT NULL")
+def repair_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single repairs by a model in Python; trials off its domain count as tried."""
+    return search.single_repairs(_parts(spark, sf_dir), ["p_partkey"], LEVERS, executors.batched(_MODEL), _goal()).withColumn("delta", F.round("delta", 6)).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query(f"""WITH {_PARTS} SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN CASE WHEN a <= 27 THEN 2 * a + b + 3 * c END WHEN 1 THEN 5 * a + b END AS y, CASE WHEN p_partkey % 3 = 2 THEN 'no executor' WHEN p_partkey % 3 = 0 AND a > 27 THEN 'no result' END AS off_domain FROM p""")
+def executor_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of three facilities, of which two have an executor: one a model in Python, one columns."""
+    run = executors.by_facility({"f0": executors.batched(_MODEL), "f1": search.linear({"a": 5.0, "b": 1.0})}, {"y": "double"})
+    return run(_parts(spark, sf_dir).withColumn("facility", F.concat(F.lit("f"), F.col("p_partkey") % 3))).select("p_partkey", "y", "off_domain")
+
+
 @query(f"""WITH {_SINGLE}, b AS (SELECT *, 1 + coalesce(sum(coalesce(first, size)) OVER (PARTITION BY p_partkey ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h) SELECT p_partkey, lever, trial FROM b WHERE before + first <= 10""")
 def repair_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.single_repairs(_parts(spark, sf_dir), ["p_partkey"], LEVERS, _LINEAR, _goal(), budget=10).select("p_partkey", "lever", "trial")
