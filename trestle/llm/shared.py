@@ -49,7 +49,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
 
 
 def given_back() -> None:
-    """What this worker has freed goes back to the system: it may wait for its next task for long, beside others that work."""
+    """What this worker has freed or only kept for its next batch goes back to the system: it may wait for its next task for long, beside others that work."""
+    _POWERS[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -89,7 +90,7 @@ _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of the base, and of its inverse, from 0 to n; kept from one batch to the next up to 4 million of them."""
+    """The powers of the base, and of its inverse, from 0 to n; kept from one batch of a task to the next, up to 4 million of them."""
     found = _POWERS
     if len(found[0]) <= n:
         found = []
