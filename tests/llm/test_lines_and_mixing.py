@@ -1,10 +1,12 @@
 import hashlib
 from collections import Counter, defaultdict
+from math import comb
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trestle.llm import mixing
 from trestle.llm.linededup import LineRuns, drop_lines
 from trestle.llm.mixing import mixed_documents, mixed_sizes, permuted, shard_draws, source_slots, source_targets, word_counts
 from trestle.llm.shared import written
@@ -139,12 +141,34 @@ def test_draws():
     share = counts / counts.sum()
     spread = np.array([n for _, _, n in made[:-1]], float).std(0)
     assert spread[[0, 1, 3]] == pytest.approx(np.sqrt(512 * share * (1 - share))[[0, 1, 3]], rel=0.2)
-    # More slots than one draw takes are halved in proportion.
+    # More slots than numpy draws among.
     many = np.array([7 * 10**11, 3 * 10**11 + 5, 11])
     k, first, n = next(shard_draws(many, 8192, 7, 10**7, 10**7 + 1))
     assert n.sum() == 8192 and (first <= many).all() and abs(n[0] / 8192 - 0.7) < 0.05
 
 
+@pytest.mark.parametrize("good, bad, most", [(30, 50, 20), (50, 30, 20), (6, 3, 8), (1, 40, 30), (5, 0, 3), (0, 5, 3), (5, 4, 9), (5, 4, 0)])
+def test_draws_beyond_the_bound(monkeypatch, good, bad, most):
+    """With the bound at nothing every draw is made the other way: it has the hypergeometric chances."""
+    monkeypatch.setattr(mixing, "DRAW", -1)
+    chance = np.random.default_rng(5)
+    got = Counter(mixing.drawn(good, bad, most, chance) for _ in range(4000))
+    for k in range(most + 1):
+        want = comb(good, k) * comb(bad, most - k) / comb(good + bad, most)
+        assert abs(got[k] / 4000 - want) < 5 * (want * (1 - want) / 4000) ** 0.5 + 1e-9
+    counts = np.array([good, bad, 7])
+    half = [mixing.halved(counts, most, chance) for _ in range(50)]
+    assert all(h.sum() == most and (h >= 0).all() and (h <= counts).all() for h in half)
+
+
+def test_large_draws_spread():
+    """A fifth of 10**12 slots: the mean and the spread of draws without putting back, not a rounded proportion."""
+    good, bad, most = 3 * 10**11, 7 * 10**11, 2 * 10**11
+    n = np.array([mixing.drawn(good, bad, most, np.random.default_rng(i)) for i in range(2000)], float) - 0.3 * most
+    deviation = (most * 0.3 * 0.7 * 0.8) ** 0.5
+    assert abs(n.mean()) < 5 * deviation / 2000**0.5 and n.std() == pytest.approx(deviation, rel=0.1)
+
+
 def test_taken_is_what_the_slots_hold(spark, docs, rows):
     """By brute force over the written slots: the blocks of each source are those of its stream of words, and each pass permutes them."""
     base = word_counts(docs, "text", [F.col("source").alias("_source")])

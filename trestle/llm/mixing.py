@@ -24,7 +24,7 @@ from .shared import bounded, mixed, partitions, slices, utf8, word_spans, writte
 _SUM = Window.unboundedPreceding, -1
 #: Every task holds the list of sources: so many at most.
 SOURCES = 100_000
-#: Slots among which one hypergeometric draw is made; more are halved in proportion first.
+#: Slots among which numpy makes one hypergeometric draw; among more, drawn() makes it.
 DRAW = 900_000_000
 
 
@@ -109,16 +109,41 @@ def mix(docs: DataFrame, carry: list[str], id: str = "doc_id", source: str = "so
     return rows, taken.select("row", "lo", "hi", "times", "epochs")
 
 
+def drawn(good: int, bad: int, most: int, chance: np.random.Generator) -> int:
+    """Of `most` items drawn from good and bad ones without putting any back, how many are good.
+
+    Beyond numpy's bound the good ones are drawn as a binomial number, which is kept with the probability (relative to the largest) that the
+    bad ones make up the rest: two binomial numbers are hypergeometric once their sum is given. At least two of three draws or so are kept.
+    """
+    if good + bad <= DRAW:
+        return int(chance.hypergeometric(good, bad, most))
+    if good > bad:
+        return most - drawn(bad, good, most, chance)
+    if not 0 < most < good + bad:
+        return good if most else 0
+    p = most / (good + bad)
+
+    def log_chance(b: int) -> float:
+        return b * math.log(p) + (bad - b) * math.log1p(-p) - math.lgamma(b + 1) - math.lgamma(bad - b + 1)
+
+    top = log_chance(min(bad, int((bad + 1) * p)))
+    while True:
+        a = int(chance.binomial(good, p))
+        if 0 <= most - a <= bad and math.log(1 - chance.random()) <= log_chance(most - a) - top:
+            return a
+
+
 def halved(counts: np.ndarray, most: int, chance: np.random.Generator) -> np.ndarray:
     """How many of the slots of each source are among the first `most` of all, in a random order."""
-    total = int(counts.sum())
-    if total <= DRAW:
+    rest = int(counts.sum())
+    if rest <= DRAW:
         return chance.multivariate_hypergeometric(counts, most, method="marginals")
-    part = counts * (most / total)
-    left = np.floor(part).astype(np.int64)
-    rest = most - int(left.sum())  # what the whole parts leave goes to the largest fractions
-    left[np.argsort(left - part, kind="stable")[:rest]] += 1
-    return np.minimum(left, counts)
+    out = np.zeros_like(counts)
+    for i, c in enumerate(counts.tolist()):
+        rest -= c
+        out[i] = drawn(c, rest, most, chance)
+        most -= int(out[i])
+    return out
 
 
 def shard_draws(counts: np.ndarray, shard: int, seed: int, low: int, high: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
