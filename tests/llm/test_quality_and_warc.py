@@ -4,8 +4,9 @@ import hashlib
 import io
 import zlib
 from collections import Counter
-from math import comb
+from math import comb, lgamma
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +49,24 @@ def test_binomial_tail(spark):
         assert 0 <= got <= 1
 
 
+@pytest.mark.parametrize("k, n, p", [(2500, 600_000, 0.005), (799_000, 40_000_000, 0.02), (795_000, 40_000_000, 0.02), (19_999_999, 10**9, 0.02)])
+def test_binomial_tail_of_large_strata(spark, k, n, p):
+    """Against the sum of all terms: no number of them is a bound."""
+    i = np.arange(k, dtype=float)
+    terms = 1 + np.cumprod((k - i) * (1 - p) / ((n - k + i + 1) * p)).sum()
+    exact = terms * np.exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * np.log(p) + (n - k) * np.log1p(-p))
+    got = spark.range(1).select(F.lit(float(k)).alias("_k"), F.lit(float(n)).alias("_n")).select(at_most(F.col("_k"), F.col("_n"), p)).first()[0]
+    assert got == pytest.approx(exact, rel=1e-4)
+
+
+def test_very_long_text(spark):
+    """A million words in one text are counted as a loop counts them."""
+    text = "\n".join(" ".join(f"w{(i * 31 + j) % 5000}" for j in range(100)) for i in range(10_000))
+    docs = spark.createDataFrame([(1, text, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    r = features(docs, "doc_id", "text", "lang").first()
+    assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts(text)
+
+
 def test_cutoffs_keep_their_promise(spark):
     text = lambda i, bad: " ".join(f"word{(i * 7 + k) % 97}x{k}" + ("|" if bad and k % 2 else "") for k in range(60))
     rows = [(i, text(i, i % 10 == 0), "en" if i % 2 else None) for i in range(4000)] + [(9000 + i, text(i, True), "few") for i in range(20)]

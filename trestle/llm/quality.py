@@ -30,8 +30,6 @@ RULES = {
     "lines": ("n_dup_lines", "n_lines", (95, 90, 80, 70, 60, 50, 45, 40, 35, 30, 25, 20)),
     "repeats": ("n_repeat_words", "n_words", (48, 46, 44, 42, 40, 38, 36, 34, 32, 30, 25, 20)),
 }
-#: Terms of a binomial tail that are summed up one by one; a bound covers the rest.
-TERMS = 2000
 
 
 def features(docs: DataFrame, id: str, text: str, stratum: str) -> DataFrame:
@@ -64,15 +62,15 @@ def log_gamma(x: Column) -> Column:
 
 
 def at_most(k: Column, n: Column, p: float) -> Column:
-    """The probability that of n trials, each hitting with probability p, at most k hit; never below the exact value."""
+    """The probability that of n trials, each hitting with probability p, at most k hit.
+
+    Terms are summed from that of k downwards, as many as can add to a double: with k below n * p the i-th before it is less than exp(-i**2 / (2 * n * p)) of it.
+    """
     log_k = log_gamma(n + 1.0) - log_gamma(k + 1.0) - log_gamma(n - k + 1.0) + k * math.log(p) + (n - k) * math.log(1 - p)
-    # Terms below k relative to that of k: each is the one before times a ratio that falls.
-    fold = f"aggregate(sequence(0L, least(cast(_k AS bigint), {TERMS}L)), struct(1D AS t, 0D AS s), (a, i) -> struct(a.t * (_k - i) * {1 - p}D / ((_n - _k + i + 1) * {p}D) AS t, a.s + a.t AS s), a -> struct(a.t, a.s))"
-    # k and n are looked up as the columns _k and _n within the fold.
-    ratio = F.expr(f"greatest(_k - {TERMS}, 0) * {1 - p}D / ((_n - _k + {TERMS} + 1) * {p}D)")
-    sums = F.expr(fold)
-    rest = F.when(ratio < 1, sums["t"] / (1 - ratio)).otherwise(F.lit(float("inf")))
-    return F.when(k >= n * p, 1.0).otherwise(F.least(F.lit(1.0), F.exp(log_k) * (sums["s"] + F.when(ratio > 0, rest).otherwise(0.0))))
+    # Terms relative to that of k: each is the one before times a ratio that falls. k and n are looked up as the columns _k and _n within the fold.
+    terms = f"cast(least(_k, ceil(10 * sqrt(_n * {p}D)) + 100) AS bigint)"
+    fold = f"aggregate(sequence(0L, {terms}), struct(1D AS t, 0D AS s), (a, i) -> struct(a.t * (_k - i) * {1 - p}D / ((_n - _k + i + 1) * {p}D) AS t, a.s + a.t AS s), a -> a.s)"
+    return F.when(k >= n * p, 1.0).otherwise(F.least(F.lit(1.0), F.exp(log_k) * F.expr(fold)))
 
 
 def level(rule: str) -> Column:
