@@ -79,19 +79,21 @@ def next_ids(ids: DataFrame) -> DataFrame:
 
 
 def edited_texts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, next_id, row (a number), text, n_chars and edited: the text whose last floor(n_chars / 4) code points are replaced by the first as many (or all) of the next document's.
+    """id, next_id, row (a number that tells equal rows apart), text, n_chars and edited: the text whose last floor(n_chars / 4) code points are replaced by the first as many (or all) of the next document's.
 
     A null text counts as empty. Of several rows with the next id, the smallest beginning counts. A row with a null id has
-    no next document: the end of its text is cut off. Rows are numbered where docs is read, before any shuffle, so that a task that runs
-    again gives the same numbers; docs that come out of a shuffle should be written first.
+    no next document: the end of its text is cut off. Equal rows of an id are counted through, so that a task that runs again gives the same numbers in whatever order
+    its rows come; rows with a null id are numbered where docs is read, which docs that come out of a shuffle should be written for first.
     """
-    rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     named = rows.where("id IS NOT NULL")
     most = rows.groupBy("id").agg(F.max(F.floor(F.length("text") / 4)).cast("int").alias("k"))
     chain = next_ids(rows.select("id")).join(most, "id")
-    begins = chain.withColumnRenamed("id", "of").join(named.select(F.col("id").alias("next_id"), "text"), "next_id").select("of", "next_id", F.expr("substring(text, 1, k)").alias("begin"))
+    begins = chain.withColumnRenamed("id", "of").join(named.withColumnRenamed("id", "next_id"), "next_id").select("of", "next_id", F.expr("substring(text, 1, k)").alias("begin"))
     begins = begins.groupBy(F.col("of").alias("id"), "next_id").agg(F.min("begin").alias("begin"))
-    both = named.join(begins, "id", "left").unionByName(rows.where("id IS NULL").withColumns({"next_id": F.lit(None).cast(rows.schema["id"].dataType), "begin": F.lit("")}))
+    same = F.xxhash64("text")
+    numbered = named.join(begins, "id", "left").withColumn("row", F.row_number().over(Window.partitionBy("id", same).orderBy(same)).cast("long"))
+    both = numbered.unionByName(rows.where("id IS NULL").withColumns({"row": F.monotonically_increasing_id(), "next_id": F.lit(None).cast(rows.schema["id"].dataType), "begin": F.lit("")}))
     n = F.length("text")
     edited = F.expr("concat(substring(text, 1, length(text) - floor(length(text) / 4)), substring(begin, 1, cast(floor(length(text) / 4) AS int)))")
     return both.select("id", "next_id", "row", "text", n.cast("long").alias("n_chars"), edited.alias("edited"))
@@ -156,9 +158,9 @@ def fingerprints(docs: DataFrame, asks: Callable[[str], Column], id: str = "doc_
     several rows with the next id the smallest fingerprint counts, and without a next document near_next is null. n_near, for rows that asks()
     picks: other rows within the radius, else null. Repeated rows each stay; no rows give no rows.
     """
-    # Equal rows are rows of their own: their numbers tell them apart.
-    whole = edited_texts(docs, id, text).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    keys = ["id", "next_id", "n_chars", "edited_sha256", "row"]
+    # Rows of an id are told apart by their text's hash and their number among those that share it.
+    whole = edited_texts(docs, id, text).withColumns({"edited_sha256": F.sha2(F.col("edited").cast("binary"), 256), "_h": F.xxhash64("text")})
+    keys = ["id", "next_id", "n_chars", "edited_sha256", "_h", "row"]
     two = whole.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("e"), F.col("text").alias("t")), F.struct(F.lit(1).alias("e"), F.col("edited").alias("t")))).alias("_")).select(*keys, "_.e", "_.t")
     made = simhashes(two, [*keys, "e"], "t", ["g0", "g1"])
     pick = [F.max(F.when(F.col("e") == e, F.col(g))).alias(name) for e, f in ((0, "f"), (1, "e")) for g, name in (("g0", f"{f}0"), ("g1", f"{f}1"))]
