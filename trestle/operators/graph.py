@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from math import comb
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,17 +46,76 @@ def chain(edges: DataFrame, roots: DataFrame, depth: int = 10, types: tuple[str,
 
 
 def within_hops(edges: DataFrame, roots: DataFrame, hops: int, types: tuple[str, ...] | None = None) -> DataFrame:
-    """root, node, type, description: what paths of up to so many undirected edges reach, no edge twice, with the edges on the paths."""
-    some = edges if types is None else edges.where(F.col("type").isin(*types))
-    ways = some.select(F.col("src").alias("_a"), F.col("dst").alias("_b"), "type", "description", F.col("ord").alias("_o"))
-    both = ways.unionByName(ways.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"), "type", "description", "_o"))
-    front = roots.select("root", F.col("root").alias("node"), F.array().cast("array<bigint>").alias("used"))
-    out = None
-    for _ in range(hops):
-        front = front.join(both, front["node"] == both["_a"]).where(~F.array_contains("used", F.col("_o"))).select("root", F.col("_b").alias("node"), F.concat("used", F.array("_o")).alias("used"))
-        out = front if out is None else out.unionByName(front)
-    hit = out.select("root", "node", F.explode(F.array_distinct("used")).alias("ord")).distinct()
-    return hit.join(some.select("ord", "type", "description"), "ord").select("root", "node", "type", "description").distinct()
+    """root, node, type, description: what trails of up to so many undirected edges reach, no edge twice, with the kinds of all edges on such trails; roots don't relate to themselves.
+
+    edges: src, dst, type, description, ord (whole numbers, one an edge). Trails aren't listed: a state is a root, a node and one kind that the trail has told
+    already, or none. Of a state's trails of one length so many stay that each way to go on is open to one of them if it is open to any; by Bollobas' theorem
+    these are C(hops, length) at most, 10 for five hops, however many trails meet at a hub. Null kinds are kinds; edges without an end or a number, and null
+    roots, lead nowhere; repeated rows count once.
+    """
+    some = (edges if types is None else edges.where(F.col("type").isin(*types))).where("src IS NOT NULL AND dst IS NOT NULL AND ord IS NOT NULL")
+    ways = some.select(F.col("src").alias("_a"), F.col("dst").alias("_b"), F.struct("type", "description").alias("_k"), F.col("ord").cast("bigint").alias("_o"))
+    both = ways.unionByName(ways.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"), "_k", "_o")).distinct()
+    told = both.schema["_k"].dataType
+    front = roots.where("root IS NOT NULL").select("root", F.col("root").alias("node"), F.lit(None).cast(told).alias("kind"), F.array().cast("array<bigint>").alias("used")).distinct()
+    hits = []
+    for level in range(1, hops + 1):
+        grown = front.join(both, front["node"] == both["_a"]).where(~F.array_contains("used", F.col("_o")))
+        tells = F.when(F.col("kind").isNull(), F.array(F.col("kind"), F.col("_k"))).otherwise(F.array("kind"))
+        grown = grown.select("root", F.col("_b").alias("node"), F.explode(tells).alias("kind"), F.array_sort(F.concat("used", F.array("_o"))).alias("used"))
+        front = _thinned(grown.distinct(), level, hops - level) if level < hops else grown
+        hits.append(front.where("kind IS NOT NULL AND root <> node").select("root", "node", "kind"))
+    return reduce(DataFrame.unionByName, hits).distinct().select("root", "node", "kind.type", "kind.description")
+
+
+def _thinned(trails: DataFrame, level: int, room: int) -> DataFrame:
+    """trails (root, node, kind, used: level edges each) without those that no further room edges need. Groups too large for a task are thinned in parts first: what stands for the parts' rest stands for the whole's."""
+    from trestle.sources.tables import written
+
+    keys, most = ["root", "node", "kind"], 100 * comb(level + room, level)
+    thin = lambda df, *by: df.groupBy(*keys, *by).agg(F.explode(_standing(F.array_sort(F.collect_set("used")), room)).alias("used")).select(*keys, "used")
+    trails = written(trails)
+    while (largest := trails.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > most:
+        trails = written(thin(trails, F.pmod(F.xxhash64("used"), F.lit(-(-largest // most))).alias("_part")))
+    return written(thin(trails))
+
+
+def _standing(sets: Column, room: int) -> Column:
+    """Those of equally large sets that stand for all: whatever up to room elements are taken, a set without them is among these if there is any.
+
+    One by one, a set stays if some such elements lie outside it and hit all that stayed before; that is searched element by element of the sets not hit yet.
+    """
+    none = F.array().cast("array<bigint>")
+
+    def needed(kept: Column, one: Column) -> Column:
+        def hit(ways: Column, other: Column) -> Column:
+            longer = lambda way: F.transform(F.array_except(other, one), lambda e: F.concat(way, F.array(e)))
+            return F.flatten(F.transform(ways, lambda way: F.when(F.arrays_overlap(way, other), F.array(way)).when(F.size(way) < room, longer(way)).otherwise(F.array().cast("array<array<bigint>>"))))
+
+        return F.size(F.aggregate(kept, F.array(none), hit)) > 0
+
+    return F.aggregate(sets, F.array().cast("array<array<bigint>>"), lambda kept, one: F.when(needed(kept, one), F.concat(kept, F.array(one))).otherwise(kept))
+
+
+def subgraph(edges: DataFrame, roots: DataFrame, hops: int) -> DataFrame:
+    """root, src, dst, type, ord: the edges among the nodes within so many undirected edges of each root, itself among them. A root without edges has no row."""
+    near = neighbours(edges, roots, hops).unionByName(roots.select("root", F.col("root").alias("node")))
+    return edges.select("src", "dst", "type", "ord").join(near.select("root", F.col("node").alias("src")), "src").join(near.select("root", F.col("node").alias("dst")), ["root", "dst"]).select("root", "src", "dst", "type", "ord")
+
+
+def impact(edges: DataFrame, roots: DataFrame, validates: DataFrame, cited: DataFrame, types: tuple[str, ...] = ("AFFECTS", "RELATED_TO")) -> DataFrame:
+    """root, kind, item, n: what a change of each root touches: its rules with how many references each has, what is related within two hops, and the references.
+
+    validates: rule, param; cited: rule, ref. Items are texts; n is null but for rules. A rule that is given twice for a root counts once. References are counted by rule before they meet the roots.
+    """
+    text = lambda c: F.col(c).cast("string").alias("item")
+    rules = validates.where("rule IS NOT NULL").select("rule", F.col("param").alias("root")).distinct().join(roots.distinct(), "root", "left_semi")
+    refs = cited.where("ref IS NOT NULL").distinct()
+    counted = rules.join(refs.groupBy("rule").agg(F.count("*").alias("_n")), "rule", "left").select("root", F.lit("rule").alias("kind"), text("rule"), F.coalesce("_n", F.lit(0)).cast("bigint").alias("n"))
+    empty = F.lit(None).cast("bigint").alias("n")
+    related = neighbours(edges.where(F.col("type").isin(*types)), roots.distinct(), 2).select("root", F.lit("related").alias("kind"), text("node"), empty)
+    given = rules.join(refs, "rule").select("root", F.lit("reference").alias("kind"), text("ref"), empty).distinct()
+    return counted.unionByName(related).unionByName(given)
 
 
 def neighbours(edges: DataFrame, roots: DataFrame, hops: int) -> DataFrame:

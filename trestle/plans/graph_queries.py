@@ -220,7 +220,7 @@ def backward_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_FLOW}, u AS (SELECT src AS a, dst AS b, ord, type FROM flow UNION ALL SELECT dst, src, ord, type FROM flow), one AS (SELECT a AS root, b AS node, [ord] AS used FROM u),
     two AS (SELECT root, b AS node, list_append(used, ord) AS used FROM one JOIN u ON node = a WHERE NOT list_contains(used, ord)), hit AS (SELECT DISTINCT root, node, unnest(used) AS ord FROM (SELECT * FROM one UNION ALL SELECT * FROM two))
-    SELECT DISTINCT root, node, type FROM hit JOIN flow USING (ord)""")
+    SELECT DISTINCT root, node, type FROM hit JOIN flow USING (ord) WHERE root <> node""")
 def related_k_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two hops in any direction around every part."""
     e = _flow(spark, sf_dir)
@@ -228,6 +228,35 @@ def related_k_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.within_hops(e, roots, 2).select("root", "node", "type").distinct()
 
 
+@query(f"""WITH RECURSIVE {_FLOW}, u AS (SELECT src AS a, dst AS b, ord, type FROM flow UNION ALL SELECT dst, src, ord, type FROM flow), trail AS (SELECT a AS root, b AS node, [ord] AS used, type = 'AFFECTS' AS one, type = 'DETERMINES' AS two FROM u
+    UNION SELECT root, b, list_sort(list_append(used, ord)), one OR type = 'AFFECTS', two OR type = 'DETERMINES' FROM trail JOIN u ON node = a WHERE len(used) < 4 AND NOT list_contains(used, ord))
+    SELECT DISTINCT root, node, 'AFFECTS' AS type FROM trail WHERE one AND root <> node UNION ALL SELECT DISTINCT root, node, 'DETERMINES' FROM trail WHERE two AND root <> node""")
+def related_four_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four hops in any direction around every part; the SQL lists the trails, the operator doesn't."""
+    e = _flow(spark, sf_dir)
+    roots = e.select(F.explode(F.array("src", "dst")).alias("root")).distinct()
+    return graph.within_hops(e, roots, 4).select("root", "node", "type")
+
+
+@query(f"""WITH {_FLOW}, u AS (SELECT src AS a, dst AS b FROM flow WHERE type = 'AFFECTS' UNION SELECT dst, src FROM flow WHERE type = 'AFFECTS'), v AS (SELECT DISTINCT l_suppkey AS rule, l_partkey AS root FROM lineitem), c AS (SELECT DISTINCT l_suppkey AS rule, l_returnflag || l_linestatus AS ref FROM lineitem WHERE l_quantity > 45)
+    SELECT root, 'rule' AS kind, rule::VARCHAR AS item, count(ref) AS n FROM v LEFT JOIN c USING (rule) GROUP BY ALL UNION ALL SELECT DISTINCT root, 'reference', ref, NULL::BIGINT FROM v JOIN c USING (rule)
+    UNION ALL SELECT root, 'related', node::VARCHAR, NULL FROM (SELECT a AS root, b AS node FROM u UNION SELECT x.a, y.b FROM u x JOIN u y ON x.b = y.a) WHERE root <> node AND root IN (SELECT p_partkey FROM part)""")
+def impact_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every part: its suppliers as rules with the states of their large items as references, and the parts within two hops."""
+    l = table(spark, sf_dir, "lineitem")
+    validates = l.select(F.col("l_suppkey").alias("rule"), F.col("l_partkey").alias("param"))
+    cited = l.where("l_quantity > 45").select(F.col("l_suppkey").alias("rule"), F.concat("l_returnflag", "l_linestatus").alias("ref"))
+    return graph.impact(_flow(spark, sf_dir), table(spark, sf_dir, "part").select(F.col("p_partkey").alias("root")), validates, cited)
+
+
+@query(f"""WITH {_FLOW}, u AS (SELECT src AS a, dst AS b FROM flow UNION SELECT dst, src FROM flow), seen AS (SELECT a AS root, b AS node FROM u UNION SELECT x.a, y.b FROM u x JOIN u y ON x.b = y.a UNION SELECT a, a FROM u)
+    SELECT s.root, src, dst, type, ord FROM flow JOIN seen s ON src = s.node JOIN seen t ON dst = t.node AND s.root = t.root""")
+def centered_subgraph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph within two hops of each centre, edge by edge."""
+    e = _flow(spark, sf_dir)
+    return graph.subgraph(e, e.select(F.explode(F.array("src", "dst")).alias("root")).distinct(), 2)
+
+
 @query(f"""WITH {_FLOW}, u AS (SELECT src AS a, dst AS b FROM flow UNION SELECT dst, src FROM flow), one AS (SELECT DISTINCT a AS root, b AS node FROM u), two AS (SELECT * FROM one UNION SELECT root, b FROM one JOIN u ON node = a), three AS (SELECT * FROM two UNION SELECT root, b FROM two JOIN u ON node = a),
     seen AS (SELECT root, node FROM three UNION SELECT root, root FROM one) SELECT root, count(DISTINCT node) AS nodes, count(DISTINCT ord) AS edges FROM seen s LEFT JOIN (SELECT s1.root AS r, f.ord FROM flow f JOIN seen s1 ON f.src = s1.node JOIN seen s2 ON f.dst = s2.node AND s1.root = s2.root) x ON s.root = x.r GROUP BY 1""")
 def centered_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
