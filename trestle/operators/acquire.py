@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -67,39 +68,76 @@ def tier(description: Column, audited: Column) -> Column:
     return F.when(audited.isin("definitional", "numeric"), audited).otherwise(told)
 
 
+# How code spells fields otherwise, what a function's name says that it gives, arguments that are no quantities, and functions that are no steps.
+CODE_ALIASES = {"ffs_adj": "ffs", "capacity_adj": "capacity", "fd": "followers_density", "s_pl": "avg_speed", "cap": "capacity", "vd": "flow_rate", "pf": "percent_followers", "lw": "lane_width"}
+OUTPUT_SUFFIXES = {"_los": "los"}
+COUNTERS = ("seg_num", "i", "index")
+NO_STEP_PREFIXES = ("get_", "set_", "with_", "new")
+NO_STEPS = (
+    "new", "default", "apply_defaults", "set_segments", "run_operational_analysis", "get_analysis_summary",
+    "urban_freeway", "rural_freeway", "urban_multilane", "rural_multilane", "suburban_multilane_high_density",
+)
+
+
 def functions_of(code: DataFrame, keys: list[str], source: str) -> DataFrame:
-    """keys, name, body, line: the functions in source texts, by matching braces. Nesting is no regular language, so this runs in Python, a batch of texts at a time."""
+    """keys, name, args, body, line: the functions in source texts, by matching braces; of those with one name in a text the last counts.
+
+    Nesting is no regular language, so this runs in Python, a batch of texts at a time. A null text has no functions, and what is never closed is none.
+    """
     head = re.compile(r"\bfn\s+(\w+)\s*(?:<[^>]*>)?\s*\(")
+    given = re.compile(r"(?:^|,)\s*(?:mut\s+)?(\w+)\s*:(?!:)")
     brace = re.compile(r"[{}]")
 
     def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             rows = []
             for rec in p.to_dict("records"):
-                text = rec[source] or ""
+                text, last = rec[source] or "", {}
                 for m in head.finditer(text):
-                    depth, start = 0, text.find("{", m.end())
+                    depth, stop = 0, text.find(")", m.end())
+                    start = text.find("{", max(stop, m.end()))
                     for b in brace.finditer(text, start) if start >= 0 else ():
                         depth += 1 if b[0] == "{" else -1
                         if not depth:
-                            rows.append([*(rec[k] for k in keys), m[1], text[start + 1 : b.start()], text.count("\n", 0, m.start()) + 1])
+                            last[m[1]] = [m[1], given.findall(text[m.end() : stop]), text[start + 1 : b.start()], text.count("\n", 0, m.start()) + 1]
                             break
-            yield pd.DataFrame(rows, columns=[*keys, "name", "body", "line"])
+                rows += [[*(rec[k] for k in keys), *f] for f in last.values()]
+            yield pd.DataFrame(rows, columns=[*keys, "name", "args", "body", "line"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in code.select(*keys).schema)
-    return code.select(*keys, source).mapInPandas(parse, f"{kinds}, name string, body string, line int")
+    return code.select(*keys, source).mapInPandas(parse, f"{kinds}, name string, args array<string>, body string, line int")
+
+
+def dataflow(functions: DataFrame, keys: list[str], known: list[str] | Column, aliases: dict[str, str] | None = None, suffixes: dict[str, str] | None = None) -> DataFrame:
+    """functions (of functions_of) with the known fields that each reads and writes, itself or in functions it calls on its own object, one level deep.
+
+    Reads are getters, fields and arguments, writes are setters and assignments, compound ones too; a field that is assigned isn't read. A name that is known stands
+    for itself, any other for its alias; what is known by neither is no field. A function that writes nothing may give what its name ends with. known: a
+    list, or a column of the fields of each function's facility.
+    """
+    aliases, suffixes = CODE_ALIASES if aliases is None else aliases, OUTPUT_SUFFIXES if suffixes is None else suffixes
+    names = known if isinstance(known, Column) else F.array(*map(F.lit, known)).cast("array<string>")
+    meant = F.create_map(*(F.lit(x) for pair in aliases.items() for x in pair)).cast("map<string,string>")
+    found = lambda *patterns: F.array_distinct(F.concat(*(F.regexp_extract_all("body", F.lit(p), F.lit(1)) for p in patterns)))
+    field = lambda raw: F.array_intersect(F.transform(raw, lambda x: F.when(F.array_contains(names, x), x).otherwise(F.coalesce(meant[x], x))), names)
+
+    args = F.array_except("args", F.array(*map(F.lit, COUNTERS))) if "args" in functions.columns else F.array().cast("array<string>")
+    raw = functions.withColumn("_set", found(r"\.set_(\w+)\s*\(", r"\bself\.(\w+)\s*[+\-*/]?=[^=]")).withColumn("_got", F.concat(found(r"\.get_(\w+)\s*\(", r"\bself\.(\w+)\b(?!\s*\()"), args))
+    implied = F.array_intersect(F.array_compact(F.array(*(F.when(F.endswith("name", F.lit(end)), F.lit(out)) for end, out in suffixes.items()))).cast("array<string>"), names)
+    line = ["line"] if "line" in functions.columns else []
+    called = F.filter(found(r"\bself\.(\w+)\s*\("), lambda c: ~(F.startswith(c, F.lit("get_")) | F.startswith(c, F.lit("set_"))))
+    flow = raw.select(*keys, "name", *line, F.array_except(field(F.col("_got")), "_set").alias("reads"), field(F.col("_set")).alias("_w"), implied.alias("_i"), called.alias("calls"))
+    flow = flow.select(*keys, "name", *line, "reads", F.when(F.size("_w") > 0, F.col("_w")).otherwise(F.col("_i")).alias("writes"), "calls")
+    callee = flow.select(*keys, F.col("name").alias("_name"), F.col("reads").alias("_r"), F.col("writes").alias("_w"))
+    out = flow.select(*keys, "name", *line, "reads", "writes", F.explode_outer("calls").alias("_name")).join(callee, [*keys, "_name"], "left")
+    merge = lambda own, more: F.array_sort(F.array_distinct(F.flatten(F.array(F.first(own), F.flatten(F.collect_list(more))))))
+    return out.groupBy(*keys, "name", *line).agg(merge("reads", "_r").alias("reads"), merge("writes", "_w").alias("writes"))
 
 
-def dataflow(functions: DataFrame, keys: list[str], known: list[str]) -> DataFrame:
-    """functions with reads, writes and calls: the known fields that a body reads and assigns, with those of the functions it calls."""
-    names = F.array(*map(F.lit, known))
-    assigned = F.array_distinct(F.regexp_extract_all("body", F.lit(r"self\.(\w+)\s*=[^=]"), F.lit(1)))
-    used = F.array_distinct(F.regexp_extract_all("body", F.lit(r"self\.(\w+)\b(?!\s*(?:=[^=]|\())"), F.lit(1)))
-    flow = functions.select(*keys, "name", F.array_intersect(used, names).alias("reads"), F.array_intersect(assigned, names).alias("writes"), F.array_distinct(F.regexp_extract_all("body", F.lit(r"self\.(\w+)\("), F.lit(1))).alias("calls"))
-    called = flow.select(*keys, F.col("name").alias("_name"), F.col("reads").alias("_r"), F.col("writes").alias("_w"))
-    out = flow.select(*keys, "name", "reads", "writes", F.explode_outer("calls").alias("_name")).join(called, [*keys, "_name"], "left")
-    merge = lambda own, more: F.array_sort(F.array_distinct(F.flatten(F.array(F.first(own), F.flatten(F.collect_list(more))))))
-    return out.groupBy(*keys, "name").agg(merge("reads", "_r").alias("reads"), merge("writes", "_w").alias("writes"))
+def is_step(name: Column) -> Column:
+    """Whether a function is a step of a method: no constructor, accessor or driver of others."""
+    prefixed = reduce(Column.__or__, (F.startswith(name, F.lit(p)) for p in NO_STEP_PREFIXES))
+    return ~(name.isin(*NO_STEPS) | prefixed)
 
 
 def induced_pairs(flow: DataFrame) -> DataFrame:
@@ -107,6 +145,13 @@ def induced_pairs(flow: DataFrame) -> DataFrame:
     return flow.select("name", F.explode("reads").alias("src"), "writes").select("name", "src", F.explode("writes").alias("dst")).where("src <> dst").distinct()
 
 
+def code_edges(code: DataFrame, keys: list[str], source: str, known: list[str] | Column, aliases: dict[str, str] | None = None, suffixes: dict[str, str] | None = None) -> DataFrame:
+    """src, dst, type, keys, name, line, origin, status: candidate edges that the steps in source texts induce, with the function that is the evidence of each."""
+    flow = dataflow(functions_of(code, keys, source), keys, known, aliases, suffixes).where(is_step(F.col("name")))
+    pairs = flow.select(*keys, "name", "line", F.explode("reads").alias("src"), "writes").withColumn("dst", F.explode("writes")).where("src <> dst")
+    return pairs.select("src", "dst", F.lit("AFFECTS").alias("type"), *keys, "name", "line", F.lit("code_derived").alias("origin"), F.lit("candidate_unaudited").alias("status"))
+
+
 def induced_edges(flow: DataFrame) -> DataFrame:
     """src, dst, evidence: the functions, by name, that tie two fields together; their list is as long as there are such functions."""
     return induced_pairs(flow).groupBy("src", "dst").agg(F.array_sort(F.collect_set("name")).alias("evidence"))

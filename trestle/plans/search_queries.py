@@ -452,3 +452,26 @@ def dataflow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = [f"in_{i}" for i in range(1, 52)] + [f"out_{i}" for i in range(7)]
     flow = acquire.dataflow(acquire.functions_of(code, ["p_partkey"], "code"), ["p_partkey"], known)
     return acquire.induced_pairs(flow).select("src", "dst", F.col("name").alias("evidence"))
+
+
+_CODE = """impl S {{
+pub fn new(lw: f64) -> S {{ self.out_0 = lw; self }}
+fn get_in(&self) -> f64 {{ self.in_1 }}
+pub fn step{k}(&mut self, fd: f64, i: usize) {{ if i == 0 {{ self.out_{d} += seg.get_in_{a}() * self.help{k}(2.0); }} }}
+fn help{k}(&self, lw: f64) -> f64 {{ if self.in_{b} == 1.0 {{ lw }} else {{ self.unheard }} }}
+pub fn find{k}_los(&self, s_pl: f64) -> char {{ 'A' }}
+pub fn store{k}(&mut self, cap: f64) {{ s.set_capacity(cap); s.set_out_{d}(self.ffs_adj); }}
+}}"""
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_size AS a, p_size % 50 + 1 AS b, 'out_' || (p_size % 7) AS d FROM part), e AS (SELECT k, 'in_' || a AS src, d AS dst, 'step' AS f, 4 AS line FROM p UNION SELECT k, 'in_' || b, d, 'step', 4 FROM p UNION ALL SELECT k, unnest(['followers_density', 'lw']), d, 'step', 4 FROM p
+    UNION ALL SELECT k, 'avg_speed', 'los', 'find', 6 FROM p UNION ALL SELECT k, 'ffs', unnest([d, 'capacity']), 'store', 7 FROM p)
+    SELECT k AS p_partkey, src, dst, f || k || CASE f WHEN 'find' THEN '_los' ELSE '' END AS name, line FROM e""")
+def code_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges from a source text for each part: getters, arguments, aliases (a known name stands for itself), helpers, setters, and outputs told by a name; what is set isn't read (cap, of the last function)."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    text = F.lit(_CODE.replace("{{", "{ ").replace("}}", " }"))
+    for at, c in (("{k}", F.col("p_partkey")), ("{a}", F.col("p_size")), ("{b}", F.col("p_size") % 50 + 1), ("{d}", F.col("p_size") % 7)):
+        text = F.replace(text, F.lit(at), c.cast("string"))
+    known = [f"in_{i}" for i in range(1, 52)] + [f"out_{i}" for i in range(7)] + ["followers_density", "lw", "lane_width", "avg_speed", "los", "capacity", "ffs"]
+    return acquire.code_edges(p.select("p_partkey", text.alias("code")), ["p_partkey"], "code", known).select("p_partkey", "src", "dst", "name", "line")
