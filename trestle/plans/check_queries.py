@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trestle.functions.formula import compiled, floor_mod, references
-from trestle.operators import checks, clarify
+from trestle.operators import cases, checks, clarify
 from trestle.plans.registry import query
 from trestle.sources.designs import KEY, designs, designs_sql, long_format, table, values_of
 from trestle.sources.rules import RADIUS, SEMANTIC, rules, rules_sql
@@ -229,6 +229,49 @@ def boundary_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("l_linenumber", "lane_width", ok.alias("expected_valid")).agg(F.count("*").alias("n"))
 
 
+def _cases_sql() -> str:
+    """The cases by their statement: digits of hashes, values by category, and labels by the bounds themselves."""
+    listed = lambda values: "[" + ", ".join(f"{float(v)!r}::DOUBLE" for v in values) + "]"
+    def digit(sizes: list[int], draw: int = 0) -> list[str]:
+        out, below = [], 1
+        for size in sizes:
+            if below * size > 2**40:
+                draw, below = draw + 1, 1
+            out.append(f"((d{draw} // {below}) % {size})")
+            below *= size
+        return out
+    speeds, least = listed(cases.SPEEDS), "[50, 90, 170, 230, 340, 430, 560, 710, 835, 1000, 1150, 1310, 1560]"
+    pick = lambda values, d: f"{listed(values)}[{d} + 1]"
+    l, s, h, t, v, o = digit([301, 601, 6, 3, 13, 501])
+    which, side, low, al, ash, wc, wt, share = digit([5, 2, 391, 791, 491, 6, 4, 451], 1)
+    m, c1, c2, c3, ml, ms, mh, mt, mv, fair, up, down = digit([4, 2, 2, 10, 14, 11, 9, 6, 13, 2, 501, 151])
+    fl, fs, fh, ft, fv, fr = digit([1501, 1701, 12, 7, 13, 19501])
+    road = f"({m} = 3 OR {c3} >= 4)"
+    rows = ", ".join(f"({i}, '{k}', " + ", ".join("NULL" if x.get(p) is None else f"{x[p]!r}" for p in cases.FIELDS) + ")" for i, (k, x) in enumerate(cases.boundaries()))
+    fields = ", ".join(cases.FIELDS)
+    return f"""WITH t AS (SELECT count(*) AS total FROM lineitem), k AS (SELECT * FROM (VALUES {rows}) AS k(number, category, {fields})), b AS (SELECT count(*) AS known, greatest(0, any_value(total) - count(*)) AS rest FROM k, t),
+    n AS (SELECT unnest(range((SELECT greatest(total, known) FROM t, b))) AS number), d AS (SELECT number, known, rest, {", ".join(f"('0x' || substr(md5(number || ':42:{i}'), 1, 15))::BIGINT AS d{i}" for i in range(3))} FROM n, b WHERE number >= known),
+    c AS (SELECT *, CASE WHEN number < known + rest // 5 THEN 'valid_only' WHEN number < known + 2 * (rest // 5) THEN 'invalid_only' WHEN number < known + 2 * (rest // 5) + rest // 4 THEN 'combinatorial' ELSE 'random' END AS category FROM d),
+    v AS (SELECT number, category, CASE category WHEN 'combinatorial' THEN {pick(cases.LANE_WIDTHS, ml)} WHEN 'random' THEN (500 + {fl}) / 100.0::DOUBLE WHEN 'valid_only' THEN (900 + {l}) / 100.0::DOUBLE ELSE CASE WHEN {which} <> 0 THEN (900 + {l}) / 100.0::DOUBLE WHEN {side} = 0 THEN (500 + {low}) / 100.0::DOUBLE ELSE (1210 + {al}) / 100.0::DOUBLE END END AS lane_width,
+        CASE category WHEN 'combinatorial' THEN {pick(cases.SHOULDER_WIDTHS, ms)} WHEN 'random' THEN ({fs} - 200) / 100.0::DOUBLE WHEN 'valid_only' THEN (400 + {s}) / 100.0::DOUBLE ELSE CASE WHEN {which} <> 1 THEN (400 + {s}) / 100.0::DOUBLE WHEN {side} = 0 THEN {low} / 100.0::DOUBLE ELSE (1010 + {ash}) / 100.0::DOUBLE END END AS shoulder_width,
+        CASE category WHEN 'combinatorial' THEN CASE WHEN {m} >= 1 OR {c1} = 0 THEN {pick(cases.HOR_CLASSES, mh)} END WHEN 'random' THEN {fh} - 1 WHEN 'valid_only' THEN {h} ELSE CASE WHEN {which} <> 2 THEN {h} ELSE {pick(cases.WRONG_CLASSES, wc)} END END AS hor_class,
+        CASE category WHEN 'combinatorial' THEN CASE WHEN {m} >= 2 OR {c2} = 0 THEN {pick(cases.PASSING_TYPES, mt)} END WHEN 'random' THEN {ft} - 1 WHEN 'valid_only' THEN {t} ELSE CASE WHEN {which} <> 3 THEN {t} ELSE {pick(cases.WRONG_TYPES, wt)} END END AS passing_type,
+        CASE category WHEN 'combinatorial' THEN CASE WHEN {road} THEN CASE WHEN {fair} = 0 THEN {least}[{mv} + 1] + {up} ELSE greatest(50, {least}[{mv} + 1] - 50 - {down}) END END WHEN 'random' THEN (500 + {fr}) / 10.0::DOUBLE WHEN 'valid_only' THEN {least}[{v} + 1] + {o}
+            ELSE CASE WHEN {which} <> 4 THEN {least}[{v} + 1] + {o} ELSE greatest(10.0::DOUBLE, floor({least}[{v} + 1] * (500 + {share}) / 100.0::DOUBLE) / 10.0::DOUBLE) END END AS design_rad,
+        CASE category WHEN 'combinatorial' THEN CASE WHEN {road} THEN {speeds}[{mv} + 1] END WHEN 'random' THEN {speeds}[{fv} + 1] ELSE {speeds}[{v} + 1] END AS spl FROM c UNION ALL SELECT * FROM k),
+    r AS (SELECT v.*, concat_ws(',', CASE WHEN lane_width NOT BETWEEN 9 AND 12 THEN 'SF-001' END, CASE WHEN shoulder_width NOT BETWEEN 4 AND 10 THEN 'SF-002' END, CASE WHEN hor_class NOT BETWEEN 0 AND 5 THEN 'SF-003' END, CASE WHEN passing_type NOT BETWEEN 0 AND 2 THEN 'SF-004' END,
+        CASE WHEN design_rad < {least}[list_position({speeds}, spl)] THEN 'SF-005' END) AS expected_violations FROM v)
+    SELECT number, category, {", ".join(f"{f}::DOUBLE AS {f}" for f in cases.FIELDS)}, expected_violations, expected_violations = '' AS expected_valid FROM r"""
+
+
+@query(_cases_sql())
+def adversarial_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many test cases as there are items: at bounds, valid, invalid in one way, in combination, and random."""
+    total = table(spark, sf_dir, "lineitem").count()
+    numbers = spark.range(max(total, len(cases.boundaries()))).withColumnRenamed("id", "number")
+    return cases.cases(numbers, total).withColumn("expected_violations", F.array_join("expected_violations", ","))
+
+
 # --- The whole validation: orders as records of three parameters ---------------------------------------------------
 
 _WHOLE = """o AS (SELECT o_orderkey AS record, (8 + o_custkey % 6)::DOUBLE AS lw, CASE WHEN o_orderkey % 3 <> 0 THEN (25 + 5 * (o_custkey % 12))::DOUBLE END AS spl, o_totalprice / 100 AS design_rad, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey % 2 = 0 END AS level FROM orders),
