@@ -68,6 +68,46 @@ def tier(description: Column, audited: Column) -> Column:
     return F.when(audited.isin("definitional", "numeric"), audited).otherwise(told)
 
 
+# The kinds of edges that have a direction.
+DIRECTED = ("AFFECTS", "DETERMINES", "CONSTRAINS")
+TIERS = ("definitional", "numeric")
+
+
+def gold_edges(relations: DataFrame, labels: DataFrame, facility: str | None = None) -> DataFrame:
+    """src, dst, tier: the curated edges that texts of the corpus can tell: directed ones, of a facility if one is given, without those that are labelled as out of corpus.
+
+    relations: from_field, to_field, type, facility_type, description, ord; of equal edges the last description counts. labels: tier_labels().
+    """
+    some = relations.where(F.col("type").isin(*DIRECTED) & (F.lit(facility is None) | F.col("facility_type").eqNullSafe(F.lit(facility))))
+    one = some.groupBy(F.col("from_field").alias("src"), F.col("to_field").alias("dst")).agg(F.max_by("description", "ord").alias("description"))
+    told = one.join(labels.select("src", "dst", F.col("tier").alias("_tier"), F.col("out_of_corpus").alias("_out")), ["src", "dst"], "left").where(~F.coalesce("_out", F.lit(False)))
+    return told.select("src", "dst", tier(F.col("description"), F.col("_tier")).alias("tier"))
+
+
+def tier_agreement(found: DataFrame, gold: DataFrame) -> DataFrame:
+    """tier, found, gold, confirmed, precision, recall, f1: a row for all edges and one for each tier, where found and precision say nothing.
+
+    A ratio is null where there is nothing to divide by; f1 is 0 where gold edges aren't found, null without any. Equal found edges count once.
+    """
+    both = found.select("src", "dst").distinct().withColumn("_f", F.lit(True)).join(gold.select("src", "dst", "tier", F.lit(True).alias("_g")), ["src", "dst"], "full")
+    hit = F.col("_f").isNotNull() & F.col("_g").isNotNull()
+    counts = [F.count("_f").alias("found"), F.count("_g").alias("gold"), F.count_if(hit).alias("confirmed")]
+    counts += [F.count_if(cond & (F.col("tier") == t)).alias(f"{k}_{t}") for t in TIERS for k, cond in (("gold", F.col("_g")), ("confirmed", hit))]
+    none = F.lit(None).cast("bigint")
+    row = lambda t, f, g, c: F.struct(F.lit(t).alias("tier"), f.alias("found"), F.col(g).alias("gold"), F.col(c).alias("confirmed"))
+    rows = both.agg(*counts).select(F.inline(F.array(row("all", F.col("found"), "gold", "confirmed"), *(row(t, none, f"gold_{t}", f"confirmed_{t}") for t in TIERS))))
+    rows = rows.withColumn("precision", F.try_divide("confirmed", "found")).withColumn("recall", F.try_divide("confirmed", "gold"))
+    p, r = F.col("precision"), F.col("recall")
+    return rows.withColumn("f1", F.when((p > 0) & (r > 0), 2 * p * r / (p + r)).when((F.col("tier") == "all") & (F.col("gold") > 0), 0.0))
+
+
+def basis_confusion(found: DataFrame, gold: DataFrame) -> DataFrame:
+    """tier, said, n: what basis confirmed edges are claimed to have, by the tier that they are of. found: src, dst, basis, ord; of equal edges the last counts (of equally numbered ones the greatest basis). No basis, or an empty one, is `unstated`."""
+    said = F.coalesce(F.nullif(F.col("basis"), F.lit("")), F.lit("unstated"))
+    last = found.select("src", "dst", "ord", said.alias("said")).groupBy("src", "dst").agg(F.max(F.struct("ord", "said")).alias("_"))
+    return last.select("src", "dst", "_.said").join(gold.select("src", "dst", "tier"), ["src", "dst"]).groupBy("tier", "said").agg(F.count("*").alias("n"))
+
+
 # How code spells fields otherwise, what a function's name says that it gives, arguments that are no quantities, and functions that are no steps.
 CODE_ALIASES = {"ffs_adj": "ffs", "capacity_adj": "capacity", "fd": "followers_density", "s_pl": "avg_speed", "cap": "capacity", "vd": "flow_rate", "pf": "percent_followers", "lw": "lane_width"}
 OUTPUT_SUFFIXES = {"_los": "los"}

@@ -439,6 +439,21 @@ def tiered_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return acquire.tier_recall(*_edges(spark, sf_dir))
 
 
+@query(f"""WITH {_EDGES}, b AS (SELECT f.src IS NOT NULL AS f, g.src IS NOT NULL AS g, tier FROM found f FULL JOIN gold g ON g.src = f.src AND g.dst = f.dst), n AS (SELECT 'all' AS tier, count(*) FILTER (f) AS found, count(*) FILTER (g) AS gold, count(*) FILTER (f AND g) AS confirmed FROM b
+    UNION ALL SELECT tier, NULL, count(*), count(*) FILTER (f) FROM b WHERE g GROUP BY 1) SELECT tier, found, gold, confirmed, round(confirmed / found, 9) AS precision, round(confirmed / gold, 9) AS recall, CASE WHEN tier = 'all' THEN round(2 * confirmed / (found + gold), 9) END AS f1 FROM n""")
+def tier_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return acquire.tier_agreement(*_edges(spark, sf_dir)).select("tier", "found", "gold", "confirmed", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query(f"""WITH {_EDGES}, l AS (SELECT l_partkey AS src, l_suppkey AS dst, l_orderkey * 10 + l_linenumber AS ord, CASE l_returnflag WHEN 'A' THEN 'definitional' WHEN 'N' THEN 'numeric' ELSE 'unstated' END AS said FROM lineitem),
+    u AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY ord DESC, said DESC) = 1) SELECT tier, said, count(*) AS n FROM u JOIN gold USING (src, dst) GROUP BY ALL""")
+def basis_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as extracted edges that claim a basis by their flag, the last of each pair, against the tiers of the curated ones."""
+    basis = F.when(F.col("l_returnflag") == "A", "definitional").when(F.col("l_returnflag") == "N", "numeric").otherwise("")
+    found = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), basis.alias("basis"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+    return acquire.basis_confusion(found, _edges(spark, sf_dir)[1])
+
+
 @query(f"WITH {_EDGES} SELECT CASE WHEN g.src IS NULL THEN 'found only' WHEN f.src IS NULL THEN 'curated only' ELSE 'confirmed' END AS bucket, count(*) AS n FROM found f FULL JOIN gold g ON g.src = f.src AND g.dst = f.dst GROUP BY 1")
 def agreement_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return acquire.agreement(*_edges(spark, sf_dir)).groupBy("bucket").agg(F.count("*").alias("n"))

@@ -64,6 +64,7 @@ RULE_FILE = """source_doc STRUCT<title STRING, abbreviation STRING, edition STRI
     description STRING, error_message STRING, source_ref STRUCT<chapter STRING, section STRING, exhibit STRING, equation STRING>>>"""
 EDGE_FILE = "relationships ARRAY<STRUCT<from_field STRING, to_field STRING, type STRING, facility_type STRING, description STRING, source STRING>>"
 CLAIM = "name STRING, parameter STRING, rule_type STRING, min_value DOUBLE, max_value DOUBLE, allowed_values ARRAY<STRING>, jurisdiction STRING, priority INT, authority STRING, citation STRING, severity STRING, conditions ARRAY<STRUCT<type STRING, value STRING>>"
+TIER_FILE = "tiers map<string,string>, out_of_corpus map<string,string>"
 SCENARIO_FILE = f"scenario STRING, parameter STRING, default_context MAP<STRING,STRING>, example_value DOUBLE, claims ARRAY<STRUCT<{CLAIM}>>"
 ARTIFACT_FILE = "meta MAP<STRING,STRING>, edges ARRAY<STRUCT<from_param STRING, to_param STRING, basis STRING, evidence STRING>>"
 
@@ -109,6 +110,15 @@ def edge_corpus(spark: SparkSession, path: str) -> DataFrame:
     return json_files(spark, path, EDGE_FILE).select(F.posexplode("relationships").alias("ord", "e")).select(F.col("ord").cast("long").alias("ord"), "e.*")
 
 
+def tier_labels(spark: SparkSession, path: str) -> DataFrame:
+    """src, dst, tier, out_of_corpus: what auditors say of edges, which their files name as src->dst. An edge may have a tier, be out of corpus, or both; of several files the alphabetically last tier counts."""
+    tiers, out = (F.coalesce(F.col(c), F.create_map().cast("map<string,string>")) for c in ("tiers", "out_of_corpus"))
+    rows = json_files(spark, path, TIER_FILE).select(tiers.alias("_t"), out.alias("_o")).select("_t", "_o", F.explode(F.array_union(F.map_keys("_t"), F.map_keys("_o"))).alias("_edge"))
+    ends = F.split("_edge", "->", 2)
+    rows = rows.select(F.trim(F.get(ends, 0)).alias("src"), F.trim(F.get(ends, 1)).alias("dst"), F.col("_t")[F.col("_edge")].alias("tier"), F.map_contains_key(F.col("_o"), F.col("_edge")).alias("out_of_corpus"))
+    return rows.groupBy("src", "dst").agg(F.max("tier").alias("tier"), F.bool_or("out_of_corpus").alias("out_of_corpus"))
+
+
 def conflict_scenarios(spark: SparkSession, path: str) -> DataFrame:
     """A row for each scenario; one without a name has its file's."""
     stem = F.regexp_extract("_file", r"([^/]+)\.json$", 1)
