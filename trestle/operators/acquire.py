@@ -30,6 +30,15 @@ def windows(texts: DataFrame, keys: list[str], text: str, size: int = 14000, ove
     return texts.where(F.col(text).isNotNull()).select(*keys, text, F.posexplode(starts).alias("place", "_at")).select(*keys, "place", F.btrim(F.substring(F.col(text), F.col("_at"), F.lit(size)), F.lit(" \t\n\r")).alias("piece"))
 
 
+def rejoined(chunks: DataFrame, keys: list[str], place: str, text: str, chapter: str, part: str) -> DataFrame:
+    """keys, source: the chunks of each document whose chapter contains a text, joined by spaces in their order; a document without such chunks has no row.
+
+    Null texts are left out, chunks of one place are ordered by their text. A document is a row, so it is as large as a row may be.
+    """
+    some = chunks.where(F.contains(F.coalesce(F.col(chapter).cast("string"), F.lit("")), F.lit(part)) & F.col(text).isNotNull())
+    return some.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(place).alias("at"), F.col(text).alias("is")))).alias("_")).select(*keys, F.array_join(F.col("_.is"), " ").alias("source"))
+
+
 def first_edges(edges: DataFrame) -> DataFrame:
     """The first (by ord) of equal edges between different known fields."""
     fit = edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")

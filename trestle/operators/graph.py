@@ -45,6 +45,12 @@ def chain(edges: DataFrame, roots: DataFrame, depth: int = 10, types: tuple[str,
     return seen.where("depth > 0")
 
 
+def reach(chained: DataFrame, roots: DataFrame) -> DataFrame:
+    """root, downstream, max_depth: how many nodes a chain has reached from each root, and how far away the last of them is; 0 and 0 where it led nowhere."""
+    some = chained.groupBy("root").agg(F.count("*").alias("downstream"), F.max("depth").alias("max_depth"))
+    return roots.select("root").distinct().join(some, "root", "left").select("root", F.coalesce("downstream", F.lit(0)).cast("bigint").alias("downstream"), F.coalesce("max_depth", F.lit(0)).alias("max_depth"))
+
+
 def within_hops(edges: DataFrame, roots: DataFrame, hops: int, types: tuple[str, ...] | None = None) -> DataFrame:
     """root, node, type, description: what trails of up to so many undirected edges reach, no edge twice, with the kinds of all edges on such trails; roots don't relate to themselves.
 

@@ -89,9 +89,9 @@ def _values(named: DataFrame) -> DataFrame:
 
 def prioritized(rules: DataFrame, jurisdiction: Column | None = None) -> DataFrame:
     """rules with prio, ordered: the best priority of a rule's sources (the smaller first), 50 better, but at least 1, for sources of the jurisdiction asked for."""
-    asked = F.lit(None).cast("string") if jurisdiction is None else F.lower(jurisdiction)
-    best = F.array_min(F.transform("sources", lambda s: F.when(F.lower(s["jurisdiction"]) == asked, F.greatest(F.lit(1), s["priority"] - 50)).otherwise(s["priority"])))
-    return rules.withColumn("prio", F.coalesce(best, F.lit(100))).orderBy("prio", "rule_id")
+    from trestle.operators.authority import priority
+
+    return rules.withColumn("prio", priority(F.col("sources"), jurisdiction)).orderBy("prio", "rule_id")
 
 
 def detections(found: DataFrame, markings: list[str], least: float = 0.5) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trestle.operators import clarify, context, graph
+from trestle.operators import authority, clarify, context, graph
 from trestle.plans.registry import query
 from trestle.sources.designs import table
 from trestle.sources.rules import upserted
@@ -147,6 +147,21 @@ def most_specific_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(best, ["s_nationkey", "priority"]).select("s_suppkey", "s_nationkey", "priority")
 
 
+_SOURCES = """src AS (SELECT s_suppkey, s_nationkey, unnest([0, 1, 2]) AS k FROM supplier), one AS (SELECT s_suppkey, s_nationkey, ['federal', 'State', 'county', 'city'][(s_suppkey + k) % 4 + 1] AS jurisdiction, (s_suppkey * (k + 7)) % 90 + 10 AS priority FROM src WHERE k < s_suppkey % 3)"""
+
+
+@query(f"""WITH {_SOURCES}, p AS (SELECT s.s_suppkey, s.s_nationkey, coalesce(min(CASE WHEN lower(jurisdiction) = 'state' THEN greatest(1, priority - 50) ELSE priority END), 100) AS prio, coalesce(bool_or(lower(jurisdiction) = 'state'), false) AS own, coalesce(max(priority), 0) AS authority FROM supplier s LEFT JOIN one USING (s_suppkey) GROUP BY ALL)
+    SELECT * FROM p QUALIFY prio = min(prio) OVER (PARTITION BY s_nationkey)""")
+def jurisdiction_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as rules of their nations, with up to two sources: the most specific ones if a state asks, whether they are the state's, and their authority."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    names = F.array(*map(F.lit, ["federal", "State", "county", "city"]))
+    one = lambda k: F.when(F.col("s_suppkey") % 3 > k, F.struct(F.get(names, ((F.col("s_suppkey") + k) % 4).cast("int")).alias("jurisdiction"), (F.col("s_suppkey") * (k + 7) % 90 + 10).alias("priority")))
+    rules = s.withColumn("sources", F.array_compact(F.array(one(0), one(1))))
+    found = authority.most_specific(rules, "s_nationkey", F.lit("STATE"))
+    return found.select("s_suppkey", "s_nationkey", "prio", authority.is_of(F.col("sources"), F.lit("state")).alias("own"), authority.authority(F.col("sources")).alias("authority"))
+
+
 # --- Graphs -------------------------------------------------------------------------------------------------------
 
 
@@ -211,6 +226,14 @@ def forward_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.chain(e, roots).select("root", "node", "depth", F.array_join(F.col("ords").cast("array<string>"), ">").alias("via"), F.round("confidence", 6).alias("confidence"))
 
 
+@query(f"WITH c AS ({_chain_sql(_ROOTS, 'src', 'dst', chr(39) + 'AFFECTS' + chr(39))}), r AS (WITH {_FLOW} SELECT src AS root FROM flow UNION SELECT dst FROM flow) SELECT r.root, count(c.root) AS downstream, coalesce(max(depth), 0) AS max_depth FROM r LEFT JOIN c ON r.root = c.root GROUP BY 1")
+def chain_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many parts every part affects, and over how many steps at most."""
+    e = _flow(spark, sf_dir)
+    roots = e.select(F.explode(F.array("src", "dst")).alias("root")).distinct()
+    return graph.reach(graph.chain(e, roots), roots)
+
+
 @query(_chain_sql("SELECT DISTINCT dst AS root FROM flow", "dst", "src", "'AFFECTS', 'DETERMINES', 'CONSTRAINS'"))
 def backward_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _flow(spark, sf_dir)

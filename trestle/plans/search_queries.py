@@ -416,6 +416,13 @@ def text_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("doc_id", "place", F.md5(F.col("piece").cast("binary")).alias("piece"))
 
 
+@query("""SELECT l_orderkey, string_agg(part, ' ' ORDER BY l_linenumber, part) AS source FROM (SELECT l_orderkey, l_linenumber, l_partkey || ':' || l_suppkey AS part, 'Chapter ' || l_suppkey AS chapter FROM lineitem) WHERE contains(chapter, '15') GROUP BY 1""")
+def chunks_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as chunks of their orders, those whose chapter contains 15 joined in their order."""
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws(":", "l_partkey", "l_suppkey").alias("part"), F.concat(F.lit("Chapter "), "l_suppkey").alias("chapter"))
+    return acquire.rejoined(l, ["l_orderkey"], "l_linenumber", "part", "chapter", "15")
+
+
 def _edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     l = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), "l_linenumber", "l_quantity")
     found = l.where("l_linenumber < 4").select("src", "dst").distinct()
