@@ -65,3 +65,10 @@ def test_the_last_of_equal_names_counts(spark):
     twice = "fn f_a(spl: f64) { self.set_ffs(1); }\nfn f_a(lw: f64) { self.set_ffs(1); }"
     out = acquire.code_edges(spark.createDataFrame([(1, twice)], "id int, c string"), ["id"], "c", FIELDS).collect()
     assert [(r.src, r.dst, r.line) for r in out] == [("lane_width", "ffs", 2)]
+
+
+def test_callees_are_never_broadcast(spark, tmp_path):
+    spark.createDataFrame([(1, CODE)], "id int, c string").write.parquet(f"{tmp_path}/code")
+    out = acquire.code_edges(spark.read.parquet(f"{tmp_path}/code"), ["id"], "c", FIELDS)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 7

@@ -177,7 +177,8 @@ def dataflow(functions: DataFrame, keys: list[str], known: list[str] | Column, a
     called = F.filter(found(r"\bself\.(\w+)\s*\("), lambda c: ~(F.startswith(c, F.lit("get_")) | F.startswith(c, F.lit("set_"))))
     flow = raw.select(*keys, "name", *line, F.array_except(field(F.col("_got")), "_set").alias("reads"), field(F.col("_set")).alias("_w"), implied.alias("_i"), called.alias("calls"))
     flow = flow.select(*keys, "name", *line, "reads", F.when(F.size("_w") > 0, F.col("_w")).otherwise(F.col("_i")).alias("writes"), "calls")
-    callee = flow.select(*keys, F.col("name").alias("_name"), F.col("reads").alias("_r"), F.col("writes").alias("_w"))
+    # As many callees as functions: never broadcast, though a small file of sources looks as if they could be.
+    callee = flow.select(*keys, F.col("name").alias("_name"), F.col("reads").alias("_r"), F.col("writes").alias("_w")).hint("merge")
     out = flow.select(*keys, "name", *line, "reads", "writes", F.explode_outer("calls").alias("_name")).join(callee, [*keys, "_name"], "left")
     merge = lambda own, more: F.array_sort(F.array_distinct(F.flatten(F.array(F.first(own), F.flatten(F.collect_list(more))))))
     return out.groupBy(*keys, "name", *line).agg(merge("reads", "_r").alias("reads"), merge("writes", "_w").alias("writes"))

@@ -469,7 +469,7 @@ def agreement_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT src, dst, 'f' || k AS evidence FROM (SELECT p_partkey AS k, 'in_' || p_size AS src, 'out_' || (p_size % 7) AS dst FROM part UNION SELECT p_partkey, 'in_' || ((p_size % 50) + 1), 'out_' || (p_size % 7) FROM part) WHERE src <> dst""")
 def dataflow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges induced from code, a function for each part: what it reads against what it writes."""
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition("p_partkey")  # a small file gives long texts
     code = parts.select("p_partkey", F.format_string("impl S { fn f%d(&self) { if true { self.out_%d = self.in_%d + self.in_%d; } } }", "p_partkey", F.col("p_size") % 7, "p_size", F.col("p_size") % 50 + 1).alias("code"))
     known = [f"in_{i}" for i in range(1, 52)] + [f"out_{i}" for i in range(7)]
     flow = acquire.dataflow(acquire.functions_of(code, ["p_partkey"], "code"), ["p_partkey"], known)
@@ -491,7 +491,7 @@ pub fn store{k}(&mut self, cap: f64) {{ s.set_capacity(cap); s.set_out_{d}(self.
     SELECT k AS p_partkey, src, dst, f || k || CASE f WHEN 'find' THEN '_los' ELSE '' END AS name, line FROM e""")
 def code_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges from a source text for each part: getters, arguments, aliases (a known name stands for itself), helpers, setters, and outputs told by a name; what is set isn't read (cap, of the last function)."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition("p_partkey")  # a small file gives long texts
     text = F.lit(_CODE.replace("{{", "{ ").replace("}}", " }"))
     for at, c in (("{k}", F.col("p_partkey")), ("{a}", F.col("p_size")), ("{b}", F.col("p_size") % 50 + 1), ("{d}", F.col("p_size") % 7)):
         text = F.replace(text, F.lit(at), c.cast("string"))
