@@ -86,3 +86,11 @@ def test_impact_and_subgraph(spark):
     got = {tuple(r) for r in graph.impact(e, one, rules, cited).collect()}
     assert got == {(1, "rule", "r", 2), (1, "rule", "s", 0), (1, "related", "2", None), (1, "related", "3", None), (1, "reference", "HCM", None), (1, "reference", "MUTCD", None)}
     assert {r.ord for r in graph.subgraph(e, one.distinct(), 1).collect()} == {1, 4}
+
+
+def test_passes_change_nothing(spark):
+    r = random.Random(7)
+    edges = [(r.randrange(9), r.randrange(9), r.choice("ab"), "", i) for i in range(14)]
+    df, roots = spark.createDataFrame(edges, EDGES), spark.range(9).selectExpr("cast(id AS int) AS root")
+    many = graph.within_hops(df, roots, 3, pass_pairs=60).collect()
+    assert len(many) == len(set(many)) and {tuple(x) for x in many} == listed(edges, range(9), 3)
