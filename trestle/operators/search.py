@@ -54,17 +54,18 @@ def single_repairs(designs: DataFrame, keys: list[str], levers: dict[str, tuple[
     then each lever's trials up to its first hit; hits that lie beyond it don't count.
     """
     parameters = list(levers)
-    base = executor(designs).where(~F.coalesce(goal, F.lit(False))).select(*designs.columns)
+    # Designs are dealt out before they are multiplied; grids and groups are then of one task, and their least ranks are plain numbers, which need no sort.
+    base = executor(designs.repartition(*keys)).where(~F.coalesce(goal, F.lit(False))).select(*designs.columns)
     tried = trials(base, levers, steps)
     now = tried.select(*keys, *changed({p: F.col(p) for p in parameters}, F.col("lever"), F.col("trial")), *(F.col(p).alias(f"_old_{p}") for p in parameters), "lever", "place", "trial", "rank")
     done = executor(now).withColumn("hit", F.coalesce(goal, F.lit(False)))
     old = F.coalesce(*(F.when(F.col("lever") == p, F.col(f"_old_{p}")) for p in parameters))
-    per = done.groupBy(*keys, "lever", "place").agg(F.min(F.when(F.col("hit"), F.struct("rank", "trial"))).alias("first"), F.count("*").alias("size"), F.first(old).alias("old"))
+    per = done.groupBy(*keys, "lever", "place").agg(F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"), F.min_by("trial", F.when(F.col("hit"), F.col("rank"))).alias("trial"), F.count("*").alias("size"), F.first(old).alias("old"))
     if budget is not None:
-        used = F.coalesce("first.rank", "size").cast("long")
+        used = F.coalesce("first", "size").cast("long")
         before = F.coalesce(F.sum(used).over(Window.partitionBy(*keys).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1
-        per = per.withColumn("before", before).where(F.col("before") + F.col("first.rank") <= budget)
-    found = per.where("first IS NOT NULL").select(*keys, "lever", "old", "first.trial", "first.rank")
+        per = per.withColumn("before", before).where(F.col("before") + F.col("first") <= budget)
+    found = per.where("first IS NOT NULL").select(*keys, "lever", "old", "trial", F.col("first").alias("rank"))
     return found.withColumn("delta", relative(F.col("old"), F.col("trial")))
 
 
@@ -72,7 +73,7 @@ def pair_repairs(designs: DataFrame, keys: list[str], levers: dict[str, tuple[fl
     """keys, lever_a, lever_b, trial_a, trial_b, delta: for each pair of the first levers the smallest change of both that meets the goal; for designs that neither meet it nor have a single repair."""
     coarse, parameters = max(3, steps // 2 + 1), list(levers)
     singles = single_repairs(designs, keys, levers, executor, goal, steps).select(*keys).distinct()
-    base = executor(designs).where(~F.coalesce(goal, F.lit(False))).select(*designs.columns).join(singles, keys, "left_anti")
+    base = executor(designs.repartition(*keys)).where(~F.coalesce(goal, F.lit(False))).select(*designs.columns).join(singles.hint("merge"), keys, "left_anti")
     first = parameters[:most]
     lists = {p: _others(p, *levers[p], coarse) for p in first}
     both_of = lambda a, b: F.transform(lists[a], lambda v: F.struct(F.lit(a).alias("lever_a"), F.lit(b).alias("lever_b"), v.alias("trial_a")))

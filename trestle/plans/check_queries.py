@@ -10,6 +10,7 @@ from trestle.operators import cases, checks, clarify
 from trestle.plans.registry import query
 from trestle.sources.designs import KEY, designs, designs_sql, long_format, table, values_of
 from trestle.sources.rules import RADIUS, SEMANTIC, rules, rules_sql
+from trestle.sources.tables import literal
 
 K = ", ".join(KEY)
 
@@ -292,7 +293,7 @@ def _whole(spark: SparkSession, sf_dir: str, asking: bool = False) -> tuple[Data
     params = o.select(F.col("o_orderkey").alias("record"), F.posexplode(given).alias("ord", "_")).select("record", "ord", "_.*", F.lit(None).cast("string").alias("value_str")).where("value_num IS NOT NULL")
     terrain = F.when(F.col("o_custkey") % 2 == 0, "level").otherwise("rolling")
     contexts = o.where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("record"), F.create_map(F.lit("terrain"), terrain).alias("context"))
-    keys = spark.createDataFrame([("lane-width", "lw"), ("speed", "spl"), ("radius", "design_rad"), ("shoulder", "sw")], "key string, field string")
+    keys = literal(spark, [("lane-width", "lw"), ("speed", "spl"), ("radius", "design_rad"), ("shoulder", "sw")], "key string, field string")
     columns = "field string, rule_id int, rule_type string, severity string, lo double, hi double, lo_open boolean, hi_open boolean, allowed array<string>, citation string, conditions array<struct<type:string,value:string>>, formula string"
     corpus = [("lw", 1, "range", "error", 9.0, 12.0, False, False, None, "M", [], None), ("design_rad", 2, "formula", "error", None, None, None, None, None, "M", [("terrain", "level")], "design_rad >= spl ** 2 / 3"), ("spl", 3, "max", "warning", None, 70.0, False, False, None, "M", None, None)]
     if asking:
@@ -301,8 +302,9 @@ def _whole(spark: SparkSession, sf_dir: str, asking: bool = False) -> tuple[Data
             ("lw", 6, "min", "error", -1.0, None, False, False, None, "M", [("terrain", "mountainous"), ("city", "urban")], None), ("lw", 7, "min", "error", -1.0, None, False, False, None, "M", [("terrain", "level")], None),
             ("design_rad", 8, "formula", "error", None, None, None, None, None, "M", [], "phf * design_rad > superelevation"),
         ]
-    units = spark.createDataFrame([("sw", "ft", 4.0, 8.0)], "field string, unit string, typical_min double, typical_max double") if asking else None
-    return engine.validate(params, contexts, keys, spark.createDataFrame(corpus, columns), units)
+    units = literal(spark, [("sw", "ft", 4.0, 8.0)], "field string, unit string, typical_min double, typical_max double") if asking else None
+    corpus = [(*r[:10], None if r[10] is None else [{"type": t, "value": v} for t, v in r[10]], r[11]) for r in corpus]
+    return engine.validate(params, contexts, keys, literal(spark, corpus, columns), units)
 
 
 @query(f"""WITH {_WHOLE} SELECT record, (one IS NOT NULL)::BIGINT + (two IS NOT NULL)::BIGINT AS errors, (three IS NOT NULL)::BIGINT AS warnings, 1::BIGINT AS unknown, one IS NULL AND two IS NULL AS is_valid, concat_ws(',', one, two, three) AS violated FROM v""")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .tables import literal
+
 RULE = "rule_id INT, param STRING, rule_type STRING, severity STRING, lo DOUBLE, hi DOUBLE, lo_open BOOLEAN, hi_open BOOLEAN, allowed ARRAY<STRING>, citation STRING"
 
 # The constraints of the semantic checks, with the names, bounds and sources that published manuals give them.
@@ -40,7 +42,7 @@ def rules(spark: SparkSession) -> DataFrame:
         (8, "passing_type", "enum", "info", None, None, False, False, ["0.0", "1.0", "2.0"], "Manual A, 15.3"),
         (9, "lane_width", "relationship", "error", None, None, False, False, None, "Manual A"),
     ]
-    return spark.createDataFrame(rows, RULE)
+    return literal(spark, rows, RULE)
 
 
 def rules_sql() -> str:
