@@ -94,3 +94,13 @@ def test_passes_change_nothing(spark):
     df, roots = spark.createDataFrame(edges, EDGES), spark.range(9).selectExpr("cast(id AS int) AS root")
     many = graph.within_hops(df, roots, 3, pass_pairs=60).collect()
     assert len(many) == len(set(many)) and {tuple(x) for x in many} == listed(edges, range(9), 3)
+
+
+def test_conflicts_of_one_parameter_are_tiled(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TILE", 4)
+    r = random.Random(3)
+    rules = [(i, r.choice("ab"), float(lo := r.randrange(40)), float(lo + r.randrange(9))) for i in range(30)]
+    out = graph.disjoint_pairs(spark.createDataFrame(rules, "rule_id int, param string, lo double, hi double"))
+    assert "_x" in out._jdf.queryExecution().executedPlan().toString()
+    got = out.collect()
+    assert len(got) == len(set(got)) and {(x.a, x.b) for x in got} == {(a[0], b[0]) for a in rules for b in rules if a[1] == b[1] and a[0] < b[0] and (a[3] < b[2] or b[3] < a[2])}
