@@ -69,6 +69,26 @@ def test_wide_groups(spark, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows, 4, 85)
 
 
+@pytest.mark.parametrize("n,room", [(300, 2_000), (60, 3)])
+def test_chained_groups(spark, monkeypatch, n, room):
+    """Texts that each share keys with their neighbours only, so that all are one group in which little is linked: rows that are compared grow with the texts, not with their square."""
+    monkeypatch.setattr(J, "LEAST_TILE", 300)
+    monkeypatch.setattr(J, "LEAST_ROOM", 5)
+    monkeypatch.setattr(J, "ROOM", room, raising=False)
+    given, plain = [], J.compared
+
+    def compared(tiles, *rest):
+        given.append(tiles.count())
+        return plain(tiles, *rest)
+
+    monkeypatch.setattr(J, "compared", compared)
+    chain = [f"c{i}" for i in range(7 * n + 80)]
+    rows = [(i, " ".join(chain[7 * i : 7 * i + 80])) for i in range(n)] + [(n + i, " ".join(chain[21 * i + 1 : 21 * i + 81])) for i in range(n // 5)]
+    got = linked(spark.createDataFrame(rows, "doc_id long, text string"), words=4, percent=85, tile=300)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(rows, 4, 85)
+    assert len(given) == 2 and (room == 3 or given[1] < 20 * len(rows)), given
+
+
 def test_one_passage_in_very_many(spark):
     """50,000 texts share a passage; the links are those of the few pairs that share nearly all. Null ids link others, too."""
     rng = np.random.default_rng(8)

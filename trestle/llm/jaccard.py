@@ -16,7 +16,7 @@ frequent ones, one less than it must share: what it is linked with has one of th
 only those together that hold little else; the texts of the groups that the other keys make are fetched.
 
 Groups are never compared pair by pair. Each tile has the smallest node of its group as a guest; what the tiles leave apart from
-it, and only that, then meets the group's other tiles.
+it, and only that, then meets what has one of its keys: groups chain, so that most of a large one has none of them.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ BANDS = np.unique(np.floor(1.4 ** np.arange(0, 120)).astype(np.int64))
 TILE, LEAST_TILE = 400_000, 20_000
 #: And so many documents at least.
 LEAST_ROOM = 50
+#: The most documents of a tile of those that share a key.
+ROOM = 2_000
 #: Bytes of texts whose sets are made at once: arrays over them take some fifty times as much.
 SLICE = 1 << 18
 #: The most bits of the bitmap of wanted ids.
@@ -240,11 +242,20 @@ def tiled(members: DataFrame, grams: int, room: int, count: int) -> DataFrame:
     return written(few(with_group(banded, sums).select("root", "node", "n", "wide", tile.alias("tile")), count), clean=True)
 
 
-def connected(tiles: DataFrame, texts: DataFrame, words: int, percent: int, count: int) -> DataFrame:
-    """node, root: what the links of the groups connect; a table. tiles: tiled(), of so many members.
+def meetings(held: DataFrame, tile: int) -> DataFrame:
+    """root, tiles: the keys whose nodes are yet to meet, and in how many tiles. held: root (a key), node, n, known, apart.
 
-    First each tile by itself, with its group's smallest node as a guest; then what isn't connected with that node, against the group's other tiles
-    of fitting sizes.
+    These are the keys that a node apart has and whose nodes aren't all connected; of keys with the same nodes, one.
+    """
+    nodes = F.count("*").alias("nodes"), F.bit_xor(F.xxhash64("node")).alias("same"), F.sum("n").alias("grams"), F.count_if("apart").alias("apart")
+    by = held.groupBy("root").agg(*nodes, F.min("known").alias("low"), F.max("known").alias("high")).where("apart > 0 AND low < high")
+    return by.groupBy("nodes", "same", "grams").agg(F.min("root").alias("root")).select("root", F.ceil(F.greatest(F.col("grams") / tile, F.col("nodes") / ROOM)).cast("int").alias("tiles"))
+
+
+def connected(tiles: DataFrame, texts: DataFrame, rare: DataFrame, words: int, percent: int, count: int, tile: int = TILE) -> DataFrame:
+    """node, root: what the links of the groups connect; a table. tiles: tiled(), of so many members; rare: node and key, the keys that nodes keep.
+
+    First each tile by itself, with its group's smallest node as a guest; then what isn't connected with that node, against what shares a kept key with it.
     """
     spark = tiles.sparkSession
 
@@ -262,19 +273,20 @@ def connected(tiles: DataFrame, texts: DataFrame, words: int, percent: int, coun
     state = tiles.where("wide").join(found.select("node", F.col("root").alias("known")), "node", "left").withColumn("known", F.coalesce("known", "node"))
     state = written(few(state, count), clean=True)
     head = state.where("node = root").select("root", F.col("known").alias("head"))
-    apart = written(few(with_group(state, head).where("known <> head"), count), clean=True)
-    one = apart.groupBy("root", F.col("tile").alias("tile1")).agg(F.min("n").alias("low1"), F.max("n").alias("high1"))
-    two = state.groupBy("root", "tile").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    fits = (F.col("low") * percent <= F.col("high1") * 100) & (F.col("low1") * percent <= F.col("high") * 100)
-    meet = written(few(one.join(two, "root").where("tile1 <> tile").where(fits).select("tile1", "tile", F.xxhash64("root", "tile1", "tile").alias("pair")), count), clean=True)
+    told = with_group(state, head).select("node", "n", "known", (F.col("known") != F.col("head")).alias("apart"))
+    held = written(few(rare.join(told, "node").select(F.col("key").alias("root"), "node", "n", "known", "apart"), 4 * count), clean=True)
+    meet = written(few(meetings(held, tile), count), clean=True)
     if not meet.isEmpty():
-        left = apart.withColumnRenamed("tile", "tile1").join(meet, "tile1").select(F.col("pair").alias("tile"), F.lit(0).alias("side"), "node", "known")
-        right = state.join(meet, "tile").select(F.col("pair").alias("tile"), F.lit(1).alias("side"), "node", "known")
+        mine = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+        of = with_group(held, meet).withColumn("_own", mine).withColumn("_tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        # What is apart in a tile meets all that are in another one; a tile by itself is on one side, where what is connected already isn't compared.
+        left = of.where("apart OR _own = _tile").select(F.xxhash64("root", "_own", "_tile").alias("tile"), F.lit(0).alias("side"), "node", "known")
+        right = of.where("_own <> _tile").select(F.xxhash64("root", "_tile", "_own").alias("tile"), F.lit(1).alias("side"), "node", "known")
         more = links(left.unionByName(right))
         again = components(edges.unionByName(more))
         dropped(spark, more, found)
         found = again
-    dropped(spark, edges, state, apart, meet)
+    dropped(spark, edges, state, held, meet)
     return found
 
 
@@ -366,9 +378,10 @@ def linked(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int =
     stars = rare.join(rare.groupBy("key").agg(F.min("node").alias("b")), "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
     groups = components(stars)
     members = written(nodes.join(groups, "node"), clean=True)
-    dropped(spark, often, rare, groups)
+    dropped(spark, often, groups)
     count, total = members.agg(F.count("*"), F.sum("n")).first()
     if not count:
+        dropped(spark, rare)
         return _labelled(of, nodes.select("node", F.col("rep._id").alias("component_id")), id)
     wanted = members.select(F.col("rep._id").alias("_rep"), F.col("rep._t").alias("_of"), "node")
     some = maybe(rows, "_t", wanted.select("_of"), count)
@@ -376,12 +389,12 @@ def linked(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int =
     # Several tiles for each partition, so that large groups spread.
     spread = 8 * partitions(spark)
     tiles = tiled(members.select("root", "node", "n"), max(LEAST_TILE, min(tile, 2 * total // spread)), max(LEAST_ROOM, count // spread), count)
-    done = connected(tiles, texts, words, percent, count)
+    done = connected(tiles, texts, rare, words, percent, count, tile)
     # The smallest id of each component: what is in none is by itself.
     labels = nodes.join(done, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.col("rep._id").alias("_rep"))
     least = labels.groupBy("root").agg(F.min("_rep").alias("component_id"))
     labels = written(labels.join(least, "root").select("node", "component_id"), clean=True)
-    dropped(spark, members, texts, tiles, done, nodes)
+    dropped(spark, members, texts, tiles, done, nodes, rare)
     return _labelled(of, labels, id)
 
 
