@@ -1,8 +1,10 @@
 """Steps whose tasks must not grow with the tables."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from trestle.operators import checks, search
+from trestle.operators import checks, graph, search
 from trestle.sources.rules import rules
 
 
@@ -23,3 +25,21 @@ def test_repairs_are_neither_sorted_nor_broadcast(spark, tmp_path):
     singles, pairs = search.single_repairs(*how), search.pair_repairs(*how)
     assert "SortAggregate" not in plan(singles) and "Broadcast" not in plan(pairs)
     assert sorted((r.k, r.lever, r.trial, r["rank"]) for r in singles.collect()) == [(1, "a", 15.0, 1), (1, "b", 0.0, 5), (3, "a", 10.0, 4)]
+
+
+def test_balls_of_many_roots_share_rows(spark):
+    r = random.Random(5)
+    edges = [(r.randrange(200), r.randrange(200) if i % 3 else r.randrange(4), "A", i) for i in range(300)] + [(None, 1, "A", 998), (2, None, "A", 999)]
+    df, roots = spark.createDataFrame(edges, "src int, dst int, type string, ord int"), spark.range(210).selectExpr("cast(id AS int) AS root").unionByName(spark.createDataFrame([(None,), (3,)], "root int"))
+    beside = {n: {n} for n in range(210)}
+    for a, b, _, _ in edges[:300]:
+        beside[a].add(b), beside[b].add(a)
+    balls = {n: {n} for n in range(210)}
+    for _ in range(3):
+        balls = {n: set().union(*(beside[m] for m in ball)) for n, ball in balls.items()}
+    inner = {(n, e) for n, ball in balls.items() for e in edges[:300] if e[0] in ball and e[1] in ball}
+    assert sorted(map(tuple, graph.ball_sizes(df, roots, 3).collect())) == [(n, len(balls[n]), sum(e[0] in balls[n] and e[1] in balls[n] for e in edges[:300])) for n in range(210)]
+    assert sorted(map(tuple, graph.neighbours(df, roots, 3).collect())) == [(n, m) for n in range(210) for m in sorted(balls[n] - {n})]
+    assert sorted((x.root, (x.src, x.dst, x.type, x.ord)) for x in graph.subgraph(df, roots.distinct(), 3).collect()) == sorted(inner)
+    # Four hubs tie nearly all together: a node's row stands for 64 roots.
+    assert graph.balls(df, roots, 3)[0].count() * 10 < sum(map(len, balls.values()))
