@@ -43,3 +43,16 @@ def test_balls_of_many_roots_share_rows(spark):
     assert sorted((x.root, (x.src, x.dst, x.type, x.ord)) for x in graph.subgraph(df, roots.distinct(), 3).collect()) == sorted(inner)
     # Four hubs tie nearly all together: a node's row stands for 64 roots.
     assert graph.balls(df, roots, 3)[0].count() * 10 < sum(map(len, balls.values()))
+
+
+def test_tasks_of_conflicts_are_as_many_as_their_pairs_want(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TILE", 16)
+    monkeypatch.setattr(graph, "TASK_PAIRS", 400)
+    r = random.Random(4)
+    rules = [(i, "ab"[i % 9 == 0], float(lo := r.randrange(40)), float(lo + r.randrange(-3, 9))) for i in range(120)] + [(None, "a", 0.0, 0.0), (7, "a", 90.0, 95.0), (500, None, 0.0, 0.0), (501, "a", None, 0.0)]
+    out = graph.disjoint_pairs(spark.createDataFrame(rules, "rule_id int, param string, lo double, hi double"))
+    got = out.collect()
+    # Adaptive execution would put a few kB into one task.
+    assert out.rdd.getNumPartitions() >= 12
+    full, below = [x for x in rules if None not in x[:2]], lambda x, y: y[2] is not None and x[3] < y[2]
+    assert sorted(map(tuple, got)) == sorted((a[0], b[0], a[1]) for a in full for b in full if a[1] == b[1] and a[0] < b[0] and (below(a, b) or below(b, a)))
