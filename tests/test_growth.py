@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from trestle.operators import checks, graph, search
+from trestle.sources import roadxml
 from trestle.sources.rules import rules
 
 
@@ -56,3 +57,13 @@ def test_tasks_of_conflicts_are_as_many_as_their_pairs_want(spark, monkeypatch):
     assert out.rdd.getNumPartitions() >= 12
     full, below = [x for x in rules if None not in x[:2]], lambda x, y: y[2] is not None and x[3] < y[2]
     assert sorted(map(tuple, got)) == sorted((a[0], b[0], a[1]) for a in full for b in full if a[1] == b[1] and a[0] < b[0] and (below(a, b) or below(b, a)))
+
+
+def test_a_road_is_read_once_for_all_its_parameters(spark, tmp_path):
+    lanes = '<laneSection s="0"><left><lane id="1" type="driving"><width a="3"/></lane></left></laneSection><laneSection s="5"><right><lane id="x" type="driving"><width a="4"/></lane><lane id="-1" type="driving"/><lane id="-2" type="none"><width a="1"/></lane></right></laneSection>'
+    road = f'<road id="1"><planView><geometry><arc curvature="bent"/></geometry><geometry><line/></geometry><geometry><arc curvature="-0.5"/></geometry><geometry><arc curvature="0"/></geometry></planView><elevationProfile><elevation b="x"/><elevation b="0.5"/></elevationProfile><lateralProfile><superelevation a="0"/></lateralProfile><lanes>{lanes}</lanes></road>'
+    spark.createDataFrame([(1, road), (2, "<road"), (3, None), (4, '<road id="4"/>')], "k int, xml string").write.parquet(f"{tmp_path}/r")
+    out = roadxml.parameter_rows(roadxml.road_strings(spark.read.parquet(f"{tmp_path}/r"), "xml", ["k"]), ["k"])
+    got = sorted((r.k, r.name, r.param, round(r.value, 4)) for r in out.collect())
+    assert got == [(1, "elev_1_grade", "grade", 50.0), (1, "geom_2_radius_ft", "design_rad", 6.5617), (1, "section_0_lane_1_lane_width", "lane_width", 9.8425), (1, "section_1_lane_null_lane_width", "lane_width", 13.1234), (1, "super_0", "superelevation", 0.0)]
+    assert "Union" not in plan(out)
