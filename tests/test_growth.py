@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from trestle.operators import checks, graph, search
+from trestle.operators import checks, graph, records, search
 from trestle.sources import roadxml
 from trestle.sources.rules import rules
 
@@ -67,3 +67,13 @@ def test_a_road_is_read_once_for_all_its_parameters(spark, tmp_path):
     got = sorted((r.k, r.name, r.param, round(r.value, 4)) for r in out.collect())
     assert got == [(1, "elev_1_grade", "grade", 50.0), (1, "geom_2_radius_ft", "design_rad", 6.5617), (1, "section_0_lane_1_lane_width", "lane_width", 9.8425), (1, "section_1_lane_null_lane_width", "lane_width", 13.1234), (1, "super_0", "superelevation", 0.0)]
     assert "Union" not in plan(out)
+
+
+def test_records_are_told_apart_once(spark, tmp_path):
+    spark.createDataFrame([(1, '{"lane_width": 11}', None), (2, "x", None), (3, '{"grade": 1}', "struct"), (4, None, "xml")], "k int, raw string, given string").write.parquet(f"{tmp_path}/r")
+    params, contexts, errors = records.extracted(spark.read.parquet(f"{tmp_path}/r"), ["k"], "raw", "given")
+    # What reads a record is known before its readers start: contexts and errors parse nothing.
+    assert "parseJson" in plan(params) and "parseJson" not in plan(contexts) + plan(errors)
+    assert [(r.k, r.param) for r in params.collect()] == [(1, "lane_width")]
+    assert sorted((r.k, r.source) for r in contexts.collect()) == [(1, "json"), (3, "struct")]
+    assert sorted((r.k, r.error) for r in errors.collect()) == [(2, "no reader knows the record"), (3, "a struct of no known facility"), (4, "there is no such reader")]

@@ -221,18 +221,20 @@ def extracted(rows: DataFrame, keys: list[str], raw: str, given: str | None = No
     """Records of any kind to (parameters, contexts, errors): keys and PARAMETER; keys, source and context; keys and error.
 
     given: a column that names the reader of a record, or is null. A record that no reader knows, or that asks for one that isn't there, and a struct of neither facility,
-    is an error and has no parameters; so have null records.
+    is an error and has no parameters; so have null records. Readers, contexts and errors are worked out in one pass and written; a reader then parses its own records only.
     """
+    from trestle.sources.tables import written
+
     known = readers or READERS
-    told = rows.select(*keys, F.col(raw).alias("_raw"), parsed(raw).alias("_v"), (F.col(given) if given else F.lit(None).cast("string")).alias("_given"))
-    told = told.withColumn("source", source("_raw", "_v", F.col("_given")))
-    parts = [read(told.where(F.col("source") == name), keys, "_raw") for name, (read, _) in known.items()]
-    params = parts[0]
-    for p in parts[1:]:
-        params = params.unionByName(p)
+    read = rows.select(*keys, F.col(raw).alias("_raw"), parsed(raw).alias("_v"), (F.col(given) if given else F.lit(None).cast("string")).alias("_given"))
+    read = read.withColumn("source", source("_raw", "_v", F.col("_given")))
     ctx = F.lit(None).cast("map<string,string>")
     for name, (_, of) in known.items():
         ctx = F.when(F.col("source") == name, of("_raw", "_v")).otherwise(ctx)
-    contexts = told.select(*keys, "source", ctx.alias("context")).where("context IS NOT NULL")
     error = F.when(F.col("source").isNull(), "no reader knows the record").when(~F.col("source").isin(list(known)), "there is no such reader").when((F.col("source") == "struct") & facility("_v").isNull(), "a struct of no known facility")
-    return params, contexts, told.select(*keys, error.alias("error")).where("error IS NOT NULL")
+    told = written(read.select(*keys, "_raw", "source", ctx.alias("context"), error.alias("error")))
+    parts = [of(told.where(F.col("source") == name).select(*keys, "_raw"), keys, "_raw") for name, (of, _) in known.items()]
+    params = parts[0]
+    for p in parts[1:]:
+        params = params.unionByName(p)
+    return params, told.select(*keys, "source", "context").where("context IS NOT NULL"), told.select(*keys, "error").where("error IS NOT NULL")

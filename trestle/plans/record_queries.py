@@ -114,9 +114,11 @@ def mixed_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.array(*(F.lit(raw) for _, raw in _MIXED))
     rows = table(spark, sf_dir, "lineitem").select(*KEY, F.element_at(kinds, F.col("l_linenumber").cast("int")).alias("raw"), F.when(F.col("l_returnflag") == "R", "json").alias("given"))
     rows = rows.groupBy(*KEY, "raw", "given").agg(F.count("*").alias("copies"))  # equal items are one record
-    params, contexts, errors = records.extracted(rows, KEY, "raw", "given")
+    keys = [*KEY, "given", "copies"]
+    params, contexts, errors = records.extracted(rows, keys, "raw", "given")
     shown = F.concat("param", F.lit("="), F.coalesce("value_str", F.col("value_num").cast("string")))
-    params = params.groupBy(*KEY).agg(F.array_join(F.array_sort(F.collect_list(shown)), " ").alias("params"))
     told = F.array_join(F.array_sort(F.transform(F.map_entries("context"), lambda x: F.concat(x["key"], F.lit("="), x["value"]))), " ")
-    out = rows.join(params, KEY, "left").join(contexts.select(*KEY, "source", told.alias("context")), KEY, "left").join(errors, KEY, "left")
-    return out.groupBy(F.col("l_linenumber").alias("n"), "source", "error", "params", "context").agg(F.sum("copies").alias("records"))
+    # Every record has a context or an error, so that putting its rows together takes one grouping and no join.
+    every = params.select(*keys, shown.alias("shown")).unionByName(contexts.select(*keys, "source", told.alias("context")), allowMissingColumns=True).unionByName(errors, allowMissingColumns=True)
+    out = every.groupBy(*keys).agg(F.array_sort(F.collect_list("shown")).alias("_shown"), *(F.max(c).alias(c) for c in ("source", "context", "error")))
+    return out.groupBy(F.col("l_linenumber").alias("n"), "source", "error", F.nullif(F.array_join("_shown", " "), F.lit("")).alias("params"), "context").agg(F.sum("copies").alias("records"))
