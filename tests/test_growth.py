@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from trestle.operators import checks, graph, records, search
+from trestle.plans import engine
 from trestle.sources import roadxml
 from trestle.sources.rules import rules
 
@@ -77,3 +78,18 @@ def test_records_are_told_apart_once(spark, tmp_path):
     assert [(r.k, r.param) for r in params.collect()] == [(1, "lane_width")]
     assert sorted((r.k, r.source) for r in contexts.collect()) == [(1, "json"), (3, "struct")]
     assert sorted((r.k, r.error) for r in errors.collect()) == [(2, "no reader knows the record"), (3, "a struct of no known facility"), (4, "there is no such reader")]
+
+
+def test_parameters_are_read_once_for_all_questions(spark, tmp_path):
+    rows = [(1, "a-b", 2.0, None, 0), (1, "b", None, "x", 1), (2, "b", 1.0, None, 0), (2, "b", 9.0, None, 1), (None, "b", 3.0, None, 0)]
+    spark.createDataFrame(rows, "record int, param string, value_num double, value_str string, ord int").write.parquet(f"{tmp_path}/p")
+    keys = spark.createDataFrame([("a-b", "f"), ("b", "g")], "key string, field string")
+    contexts = spark.createDataFrame([(2, {"t": "p"})], "record int, context map<string,string>")
+    columns = "field string, rule_id int, rule_type string, severity string, lo double, hi double, lo_open boolean, hi_open boolean, allowed array<string>, citation string, conditions array<struct<type:string,value:string>>, formula string"
+    corpus = [("f", 1, "formula", "error", None, None, None, None, None, "M", [], "a_b < g"), ("g", 2, "formula", "error", None, None, None, None, None, "M", [], "b > 5"), ("g", 3, "min", "error", 0.0, None, False, False, None, "M", [{"type": "t", "value": "p"}], None)]
+    verdicts, asks = engine.validate(spark.read.parquet(f"{tmp_path}/p"), contexts, keys, spark.createDataFrame(corpus, columns))
+    assert plan(asks).count("FileScan parquet") == 1
+    got = {(r.record, r.kind, r.parameter, *r.related) for r in asks.collect()}
+    inputs, asked = {(1, "missing_parameter", "g", "g"), (1, "missing_parameter", "b", "b"), (None, "missing_parameter", "b", "b")}, {(1, "ambiguous_context", "t", "g"), (None, "ambiguous_context", "t", "g")}
+    assert got == inputs | asked
+    assert {r.record: r.errors for r in verdicts.collect()}[2] == 2

@@ -90,6 +90,29 @@ def input_asks(unchecked: DataFrame, keys: list[str]) -> DataFrame:
     return found.select(*keys, F.lit("missing_parameter").alias("kind"), F.when(F.size("_missing") == 1, F.get("_missing", F.lit(0))).alias("parameter"), message.alias("message"), _texts().alias("options"), F.col("_missing").alias("related"), _order(2, F.col("rule_id").cast("long")))
 
 
+def rule_asks(pending: DataFrame, keys: list[str]) -> DataFrame:
+    """What context_asks() and input_asks() give together, in one pass over the rules and one grouping.
+
+    pending: keys, field, place, rule_id, rule, open (of rules that a context decides, else null or empty) and missing (of formulas that lack inputs, else null or empty).
+    """
+    kind = "array<struct<kind:string,type:string,value:string,missing:array<string>>>"
+    null = F.lit(None).cast("string")
+    conditions = F.transform("open", lambda c: F.struct(F.lit("ambiguous_context").alias("kind"), c["type"].alias("type"), c["value"].alias("value"), F.lit(None).cast("array<string>").alias("missing")))
+    inputs = F.when(F.size("missing") > 0, F.array(F.struct(F.lit("missing_parameter").alias("kind"), null.alias("type"), null.alias("value"), F.array_sort(F.array_distinct("missing")).alias("missing"))))
+    none = F.array().cast(kind)
+    one = pending.select(*keys, "field", "place", "rule_id", "rule", F.explode(F.concat(F.coalesce(conditions.cast(kind), none), F.coalesce(inputs.cast(kind), none))).alias("_a"))
+    of_input = F.col("_a.kind") == "missing_parameter"
+    found = one.groupBy(*keys, "field", F.col("_a.kind").alias("kind"), F.col("_a.type").alias("type"), F.col("_a.missing").alias("missing"), F.when(of_input, F.struct("rule_id", "rule")).alias("_rule")).agg(
+        F.min("place").alias("place"), F.min(F.col("rule_id").cast("long")).alias("_first"), F.array_sort(F.collect_set("_a.value")).alias("options"), F.array_sort(F.collect_set("rule")).alias("_rules"),
+    )
+    which = F.concat(F.lit("Which "), F.replace("type", F.lit("_"), F.lit(" ")), F.lit(" ("), F.array_join("options", ", "), F.lit(")? "), "field", F.lit(" has rules that depend on it: "), F.array_join(F.slice("_rules", 1, 3), ", "))
+    what = F.concat(F.lit("What is "), F.array_join("missing", ", "), F.lit("? "), F.col("_rule.rule"), F.lit(" on "), "field", F.lit(" can't be checked without"))
+    asks_input = F.col("kind") == "missing_parameter"
+    parameter = F.when(asks_input, F.when(F.size("missing") == 1, F.get("missing", F.lit(0)))).otherwise(F.col("type"))
+    order = F.struct(F.col("place").alias("place"), F.when(asks_input, 2).otherwise(1).alias("stage"), F.col("_first").alias("within")).alias("order")
+    return found.select(*keys, "kind", parameter.alias("parameter"), F.when(asks_input, what).otherwise(which).alias("message"), "options", F.when(asks_input, F.col("missing")).otherwise(_texts(F.col("field"))).alias("related"), order)
+
+
 def questions(asks: DataFrame, keys: list[str]) -> DataFrame:
     """keys, kind, parameter, message, options, related: one question for each kind and parameter (those without one are one, too): message and options of the earliest, everybody's related."""
     first = F.min_by(F.struct("message", "options"), "order").alias("_")

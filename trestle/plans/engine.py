@@ -1,8 +1,8 @@
 """A whole validation: records' parameters to verdicts and questions, for all records at once.
 
 Names are resolved against the corpus, rules joined, contexts gate them, values are checked, and each record's results are put
-together. Two joins with the corpus, one with the contexts, and one grouping by record; where there are formula rules, one more, which gives each record's
-values together.
+together. Two joins with the corpus, one with the contexts, and one grouping by record; where there are formula rules, one more before, which gives each record's
+parameters together.
 """
 
 from __future__ import annotations
@@ -35,17 +35,19 @@ def validate(params: DataFrame, contexts: DataFrame, keys: DataFrame, rules: Dat
     place = F.col("ord") if "ord" in params.columns else F.col("param")
     named = resolved(params.where(~F.col("param").startswith("segment_")).withColumn("place", place), keys)
     rules = rules.withColumn("rule", F.coalesce(F.col("name") if "name" in rules.columns else F.lit(None), F.concat(F.lit("rule "), F.col("rule_id").cast("string"))))
-    ruled = named.join(rules, "field", "left").join(contexts, "record", "left")
+    formulas = _formulas(rules)
+    # Where formulas read a record's other values, its parameters are put together once, for its values, its context and its rules.
+    whole = _together(named).join(contexts, "record", "left").select("record", "_values", "context", F.explode("_given").alias("_")).select("record", "_values", "context", "_.*") if formulas else named.join(contexts, "record", "left")
+    ruled = whole.join(rules, "field", "left")
     none = F.create_map().cast("map<string,string>")
     ctx, conditions = F.coalesce("context", none), F.coalesce("conditions", F.array().cast("array<struct<type:string,value:string>>"))
     state = context.tri_state(ctx, conditions)
     broken = F.when(state == "applicable", violation(F.col("value_num"), F.coalesce("value_str", F.col("value_num").cast("string"))))
     results = ruled.withColumns({"state": state, "broken": broken, "open": context.pending(ctx, conditions)})
-    formulas = _formulas(rules)
     if formulas:
         kept, missing = (reduce(lambda out, r: F.when(F.col("rule_id") == r, formulas[r][i]).otherwise(out), formulas, F.lit(None).cast(kind)) for i, kind in ((0, "boolean"), (1, "array<string>")))
         asked = (F.col("rule_type") == "formula") & (F.col("state") == "applicable")
-        results = results.join(_values(named), "record", "left").withColumn("_missing", F.when(asked, missing))
+        results = results.withColumn("_missing", F.when(asked, missing))
         results = results.withColumn("broken", F.when(asked & (F.size("_missing") == 0) & ~kept, "formula").otherwise(F.col("broken")))
     bad = F.col("broken").isNotNull()
     found = F.struct("rule_id", "severity", "param", "broken", "citation")
@@ -56,9 +58,8 @@ def validate(params: DataFrame, contexts: DataFrame, keys: DataFrame, rules: Dat
     valid = F.col("errors") == 0
     verdicts = verdicts.withColumn("is_valid", valid & (F.col("warnings") == 0) if strict else valid)
     told = ["record", "field", "place", "rule_id", "rule"]
-    asks = clarify.context_asks(results.where("state = 'undecidable'").select(*told, "open"), ["record"])
-    if formulas:
-        asks = asks.unionByName(clarify.input_asks(results.where(F.size("_missing") > 0).select(*told, F.col("_missing").alias("missing")), ["record"]))
+    lacking = F.col("_missing") if formulas else F.lit(None).cast("array<string>")
+    asks = clarify.rule_asks(results.select(*told, F.when(F.col("state") == "undecidable", F.col("open")).alias("open"), lacking.alias("missing")), ["record"])
     if units is not None:
         asks = asks.unionByName(clarify.unit_asks(named.join(units, "field"), ["record"]))
     return verdicts, clarify.questions(asks, ["record"])
@@ -80,11 +81,15 @@ def _formulas(rules: DataFrame) -> dict[int, tuple[Column, Column]]:
     return found
 
 
-def _values(named: DataFrame) -> DataFrame:
-    """record and _values: the numbers that it gives, by field and by name; of several the first by name."""
-    both = named.where("value_num IS NOT NULL").select("record", F.explode(F.array_distinct(F.array("field", F.replace("param", F.lit("-"), F.lit("_"))))).alias("_k"), "param", "value_num").where("_k IS NOT NULL")
-    one = both.groupBy("record", "_k").agg(F.min_by("value_num", "param").alias("_v"))
-    return one.groupBy("record").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias("_values"))
+def _together(named: DataFrame) -> DataFrame:
+    """record, _given (its parameters) and _values: the numbers that it gives, by field and by name; of several the first by name. Null without any, or without a record."""
+    given = named.groupBy("record").agg(F.collect_list(F.struct("field", "param", "value_num", "value_str", "place")).alias("_given"))
+    numbers = F.filter("_given", lambda x: x["value_num"].isNotNull())
+    entries = F.flatten(F.transform(numbers, lambda x: F.transform(F.array_distinct(F.array_compact(F.array(x["field"], F.replace(x["param"], F.lit("-"), F.lit("_"))))), lambda k: F.struct(k.alias("k"), x["param"].alias("param"), x["value_num"].alias("v")))))
+    told = given.withColumn("_all", F.array_sort(entries))
+    first = F.filter("_all", lambda x, i: (i == 0) | (F.get(F.col("_all"), i - 1)["k"] != x["k"]))
+    values = F.map_from_entries(F.transform(first, lambda x: F.struct(x["k"].alias("k"), x["v"].alias("v"))))
+    return told.select("record", "_given", F.when(F.col("record").isNotNull() & (F.size("_all") > 0), values).alias("_values"))
 
 
 def prioritized(rules: DataFrame, jurisdiction: Column | None = None) -> DataFrame:
