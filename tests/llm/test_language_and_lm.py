@@ -154,5 +154,36 @@ def test_hot_and_long_texts(spark):
     assert -0.1 < got[599][1] < 0
 
 
+def test_trigrams_are_registered(spark, tmp_path):
+    """The query of order 3 tells apart what that of order 2 can't: words that follow two others."""
+    from trestle.llm.queries import QUERIES
+
+    texts = ["a b c", "a b c", "x b d", "x b d", "a b d"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    two, three = ({r.doc_id: r.score for r in QUERIES[q](spark, str(tmp_path)).collect()} for q in ("op5_lm_scores", "op5_trigram_scores"))
+    one = math.log10(3 / 15)  # a
+    assert two[4] == pytest.approx((one + 0 + math.log10(3 / 5)) / 3, abs=1e-6)
+    assert three[4] == pytest.approx((one + 0 + math.log10(0.4 * 3 / 5)) / 3, abs=1e-6)
+    assert three[0] == pytest.approx((one + 0 + math.log10(2 / 3)) / 3, abs=1e-6)
+
+
+@pytest.mark.parametrize("least", [1, 3])
+def test_full_bitmaps_and_rarer_words(spark, monkeypatch, least):
+    """Bitmaps that let everything through change nothing; n-grams count from one time on, or from three."""
+    from trestle.llm import lm
+
+    texts = ["a b c a b c a b", "c a b c", "a d", "e f g", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = Counter(tuple(w[i : i + n]) for t in texts if (w := (t or "").split()) for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    total = sum(c for k, c in counts.items() if len(k) == 1)
+    score = lambda g: counts[g] / total if len(g) == 1 else counts[g] / counts[g[:-1]] if counts[g] >= least else 0.4 * score(g[1:])
+    want = {i: round(sum(math.log10(score(tuple(w[max(0, j - 2) : j + 1]))) for j in range(len(w))) / len(w), 6) for i, t in enumerate(texts) if (w := (t or "").split())}
+    for full in (False, True):
+        if full:
+            monkeypatch.setattr(lm, "bitmap", lambda table: np.full(lm.BITS // 8, 255, np.uint8))
+        got = {r.doc_id: round(r.score, 6) for r in scored(docs, least=least, hot=0).where("score IS NOT NULL").collect()}
+        assert got == want
+
+
 def test_no_scores(none):
     assert scored(none).count() == 0

@@ -62,6 +62,12 @@ def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(table(spark, sf_dir, "documents"), order=2).withColumn("score", F.round("score", 6))
 
 
+def op5_trigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import scored
+
+    return scored(table(spark, sf_dir, "documents"), order=3).withColumn("score", F.round("score", 6))
+
+
 def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
@@ -92,7 +98,7 @@ def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustered(table(spark, sf_dir, "embeddings"), size=64, k=40, rounds=5, scale=256, seed=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_source_mix, op4_language_id, op8_line_dedup, op9_best_fit_packing, op10_ngram_jaccard, op2_quality_rules, op7_fingerprints, op6_warc_round_trip, op5_lm_scores, op11_quality_classifier, op12_collocations, op13_centroid_clusters)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_source_mix, op4_language_id, op8_line_dedup, op9_best_fit_packing, op10_ngram_jaccard, op2_quality_rules, op7_fingerprints, op6_warc_round_trip, op5_lm_scores, op5_trigram_scores, op11_quality_classifier, op12_collocations, op13_centroid_clusters)}
 
 
 def _quality_sql() -> str:
@@ -241,6 +247,17 @@ SQL: dict[str, str] = {
         s AS (SELECT t.doc_id, CASE WHEN two.n >= 2 THEN log10(two.n / c.n) ELSE log10(o.n / (SELECT count(*) FROM t)) + CASE WHEN t.a IS NULL THEN 0 ELSE log10(0.4) END END AS s
               FROM t JOIN one o ON t.b = o.b LEFT JOIN one c ON t.a = c.b LEFT JOIN two ON t.a = two.a AND t.b = two.b)
         SELECT w.doc_id, count(s) AS n_words, round(avg(s), 6) AS score FROM w LEFT JOIN s USING (doc_id) GROUP BY 1""".replace("\\\\", "\\"),
+    "op5_trigram_scores": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        t AS (SELECT doc_id, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a FROM w, unnest(range(1, len(w) + 1)) AS r(i)),
+        one AS (SELECT c, count(*) AS n FROM t GROUP BY 1), two AS (SELECT b, c, count(*) AS n FROM t WHERE b IS NOT NULL GROUP BY 1, 2),
+        three AS (SELECT a, b, c, count(*) AS n FROM t WHERE a IS NOT NULL GROUP BY 1, 2, 3),
+        s AS (SELECT t.doc_id, CASE WHEN three.n >= 2 THEN log10(three.n / ab.n)
+                                    WHEN bc.n >= 2 THEN log10(bc.n / ob.n) + CASE WHEN t.a IS NULL THEN 0 ELSE log10(0.4) END
+                                    ELSE log10(oc.n / (SELECT count(*) FROM t)) + CASE WHEN t.b IS NULL THEN 0 WHEN t.a IS NULL THEN log10(0.4) ELSE 2 * log10(0.4) END END AS s
+              FROM t JOIN one oc ON t.c = oc.c LEFT JOIN one ob ON t.b = ob.c LEFT JOIN two bc ON t.b = bc.b AND t.c = bc.c
+                   LEFT JOIN two ab ON t.a = ab.b AND t.b = ab.c LEFT JOIN three ON t.a = three.a AND t.b = three.b AND t.c = three.c)
+        SELECT w.doc_id, count(s) AS n_words, round(avg(s), 6) AS score FROM w LEFT JOIN s USING (doc_id) GROUP BY 1""",
     "op6_warc_round_trip": r"""
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h FROM pages),
         last AS (SELECT h, max(page_id) AS last FROM p GROUP BY h),

@@ -77,8 +77,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_LOWER = np.array([x + 32 * (65 <= x <= 90) for x in range(256)], np.uint8)
+
+
 def lower_ascii(data: np.ndarray) -> np.ndarray:
-    return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+    return _LOWER[data]
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
