@@ -104,3 +104,21 @@ def test_conflicts_of_one_parameter_are_tiled(spark, monkeypatch):
     assert "_x" in out._jdf.queryExecution().executedPlan().toString()
     got = out.collect()
     assert len(got) == len(set(got)) and {(x.a, x.b) for x in got} == {(a[0], b[0]) for a in rules for b in rules if a[1] == b[1] and a[0] < b[0] and (a[3] < b[2] or b[3] < a[2])}
+
+
+def test_short_trails_need_no_sets(spark, monkeypatch):
+    """Up to four edges, masks of roots are enough, whatever edges lie beside each other and however many passes there are; loops and shared numbers are left to sets."""
+    sets = graph._by_sets
+    monkeypatch.setattr(graph, "_by_sets", None)
+    for seed, hops in ((4, 1), (5, 2), (6, 3), (7, 4)):
+        r = random.Random(seed)
+        edges = [(a, b, r.choice(["A", "B", None]), r.choice(["x", None]), i) for i in range(11) for a, b in [r.sample(range(5), 2)]]
+        out = graph.within_hops(spark.createDataFrame([*edges, edges[0], (None, 1, "A", "x", 50)], EDGES), spark.createDataFrame([(i,) for i in (0, 1, 3, 8, None)], "root int"), hops, pass_pairs=9).collect()
+        assert len(out) == len({tuple(x) for x in out}) and {tuple(x) for x in out} == listed(edges, (0, 1, 3, 8), hops)
+    monkeypatch.setattr(graph, "_by_sets", sets)
+    monkeypatch.setattr(graph, "_by_masks", None)
+    # 2 has a loop: 1, 2, 2, 1, 3 is no trail, though no edge comes twice in a row. Numbers that two edges have are one edge's.
+    loop = [(1, 2, "A", "", 1), (2, 2, "B", "", 2), (1, 3, "C", "", 3)]
+    assert walked(spark, loop, [1], 4) == listed(loop, [1], 4)
+    shared = [(1, 2, "A", "", 1), (2, 3, "B", "", 2), (3, 4, "A", "", 1)]
+    assert walked(spark, shared, [1], 3) == listed(shared, [1], 3)
