@@ -93,3 +93,18 @@ def test_parameters_are_read_once_for_all_questions(spark, tmp_path):
     inputs, asked = {(1, "missing_parameter", "g", "g"), (1, "missing_parameter", "b", "b"), (None, "missing_parameter", "b", "b")}, {(1, "ambiguous_context", "t", "g"), (None, "ambiguous_context", "t", "g")}
     assert got == inputs | asked
     assert {r.record: r.errors for r in verdicts.collect()}[2] == 2
+
+
+def test_balls_are_counted_in_passes(spark, monkeypatch):
+    from trestle.sources import tables
+
+    r, kept, gone = random.Random(8), [], []
+    edges = spark.createDataFrame([(r.randrange(400), r.randrange(400), i) for i in range(500)], "src int, dst int, ord int")
+    roots = spark.range(400).selectExpr("cast(id AS int) AS root")
+    write, drop = tables.written, tables.dropped
+    whole = sorted(map(tuple, graph.ball_sizes(edges, roots, 2).collect()))
+    monkeypatch.setattr(tables, "written", lambda df, clean=False: kept.append((clean, df.columns)) or write(df, clean))
+    monkeypatch.setattr(tables, "dropped", lambda s, *t: gone.extend(x.columns for x in t) or drop(s, *t))
+    assert sorted(map(tuple, graph.ball_sizes(edges, roots, 2, pass_roots=70).collect())) == whole and len(whole) == 400
+    # No shuffle stays, nor do balls: each pass has its own, and leaves sums of blocks.
+    assert all(clean for clean, _ in kept) and [c for _, c in kept].count(["node", "block", "mask"]) == gone.count(["node", "block", "mask"]) == 6
